@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import jaccard, mixing, quality, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -23,8 +27,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding)}
+    return {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_quality_rules, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.mix_oracle()}
+    return {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle()}
