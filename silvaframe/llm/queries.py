@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, sharding
+from . import itq, jaccard, mixing, quality, sharding
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op5_quality_rules, op6_sharding)}
+    return {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op4_embedding_dedup, op5_quality_rules, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
