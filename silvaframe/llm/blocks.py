@@ -33,8 +33,13 @@ def in_blocks(rows: DataFrame, keys: list[str], id_col: str, block: int) -> Data
 
 
 def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The units of rows sorted by unit; one that spans Arrow batches is put together first."""
-    unit, held = [*keys, "_lo", "_hi"], None
+    """The units of `in_blocks`, one frame each."""
+    return runs(batches, [*keys, "_lo", "_hi"])
+
+
+def runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of equal keys in sorted rows; one that spans Arrow batches is put together first."""
+    held = None
     for batch in batches:
         if held is not None:
             batch = pd.concat([held, batch], ignore_index=True)

@@ -116,7 +116,7 @@ def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float =
         for batch in batches:
             lang = batch.column(0).to_pylist()
             k = m.kernel(batch.column(1).to_pylist()).astype(np.float64)
-            y = np.array([[1.0 if x == one else -1.0 for one in m.languages] for x in lang]).reshape(len(lang), -1)
+            y = np.array([[1.0 if x == one else 0.0 for one in m.languages] for x in lang]).reshape(len(lang), -1)
             # each language weighs the same, however few rows it has
             w = np.array([1.0 / weight[x] for x in lang])[:, None]
             a += k.T @ (w * k)
@@ -140,7 +140,7 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
     """Adds lang_pred and score to the columns in `keep`, row by row over whole texts.
 
     lang_pred is und, with score 0, for a null text, a text without letters, or without a model. score:
-    half of 1 + the winner's regression value, cut to 0..1. Ties go to the first language by name.
+    the winner's regression value, cut to 0..1; near 0 for a text unlike all landmarks. Ties go to the first language by name.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     inner = documents.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
@@ -157,7 +157,7 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
                     values = m.kernel([texts[i] for i in known]) @ m.weights
                     best = values.argmax(axis=1)
                     for i, b, v in zip(known, best, values[np.arange(len(best)), best]):
-                        pred[i], score[i] = m.languages[b], min(1.0, max(0.0, (1 + float(v)) / 2))
+                        pred[i], score[i] = m.languages[b], min(1.0, max(0.0, float(v)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return inner.mapInArrow(run, f"{schema}, lang_pred string, score double")

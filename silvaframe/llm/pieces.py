@@ -38,6 +38,7 @@ class Pieces:
         self.unknown = sp.unk_id()
         self.unigram = _model_type(model) == 1
         self.longest = max(map(len, self.ids))
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}  # no piece ends in anything else
         self.low = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         # No piece runs over these places, so every path meets there: before the first space mark of a run.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -63,7 +64,7 @@ class Pieces:
         if found is None:
             if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            found = self._pairs[key] = self._merge(a + b) == [a, b]
+            found = self._pairs[key] = self._merge(a + b) == ([a, b] if a else [b])
         return found
 
     # -- the streaming pass --
@@ -74,24 +75,26 @@ class Pieces:
         Keeps the last `longest` positions alive; whatever backpointer chains share before them is
         committed and forgotten, so memory follows the window and the stretch still in doubt.
         """
-        n, longest, ids = len(text), self.longest, self.ids
+        n, longest, ids, tails = len(text), self.longest, self.ids, self.tails
         back: dict[int, tuple[int, float]] = {0: (0, 0.0)}  # position: start of the piece that ends here, cost
         done = 0
         for i in range(1, n + 1):
             best = None
-            for j in range(max(done, i - longest), i):
+            for j in range(i - 1, max(done, i - longest) - 1, -1):
+                piece = text[j:i]
+                if piece not in tails and i - j > 1:
+                    break
                 state = back.get(j)
                 if state is None:
                     continue
-                piece = text[j:i]
                 known = ids.get(piece)
-                if known is None and (i - j > 1 or text[j] in ids):
+                if known is None and i - j > 1:
                     continue
                 if self.unigram:
                     score = state[1] + (self.scores[known] if known is not None else self.low)
                     if best is None or score > best[1]:
                         best = (j, score)
-                elif j == 0 or self.compatible(text[state[0] : j], piece):
+                elif self.compatible(text[state[0] : j], piece):
                     best = (j, 0.0)
                     break
             if best is not None:

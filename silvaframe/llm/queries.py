@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import itq, jaccard, mixing, quality, sharding
+import corpus_pipeline
+
+from . import chat, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -30,9 +32,42 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op4_embedding_dedup, op5_quality_rules, op6_sharding)}
+    return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_mixing": op2_mixing,
+        "op3_jaccard_join": op3_jaccard_join,
+        "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_sharding": op6_sharding,
+        "op7_chat_formatting": op7_chat_formatting,
+        "op8_html_extraction": op8_html_extraction,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle()}
+    out = {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
