@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_blocks(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
+def deal(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
     """Rows of groups with two members or more, dealt into pairs of blocks.
 
     A group of m rows is cut by a hash of the id into ceil(m / block) blocks; every pair of blocks,
     and every block with itself, becomes one unit (keys, _lo, _hi) of at most about two blocks. A row
     goes to as many units as its group has blocks, so m members cost m * m / block rows, not m * m.
-    Each row has its own block's number in _own. Rows arrive sorted by unit within a partition.
+    Each row has its own block's number in _own. What a unit needs to know of its rows is best joined
+    to the dealt ids, before `gather`.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    dealt = (
+    return (
         rows.join(sizes, keys)
         .withColumn("_blocks", F.expr(f"int((_m + {block - 1}) div {block})"))
         .withColumn("_own", F.pmod(F.xxhash64(F.lit(3), id_col), "_blocks").cast("int"))
@@ -28,12 +29,16 @@ def in_blocks(rows: DataFrame, keys: list[str], id_col: str, block: int) -> Data
         .withColumn("_hi", F.greatest("_own", "_other"))
         .drop("_m", "_blocks", "_other")
     )
+
+
+def gather(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """Brings the rows of each unit together, sorted by unit."""
     unit = [*keys, "_lo", "_hi"]
     return dealt.repartition(*unit).sortWithinPartitions(*unit)
 
 
 def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The units of `in_blocks`, one frame each."""
+    """The units of `gather`, one frame each."""
     return runs(batches, [*keys, "_lo", "_hi"])
 
 

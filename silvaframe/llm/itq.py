@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, units
+from .blocks import deal, gather, units
 from .common import Scratch, _forest, connected_components
 
 #: Vectors that the rotations are fitted on; members of a block; chance to miss a pair at the very threshold.
@@ -183,9 +183,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         model = fit(np.array([v + [0.0] * (d - len(v)) for v in sample]), n, threshold, seed)
         entries = rep.select("space", "id", "embedding").mapInArrow(_encode(model, d), "space string, t int, key long, id long, codes binary")
         bucket = ["space", "t", "key"]
-        entries = scratch.save(in_blocks(entries, bucket, "id", BLOCK).mapInPandas(_retrieve(model.radius), "space string, t int, key long, id long, codes binary").distinct())
-        facts = entries.join(rep.select("id", "copies", "embedding"), "id")
-        found = scratch.save(in_blocks(facts, bucket, "id", BLOCK).mapInPandas(_rerank(threshold), "a long, b long, n long"))
+        entries = scratch.save(gather(deal(entries, bucket, "id", BLOCK), bucket).mapInPandas(_retrieve(model.radius), "space string, t int, key long, id long, codes binary").distinct())
+        facts = deal(entries, bucket, "id", BLOCK).join(rep.select("id", "copies", "embedding"), "id")
+        found = scratch.save(gather(facts, bucket).mapInPandas(_rerank(threshold), "a long, b long, n long"))
         label = connected_components(found.where("n = 0").select("a", "b"), scratch).join(rep.select("id", "vec_id"), "id")
         least = label.groupBy("component").agg(F.min("vec_id").alias("component_id"))
         label = label.join(least, "component").select("id", "component_id")

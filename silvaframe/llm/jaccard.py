@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, units
+from .blocks import deal, gather, units
 from .common import Scratch, batch_words, connected_components, mix
 
 #: Column blocks in which overlap is accumulated; rows of a block; heavy n-grams that are broadcast; n-grams
-#: carried to tell in which column a pair is met first.
+#: carried to tell in which column a pair is met first; members of a share of a class's partners: BLOCK too.
 COLUMNS, BLOCK, HEAVY, CARRY = 256, 512, 100_000, 32
 
 
@@ -116,26 +116,50 @@ def _columns(n: int, percent: int, heavy):
     return run
 
 
-def _whole(n: int):
-    """The whole set of each document, and its counts in column blocks, cut at 255."""
+def _shared(batches):
+    """Of rows sorted by (gram, s1, s2, id): the columns of two classes or more, a row per class.
+
+    hub is the first class of the column. Only the last row is held from one Arrow batch to the next.
+    """
+    held, hub = None, None  # the last class seen, and the hub of its column if that is already known to be shared
+    for batch in batches:
+        g, x, y, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        if held is not None:
+            g, x, y, i = (np.concatenate([[h], v]) for h, v in zip(held, (g, x, y, i)))
+        if not len(g):
+            continue
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        g, x, y, i = g[new], x[new], y[new], i[new]
+        same = g[1:] == g[:-1]
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        hubs = i[start][np.cumsum(np.concatenate([[0], ~same]).astype(np.int64))]
+        if hub is not None:
+            hubs[g == g[0]] = hub
+        keep = np.concatenate([[hub is not None], same]) | np.concatenate([same, [False]])
+        # the last row is decided with the next batch, unless it is known to be shared: then it goes out once, here
+        held = (g[-1], x[-1], y[-1], i[-1])
+        first_again = hub is not None  # it went out with the batch before
+        if first_again:
+            keep[0] = False
+        hub = hubs[-1] if len(g) > 1 and same[-1] or first_again and len(g) == 1 else None
+        yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (g, i, hubs)], ["gram", "id", "hub"])
+
+
+def _sketch(n: int):
+    """Size of each set, and its counts in column blocks, cut at 255."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, s, sig) for i, s, sig in _sets(batch, n) if len(s)]
-            if rows:
-                sketch = [np.minimum(np.bincount(s & (COLUMNS - 1), minlength=COLUMNS), 255).astype(np.uint8).tobytes() for _, s, _ in rows]
-                offsets = np.cumsum([0] + [len(s) for _, s, _ in rows], dtype=np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for _, s, _ in rows])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2][0] for r in rows], pa.int64()), pa.array([r[2][1] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array(sketch, pa.binary()), sets],
-                    ["id", "s1", "s2", "n", "sketch", "grams"],
-                )
+            rows = [(i, s) for i, s, _ in _sets(batch, n)]
+            sketch = [np.minimum(np.bincount(s & (COLUMNS - 1), minlength=COLUMNS), 255).astype(np.uint8).tobytes() for _, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(sketch, pa.binary())], ["id", "n", "sketch"])
 
     return run
 
 
 def _product(percent: int):
-    """Pairs of a unit that may be similar.
+    """Pairs of a unit that may be similar and are not linked yet.
 
     Overlap is accumulated over the column blocks as sum(min) = (a + b - sum|x - y|) / 2, an upper
     bound, and pairs below the overlap that their sizes ask for are discarded. A pair that shares an
@@ -146,27 +170,55 @@ def _product(percent: int):
         out = []
         for unit in units(batches, ["gram"]):
             unit = unit.sort_values("n", kind="stable")
-            size, ids, own = unit["n"].to_numpy(), unit["id"].to_numpy(), unit["_own"].to_numpy()
+            size, ids, own, part = (unit[c].to_numpy() for c in ("n", "id", "_own", "part"))
             sketch = np.frombuffer(b"".join(unit["sketch"]), np.uint8).reshape(-1, COLUMNS).astype(np.int16)
             gram, across = unit["gram"].iloc[0], unit["_lo"].iloc[0] != unit["_hi"].iloc[0]
-            carry = [c[c < gram] for c in unit["carry"]]
+            carry = np.full((len(unit), CARRY), gram)  # filled up with the column itself, which is no earlier one
+            for row, c in zip(carry, unit["carry"]):
+                c = c[c < gram]
+                row[: len(c)] = c
             for i in range(len(unit) - 1):
                 end = np.searchsorted(size, 100 * size[i] // percent, "right")
                 j = np.arange(i + 1, end)
+                j = j[part[j] != part[i]]
                 if across:
                     j = j[own[j] != own[i]]
                 if not len(j):
                     continue
                 spare = size[i] + size[j] - 2 * least_overlap(size[i], size[j], percent)
-                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1)
-                j = j[apart <= spare]
-                if len(carry[i]):
-                    j = [x for x in j if not np.isin(carry[i], carry[x], assume_unique=True).any()]
-                out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j if ids[i] != ids[x]]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                j = j[np.abs(sketch[j] - sketch[i]).sum(axis=1) <= spare]
+                earlier = carry[i][carry[i] < gram]
+                if len(j) and len(earlier):
+                    j = j[~np.isin(carry[j], earlier).any(axis=1)]
+                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+            if len(out) > 5000:
+                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
                 out = []
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if out:
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return run
+
+
+def _count(n: int, percent: int):
+    """Whole overlap counts of rows (a, b, text of b), after a row (a, null, text of a)."""
+
+    def run(batches):
+        hub, sets = None, []
+        for batch in batches:
+            out = []
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_words(batch.column(2)))
+            for a, b, words in rows:
+                s = shingles(words, n)
+                if b is None:
+                    hub, sets = a, [*(sets if hub == a else []), s]
+                    continue
+                for t in sets:
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        out.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -175,9 +227,9 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     """(doc_id, n_shingles, component_id), a row per document; similar: 100 * overlap >= percent * union.
 
     Equal sets are one class from the start. The incidence matrix is cut to each class's prefix columns,
-    whose length follows from its size; columns with two rows or more are multiplied in blocks of rows,
-    and what is left after the size bounds is completed to whole overlap counts. A pair of classes that
-    earlier links have already joined needs no count.
+    whose length follows from its size. Links of each class with the first class of its columns join most
+    copies; columns that then still hold several parts are multiplied in blocks of rows, and what is left
+    after the size bounds is completed to whole overlap counts. Pairs within one part need no count.
 
     Null, empty and blank texts have no shingles and link with nothing; a text of fewer than n words is
     one shingle. Rows that share an id count as one document with all their links. A null id links with
@@ -193,35 +245,45 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     top = sorted((r.gram, r.c) for r in top.collect())  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast((np.array([g for g, _ in top], np.int64), np.array([c for _, c in top], np.int64)))
     # 2. prefix columns with two classes or more
-    columns = docs.mapInArrow(_columns(n, percent, heavy), "gram long, s1 long, s2 long, id long").repartition("gram")
-    columns = columns.groupBy("gram", "s1", "s2").agg(F.min("id").alias("id"))
-    # a row of its own kind holds the number of classes: no second shuffle, as all is dealt by gram
-    shared = columns.join(columns.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "gram").select("gram", "id")
-    shared = scratch.save(shared)
-    # 3. whole sets of the classes that share a column
-    active = scratch.save(shared.select("id").distinct())
-    sets = docs.join(active.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_whole(n), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>")
-    sets = scratch.save(sets)
-    # 4. the product, in blocks
-    carry = shared.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
-    facts = sets.select("id", "n", "sketch").join(carry, "id")
-    pairs = in_blocks(shared.join(facts, "id"), ["gram"], "id", BLOCK).select("gram", "id", "n", "sketch", "carry", "_own", "_lo", "_hi")
+    columns = docs.mapInArrow(_columns(n, percent, heavy), "gram long, s1 long, s2 long, id long")
+    columns = columns.repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
+    shared = scratch.save(columns.mapInArrow(_shared, "gram long, id long, hub long"))
+    # 3. texts of the classes in them: a text is smaller than its set, so texts move and sets are made on the spot
+    active = scratch.save(shared.select(F.col("id").alias("doc_id")).distinct())
+    texts = scratch.save(docs.join(active, "doc_id", "left_semi"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose whole overlap count suffices. A class with many partners is dealt out with a share of them each."""
+        many = pairs.groupBy("a").agg(F.expr(f"int((count(1) + {BLOCK - 1}) div {BLOCK})").alias("shares"))
+        hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+        rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b", F.col("b").alias("doc_id"))
+        rows = rows.unionByName(hubs).join(texts, "doc_id").repartition("a", "share").sortWithinPartitions("a", "share", "b").select("a", "b", "text")
+        return rows.mapInArrow(_count(n, percent), "a long, b long").distinct()
+
+    def parts(links: DataFrame) -> DataFrame:
+        return scratch.save(connected_components(links, scratch).select("id", F.col("component").alias("part")))
+
+    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        of = lambda x: part.select(F.col("id").alias(x), F.col("part").alias(f"p{x}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b")
+
+    # 4. each class with the hub of its columns joins most copies
+    links = scratch.save(verify(shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
+    part = parts(links)
+    # 5. the product of the columns that still hold several parts, in blocks
+    open_ = shared.join(part, "id", "left").select("gram", "id", F.coalesce("part", "id").alias("part"))
+    mixed = open_.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
+    open_ = scratch.save(open_.join(mixed, "gram", "left_semi"))
+    carry = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
+    facts = texts.mapInArrow(_sketch(n), "id long, n long, sketch binary").join(carry, "id")
+    pairs = gather(deal(open_, ["gram"], "id", BLOCK).join(facts, "id"), ["gram"])
     pairs = scratch.save(pairs.mapInPandas(_product(percent), "a long, b long").distinct())
-    # 5. whole overlap counts: first of each class with its least partner, then of pairs still apart
-    arrays = sets.select("id", "grams")
-
-    def verify(some: DataFrame) -> DataFrame:
-        both = some.join(arrays.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(arrays.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("sum"))
-        return both.where(f"100 * both >= {percent} * (sum - both)").select("a", "b")
-
-    links = scratch.save(verify(pairs.groupBy("b").agg(F.min("a").alias("a"))).distinct())
-    label = scratch.save(connected_components(links, scratch))
-    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links2 = scratch.save(links.unionByName(verify(apart)).distinct())
-    label = scratch.save(connected_components(links2, scratch))
-    # 6. back to the documents
+    # 6. whole overlap counts: of each class with its least partner, then of pairs still apart
+    for some in (lambda: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: pairs):
+        links = scratch.save(links.unionByName(verify(apart(some(), part))))
+        part = parts(links)
+    label = part.withColumnRenamed("part", "component")
+    # 7. back to the documents
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     full = rows.where("s1 is not null").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("s1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
