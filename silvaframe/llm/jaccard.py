@@ -227,7 +227,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     """(doc_id, n_shingles, component_id), a row per document; similar: 100 * overlap >= percent * union.
 
     Equal sets are one class from the start. The incidence matrix is cut to each class's prefix columns,
-    whose length follows from its size. Links of each class with the first class of its columns join most
+    whose length follows from its size. Links of each class with the first class of most of its columns join most
     copies; columns that then still hold several parts are multiplied in blocks of rows, and what is left
     after the size bounds is completed to whole overlap counts. Pairs within one part need no count.
 
@@ -267,8 +267,9 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
         of = lambda x: part.select(F.col("id").alias(x), F.col("part").alias(f"p{x}"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b")
 
-    # 4. each class with the hub of its columns joins most copies
-    links = scratch.save(verify(shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
+    # 4. each class with the hub of most of its columns joins most copies
+    often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+    links = scratch.save(verify(often.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
     part = parts(links)
     # 5. the product of the columns that still hold several parts, in blocks
     open_ = shared.join(part, "id", "left").select("gram", "id", F.coalesce("part", "id").alias("part"))
