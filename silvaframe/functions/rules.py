@@ -119,4 +119,5 @@ def overlay_class(bare: Column, green: Column) -> Column:
 
 
 def yolo_line(cx: Column, cy: Column, w: Column, h: Column) -> Column:
-    return F.format_string("0 %.6f %.6f %.6f %.6f", cx, cy, w, h)
+    """Class 0 and four numbers of six places, half to even."""
+    return F.format_string("0 %.6f %.6f %.6f %.6f", *[F.bround(c, 6) for c in (cx, cy, w, h)])
