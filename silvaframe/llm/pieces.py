@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a task remembers, and the longest segment that is remembered.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 700_000, 64
 
 
 class Pieces:
@@ -42,8 +41,13 @@ class Pieces:
         self.low = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         # No piece runs over these places, so every path meets there: before the first space mark of a run.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._pair_count = 0
+        self._known: dict[str, bytes] = {}
+        raw = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
+        for b, i in self.byte.items():
+            raw[i] = bytes([b])
+        self.raw = raw
 
     # -- which pairs of pieces BPE leaves alone --
 
@@ -59,12 +63,17 @@ class Pieces:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self._pairs.get(key)
+        after = self._pairs.get(a)
+        if after is None:
+            after = self._pairs[a] = {}
+        found = after.get(b)
         if found is None:
-            if len(self._pairs) > 1_000_000:
+            if self._pair_count > 1_000_000:
                 self._pairs.clear()
-            found = self._pairs[key] = self._merge(a + b) == ([a, b] if a else [b])
+                self._pair_count = 0
+                after = self._pairs[a] = {}
+            found = after[b] = self._merge(a + b) == ([a, b] if a else [b])
+            self._pair_count += 1
         return found
 
     # -- the streaming pass --
@@ -119,9 +128,33 @@ class Pieces:
                 back[meet] = kept
                 done = meet
 
-    def _ids(self, text: str) -> tuple[int, ...]:
+    def _in_one_window(self, text: str) -> list[str]:
+        """`segment` for a text that fits one window and a BPE model: the same pass, committed at its end."""
+        ids, tails, pairs, compatible = self.ids, self.tails, self._pairs, self.compatible
+        last = [""]  # the piece that ends at each position on the one path there, None where no path leads
+        for i in range(1, len(text) + 1):
+            j, found = i - 1, None
+            while j >= 0:
+                piece = text[j:i]
+                if piece not in tails and i - j > 1:
+                    break
+                before = last[j]
+                if before is not None and (piece in ids or i - j == 1):
+                    ok = pairs[before].get(piece) if before in pairs else None
+                    if ok or ok is None and compatible(before, piece):
+                        found = piece
+                        break
+                j -= 1
+            last.append(found)
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return out[::-1]
+
+    def _ids(self, text: str) -> bytes:
         out = []
-        for piece in self.segment(text):
+        for piece in self.segment(text) if self.unigram or len(text) > 4 * self.longest else self._in_one_window(text):
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -129,17 +162,17 @@ class Pieces:
                 out += [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def normalise(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. Segments between certain cuts are looked up if met before."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as int32. Segments between certain cuts are looked up if met before."""
         if not text:
-            return []
+            return b""
         if not self.cuts:
-            return list(self._ids(self.normalise(text)))
+            return self._ids(self.normalise(text))
         known, out = self._known, []
         for segment in _SEGMENTS.findall(self.normalise(text)):
             ids = known.get(segment)
@@ -150,23 +183,14 @@ class Pieces:
                         known.clear()
                     known[segment] = ids
             out.append(ids)
-        return list(chain.from_iterable(out))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text of ids; runs of byte pieces are read as UTF-8, and the mark put before the text goes."""
-        out, held = [], bytearray()
-        number = {i: b for b, i in self.byte.items()}
-        for i in ids:
-            if i in number:
-                held.append(number[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -242,10 +266,12 @@ def encode_documents(documents: DataFrame, path: str = MODEL, keep: list[str] |
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
                 texts = batch.column(len(keep)).to_pylist()
-                ids = [None if t is None else p.encode(t) for t in texts]
-                same = pa.array([None if t is None else p.decode(i) == t for t, i in zip(texts, ids)], pa.bool_())
-                counts = pa.array([0 if i is None else len(i) for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), counts, same], [*keep, *new])
+                raw = [b"" if t is None else p.encode_bytes(t) for t in texts]
+                same = pa.array([None if t is None else p.decode(np.frombuffer(i, np.int32).tolist()) == t for t, i in zip(texts, raw)], pa.bool_())
+                counts = np.array([len(i) // 4 for i in raw], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, pa.array(counts), same], [*keep, *new])
 
     return inner.mapInArrow(run, f"{schema}ids array<int>, n_pieces long, round_trip boolean")
 
