@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, offsets_before
+from .common import Scratch, mix, offsets_before
 
 #: Rows of one numbering bucket, and buckets of one run, on average.
 BUCKET, RUN = 64, 4096
@@ -74,6 +74,8 @@ def shard(documents: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("_text"),
     )
+    # texts are read once: everything after works on this narrow table
+    rows = Scratch(documents.sparkSession, "shard").save(rows)
     numbered, total = number_rows(rows, ["doc_id", "size", "text_crc32", "_text"])
 
     @F.pandas_udf("long")
