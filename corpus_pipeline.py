@@ -19,7 +19,7 @@ LEAST_SCORE = 0.1
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language (no letters, or a score under LEAST_SCORE); fills missing langs."""
     model = langid.train(docs, ~langid.held_out())
-    out = langid.classify(docs.withColumn("_body", F.col("text")), model, [*docs.columns], text_col="_body")
+    out = langid.classify(docs, model, docs.columns)
     out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -143,8 +143,8 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
     the winner's regression value, cut to 0..1; near 0 for a text unlike all landmarks. Ties go to the first language by name.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    inner = documents.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
+    inner = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, inner.schema.fields))
 
     def run(batches):
         m = shared.value

@@ -258,8 +258,8 @@ def encode_documents(documents: DataFrame, path: str = MODEL, keep: list[str] |
     new = ("ids", "n_pieces", "round_trip")
     keep = [c for c in (keep if keep is not None else documents.columns) if c not in (text_col, *new)]
     model = read_model(documents.sparkSession, path)
-    inner = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in inner.schema.fields[:-1])
+    inner = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    schema = "".join(f"`{c}` {f.dataType.simpleString()}, " for c, f in zip(keep, inner.schema.fields))
 
     def run(batches):
         p = _load(model.value)
