@@ -51,8 +51,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _describe(n: int):
-    """Per document its set's size and signature; per task the n-grams that several of its sets hold."""
+def sampled(s: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams of a set that lie in a fixed share of all hashes, 1.6 times what a set may differ in."""
+    share = min(1.0, 1.6 * (100 - percent) / 100)
+    return s[(s.view(np.uint64) >> np.uint64(11)) < np.uint64(int(share * 2**53))]
+
+
+def _describe(n: int, percent: int):
+    """Per document its set's size, signature and number of sampled n-grams; per task the n-grams that several of its sets hold."""
 
     def run(batches):
         seen: set = set()
@@ -61,13 +67,13 @@ def _describe(n: int):
         for batch in batches:
             out, new = [], []
             for i, s, (x, y) in _sets(batch, n):
-                out.append((i, len(s), x, y))
+                out.append((i, len(s), x, y, len(sampled(s, percent))))
                 if x is not None and (x, y) not in seen:
                     seen.add((x, y))
                     new.append(s)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)] + [pa.nulls(len(out), pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)] + [pa.nulls(len(out), pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
             counts += new
             kept += sum(map(len, new))
             if kept > 4_000_000:
@@ -83,7 +89,46 @@ def _repeated(sets: list[np.ndarray]):
         gram, count = np.unique(np.concatenate(sets), return_counts=True)
         gram, count = gram[count > 2], count[count > 2]
         none = pa.nulls(len(gram), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(count, pa.int64()), none, none, pa.array(gram, pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "gram"])
+        yield pa.RecordBatch.from_arrays([none, pa.array(count, pa.int64()), none, none, none, pa.array(gram, pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
+
+
+def _sample(n: int, percent: int):
+    """Sampled n-grams of each set, once per set and batch."""
+
+    def run(batches):
+        for batch in batches:
+            first = {sig[0]: sampled(s, percent) for _, s, sig in _sets(batch, n) if len(s)}
+            if first:
+                lengths = [len(g) for g in first.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(first.values()))), pa.array(np.repeat(np.array(list(first), np.int64), lengths))], ["gram", "s1"])
+
+    return run
+
+
+def _several(batches):
+    """Of rows sorted by (gram, s1): how many n-grams each set shares with another set, summed up per batch."""
+    from collections import Counter
+
+    held = None  # the last row, and whether its n-gram is known to be shared and the row counted
+    for batch in batches:
+        g, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(g):
+            continue
+        counted = False
+        if held is not None:
+            (hg, hx), counted = held
+            g, x = np.concatenate([[hg], g]), np.concatenate([[hx], x])
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+        g, x = g[new], x[new]
+        same = g[1:] == g[:-1]
+        shared = np.concatenate([[counted], same]) | np.concatenate([same, [False]])
+        last = bool(shared[-1])
+        if counted:
+            shared[0] = False
+        held = (g[-1], x[-1]), last
+        sets, count = np.unique(x[shared], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(count, pa.int64())], ["s1", "m"])
 
 
 def _columns(n: int, percent: int, heavy):
@@ -226,8 +271,9 @@ def _count(n: int, percent: int):
 def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per document; similar: 100 * overlap >= percent * union.
 
-    Equal sets are one class from the start. The incidence matrix is cut to each class's prefix columns,
-    whose length follows from its size. Links of each class with the first class of most of its columns join most
+    Equal sets are one class from the start. A class is left out if, within a fixed share of all n-grams,
+    it has more of its own than its size lets a partner miss. The incidence matrix of the others is cut to
+    their prefix columns, whose length follows from the size. Links of each class with the first class of most of its columns join most
     copies; columns that then still hold several parts are multiplied in blocks of rows, and what is left
     after the size bounds is completed to whole overlap counts. Pairs within one part need no count.
 
@@ -239,18 +285,23 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # 1. sizes and signatures, and n-grams that many sets hold
-    seen = scratch.save(docs.mapInArrow(_describe(n), "doc_id long, n_shingles long, s1 long, s2 long, gram long"))
+    seen = scratch.save(docs.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, s1 long, s2 long, n_sampled long, gram long"))
     rows = seen.where("gram is null").drop("gram")
     top = seen.where("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("c")).where("c >= 8").orderBy(F.desc("c"), "gram").limit(HEAVY)
     top = sorted((r.gram, r.c) for r in top.collect())  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast((np.array([g for g, _ in top], np.int64), np.array([c for _, c in top], np.int64)))
-    # 2. prefix columns with two classes or more
-    columns = docs.mapInArrow(_columns(n, percent, heavy), "gram long, s1 long, s2 long, id long")
+    # 2. classes that may have a partner: a set with so many n-grams of its own that no overlap suffices has none
+    sample = docs.mapInArrow(_sample(n, percent), "gram long, s1 long").repartition("gram").sortWithinPartitions("gram", "s1")
+    common = sample.mapInArrow(_several, "s1 long, m long").groupBy("s1").agg(F.sum("m").alias("m"))
+    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("n_sampled").alias("k"))
+    own = F.col("k") - F.coalesce("m", F.lit(0))
+    active = classes.join(common, "s1", "left").where(own < F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
+    active = scratch.save(active.where("id is not null").select(F.col("id").alias("doc_id")))
+    # 3. their texts: a text is smaller than its set, so texts move and sets are made on the spot
+    texts = scratch.save(docs.join(active, "doc_id", "left_semi"))
+    columns = texts.mapInArrow(_columns(n, percent, heavy), "gram long, s1 long, s2 long, id long")
     columns = columns.repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
     shared = scratch.save(columns.mapInArrow(_shared, "gram long, id long, hub long"))
-    # 3. texts of the classes in them: a text is smaller than its set, so texts move and sets are made on the spot
-    active = scratch.save(shared.select(F.col("id").alias("doc_id")).distinct())
-    texts = scratch.save(docs.join(active, "doc_id", "left_semi"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole overlap count suffices. A class with many partners is dealt out with a share of them each."""
