@@ -335,6 +335,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
         links = scratch.save(links.unionByName(verify(apart(some(), part))))
         part = parts(links)
     label = part.withColumnRenamed("part", "component")
+    scratch.drop(texts, active, shared, open_, pairs, links)
     # 7. back to the documents
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     full = rows.where("s1 is not null").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
