@@ -18,7 +18,7 @@ RULES = {
     "many_words": "n_words > 10000000",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
-    "symbols": "10 * n_symbols > 3 * n_words + word_chars",
+    "symbols": "10 * n_symbols > n_words",
     "repeated_lines": "10 * n_dup_lines > 5 * n_lines and n_dup_lines > 3",
     "few_alphabetic": "10 * n_alpha < 4 * word_chars",
 }
