@@ -74,3 +74,15 @@ def in_polygon(points: Column, x: Column, y: Column) -> Column:
         return F.when(over & (x < at), 1).otherwise(0)
 
     return F.when(n >= 3, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + crosses(i)) % 2 == 1).otherwise(False)
+
+
+def contour_json(points: Column) -> Column:
+    """A contour as compact JSON, [[x,y],...]; null for fewer than three points."""
+    return F.when(F.size(points) >= 3, F.to_json(F.transform(points, lambda p: F.array(p["x"], p["y"]))))
+
+
+def parse_contour(text: Column) -> Column:
+    """array<struct<x, y>> from JSON; null for what is no list of three points or more."""
+    rows = F.from_json(text, "array<array<int>>")
+    ok = (F.size(rows) >= 3) & F.forall(rows, lambda r: F.size(r) == 2)
+    return F.when(ok, F.transform(rows, lambda r: F.struct(r[0].alias("x"), r[1].alias("y"))))

@@ -238,3 +238,38 @@ def label_near(points: DataFrame, labelled: DataFrame, radius: int = 7) -> DataF
     at = at.select("image_id", "idx", (F.col("px") + F.col("o.dx")).alias("x"), (F.col("py") + F.col("o.dy")).alias("y"), ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("exact"))
     n = at.join(labelled.select(*PIXEL, "label"), PIXEL).groupBy("image_id", "idx", "label").agg(F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
     return n.groupBy("image_id", "idx").agg(F.max_by("label", F.struct("exact", "n", -F.col("label"))).alias("label"))
+
+
+def blurred(pixels: DataFrame, values: dict[str, Column], weights: list[tuple[int, int, float]]) -> DataFrame:
+    """Adds weighted sums over a small kernel (dx, dy, weight); beyond the border the image is mirrored about its edge pixel."""
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    mirror = lambda at, n: F.when(at < 0, -at).when(at >= F.col(n), 2 * (F.col(n) - 1) - at).otherwise(at)
+    kernel = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in weights])
+    seek = pixels.select(*PIXEL).join(size, "image_id").withColumn("o", F.explode(kernel))
+    seek = seek.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), mirror(F.col("x") + F.col("o.dx"), "_w").cast("int").alias("x"), mirror(F.col("y") + F.col("o.dy"), "_h").cast("int").alias("y"), F.col("o.w").alias("_k"))
+    found = seek.join(pixels.select(*PIXEL, *[v.cast("double").alias(k) for k, v in values.items()]), PIXEL)
+    sums = found.groupBy("image_id", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(*[F.sum(F.col(k) * F.col("_k")).alias(k) for k in values])
+    return pixels.join(sums, PIXEL)
+
+
+#: The 3 x 3 binomial kernel, by which a Gaussian of that size is taken.
+BINOMIAL = [(dx, dy, (0.5 if dx == 0 else 0.25) * (0.5 if dy == 0 else 0.25)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+
+def crown_core(pixels: DataFrame, texture: float = 30.0) -> DataFrame:
+    """Adds core: green and lit, or dark but saturated; not road-like, not shadow; with local variance above `texture`."""
+    p = blurred(pixels, {"_m": F.col("gray"), "_m2": F.col("gray") * F.col("gray")}, BINOMIAL)
+    hue, s, v, exg = _between("h", 26, 110), F.col("s"), F.col("v"), F.col("exg")
+    lit_core = hue & (s >= 48) & (v >= 52) & (exg >= 10) & (F.col("g") >= F.col("r") + 6)
+    dark = hue & (s >= 40) & v.between(38, 75) & (exg >= 6) & (F.col("g") >= F.col("r"))
+    ok = (lit_core | dark) & ~((s < 22) & (v > 68)) & ~((v < 30) & (exg < 6))
+    varied = F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0)) > texture
+    return p.withColumn("core", ok & varied).drop("_m", "_m2")
+
+
+def original_mask(pixels: DataFrame) -> DataFrame:
+    """Adds original: a green hue and an excess-green index above the image's own Otsu level."""
+    span = pixels.groupBy("image_id").agg(F.min("exg").alias("_lo"), F.max("exg").alias("_hi"))
+    level = F.when(F.col("_hi") > F.col("_lo"), F.bround(255.0 * (F.col("exg") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 0)).otherwise(0)
+    p = pixels.join(span.join(otsu(pixels), "image_id"), "image_id")
+    return p.withColumn("original", _between("h", 30, 100) & (level > F.col("threshold"))).drop("_lo", "_hi", "threshold")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silvaframe.functions import conflicts, rules
-from silvaframe.functions.geometry import box_iou
+from silvaframe.functions.geometry import box_iou, contour_json, parse_contour
 from silvaframe.operators import labels, tiles, verdicts
 from silvaframe.operators.spatial import widest
 from silvaframe.operators.suppress import renumber, suppress
@@ -73,3 +73,19 @@ def verify_images(spark, d):
     kept = v.where(~F.col("llm_decision").startswith("rejected"))
     images = view(spark, d, "images")
     return tiles.dataset(images, kept.join(images.select("image_id", "width", "height"), "image_id").where("x < width and y < height"))
+
+
+@query(
+    with_views(
+        "SELECT image_id, idx, CASE WHEN idx % 3 = 0 THEN NULL ELSE '[[' || (x - radius) || ',' || y || '],[' || x || ',' || (y - radius) || '],[' || (x + radius) || ',' || y || ']]' END AS contour, CASE WHEN idx % 3 = 0 THEN NULL ELSE 3 END AS points FROM crowns",
+        "crowns",
+    )
+)
+def e13_contours(spark, d):
+    """Contours to JSON and back; two points are none."""
+    x, y, r = F.col("x"), F.col("y"), F.col("radius")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    shape = F.when(F.col("idx") % 3 == 0, F.array(corner(x, y), corner(x, y + r))).otherwise(F.array(corner(x - r, y), corner(x, y - r), corner(x + r, y)))
+    c = view(spark, d, "crowns").withColumn("contour", contour_json(shape))
+    back = parse_contour(F.col("contour"))
+    return c.select("image_id", "idx", "contour", F.when(back.isNotNull(), F.size(back)).alias("points"))

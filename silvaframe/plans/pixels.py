@@ -196,3 +196,33 @@ def j11_component_regions(spark, d):
     box = (F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)
     out = on.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area"), F.round(F.avg(F.col("vegetation").cast("int")), 6).alias("veg_ratio"), F.round(F.avg((F.col("v") > 170).cast("int")), 6).alias("bright"), F.round(sd, 6).alias("colour"), F.round(F.count(F.lit(1)) / box, 6).alias("compact"))
     return out.where("area >= 10")
+
+
+@query(
+    with_views(
+        f"""WITH {HSV}, k AS (SELECT dx, dy, (CASE WHEN dx = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) * (CASE WHEN dy = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM range(-1, 2) a(dx), range(-1, 2) b(dy)),
+    t AS (SELECT a.image_id, a.x, a.y, sum(w * b.gray) AS m, sum(w * b.gray * b.gray) AS m2 FROM px a, k, px b
+      WHERE b.image_id = a.image_id AND b.x = (CASE WHEN a.x + dx < 0 THEN -(a.x + dx) WHEN a.x + dx > 39 THEN 78 - a.x - dx ELSE a.x + dx END) AND b.y = (CASE WHEN a.y + dy < 0 THEN -(a.y + dy) WHEN a.y + dy > 24 THEN 48 - a.y - dy ELSE a.y + dy END) GROUP BY 1, 2, 3)
+    SELECT image_id, x, y FROM px JOIN t USING (image_id, x, y) WHERE ((h BETWEEN 26 AND 110 AND s >= 48 AND v >= 52 AND exg >= 10 AND g >= r + 6) OR (h BETWEEN 26 AND 110 AND s >= 40 AND v BETWEEN 38 AND 75 AND exg >= 6 AND g >= r))
+      AND NOT (s < 22 AND v > 68) AND NOT (v < 30 AND exg < 6) AND greatest(m2 - m * m, 0) > 30""",
+        "pixels",
+    )
+)
+def px7_crown_core(spark, d):
+    """The crown core before morphology."""
+    return raster.crown_core(pixels(spark, d)).where("core").select("image_id", "x", "y")
+
+
+@query(
+    with_views(
+        f"""WITH {HSV}, span AS (SELECT image_id, min(exg) AS lo, max(exg) AS hi FROM px GROUP BY image_id),
+    lv AS (SELECT px.*, CASE WHEN hi > lo THEN round_even(255.0::DOUBLE * (exg - lo) / (hi - lo), 0)::INT ELSE 0 END AS level FROM px JOIN span USING (image_id)),
+    bins AS (SELECT image_id, level, count(*)::DOUBLE AS n FROM lv GROUP BY 1, 2),
+    t AS (SELECT a.image_id, a.level, sum(b.n) FILTER (b.level <= a.level) AS w, sum(b.n * b.level) FILTER (b.level <= a.level) AS m, sum(b.n) AS ww, sum(b.n * b.level) AS mm FROM bins a JOIN bins b ON b.image_id = a.image_id GROUP BY 1, 2),
+    o AS (SELECT image_id, max_by(level, {{'s': round(CASE WHEN ww > w THEN w * (ww - w) * pow(m / w - (mm - m) / (ww - w), 2) ELSE 0 END, 3), 'l': -level}}) AS threshold FROM t GROUP BY image_id)
+    SELECT image_id, count(*) AS px FROM lv JOIN o USING (image_id) WHERE h BETWEEN 30 AND 100 AND level > threshold GROUP BY image_id""",
+        "pixels",
+    )
+)
+def px5_original_mask(spark, d):
+    return raster.original_mask(pixels(spark, d)).where("original").groupBy("image_id").agg(F.count(F.lit(1)).alias("px"))
