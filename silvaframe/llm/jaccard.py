@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from .blocks import deal, gather, units
 from .common import Scratch, batch_words, connected_components, mix
 
-#: Column blocks in which overlap is accumulated; rows of a block; heavy n-grams that are broadcast; n-grams
-#: carried to tell in which column a pair is met first; members of a share of a class's partners: BLOCK too.
-COLUMNS, BLOCK, HEAVY, CARRY = 256, 512, 100_000, 32
+#: Rows of a block and members of a share of a class's partners; heavy n-grams that are broadcast; n-grams
+#: carried to tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
+BLOCK, HEAVY, CARRY, FILTER = 512, 100_000, 8, 1 << 24
+
+
+def column_blocks(n: int) -> int:
+    """In how many blocks of columns the overlap of sets of n members is accumulated."""
+    return next((m for top, m in ((512, 64), (1024, 128), (4096, 256), (32768, 1024)) if n < top), 4096)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -131,8 +136,9 @@ def _several(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(count, pa.int64())], ["s1", "m"])
 
 
-def _columns(n: int, percent: int, heavy):
-    """The prefix of each set: rare n-grams by hash, then heavy ones by count. Once per set and batch."""
+def _rows(n: int, percent: int, heavy):
+    """Each set's row of the incidence matrix, cut to its prefix (rare n-grams by hash, then heavy ones by count), with
+    its size and its counts in column blocks, cut at 255. Once per set and batch."""
 
     def run(batches):
         grams, counts = heavy.value
@@ -151,12 +157,46 @@ def _columns(n: int, percent: int, heavy):
                 if len(cold) < k:
                     order = np.lexsort((s[hot], counts[at[hot]]))
                     cold = np.concatenate([cold, s[hot][order][: k - len(cold)]])
-                first[sig] = (i, cold)
+                m = column_blocks(len(s))
+                first[sig] = (i, len(s), np.minimum(np.bincount(s & (m - 1), minlength=m), 255).astype(np.uint8).tobytes(), cold)
             if first:
-                lengths = [len(c) for _, c in first.values()]
-                sig = np.repeat(np.array(list(first), np.int64).reshape(-1, 2), lengths, axis=0)
-                ids = np.repeat(np.array([i for i, _ in first.values()], np.int64), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([c for _, c in first.values()]), sig[:, 0].copy(), sig[:, 1].copy(), ids)], ["gram", "s1", "s2", "id"])
+                v = list(first.values())
+                offsets = np.cumsum([0] + [len(r[3]) for r in v], dtype=np.int32)
+                sig = np.array(list(first), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in v], pa.int64()), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array([r[1] for r in v], pa.int64()), pa.array([r[2] for r in v], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in v])))],
+                    ["id", "s1", "s2", "n", "sketch", "grams"],
+                )
+
+    return run
+
+
+def _picked(bits):
+    """Rows (doc_id, text, h) whose h is in a filter of fixed size: all rows asked for, and few others."""
+
+    def run(batches):
+        b = bits.value
+        for batch in batches:
+            h = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.select([0, 1]).filter(pa.array((b[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _may_link(percent: int):
+    """Pairs (a, b, na, nb, sa, sb) that the sizes and the overlap bound of `_product` do not rule out."""
+
+    def run(batches):
+        for t in batches:
+            na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
+            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            sizes = t["sa"].map(len).to_numpy()
+            same = keep & (sizes == t["sb"].map(len).to_numpy())
+            for m in np.unique(sizes[same]):
+                i = np.flatnonzero(same & (sizes == m))
+                x, y = (np.frombuffer(b"".join(t[c].iloc[i]), np.uint8).reshape(len(i), m).astype(np.int16) for c in ("sa", "sb"))
+                keep[i] = np.abs(x - y).sum(axis=1) <= na[i] + nb[i] - 2 * least_overlap(na[i], nb[i], percent)
+            yield t.loc[keep, ["a", "b"]]
 
     return run
 
@@ -191,18 +231,6 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (g, i, hubs)], ["gram", "id", "hub"])
 
 
-def _sketch(n: int):
-    """Size of each set, and its counts in column blocks, cut at 255."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(i, s) for i, s, _ in _sets(batch, n)]
-            sketch = [np.minimum(np.bincount(s & (COLUMNS - 1), minlength=COLUMNS), 255).astype(np.uint8).tobytes() for _, s in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(sketch, pa.binary())], ["id", "n", "sketch"])
-
-    return run
-
-
 def _product(percent: int):
     """Pairs of a unit that may be similar and are not linked yet.
 
@@ -216,22 +244,31 @@ def _product(percent: int):
         for unit in units(batches, ["gram"]):
             unit = unit.sort_values("n", kind="stable")
             size, ids, own, part = (unit[c].to_numpy() for c in ("n", "id", "_own", "part"))
-            sketch = np.frombuffer(b"".join(unit["sketch"]), np.uint8).reshape(-1, COLUMNS).astype(np.int16)
+            blocks = unit["sketch"].map(len).to_numpy()
+            place, sketch = np.zeros(len(unit), np.int64), {}
+            for m in np.unique(blocks):
+                at = np.flatnonzero(blocks == m)
+                place[at] = np.arange(len(at))
+                sketch[m] = np.frombuffer(b"".join(unit["sketch"].iloc[at]), np.uint8).reshape(len(at), m).astype(np.int16)
             gram, across = unit["gram"].iloc[0], unit["_lo"].iloc[0] != unit["_hi"].iloc[0]
             carry = np.full((len(unit), CARRY), gram)  # filled up with the column itself, which is no earlier one
             for row, c in zip(carry, unit["carry"]):
                 c = c[c < gram]
                 row[: len(c)] = c
             for i in range(len(unit) - 1):
-                end = np.searchsorted(size, 100 * size[i] // percent, "right")
-                j = np.arange(i + 1, end)
+                j = np.arange(i + 1, len(unit))
+                if blocks[i]:  # rows without a sketch stand for several texts: their size bounds nothing
+                    j = j[(100 * size[i] >= percent * size[j]) | (blocks[j] == 0)]
                 j = j[part[j] != part[i]]
                 if across:
                     j = j[own[j] != own[i]]
                 if not len(j):
                     continue
-                spare = size[i] + size[j] - 2 * least_overlap(size[i], size[j], percent)
-                j = j[np.abs(sketch[j] - sketch[i]).sum(axis=1) <= spare]
+                keep, same = np.ones(len(j), bool), blocks[j] == blocks[i]
+                k, own_sketch = j[same], sketch[blocks[i]]
+                spare = size[i] + size[k] - 2 * least_overlap(size[i], size[k], percent)
+                keep[same] = np.abs(own_sketch[place[k]] - own_sketch[place[i]]).sum(axis=1) <= spare
+                j = j[keep]
                 earlier = carry[i][carry[i] < gram]
                 if len(j) and len(earlier):
                     j = j[~np.isin(carry[j], earlier).any(axis=1)]
@@ -297,14 +334,30 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     own = F.col("k") - F.coalesce("m", F.lit(0))
     active = classes.join(common, "s1", "left").where(own < F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
     active = scratch.save(active.where("id is not null").select(F.col("id").alias("doc_id")))
-    # 3. their texts: a text is smaller than its set, so texts move and sets are made on the spot
-    texts = scratch.save(docs.join(active, "doc_id", "left_semi"))
-    columns = texts.mapInArrow(_columns(n, percent, heavy), "gram long, s1 long, s2 long, id long")
-    columns = columns.repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
+    hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
+
+    def picked(ids: DataFrame) -> DataFrame:
+        """Documents of the ids, and few others: a scan past a filter of fixed size, so that no text is shuffled to be dropped."""
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)) + 1
+        maps = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # FILTER bits at most
+        bits = np.zeros(FILTER >> 3, np.uint8)
+        for r in maps:
+            bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+        return hashed.mapInArrow(_picked(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
+
+    # 3. their rows of the matrix, and the columns that two classes or more share
+    matrix = scratch.save(picked(active).mapInArrow(_rows(n, percent, heavy), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>"))
+    facts = matrix.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("texts"))
+    # an id with several texts has no one sketch: none that rules out nothing stands for it
+    facts = facts.select("id", "n", F.when(F.col("texts") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), "texts")
+    columns = matrix.select(F.explode("grams").alias("gram"), "s1", "s2", "id").repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
     shared = scratch.save(columns.mapInArrow(_shared, "gram long, id long, hub long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose whole overlap count suffices. A class with many partners is dealt out with a share of them each."""
+        """Pairs (a, b) whose whole overlap count suffices. Texts of these pairs move; a text is smaller than its set.
+        A class with many partners is dealt out with a share of them each."""
+        pairs = scratch.save(pairs)
+        texts = picked(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
         many = pairs.groupBy("a").agg(F.expr(f"int((count(1) + {BLOCK - 1}) div {BLOCK})").alias("shares"))
         hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
         rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b", F.col("b").alias("doc_id"))
@@ -320,22 +373,25 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
 
     # 4. each class with the hub of most of its columns joins most copies
     often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
-    links = scratch.save(verify(often.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
+    often = often.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    of = lambda x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("texts").alias(f"t{x}"))
+    often = often.join(of("a"), "a").join(of("b"), "b")
+    single = often.where("ta = 1 and tb = 1").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_may_link(percent), "a long, b long")
+    links = scratch.save(verify(single.unionByName(often.where("ta > 1 or tb > 1").select("a", "b"))))
     part = parts(links)
     # 5. the product of the columns that still hold several parts, in blocks
     open_ = shared.join(part, "id", "left").select("gram", "id", F.coalesce("part", "id").alias("part"))
     mixed = open_.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
     open_ = scratch.save(open_.join(mixed, "gram", "left_semi"))
     carry = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
-    facts = texts.mapInArrow(_sketch(n), "id long, n long, sketch binary").join(carry, "id")
-    pairs = gather(deal(open_, ["gram"], "id", BLOCK).join(facts, "id"), ["gram"])
+    pairs = gather(deal(open_, ["gram"], "id", BLOCK).join(facts, "id").join(carry, "id"), ["gram"])
     pairs = scratch.save(pairs.mapInPandas(_product(percent), "a long, b long").distinct())
     # 6. whole overlap counts: of each class with its least partner, then of pairs still apart
     for some in (lambda: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: pairs):
         links = scratch.save(links.unionByName(verify(apart(some(), part))))
         part = parts(links)
     label = part.withColumnRenamed("part", "component")
-    scratch.drop(texts, active, shared, open_, pairs, links)
+    scratch.drop(active, matrix, shared, open_, pairs, links)
     # 7. back to the documents
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     full = rows.where("s1 is not null").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
