@@ -42,8 +42,11 @@ def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
     return runs(batches, [*keys, "_lo", "_hi"])
 
 
-def runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys in sorted rows; one that spans Arrow batches is put together first."""
+def whole_runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole runs of equal keys, from sorted rows, with the places where runs begin and the last one ends.
+
+    A run that spans Arrow batches is put together first.
+    """
     held = None
     for batch in batches:
         if held is not None:
@@ -56,8 +59,15 @@ def runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[pd.DataFr
             new[1:] |= v[1:] != v[:-1]
         starts = np.flatnonzero(new)
         last = starts[-1] if len(starts) else 0
-        for a, b in zip(np.concatenate([[0], starts]), starts):
-            yield batch.iloc[a:b]
+        if last:
+            yield batch.iloc[:last], np.concatenate([[0], starts])
         held = batch.iloc[last:]
     if held is not None and len(held):
-        yield held
+        yield held, np.array([0, len(held)])
+
+
+def runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of equal keys in sorted rows, one frame each."""
+    for frame, bounds in whole_runs(batches, unit):
+        for a, b in zip(bounds, bounds[1:]):
+            yield frame.iloc[a:b]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import runs
+from .blocks import whole_runs
 from .common import Scratch
 
 ROLES = ("system", "user", "assistant")
@@ -129,24 +129,38 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
     # equal rows count once; a hash stands for the text on the way up
     narrow = rows.select("conv", "turn", "role", "code", F.xxhash64("text").alias("h")).distinct().withColumn("parent", parent("turn"))
 
-    def of_turns(run):
-        return costs[run["code"].to_numpy()]
+    def of_turns(frame):
+        codes = frame["code"].to_numpy()
+        return lambda a, b: (codes[a:b].tobytes(), costs[codes[a:b]])
 
-    def of_pieces(run):
-        return np.array(run["m"].tolist()).reshape(-1, 4, 4)
+    def of_pieces(frame):
+        m = np.array(frame["m"].tolist()).reshape(-1, 4, 4)
+        return lambda a, b: (None, m[a:b])
+
+    def remembered(f, key, *args):
+        """f(*args), looked up for short sequences of roles, which come again and again."""
+        if key is None or len(key) > 256:
+            return f(*args)
+        if key not in memory:
+            if len(memory) > 100_000:
+                memory.clear()
+            memory[key] = f(*args)
+        return memory[key]
 
     def up(steps_of):
         def compose(batches):
-            out = []
-            for run in runs(batches, _GROUP):
-                out.append((run["conv"].iloc[0], run["parent"].iloc[0], _product(steps_of(run)).ravel().tolist()))
-                if len(out) == 5000:
-                    yield pd.DataFrame(out, columns=["conv", "at", "m"])
-                    out = []
-            yield pd.DataFrame(out, columns=["conv", "at", "m"]).astype({"at": "int64"})
+            memory.clear()
+            for frame, bounds in whole_runs(batches, _GROUP):
+                steps, first = steps_of(frame), bounds[:-1]
+                m = []
+                for a, b in zip(bounds, bounds[1:]):
+                    key, s = steps(a, b)
+                    m.append(remembered(lambda s: _product(s).ravel().tolist(), key, s))
+                yield pd.DataFrame({"conv": frame["conv"].to_numpy()[first], "at": frame["parent"].to_numpy()[first], "m": m})
 
         return compose
 
+    memory: dict = {}
     levels = [scratch.save(_sorted(narrow, "turn", "role", "h").mapInPandas(up(of_turns), "conv string, at long, m array<double>"))]
     while levels[-1].groupBy("conv").count().where("count > 1").limit(1).count():
         # indices shrink FAN-fold a level; after eight levels only -1 and 0 are left
@@ -164,33 +178,44 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
     known = levels[-1].withColumn("f", finish("m")).select("conv", F.col("at").alias("parent"), F.lit(START).alias("enter"), "f.leave", "f.cost", F.lit(True).alias("first"), F.lit(True).alias("last"))
 
     def through(batches, steps_of):
-        for run in runs(batches, _GROUP):
-            states = _route(steps_of(run), int(run["enter"].iloc[0]), int(run["leave"].iloc[0]))
-            first, last = np.zeros(len(run), bool), np.zeros(len(run), bool)
-            first[0], last[-1] = run["first"].iloc[0], run["last"].iloc[-1]
-            yield run.assign(enter=states[:-1].astype("int32"), leave=states[1:].astype("int32"), first=first, last=last)
+        memory.clear()
+        for frame, bounds in whole_runs(batches, _GROUP):
+            steps, (enter, leave, f, z) = steps_of(frame), (frame[c].to_numpy() for c in ("enter", "leave", "first", "last"))
+            before, after = np.empty(len(frame), np.int32), np.empty(len(frame), np.int32)
+            first, last = np.zeros(len(frame), bool), np.zeros(len(frame), bool)
+            for a, b in zip(bounds, bounds[1:]):
+                key, s = steps(a, b)
+                key = None if key is None else key + bytes([enter[a], leave[a]])
+                states = remembered(_route, key, s, int(enter[a]), int(leave[a]))
+                before[a:b], after[a:b] = states[:-1], states[1:]
+                first[a], last[b - 1] = f[a], z[a]
+            yield frame.assign(enter=before, leave=after, first=first, last=last)
 
     for level in reversed(levels[:-1]):
 
         def down(batches):
-            for run in through(batches, of_pieces):
-                yield run[["conv", "at", "enter", "leave", "cost", "first", "last"]]
+            for frame in through(batches, of_pieces):
+                yield frame[["conv", "at", "enter", "leave", "cost", "first", "last"]]
 
         known = scratch.save(_sorted(level.join(known, _GROUP), "at").mapInPandas(down, "conv string, at long, enter int, leave int, cost double, first boolean, last boolean").withColumnRenamed("at", "parent"))
 
+    steps = [[automaton.step(a, b) if b else (0.0, "", []) for b in range(4)] for a in range(4)]
+    tails = [[ROLES[k - 1] for k in automaton.path(b, None) or []] for b in range(4)]
+
     def label(batches):
-        for run in through(batches, of_turns):
-            steps = [automaton.step(a, b) for a, b in zip(run["enter"], run["leave"])]
-            after = [automaton.path(b, None) if z else [] for b, z in zip(run["leave"], run["last"])]
-            yield run[["conv_id", "turn", "role", "text"]].assign(
-                new_role=[ROLES[b - 1] for b in run["leave"]],
-                action=[a for _, a, _ in steps],
-                inserted=[len(e) + len(z) for (_, _, e), z in zip(steps, after)],
-                before=[[ROLES[k - 1] for k in e] for _, _, e in steps],
-                after=[[ROLES[k - 1] for k in z] for z in after],
-                cost=run["cost"],
-                is_first=run["first"],
-                is_last=run["last"],
+        for frame in through(batches, of_turns):
+            pairs = list(zip(frame["enter"], frame["leave"]))
+            before = [[ROLES[k - 1] for k in steps[a][b][2]] for a, b in pairs]
+            after = [tails[b] if z else [] for (_, b), z in zip(pairs, frame["last"])]
+            yield frame[["conv_id", "turn", "role", "text"]].assign(
+                new_role=[ROLES[b - 1] for _, b in pairs],
+                action=[steps[a][b][1] for a, b in pairs],
+                inserted=[len(x) + len(y) for x, y in zip(before, after)],
+                before=before,
+                after=after,
+                cost=frame["cost"],
+                is_first=frame["first"],
+                is_last=frame["last"],
             )
 
     whole = rows.distinct().withColumn("h", F.xxhash64("text")).withColumn("parent", parent("turn")).join(known, _GROUP)
