@@ -46,7 +46,16 @@ def greedy_sql(order: str, conflict: str, rows: str = "SELECT * FROM crowns", th
     )
 
 
-D1_RANK = [-F.col("area_px"), -F.col("radius"), F.col("idx")]
+
+
+def by_area():
+    return [-F.col("area_px"), -F.col("radius"), F.col("idx")]
+
+
+def by_quality():
+    return [-F.col("quality"), F.col("idx")]
+
+
 D1_SQL = f"{_LENS} >= {{t}}::DOUBLE * (pi() * {_SMALL} * {_SMALL})"
 
 
@@ -54,14 +63,14 @@ D1_SQL = f"{_LENS} >= {{t}}::DOUBLE * (pi() * {_SMALL} * {_SMALL})"
 def crowns_by_source(spark, d):
     """Flagship: overlapping crowns removed, renumbered by position, counted by source."""
     c = crowns(spark, d)
-    kept = renumber(suppress(c, D1_RANK, conflicts.overlap(0.78), widest(c, 2.0, 10)))
+    kept = renumber(suppress(c, by_area(), conflicts.overlap(0.78), widest(c, 2.0, 10)))
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("crowns"), F.sum("id").alias("id_sum"))
 
 
 @query(greedy_sql("area_px DESC, radius DESC, idx", D1_SQL.format(t=0.62)))
 def d1_overlap(spark, d):
     c = crowns(spark, d)
-    return suppress(c, D1_RANK, conflicts.overlap(0.62), widest(c, 2.0, 10)).select("image_id", "idx")
+    return suppress(c, by_area(), conflicts.overlap(0.62), widest(c, 2.0, 10)).select("image_id", "idx")
 
 
 _RS, _RL = f"({_LENS}) / (pi() * {_SMALL} * {_SMALL})", f"({_LENS}) / (pi() * {_LARGE} * {_LARGE})"
@@ -69,13 +78,12 @@ _QROWS = f"SELECT *, {rules.QUALITY_SQL} AS quality FROM crowns"
 _POOL = f"""(({_D}) <= greatest(3.0::DOUBLE, {_SMALL} * 0.25::DOUBLE) OR (({_D}) <= greatest(5.0::DOUBLE, {_SMALL} * 0.5::DOUBLE) AND {_RS} >= 0.38::DOUBLE)
  OR (({_RS} >= {{t}} OR {_RL} >= {{t}} * 0.70::DOUBLE) AND ({_D}) <= greatest(10.0::DOUBLE, {_SMALL} * 0.85::DOUBLE))
  OR (({_RS} >= {{t}} * 0.65::DOUBLE OR {_RL} >= {{t}} * 0.50::DOUBLE) AND ({_D}) <= greatest(6.0::DOUBLE, {_SMALL} * 0.55::DOUBLE)))"""
-Q_RANK = [-F.col("quality"), F.col("idx")]
 
 
 @query(greedy_sql("quality DESC, idx", _POOL.format(t="0.74::DOUBLE"), _QROWS))
 def d2_candidate_pool(spark, d):
     c = scored(crowns(spark, d))
-    return suppress(c, Q_RANK, conflicts.pool(0.74), widest(c, 2.0, 10)).select("image_id", "idx")
+    return suppress(c, by_quality(), conflicts.pool(0.74), widest(c, 2.0, 10)).select("image_id", "idx")
 
 
 _DENSE = f"""({_SMALL} >= 0.35::DOUBLE * {_LARGE} AND (({_D}) <= greatest(7.0::DOUBLE, {_SMALL} * 0.82::DOUBLE)
@@ -97,8 +105,8 @@ def d3_dense(spark, d):
     """Kept rows, and removed ones with the best kept row that removed them."""
     c = scored(crowns(spark, d))
     rule, cell = conflicts.dense(), widest(c, 2.0, 10)
-    kept = suppress(c, Q_RANK, rule, cell)
-    gone = first_suppressor(c, kept, Q_RANK, rule, cell)
+    kept = suppress(c, by_quality(), rule, cell)
+    gone = first_suppressor(c, kept, by_quality(), rule, cell)
     none = F.lit(None).cast("int")
     kept = kept.select("image_id", "idx", none.alias("duplicate_of_x"), none.alias("duplicate_of_y"), none.alias("duplicate_of_radius"), F.lit("kept_refined").alias("local_refine_decision"))
     return kept.unionByName(gone.select("image_id", "idx", "duplicate_of_x", "duplicate_of_y", "duplicate_of_radius", F.lit("rejected_dense_duplicate").alias("local_refine_decision")))
