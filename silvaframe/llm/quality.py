@@ -126,3 +126,19 @@ def quality(documents: DataFrame, policy: Policy = POLICIES["v1"], **cols: str)
     out = apply_policy(ledger(documents, **cols), policy)
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["v1-base"].mask)) != 0
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "fail_bits", "n_lines", "n_alpha", "policy")
+
+
+def quality_oracle(policy: Policy = POLICIES["v1"]) -> str:
+    """The same in DuckDB's SQL; repeated windows by counting each window of each row."""
+    bits = " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES.items())
+    return rf"""
+    WITH w AS (SELECT row_number() OVER () AS rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    win AS (SELECT rid, i, list_slice(w, i, i + 4) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+    dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+    cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range(0, 5) r(k) GROUP BY rid),
+    m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::BIGINT AS n_alpha FROM w LEFT JOIN cov USING (rid)),
+    b AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {POLICIES["v1-base"].mask} <> 0 AS base_failed, fail_bits & {policy.mask | POLICIES["v1-base"].mask} = 0 AS kept,
+      fail_bits, n_lines, n_alpha, '{policy.version}' AS policy FROM b"""
