@@ -76,7 +76,7 @@ def _describe(n: int, percent: int):
                 if x is not None and (x, y) not in seen:
                     seen.add((x, y))
                     new.append(s)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)] + [pa.nulls(len(out), pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
             counts += new
@@ -336,17 +336,20 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     active = scratch.save(active.where("id is not null").select(F.col("id").alias("doc_id")))
     hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
 
-    def picked(ids: DataFrame) -> DataFrame:
-        """Documents of the ids, and few others: a scan past a filter of fixed size, so that no text is shuffled to be dropped."""
+    def picked(ids: DataFrame, then=None, schema: str = "") -> DataFrame:
+        """Documents of the ids, and few others, passed on to `then`: a scan past a filter of fixed size, so that no text is shuffled to be dropped."""
         at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)) + 1
         maps = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # FILTER bits at most
         bits = np.zeros(FILTER >> 3, np.uint8)
         for r in maps:
             bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
-        return hashed.mapInArrow(_picked(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
+        pick = _picked(spark.sparkContext.broadcast(bits))
+        if then is None:
+            return hashed.mapInArrow(pick, "doc_id long, text string")
+        return hashed.mapInArrow(lambda batches: then(pick(batches)), schema)  # in one Python worker
 
     # 3. their rows of the matrix, and the columns that two classes or more share
-    matrix = scratch.save(picked(active).mapInArrow(_rows(n, percent, heavy), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>"))
+    matrix = scratch.save(picked(active, _rows(n, percent, heavy), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>"))
     facts = matrix.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("texts"))
     # an id with several texts has no one sketch: none that rules out nothing stands for it
     facts = facts.select("id", "n", F.when(F.col("texts") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), "texts")

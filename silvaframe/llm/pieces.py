@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segments whose ids a task remembers, and the longest segment that is remembered.
-REMEMBERED, SHORT = 700_000, 64
+#: Segments whose ids a worker remembers at most, in each of two generations, and the longest segment that is remembered.
+REMEMBERED, SHORT = 150_000, 64
 
 
 class Pieces:
@@ -44,6 +44,7 @@ class Pieces:
         self._pairs: dict[str, dict[str, bool]] = {}
         self._pair_count = 0
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         raw = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
         for b, i in self.byte.items():
             raw[i] = bytes([b])
@@ -68,7 +69,7 @@ class Pieces:
             after = self._pairs[a] = {}
         found = after.get(b)
         if found is None:
-            if self._pair_count > 1_000_000:
+            if self._pair_count > 300_000:
                 self._pairs.clear()
                 self._pair_count = 0
                 after = self._pairs[a] = {}
@@ -177,10 +178,13 @@ class Pieces:
         for segment in _SEGMENTS.findall(self.normalise(text)):
             ids = known.get(segment)
             if ids is None:
-                ids = self._ids(segment)
+                ids = self._older.get(segment)
+                if ids is None:
+                    ids = self._ids(segment)
                 if len(segment) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # what is in use moves on to the next generation, the rest goes
+                        self._older = known
+                        known = self._known = {}
                     known[segment] = ids
             out.append(ids)
         return b"".join(out)
