@@ -58,6 +58,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """SQL that sees the named views."""
+    if not names:
+        return sql
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     head, _, rest = sql.strip().partition(" ")
     if head.upper() == "WITH":
