@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -63,6 +64,22 @@ class Scratch:
                 pass
 
 
+def frugal(run):
+    """A function over Arrow batches or frames that hands free memory back when its task ends: Python workers live on
+    from stage to stage, and what one stage freed would count against the next."""
+
+    def tidy(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+        if trim:
+            trim(0)
+
+    return tidy
+
+
 def md5_long(*cols: Column | str) -> Column:
     """A 60-bit hash that any SQL engine with md5 can repeat; nulls count as the empty string."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
@@ -118,7 +135,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     round is written to the shared folder.
     """
     long = lambda x: F.col(x).cast("long").alias(x)
-    now = scratch.save(edges.where("a <> b").select(long("a"), long("b")).mapInPandas(_forest, "a long, b long").distinct())
+    now = scratch.save(edges.where("a <> b").select(long("a"), long("b")).mapInPandas(frugal(_forest), "a long, b long").distinct())
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import deal, gather, units
-from .common import Scratch, batch_words, connected_components, mix
+from .common import Scratch, batch_words, connected_components, frugal, mix
 
 #: Rows of a block and members of a share of a class's partners; heavy n-grams that are broadcast; n-grams
 #: carried to tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
@@ -76,12 +76,12 @@ def _describe(n: int, percent: int):
                 if x is not None and (x, y) not in seen:
                     seen.add((x, y))
                     new.append(s)
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)] + [pa.nulls(len(out), pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
             counts += new
             kept += sum(map(len, new))
-            if kept > 4_000_000:
+            if kept > 2_000_000:
                 yield from _repeated(counts)
                 counts, kept = [], 0
         yield from _repeated(counts)
@@ -240,7 +240,7 @@ def _product(percent: int):
     """
 
     def run(batches):
-        out = []
+        out, found = [], 0
         for unit in units(batches, ["gram"]):
             unit = unit.sort_values("n", kind="stable")
             size, ids, own, part = (unit[c].to_numpy() for c in ("n", "id", "_own", "part"))
@@ -272,10 +272,12 @@ def _product(percent: int):
                 earlier = carry[i][carry[i] < gram]
                 if len(j) and len(earlier):
                     j = j[~np.isin(carry[j], earlier).any(axis=1)]
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-            if len(out) > 5000:
+                if len(j):
+                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+                    found += len(j)
+            if found > 100_000:
                 yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-                out = []
+                out, found = [], 0
         if out:
             yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
@@ -322,14 +324,14 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # 1. sizes and signatures, and n-grams that many sets hold
-    seen = scratch.save(docs.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, s1 long, s2 long, n_sampled long, gram long"))
+    seen = scratch.save(docs.mapInArrow(frugal(_describe(n, percent)), "doc_id long, n_shingles long, s1 long, s2 long, n_sampled long, gram long"))
     rows = seen.where("gram is null").drop("gram")
     top = seen.where("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("c")).where("c >= 8").orderBy(F.desc("c"), "gram").limit(HEAVY)
     top = sorted((r.gram, r.c) for r in top.collect())  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast((np.array([g for g, _ in top], np.int64), np.array([c for _, c in top], np.int64)))
     # 2. classes that may have a partner: a set with so many n-grams of its own that no overlap suffices has none
-    sample = docs.mapInArrow(_sample(n, percent), "gram long, s1 long").repartition("gram").sortWithinPartitions("gram", "s1")
-    common = sample.mapInArrow(_several, "s1 long, m long").groupBy("s1").agg(F.sum("m").alias("m"))
+    sample = docs.mapInArrow(frugal(_sample(n, percent)), "gram long, s1 long").repartition("gram").sortWithinPartitions("gram", "s1")
+    common = sample.mapInArrow(frugal(_several), "s1 long, m long").groupBy("s1").agg(F.sum("m").alias("m"))
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("n_sampled").alias("k"))
     own = F.col("k") - F.coalesce("m", F.lit(0))
     active = classes.join(common, "s1", "left").where(own < F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
@@ -345,8 +347,8 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
             bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
         pick = _picked(spark.sparkContext.broadcast(bits))
         if then is None:
-            return hashed.mapInArrow(pick, "doc_id long, text string")
-        return hashed.mapInArrow(lambda batches: then(pick(batches)), schema)  # in one Python worker
+            return hashed.mapInArrow(frugal(pick), "doc_id long, text string")
+        return hashed.mapInArrow(frugal(lambda batches: then(pick(batches))), schema)  # in one Python worker
 
     # 3. their rows of the matrix, and the columns that two classes or more share
     matrix = scratch.save(picked(active, _rows(n, percent, heavy), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>"))
@@ -354,7 +356,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     # an id with several texts has no one sketch: none that rules out nothing stands for it
     facts = facts.select("id", "n", F.when(F.col("texts") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), "texts")
     columns = matrix.select(F.explode("grams").alias("gram"), "s1", "s2", "id").repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
-    shared = scratch.save(columns.mapInArrow(_shared, "gram long, id long, hub long"))
+    shared = scratch.save(columns.mapInArrow(frugal(_shared), "gram long, id long, hub long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole overlap count suffices. Texts of these pairs move; a text is smaller than its set.
@@ -365,7 +367,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
         hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
         rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b", F.col("b").alias("doc_id"))
         rows = rows.unionByName(hubs).join(texts, "doc_id").repartition("a", "share").sortWithinPartitions("a", "share", "b").select("a", "b", "text")
-        return rows.mapInArrow(_count(n, percent), "a long, b long").distinct()
+        return rows.mapInArrow(frugal(_count(n, percent)), "a long, b long").distinct()
 
     def parts(links: DataFrame) -> DataFrame:
         return scratch.save(connected_components(links, scratch).select("id", F.col("component").alias("part")))
@@ -379,7 +381,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     often = often.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     of = lambda x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("texts").alias(f"t{x}"))
     often = often.join(of("a"), "a").join(of("b"), "b")
-    single = often.where("ta = 1 and tb = 1").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(_may_link(percent), "a long, b long")
+    single = often.where("ta = 1 and tb = 1").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(frugal(_may_link(percent)), "a long, b long")
     links = scratch.save(verify(single.unionByName(often.where("ta > 1 or tb > 1").select("a", "b"))))
     part = parts(links)
     # 5. the product of the columns that still hold several parts, in blocks
@@ -388,7 +390,7 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     open_ = scratch.save(open_.join(mixed, "gram", "left_semi"))
     carry = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
     pairs = gather(deal(open_, ["gram"], "id", BLOCK).join(facts, "id").join(carry, "id"), ["gram"])
-    pairs = scratch.save(pairs.mapInPandas(_product(percent), "a long, b long").distinct())
+    pairs = scratch.save(pairs.mapInPandas(frugal(_product(percent)), "a long, b long").distinct())
     # 6. whole overlap counts: of each class with its least partner, then of pairs still apart
     for some in (lambda: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: pairs):
         links = scratch.save(links.unionByName(verify(apart(some(), part))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 
 
 #: Longest n-gram; landmarks and training texts of a language, about; languages and landmarks at most; longest landmark.
@@ -126,7 +126,7 @@ def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float =
     weight = {r.lang: min(float(r.n), TRAIN) for r in counts}
     size = len(texts)
     a, b = np.zeros((size, size)), np.zeros((size, len(languages)))
-    few = chosen.select("lang", "text").mapInArrow(sums, "a binary, b binary")
+    few = chosen.select("lang", "text").mapInArrow(frugal(sums), "a binary, b binary")
     for r in few.toLocalIterator():  # sums of at most 16 tasks, each landmarks x landmarks
         a += np.frombuffer(r.a).reshape(a.shape)
         b += np.frombuffer(r.b).reshape(b.shape)
@@ -160,7 +160,7 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
                         pred[i], score[i] = m.languages[b], min(1.0, max(0.0, float(v)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return inner.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return inner.mapInArrow(frugal(run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

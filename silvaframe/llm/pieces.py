@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a worker remembers at most, in each of two generations, and the longest segment that is remembered.
@@ -189,6 +191,10 @@ class Pieces:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Frees the remembered segments: a worker goes on to other stages, which need the memory."""
+        self._known, self._older = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
@@ -276,8 +282,9 @@ def encode_documents(documents: DataFrame, path: str = MODEL, keep: list[str] |
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids, pa.array(counts), same], [*keep, *new])
+        p.forget()
 
-    return inner.mapInArrow(run, f"{schema}ids array<int>, n_pieces long, round_trip boolean")
+    return inner.mapInArrow(frugal(run), f"{schema}ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

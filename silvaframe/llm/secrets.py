@@ -6,10 +6,11 @@ import math
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -145,7 +146,7 @@ def scan_secrets(documents: DataFrame, least_bits: float = 40.0, id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind), pa.array([m for _, m in found], pa.float64())], ["doc_id", "spans", "max_bits"])
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {documents.schema[id_col].dataType.simpleString()}, spans {SPANS}, max_bits double")
+    return docs.mapInArrow(frugal(run), f"doc_id {documents.schema[id_col].dataType.simpleString()}, spans {SPANS}, max_bits double")
 
 
 def _joined(spans) -> "F.Column":
@@ -184,9 +185,15 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[SECRET]
 
 def redact_documents(documents: DataFrame, least_bits: float = 40.0, text_col: str = "text") -> DataFrame:
     """The documents with their secrets replaced by [SECRET]; all columns stay, only the text changes."""
+    import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, [(a, b) for _, a, b in scan(t, least_bits)[0]]) for t in texts], dtype=object)
+    docs = documents.withColumn(text_col, F.col(text_col).cast("string"))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                clean = [redact(t, [(a, b) for _, a, b in scan(t, least_bits)[0]]) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, pa.string()), *batch.columns[at + 1 :]], batch.schema.names)
 
-    return documents.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    return docs.mapInArrow(frugal(run), docs.schema)
