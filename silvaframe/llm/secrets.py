@@ -19,10 +19,14 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Where a credential may follow, more widely than the base patterns; the value runs up to white space or a closing quote.
+#: Where a credential may follow, more widely than the base patterns. A quoted value (2 or 3) runs to its closing quote on the
+#: same line, past escaped ones if that leaves a closing one; any other (4) to white space.
 CONTEXT = re.compile(
-    r"""(?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth(?:orization)?)s?["']?\x20*(?::|=>|:=|=)\x20*["'`]?(?:(?ai:bearer|basic)\x20+)?([^\s"'`<>,;()]{6,})"""
+    r"""(?ai:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth(?:orization)?)s?["']?\x20*(?:=>|:=|:|=)\x20*"""
+    r"""(?:(?ai:bearer|basic)\x20+)?(?:(["'`])(?:(?ai:bearer|basic)\x20+)?(?:((?:\\[^\r\n]|(?!\1)[^\\\r\n])*+)\1|((?:(?!\1)[^\r\n])*+)\1)|["'`]?(?:(?ai:bearer|basic)\x20+)?(\S++))"""
 )
+#: Characters of the shortest value; what is no part of an unquoted value at its end.
+SHORTEST, TRAILING = 6, ".,;:)]}>\"'`"
 STEMS = ("pass", "pwd", "secret", "token", "api", "access", "private", "credential", "auth")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -100,6 +104,16 @@ def guess_bits(value: str) -> float:
 _cached = lru_cache(maxsize=4096)(guess_bits)
 
 
+def values(text: str):
+    """[start, end) of each value of SHORTEST characters or more in a credential context, whole."""
+    for m in CONTEXT.finditer(text):
+        k = m.lastindex
+        start = m.start(k)
+        end = start + len(m[k].rstrip(TRAILING)) if k == 4 else m.end(k)
+        if end - start >= SHORTEST:
+            yield start, end
+
+
 def scan(text: str | None, least_bits: float) -> tuple[list[tuple[str, int, int]], float | None]:
     """All spans (kind, start, end) of a text, in code points, and the highest cost of a value in context.
 
@@ -116,11 +130,11 @@ def scan(text: str | None, least_bits: float) -> tuple[list[tuple[str, int, int]
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(s in low for s in STEMS):
-        for m in CONTEXT.finditer(text):
-            bits = (_cached if m.end(1) - m.start(1) < 200 else guess_bits)(m[1])
+        for start, end in values(text):
+            bits = (_cached if end - start < 200 else guess_bits)(text[start:end])
             most = bits if most is None else max(most, bits)
-            if bits >= least_bits and not any(a <= m.start(1) and m.end(1) <= b for _, a, b in spans):
-                spans.append(("guess", m.start(1), m.end(1)))
+            if bits >= least_bits and not any(a <= start and end <= b for _, a, b in spans):
+                spans.append(("guess", start, end))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans, most
 
@@ -183,6 +197,14 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
+def clean(text: str | None, least_bits: float) -> str | None:
+    """The text without its secrets. A value of which a base span is a part goes as a whole, whatever it costs to guess."""
+    spans = [(a, b) for _, a, b in scan(text, least_bits)[0]]
+    if spans:
+        spans += [(a, b) for a, b in values(text) if any(x < b and a < y for x, y in spans)]
+    return redact(text, spans)
+
+
 def redact_documents(documents: DataFrame, least_bits: float = 40.0, text_col: str = "text") -> DataFrame:
     """The documents with their secrets replaced by [SECRET]; all columns stay, only the text changes."""
     import pyarrow as pa
@@ -193,7 +215,7 @@ def redact_documents(documents: DataFrame, least_bits: float = 40.0, text_col: s
     def run(batches):
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
-                clean = [redact(t, [(a, b) for _, a, b in scan(t, least_bits)[0]]) for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, pa.string()), *batch.columns[at + 1 :]], batch.schema.names)
+                texts = [clean(t, least_bits) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], batch.schema.names)
 
     return docs.mapInArrow(frugal(run), docs.schema)

@@ -243,6 +243,21 @@ def test_secrets(spark):
     assert "hunter22" not in red[0] and red[2] is None and red[5].startswith("authorization: Bearer [SECRET]") and red[5].endswith("pwd=aaaaaaaaaa")
 
 
+def test_secrets_are_taken_whole():
+    """Quoted values run to their closing quote, others to white space; redaction leaves nothing of a value."""
+    found = lambda t: [t[a:b] for k, a, b in secrets.scan(t, 40.0)[0] if k == "guess"]
+    assert found('password: "Xk9(;p!aaQ7zR" end') == ["Xk9(;p!aaQ7zR"]
+    assert found("passphrase: 'correct horse battery staple', then") == ["correct horse battery staple"]
+    assert found("pwd=Xk9(;p!aaQ7zR, then") == ["Xk9(;p!aaQ7zR"]
+    assert found('secret := "Xk9 \\" p!aaQ7zR"') == ['Xk9 \\" p!aaQ7zR']
+    assert found('auth: "Bearer Xk9;p!aaQ7zR(1"') == found('auth: Bearer "Xk9;p!aaQ7zR(1"') == ["Xk9;p!aaQ7zR(1"]
+    assert found('token: "Xk9;p!aaQ7zR\nnext line" x') == ["Xk9;p!aaQ7zR"]
+    assert found('{"token":"abc","size":"12345678901234"}') == []
+    assert secrets.clean('password: "Xk9(;p!aaQ7zR" end', 40.0) == 'password: "[SECRET]" end'
+    assert secrets.clean('password: "monkey, dragon" end', 40.0) == '[SECRET]" end'
+    assert secrets.clean('password: "aB3dE6gH9,;aQ7zR" end', 40.0) == '[SECRET]" end'
+
+
 def test_guess_costs_follow_the_cheapest_segmentation():
     cost = secrets.guess_bits
     assert cost("password") < cost("pxsswqrd") and cost("20240115") < cost("83651927") and cost("aaaaaaaaaaaa") < cost("awufvkqzbeym")
