@@ -24,18 +24,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The documents written with a number of each row, and the name of its column: ids may be null or repeat."""
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return scratch.save(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the least id, once.
+    """Keeps of each group of near copies the row with the least id (null ids last), once.
 
-    Near copies for a corpus: five words, similarity 0.8. Only ids that go, and ids that repeat, are joined
-    to the texts.
+    Near copies for a corpus: five words, similarity 0.8. Rows are compared, whatever their ids; rows
+    without words are copies of nothing and stay. Only the numbers of rows that go are joined to the texts.
     """
     scratch = Scratch(spark, "pipeline-jaccard")
-    found = jaccard.jaccard_components(docs, n=5, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    found = scratch.save(found.where("doc_id is not null and (component_id <> doc_id or rows > 1)"))
-    again = found.where("component_id = doc_id").select("doc_id")
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    rows, key = keyed(docs, scratch)
+    found = scratch.save(jaccard.jaccard_components(rows, n=5, percent=80, id_col=key).select(F.col("doc_id").alias(key), "component_id"))
+    groups = found.where(F.col("component_id") != F.col(key)).select("component_id").distinct()
+    members = found.join(groups, "component_id", "left_semi").join(rows.select(key, "doc_id"), key)
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+    gone = scratch.save(members.select(key).join(first, key, "left_anti"))
+    out = rows.join(gone, key, "left_anti").select(*docs.columns)
+    out._reads = [rows]
+    return out
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +56,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's weight asks for."""
+    """Takes each row as often as its source's weight asks for."""
     scratch = Scratch(spark, "pipeline-mixing")
-    copies = mixing.mix_sources(docs).where("copies <> 1").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = scratch.save(copies.withColumnRenamed("doc_id", "_id"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows, key = keyed(docs, scratch)
+    copies = scratch.save(mixing.mix_sources(rows, row_col=key).where("copies <> 1").select(key, F.col("copies").alias("_copies")))
+    out = rows.join(copies, key, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out._reads = [rows]
+    return out
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +87,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        last, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        last, docs = docs, scratch.save(out)
         if hasattr(last, "_scratch_path"):
             scratch.drop(last)
+        scratch.drop(*getattr(out, "_reads", []))
     return docs

@@ -74,8 +74,9 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, copies), a row per document.
+    """(doc_id, source, n_tokens, weight, copies), a row per document; first the column row_col where it is given.
 
     A source's share of all tokens (words) is raised to the exponent of `temperature` and normalised to
     its weight; weight x budget is its quota of tokens. Whole epochs of the source are taken while they
@@ -85,13 +86,15 @@ def mix_sources(
 
     Null sources are a source of their own. Null, empty and blank texts have no tokens and are not
     taken; a source without tokens has weight 0. Ids may be null or repeat: rows equal in id and tokens
-    keep apart, in an order that does not change their number of copies in total. An empty table gives
+    keep apart, in an order that does not change their number of copies in total, by row_col where it is given. An empty table gives
     an empty result. Other columns are not read, so their names cannot clash.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
+    row = [F.col(row_col)] if row_col else []
     docs = scratch.save(
         documents.select(
+            *row,
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
@@ -122,10 +125,11 @@ def mix_sources(
     rows = rows.join(blocks, ["_key", "_block"], "left")
     # only blocks that the quota cuts need their documents in order
     cut = (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_size") > F.col("_rest"))
-    inner = Window.partitionBy("_key", "_block").orderBy(md5_long("doc_id", "n_tokens", F.lit(seed + 1)), "doc_id", "n_tokens")
+    inner = Window.partitionBy("_key", "_block").orderBy(md5_long("doc_id", "n_tokens", F.lit(seed + 1)), "doc_id", "n_tokens", *row)
     whole = rows.where(~F.coalesce(cut, F.lit(False))).withColumn("_in", F.when(F.col("_before") + F.col("_size") <= F.col("_rest"), 1).otherwise(0))
     part = rows.where(cut).withColumn("_in", F.when(F.col("_before") + F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_rest"), 1).otherwise(0))
     return whole.unionByName(part).select(
+        *row,
         "doc_id",
         "source",
         "n_tokens",

@@ -38,3 +38,29 @@ def test_stages(spark, tmp_path):
     assert len(five) == four.count() and all(r.ids == p.encode(kept[r.doc_id]) and r.round_trip for r in five)
     assert sorted(r.doc_id for r in cp.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in five)
     assert [n for n, _ in cp.STAGES] == ["language_id", "jaccard_join", "secret_scan", "source_mixing", "sentencepiece"]
+
+
+def test_rows_keep_apart_whatever_their_ids(spark):
+    """Null and repeated ids: no row goes for another's sake, and no copy stays."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, t, s="a": (i, t, "en", s, len(t))
+    copy, other, twins = text(40), text(40), [text(40), text(40)]
+    rows = [row(None, copy), row(None, copy), row(9, copy), row(None, other), row(None, other), row(5, twins[0]), row(5, twins[1]), row(None, text(40))]
+    kept = collections.Counter((r.doc_id, r.text) for r in cp.jaccard_join(spark, spark.createDataFrame(rows, schema), "").collect())
+    assert kept == collections.Counter([(9, copy), (None, other), (5, twins[0]), (5, twins[1]), (None, rows[7][1])])
+
+    rows = [row(i % 3 or None, text(rng.randint(1, 9)), rng.choice("aaaaaab")) for i in range(200)] + [row(None, "")]
+    frame = spark.createDataFrame(rows, schema)
+    taken = collections.Counter((r.doc_id, r.text) for r in cp.source_mixing(spark, frame, "").collect())
+    want = collections.Counter()
+    for r in mixing.mix_sources(frame, row_col="text").collect():
+        want[r.doc_id, r.text] += r.copies
+    assert taken == +want and {want[i, t] for i, t, *_ in rows if i is None} > {0, 1}
+    # a source's numbers of copies differ by one at most, and its tokens keep to its quota
+    spread = collections.defaultdict(set)
+    for r in mixing.mix_sources(frame, row_col="text").where("n_tokens > 0").collect():
+        spread[r.source].add(want[r.doc_id, r.text])
+    assert all(max(s) - min(s) <= 1 for s in spread.values())
