@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; text length from which a window counts as a surge; least share of the largest stretch.
-WINDOW, SURGE, SHARE = 3, 80, 0.2
+#: Lines of a window; text length from which a window counts as a surge.
+WINDOW, SURGE = 3, 80
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -185,7 +185,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by a line break; empty for a null, empty or textless page.
 
     Where the page marks its article or main part, the lines are those inside it. Elsewhere a line that is
-    mostly links weighs nothing, and all stretches of a fair size are kept.
+    mostly links weighs nothing, which places the first surge and the last dive; all lines between them stay.
     """
     found = lines(page) if page else []
     if any(x.main for x in found):
@@ -194,8 +194,7 @@ def main_text(page: str | None) -> str:
     else:
         weights = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in found]
     spans = stretches(weights)
-    size = [sum(weights[a:b]) for a, b in spans]
-    return "\n".join(x.text for (a, b), s in zip(spans, size) if s >= SHARE * max(size) for x, w in zip(found[a:b], weights[a:b]) if w)
+    return "\n".join(x.text for x in found[spans[0][0] : spans[-1][1]]) if spans else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -407,6 +407,14 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) and r.url == "u" for r in out)
 
 
+def test_html_keeps_all_between_first_surge_and_last_dive():
+    """Unmarked pages: a short closing section after a list of links, and a linked paragraph, stay; links at the edges go."""
+    links = [f"<li><a href=x>link number {k}</a></li>" for k in range(4)]
+    body = ["<p>" + "long opening section " * 40 + "</p>", "<p><a href=x>a paragraph that is mostly a link</a> so</p>", "<p>" + "middle " * 30 + "</p>", *links, "<p>" + "short closing section " * 4 + "</p>"]
+    want = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in body]
+    assert html_text.main_text("<body><div>" + "".join(links + body + links) + "</div></body>").split("\n") == want
+
+
 def test_surge_and_dive_points():
     assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == []
     assert html_text.stretches([0, 0, 0, 100, 90, 0, 80, 0, 0, 0, 0, 5]) == [(3, 7)]
