@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal
 
 
-#: Longest n-gram; landmarks and training texts of a language, about; languages and landmarks at most; longest landmark.
-ORDER, LANDMARKS, TRAIN, LANGUAGES, ALL_LANDMARKS, LANDMARK_CHARS = 3, 48, 1500, 64, 512, 20_000
+#: Longest n-gram; landmarks and training texts of a language, about; landmarks of all languages, about, but one of each at
+#: least; longest landmark of a language that has others; landmarks of one that has none drawn so short.
+ORDER, LANDMARKS, TRAIN, ALL_LANDMARKS, LANDMARK_CHARS, SPARE = 3, 48, 1500, 512, 20_000, 4
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
@@ -58,12 +59,14 @@ class Model:
     weights: np.ndarray
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        out = np.empty((len(texts), self.columns.shape[1]), np.float32)
-        for i in range(0, len(texts), 256):  # presence of the landmarks' n-grams, then one matrix product
-            part = texts[i : i + 256]
-            sets = [spectrum(t) for t in part]
+        return np.concatenate([np.empty((0, self.columns.shape[1]), np.float32), *(self.of_sets([spectrum(t) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256))])
+
+    def of_sets(self, sets: list[np.ndarray]) -> np.ndarray:
+        out = np.empty((len(sets), self.columns.shape[1]), np.float32)
+        for i in range(0, len(sets), 256):  # presence of the landmarks' n-grams, then one matrix product
+            part = sets[i : i + 256]
             here = np.zeros((len(part), len(self.grams)), np.float32)
-            for row, s in zip(here, sets):
+            for row, s in zip(here, part):
                 at = np.searchsorted(self.grams, s)
                 at[at == len(self.grams)] = 0
                 row[at[self.grams[at] == s]] = 1 / np.sqrt(len(s))
@@ -72,7 +75,10 @@ class Model:
 
 
 def _landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    sets = [spectrum(t) for t in texts]
+    return _columns([spectrum(t) for t in texts])
+
+
+def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     grams, count = np.unique(np.concatenate(sets), return_counts=True)
     columns = np.zeros((len(grams), len(sets)), np.float32)
     for j, s in enumerate(sets):
@@ -80,34 +86,55 @@ def _landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, columns
 
 
+def _described(batches):
+    """The set of n-grams of each text instead of the text."""
+    for batch in batches:
+        at = batch.schema.get_field_index
+        for row in (batch.slice(i, 1) for i in range(len(batch))):
+            grams = spectrum(row.column(at("text"))[0].as_py()).tobytes()
+            yield pa.RecordBatch.from_arrays([*(row.column(at(c)) for c in ("lang", "long", "place", "hash")), pa.array([grams], pa.binary())], ["lang", "long", "place", "hash", "grams"])
+
+
 def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on a bounded sample of the rows where `labelled` holds; None without any.
 
-    Up to LANGUAGES languages, the most frequent; of each about TRAIN texts, of which about LANDMARKS (fewer
-    with many languages) of at most LANDMARK_CHARS characters are landmarks, picked by a hash of the id.
+    Every language with a text that has letters; of each about TRAIN texts, of which about LANDMARKS (fewer
+    with many languages, one at least) of at most LANDMARK_CHARS characters are landmarks, picked by a hash of
+    the id, or of the text where the id is null. Where none is drawn, the first SPARE drawn texts are, short ones
+    before long ones; only their sets of n-grams leave the executors.
     The sample's kernel rows stay on the executors: each partition adds up its normal equations, and only
     those sums, of the landmarks' size, come together.
     """
     letters = F.col("text").rlike(r"\p{L}")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    docs = docs.where(labelled & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    docs = docs.where(labelled & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).where(letters)
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
     languages = sorted(r.lang for r in counts)
     n = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(r.n))])[F.col("lang")]
     # a uniform number of each row in [0, 1): the n-th of a language's rows are wanted, so n / rows is the bar
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.where(n.isNotNull() & (draw * n < TRAIN)).where(letters).select("lang", "text", (draw * n).alias("place"))
-    chosen = Scratch(documents.sparkSession, "langid").save(chosen.repartition(16))
+    draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    place = docs.select("lang", "text", (draw * n).alias("place"))
+    scratch = Scratch(documents.sparkSession, "langid")
+    chosen = scratch.save(place.where(F.col("place") < TRAIN).repartition(16))
+    got = {r.lang for r in chosen.select("lang").distinct().collect()}
+    if len(got) < len(languages):  # all rows of a language share one id, which is not drawn: its first text
+        rest = place.where(F.col("lang").isin([x for x in languages if x not in got]))
+        chosen = chosen.unionByName(scratch.save(rest.groupBy("lang").agg(F.min(F.struct("place", "text")).alias("m")).select("lang", "m.text", "m.place")))
     each = min(LANDMARKS, max(1, ALL_LANDMARKS // len(languages)))
     marks = chosen.where((F.col("place") < each) & (F.length("text") <= LANDMARK_CHARS)).select("lang", "text")
     found = [(r.lang, r.text) for r in marks.collect()]
-    if not found:
-        return None
-    texts = [t for _, t in sorted(found)]
-    grams, columns = _landmarks(texts)
-    m = Model(languages, grams, columns, np.zeros((len(texts), len(languages)), np.float32))
+    sets = [spectrum(t) for _, t in sorted(found)]
+    bare = sorted(set(languages) - {x for x, _ in found})
+    if bare:
+        over = Window.partitionBy("lang").orderBy("long", "place", "hash")
+        spare = chosen.where(F.col("lang").isin(bare)).withColumn("long", F.length("text") > LANDMARK_CHARS).withColumn("hash", F.xxhash64("text"))
+        spare = spare.mapInArrow(frugal(_described), "lang string, long boolean, place double, hash long, grams binary")
+        spare = spare.withColumn("k", F.row_number().over(over)).where(F.col("k") <= min(each, SPARE))
+        sets += [np.frombuffer(r.grams, np.int64) for r in spare.orderBy("lang", "k").toLocalIterator()]
+    grams, columns = _columns(sets)
+    m = Model(languages, grams, columns, np.zeros((len(sets), len(languages)), np.float32))
     shared = documents.sparkSession.sparkContext.broadcast(m)  # LANDMARKS texts a language: bounded
 
     def sums(batches):
@@ -124,14 +151,14 @@ def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float =
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b"])
 
     weight = {r.lang: min(float(r.n), TRAIN) for r in counts}
-    size = len(texts)
+    size = len(sets)
     a, b = np.zeros((size, size)), np.zeros((size, len(languages)))
     few = chosen.select("lang", "text").mapInArrow(frugal(sums), "a binary, b binary")
     for r in few.toLocalIterator():  # sums of at most 16 tasks, each landmarks x landmarks
         a += np.frombuffer(r.a).reshape(a.shape)
         b += np.frombuffer(r.b).reshape(b.shape)
     # Nystrom: min over w of |K w - y|^2 + ridge w' K_mm w
-    k_mm = m.kernel(texts).astype(np.float64)
+    k_mm = m.of_sets(sets).astype(np.float64)
     m.weights = np.linalg.solve(a + ridge * (k_mm + k_mm.T) / 2 + 1e-9 * np.eye(size), b).astype(np.float32)
     return m
 

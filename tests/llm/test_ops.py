@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silvaframe.llm import chat, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
 from silvaframe.llm.common import Scratch, batch_words, connected_components
@@ -282,6 +283,21 @@ def test_language_id(spark):
     assert out[903].score < 0.1 and out[904].lang_pred == "aa" and out[None].lang_pred == "bb"
 
 
+def test_language_id_learns_every_language(spark):
+    """Seventy languages, one of long texts only: each is learned; so is a corpus of nothing but long texts."""
+    def text(k, n, rng=random.Random(6)):
+        return " ".join("".join(chr(0x4E00 + 8 * k + rng.randrange(8)) for _ in range(4)) for _ in range(n))
+
+    rows = [(i, text(i % 70, 5001 if i % 70 == 3 else 20), f"l{i % 70:02}", "s") for i in range(560)]
+    frame = docs_frame(spark, rows)
+    model = langid.train(frame, F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+    out = langid.classify(frame, model, ["lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in out) and len(out) == 560
+    long = frame.where("lang = 'l03'")
+    assert {r.lang_pred for r in langid.classify(long, langid.train(long, F.lit(True)), ["lang"]).collect()} == {"l03"}
+
+
 def test_language_id_untrained(spark):
     out = langid.identify(docs_frame(spark, [(1, "text", None, "s")])).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
