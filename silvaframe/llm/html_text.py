@@ -5,12 +5,13 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; text length from which a window counts as a surge.
+#: Lines of a window; weight (text length) from which a window counts as a surge.
 WINDOW, SURGE = 3, 80
 
 _TOKEN = re.compile(
@@ -49,6 +50,12 @@ _HINTS = re.compile(r"class|id|role|hidden|style", re.I)
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+#: Parts of a page, whose edges set what is inside apart; those that mark the main text; those that stray closing tags do not pass.
+PARTS = frozenset("main article nav aside header footer form".split())
+MARKS = frozenset("main article".split())
+BARS = frozenset("article main body html".split())
+
+
 @dataclass
 class Line:
     text: str
@@ -56,6 +63,9 @@ class Line:
     main: bool
 
 
+BLANK = Line("", 0, False)
+
+
 def _furniture(name: str, attributes: str, inside: bool) -> bool:
     if name in DROPPED or name == "header" and not inside:
         return True
@@ -71,33 +81,50 @@ def _furniture(name: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[Line]:
-    """The text blocks of a page in order, markup stripped and furniture left out; white space made single."""
+    """The lines of a page in order, markup stripped and white space made single.
+
+    A block of text is a line. Between two blocks stand blank lines: one for each pair of further block tags there,
+    and WINDOW for each edge of a page part or of furniture. Furniture itself has no text: nothing of it is read.
+    """
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
+    at_name: dict[str, list[int]] = {}  # places of the open elements of a name
+    blocks: list[int] = []  # places of open blocks
+    bars: list[int] = []  # places of open elements that stray closing tags do not pass
     text: list[str] = []
-    linked = depth = 0
+    linked = depth = tags = 0
+    dropped_from = -1  # place of the element at which the dropped part begins
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, tags
         if text:
             line = " ".join("".join(text).split())
             if line:
+                out.extend([BLANK] * ((tags - 1) // 2))
                 out.append(Line(line, linked, bool(stack) and stack[-1][2]))
+                tags = 0
             text.clear()
         linked = 0
 
     def close(k: int) -> None:
         """Closes the elements from the k-th on."""
-        nonlocal depth
-        for name, _, _ in stack[k:]:
+        nonlocal depth, tags, dropped_from
+        while len(stack) > k:
+            name = stack.pop()[0]
             depth -= name == "a"
-        del stack[k:]
+            tags += 2 * WINDOW * (name in PARTS or dropped_from == len(stack))
+            if dropped_from == len(stack):
+                dropped_from = -1
+            at_name[name].pop()
+            for places in (blocks, bars):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece and not (stack and stack[-1][1]):
+        if piece and dropped_from < 0:
             piece = html.unescape(piece)
             text.append(piece)
             if depth:
@@ -111,69 +138,85 @@ def lines(page: str) -> list[Line]:
         if m[1] or m[4]:
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "table") and name not in ("article", "main", "body", "html"):
-                    break
+                tags += 1
+            open_ = at_name.get(name)
+            if open_ and (name in BARS or not bars or open_[-1] >= bars[-1]):
+                close(open_[-1])
             continue
         if name in BLOCKS:
             flush()
+            tags += 1
             # page parts end what was left open before them
-            if name in ("body", "main", "article") and any(s[1] for s in stack) and not any(s[0] in ("main", "article") for s in stack):
-                close(next(k for k, s in enumerate(stack) if s[1]))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" and name != "p" or stack[k][0] in CLOSES.get(name, ()) or stack[k][0] == name == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if name in ("body", "main", "article") and dropped_from >= 0 and not at_name.get("main") and not at_name.get("article"):
+                close(dropped_from)
+            if blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in CLOSES.get(name, ())):
+                close(blocks[-1])
         elif name in ("br", "img", "input"):
             text.append(" ")
         if name in VOID:
             continue
         attributes = m[3] or m[6] or ""
         inside = bool(stack) and stack[-1][2]
-        dropped = bool(stack) and stack[-1][1] or _furniture(name, attributes, inside)
-        if dropped and not (stack and stack[-1][1]):
+        raw = name in RAW
+        if not raw and attributes.endswith("/") and name in ("svg", "math", "path"):
+            continue
+        starts = dropped_from < 0 and (raw or _furniture(name, attributes, inside))
+        if starts or name in PARTS:
             flush()
-        if name in RAW:
+            tags += 2 * WINDOW
+        if starts:
+            dropped_from = len(stack)
+        at_name.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            blocks.append(len(stack))
+        if name in BARS or name == "table":
+            bars.append(len(stack))
+        dropped = dropped_from >= 0
+        stack.append((name, dropped, inside if raw else not dropped and (inside or name in MARKS)))
+        depth += name == "a"
+        if raw:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
-            stack.append((name, True, inside))
-            if not end:
-                break
-            continue
-        if attributes.endswith("/") and name in ("svg", "math", "path"):
-            continue
-        stack.append((name, dropped, not dropped and (inside or name in ("main", "article"))))
-        depth += name == "a"
     flush()
     return out
 
 
-def stretches(weights: list[int]) -> list[tuple[int, int]]:
+def weights(found: list[Line]) -> tuple[list[int], float]:
+    """The weight of each line, and the bar that a window has to reach.
+
+    A line weighs its characters; one that is mostly links, outside a marked part, nothing. On a page that marks its
+    article or main part, marked lines weigh more by all that is not marked, and the bar lies there. On any other the
+    bar is SURGE, or half of the heaviest window where that is less than SURGE.
+    """
+    plain = [0 if 2 * x.linked > len(x.text) and not x.main else len(x.text) for x in found]
+    if any(x.main for x in found):
+        lift = 1 + sum(w for w, x in zip(plain, found) if not x.main)
+        return [w + lift * x.main for w, x in zip(plain, found)], lift
+    return plain, min(SURGE, max(windows(plain), default=0) / 2)
+
+
+def windows(weight: list[int]) -> list[int]:
+    """The sum over the WINDOW lines from each line on."""
+    upto = [0, *accumulate(weight)]
+    n = len(weight)
+    return [upto[min(i + WINDOW, n)] - upto[i] for i in range(n)]
+
+
+def stretches(weight: list[int], bar: float) -> list[tuple[int, int]]:
     """Surge and dive points: [start, end) of each stretch of lines between them.
 
-    The weight of a window is the text of WINDOW lines from a line on. A stretch surges at the first line
-    with text whose window reaches the bar, and dives where a window has no text at all. The bar is SURGE,
-    or half of the heaviest window where no window is as heavy as twice that.
+    A stretch surges at the first line with weight whose window reaches the bar, together with the lines right above
+    that have weight, and dives where a window has no weight at all.
     """
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    if not n or not max(sums):
-        return []
-    bar, found, i = min(SURGE, max(sums) / 2), [], 0
+    n, sums, found, i = len(weight), windows(weight), [], 0
     while i < n:
-        if sums[i] >= bar and weights[i]:
-            start = i
-            while start and weights[start - 1]:  # text right above the surge belongs to it
+        if weight[i] and sums[i] >= bar:
+            start = end = i
+            while start and weight[start - 1]:
                 start -= 1
-            end = i
             while end < n and sums[end]:
                 end += 1
-            while not weights[end - 1]:
+            while not weight[end - 1]:
                 end -= 1
             found.append((start, end))
             i = end
@@ -184,17 +227,15 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by a line break; empty for a null, empty or textless page.
 
-    Where the page marks its article or main part, the lines are those inside it. Elsewhere a line that is
-    mostly links weighs nothing, which places the first surge and the last dive; all lines between them stay.
+    The stretches between surge and dive points stay, with every line inside them. Where the page marks no article or
+    main part, so does what lies between the first surge and the last dive.
     """
     found = lines(page) if page else []
-    if any(x.main for x in found):
-        found = [x for x in found if x.main]
-        weights = [len(x.text) for x in found]
-    else:
-        weights = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in found]
-    spans = stretches(weights)
-    return "\n".join(x.text for x in found[spans[0][0] : spans[-1][1]]) if spans else ""
+    weight, bar = weights(found)
+    spans = stretches(weight, bar)
+    if spans and not any(x.main for x in found):
+        spans = [(spans[0][0], spans[-1][1])]
+    return "\n".join(x.text for a, b in spans for x in found[a:b] if x.text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

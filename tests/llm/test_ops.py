@@ -432,9 +432,9 @@ def test_html_keeps_all_between_first_surge_and_last_dive():
 
 
 def test_surge_and_dive_points():
-    assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == []
-    assert html_text.stretches([0, 0, 0, 100, 90, 0, 80, 0, 0, 0, 0, 5]) == [(3, 7)]
-    assert html_text.stretches([5, 0, 0, 0, 0, 200]) == [(5, 6)]
+    assert html_text.stretches([], 0) == [] and html_text.stretches([0, 0], 0) == []
+    assert html_text.stretches([0, 0, 0, 100, 90, 0, 80, 0, 0, 0, 0, 5], 80) == [(3, 7)]
+    assert html_text.stretches([5, 0, 0, 0, 0, 200], 80) == [(5, 6)]
 
 
 def test_empty_tables(spark):
