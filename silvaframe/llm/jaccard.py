@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,14 +13,34 @@ from pyspark.sql import functions as F
 from .blocks import deal, gather, units
 from .common import Scratch, batch_words, connected_components, frugal, mix
 
-#: Rows of a block and members of a share of a class's partners; heavy n-grams that are broadcast; n-grams
-#: carried to tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
-BLOCK, HEAVY, CARRY, FILTER = 512, 100_000, 8, 1 << 24
+#: Rows of a block; members of a share of a class's partners; heavy n-grams that are broadcast; n-grams carried to
+#: tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
+BLOCK, SHARE, HEAVY, CARRY, FILTER = 2048, 512, 100_000, 8, 1 << 24
+#: Rows of one step of a block's product.
+STEP = 256
+
+
+def parity_words(n: int) -> int:
+    """Words of 64 bits in the parity map of a set of n members: as many bits as members at least, from 512 to 65,536."""
+    return min(1024, max(8, 1 << max(0, (n - 1).bit_length() - 6)))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each class of n-grams by their last bits: whether the set holds an odd number of them.
+
+    Bits in which two maps differ are at most the members that only one of the sets has. A map of twice the
+    length folds into the shorter one by exclusive or of its halves.
+    """
+    m = parity_words(len(s)) * 64
+    return np.packbits((np.bincount(s & (m - 1), minlength=m) & 1).astype(np.uint8)).view(np.uint64)
 
 
-def column_blocks(n: int) -> int:
-    """In how many blocks of columns the overlap of sets of n members is accumulated."""
-    return next((m for top, m in ((512, 64), (1024, 128), (4096, 256), (32768, 1024)) if n < top), 4096)
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps as columns of [words, rows], brought to a shorter length."""
+    while len(maps) > words:
+        half = len(maps) // 2
+        maps = maps[:half] ^ maps[half:]
+    return maps
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -97,75 +119,85 @@ def _repeated(sets: list[np.ndarray]):
         yield pa.RecordBatch.from_arrays([none, pa.array(count, pa.int64()), none, none, none, pa.array(gram, pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
 
 
-def _sample(n: int, percent: int):
-    """Sampled n-grams of each set, once per set and batch."""
+def _sample(n: int, percent: int, heavy):
+    """Sampled n-grams of each set, once per set and batch, as (gram, s1, 0). Heavy n-grams are known to be shared: they
+    stay here, and a row (s1, s1, their number) tells how many the set has, so no n-gram of many sets moves."""
 
     def run(batches):
+        grams, _ = heavy.value
         for batch in batches:
             first = {sig[0]: sampled(s, percent) for _, s, sig in _sets(batch, n) if len(s)}
             if first:
-                lengths = [len(g) for g in first.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(first.values()))), pa.array(np.repeat(np.array(list(first), np.int64), lengths))], ["gram", "s1"])
+                s1, all_ = np.repeat(np.array(list(first), np.int64), [len(g) for g in first.values()]), np.concatenate(list(first.values()))
+                hot = _within(all_, grams)
+                own, count = np.unique(s1[hot], return_counts=True)
+                columns = np.concatenate([all_[~hot], own]), np.concatenate([s1[~hot], own]), np.concatenate([np.zeros(np.count_nonzero(~hot), np.int64), count])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "s1", "hot"])
 
     return run
 
 
-def _several(batches):
-    """Of rows sorted by (gram, s1): how many n-grams each set shares with another set, summed up per batch."""
-    from collections import Counter
+def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
 
+def _several(batches):
+    """Of rows sorted by (gram, s1): how many n-grams each set shares with another set, summed up per batch; heavy ones apart."""
     held = None  # the last row, and whether its n-gram is known to be shared and the row counted
     for batch in batches:
-        g, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(g):
-            continue
-        counted = False
-        if held is not None:
-            (hg, hx), counted = held
-            g, x = np.concatenate([[hg], g]), np.concatenate([[hx], x])
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-        g, x = g[new], x[new]
-        same = g[1:] == g[:-1]
-        shared = np.concatenate([[counted], same]) | np.concatenate([same, [False]])
-        last = bool(shared[-1])
-        if counted:
-            shared[0] = False
-        held = (g[-1], x[-1]), last
-        sets, count = np.unique(x[shared], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(count, pa.int64())], ["s1", "m"])
+        g, x, hot = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out = [(x[hot > 0], np.zeros(np.count_nonzero(hot), np.int64), hot[hot > 0])]
+        g, x = g[hot == 0], x[hot == 0]
+        if len(g):
+            counted = False
+            if held is not None:
+                (hg, hx), counted = held
+                g, x = np.concatenate([[hg], g]), np.concatenate([[hx], x])
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+            g, x = g[new], x[new]
+            same = g[1:] == g[:-1]
+            shared = np.concatenate([[counted], same]) | np.concatenate([same, [False]])
+            last = bool(shared[-1])
+            if counted:
+                shared[0] = False
+            held = (g[-1], x[-1]), last
+            sets, count = np.unique(x[shared], return_counts=True)
+            out.append((sets, count, np.zeros(len(sets), np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["s1", "m", "hot"])
 
 
 def _rows(n: int, percent: int, heavy):
     """Each set's row of the incidence matrix, cut to its prefix (rare n-grams by hash, then heavy ones by count), with
-    its size and its counts in column blocks, cut at 255. Once per set and batch."""
+    its size, its parity map and its text, from which the whole row follows. Once per set and batch."""
 
     def run(batches):
         grams, counts = heavy.value
         for batch in batches:
             first: dict = {}
-            for i, s, sig in _sets(batch, n):
+            for (i, s, sig), text in zip(_sets(batch, n), batch.column(1)):
                 if i is None or not len(s):
                     continue
                 if sig in first:
                     first[sig] = (min(first[sig][0], i), *first[sig][1:])
                     continue
                 k = prefix_length(len(s), percent)
-                at = np.minimum(np.searchsorted(grams, s), max(len(grams) - 1, 0))
-                hot = grams[at] == s if len(grams) else np.zeros(len(s), bool)
+                hot = _within(s, grams)
                 cold = s[~hot][:k]
                 if len(cold) < k:
-                    order = np.lexsort((s[hot], counts[at[hot]]))
+                    order = np.lexsort((s[hot], counts[np.searchsorted(grams, s[hot])]))
                     cold = np.concatenate([cold, s[hot][order][: k - len(cold)]])
-                m = column_blocks(len(s))
-                first[sig] = (i, len(s), np.minimum(np.bincount(s & (m - 1), minlength=m), 255).astype(np.uint8).tobytes(), cold)
+                first[sig] = (i, len(s), parity(s).tobytes(), cold, text.as_py())
             if first:
                 v = list(first.values())
                 offsets = np.cumsum([0] + [len(r[3]) for r in v], dtype=np.int32)
                 sig = np.array(list(first), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in v], pa.int64()), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), pa.array([r[1] for r in v], pa.int64()), pa.array([r[2] for r in v], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in v])))],
-                    ["id", "s1", "s2", "n", "sketch", "grams"],
+                    [pa.array([r[0] for r in v], pa.int64()), pa.array(sig[:, 0].copy()), pa.array([r[1] for r in v], pa.int64()), pa.array([r[2] for r in v], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in v]))), pa.array([r[4] for r in v], pa.string())],
+                    ["id", "s1", "n", "sketch", "grams", "text"],
                 )
 
     return run
@@ -183,6 +215,16 @@ def _picked(bits):
     return run
 
 
+def _maps(sketches: list[bytes], words: int) -> np.ndarray:
+    """Parity maps of one length as columns, so that a word of all rows lies together."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), words).T)
+
+
+def _spare(a, b, percent: int):
+    """In how many members similar sets of a and b members differ at most."""
+    return a + b - 2 * least_overlap(a, b, percent)
+
+
 def _may_link(percent: int):
     """Pairs (a, b, na, nb, sa, sb) that the sizes and the overlap bound of `_product` do not rule out."""
 
@@ -190,118 +232,126 @@ def _may_link(percent: int):
         for t in batches:
             na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
             keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            sizes = t["sa"].map(len).to_numpy()
-            same = keep & (sizes == t["sb"].map(len).to_numpy())
-            for m in np.unique(sizes[same]):
-                i = np.flatnonzero(same & (sizes == m))
-                x, y = (np.frombuffer(b"".join(t[c].iloc[i]), np.uint8).reshape(len(i), m).astype(np.int16) for c in ("sa", "sb"))
-                keep[i] = np.abs(x - y).sum(axis=1) <= na[i] + nb[i] - 2 * least_overlap(na[i], nb[i], percent)
+            wa, wb = (t[c].map(len).to_numpy() // 8 for c in ("sa", "sb"))
+            for u, v in {*zip(wa[keep], wb[keep])}:
+                i = np.flatnonzero(keep & (wa == u) & (wb == v))
+                x, y = _maps(list(t["sa"].iloc[i]), u), _maps(list(t["sb"].iloc[i]), v)
+                apart = np.bitwise_count(folded(x, min(u, v)) ^ folded(y, min(u, v))).sum(axis=0, dtype=np.int64)
+                keep[i] = apart <= _spare(na[i], nb[i], percent)
             yield t.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _shared(batches):
-    """Of rows sorted by (gram, s1, s2, id): the columns of two classes or more, a row per class.
+def _near(n: np.ndarray, words: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, may, percent: int):
+    """Pairs (i of left, j of right) for which `may` holds and that neither sizes nor parity maps rule out.
 
-    hub is the first class of the column. Only the last row is held from one Arrow batch to the next.
+    `may(i, j)` takes a column of rows and a row of rows. Rows without a map stand for several texts: nothing bounds them.
     """
-    held, hub = None, None  # the last class seen, and the hub of its column if that is already known to be shared
-    for batch in batches:
-        g, x, y, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        if held is not None:
-            g, x, y, i = (np.concatenate([[h], v]) for h, v in zip(held, (g, x, y, i)))
-        if not len(g):
-            continue
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        g, x, y, i = g[new], x[new], y[new], i[new]
-        same = g[1:] == g[:-1]
-        start = np.flatnonzero(np.concatenate([[True], ~same]))
-        hubs = i[start][np.cumsum(np.concatenate([[0], ~same]).astype(np.int64))]
-        if hub is not None:
-            hubs[g == g[0]] = hub
-        keep = np.concatenate([[hub is not None], same]) | np.concatenate([same, [False]])
-        # the last row is decided with the next batch, unless it is known to be shared: then it goes out once, here
-        held = (g[-1], x[-1], y[-1], i[-1])
-        first_again = hub is not None  # it went out with the batch before
-        if first_again:
-            keep[0] = False
-        hub = hubs[-1] if len(g) > 1 and same[-1] or first_again and len(g) == 1 else None
-        yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (g, i, hubs)], ["gram", "id", "hub"])
+    for u in np.unique(words[left]):
+        for v in np.unique(words[right]):
+            rows, cols, w = left[words[left] == u], right[words[right] == v], min(u, v)
+            if w:
+                x, y = (folded(_maps([sketches[k] for k in at], m), w) for at, m in ((rows, u), (cols, v)))
+            for at in range(0, len(rows), STEP):
+                i = rows[at : at + STEP]
+                ok = may(i[:, None], cols[None, :])
+                if w:
+                    a, b = n[i][:, None], n[cols][None, :]
+                    ok &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+                if not ok.any():
+                    continue
+                if not w:
+                    p, q = np.nonzero(ok)
+                elif 8 * np.count_nonzero(ok) < ok.size:
+                    p, q = np.nonzero(ok)
+                    apart = np.zeros(len(p), np.int64)
+                    for k in range(w):
+                        apart += np.bitwise_count(x[k, at + p] ^ y[k, q])
+                    near = apart <= _spare(n[i[p]], n[cols[q]], percent)
+                    p, q = p[near], q[near]
+                else:
+                    apart = np.zeros(ok.shape, np.uint32)
+                    for k in range(w):
+                        apart += np.bitwise_count(x[k, at : at + STEP, None] ^ y[k, None, :])
+                    p, q = np.nonzero(ok & (apart <= _spare(a, b, percent)))
+                if len(p):
+                    yield i[p], cols[q]
 
 
 def _product(percent: int):
-    """Pairs of a unit that may be similar and are not linked yet.
+    """Pairs of a unit, a block of rows by a block of rows of one column, that may be similar and are not linked yet.
 
-    Overlap is accumulated over the column blocks as sum(min) = (a + b - sum|x - y|) / 2, an upper
-    bound, and pairs below the overlap that their sizes ask for are discarded. A pair that shares an
-    earlier carried column is left to that column.
+    What two rows differ in is bounded from below by their parity maps, and pairs whose sizes ask for a
+    larger overlap are discarded. A pair that shares an earlier carried column is left to that column.
     """
 
     def run(batches):
         out, found = [], 0
-        for unit in units(batches, ["gram"]):
-            unit = unit.sort_values("n", kind="stable")
-            size, ids, own, part = (unit[c].to_numpy() for c in ("n", "id", "_own", "part"))
-            blocks = unit["sketch"].map(len).to_numpy()
-            place, sketch = np.zeros(len(unit), np.int64), {}
-            for m in np.unique(blocks):
-                at = np.flatnonzero(blocks == m)
-                place[at] = np.arange(len(at))
-                sketch[m] = np.frombuffer(b"".join(unit["sketch"].iloc[at]), np.uint8).reshape(len(at), m).astype(np.int16)
-            gram, across = unit["gram"].iloc[0], unit["_lo"].iloc[0] != unit["_hi"].iloc[0]
+        for unit in units(batches, ["gram", "band"]):
+            n, ids, own, part, home = (unit[c].to_numpy() for c in ("n", "id", "_own", "part", "home"))
+            sketches = list(unit["sketch"])
+            words, gram = np.array([len(x) // 8 for x in sketches]), unit["gram"].iloc[0]
+            lo, hi = unit["_lo"].iloc[0], unit["_hi"].iloc[0]
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
             carry = np.full((len(unit), CARRY), gram)  # filled up with the column itself, which is no earlier one
             for row, c in zip(carry, unit["carry"]):
                 c = c[c < gram]
                 row[: len(c)] = c
-            for i in range(len(unit) - 1):
-                j = np.arange(i + 1, len(unit))
-                if blocks[i]:  # rows without a sketch stand for several texts: their size bounds nothing
-                    j = j[(100 * size[i] >= percent * size[j]) | (blocks[j] == 0)]
-                j = j[part[j] != part[i]]
-                if across:
-                    j = j[own[j] != own[i]]
-                if not len(j):
-                    continue
-                keep, same = np.ones(len(j), bool), blocks[j] == blocks[i]
-                k, own_sketch = j[same], sketch[blocks[i]]
-                spare = size[i] + size[k] - 2 * least_overlap(size[i], size[k], percent)
-                keep[same] = np.abs(own_sketch[place[k]] - own_sketch[place[i]]).sum(axis=1) <= spare
-                j = j[keep]
-                earlier = carry[i][carry[i] < gram]
-                if len(j) and len(earlier):
-                    j = j[~np.isin(carry[j], earlier).any(axis=1)]
-                if len(j):
-                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-                    found += len(j)
+
+            def may(i, j):
+                ok = (part[i] != part[j]) & (home[i] | home[j])
+                return ok & (i < j) if lo == hi else ok
+
+            # lengths of maps are grouped, so within one block both orders of a pair come up where they differ
+            for i, j in _near(n, words, sketches, left, right, may, percent):
+                for at in range(0, len(i), 8192):
+                    a, b = i[at : at + 8192], j[at : at + 8192]
+                    first = ~((carry[a][:, :, None] == carry[b][:, None, :]) & (carry[a] < gram)[:, :, None]).any(axis=(1, 2))
+                    a, b = ids[a[first]], ids[b[first]]
+                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                    found += len(a)
             if found > 100_000:
                 yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
                 out, found = [], 0
-        if out:
+        if found:
             yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return run
 
 
 def _count(n: int, percent: int):
-    """Whole overlap counts of rows (a, b, text of b), after a row (a, null, text of a)."""
+    """Whole overlap counts of rows (a, b, text of b), after a row (a, null, text of a): the product of a's row of the
+    matrix with a block of rows, stacked. Counts add up over all columns; pairs below the overlap that their sizes ask for go."""
+
+    def overlaps(rows: list[np.ndarray], hub: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(r) for r in rows])
+        hits = np.concatenate([[0], np.cumsum(_within(np.concatenate(rows).view(np.uint64), hub.view(np.uint64)))])  # sets are in unsigned order
+        ends = np.cumsum(sizes)
+        return hits[ends] - hits[ends - sizes] >= least_overlap(sizes, len(hub), percent)
 
     def run(batches):
         hub, sets = None, []
         for batch in batches:
-            out = []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_words(batch.column(2)))
-            for a, b, words in rows:
+            out, block = [], []
+
+            def flush():
+                for k in range(0, len(block), 64):
+                    ids, rows = zip(*block[k : k + 64])
+                    linked = np.any([overlaps(rows, t) for t in sets], axis=0)
+                    out.extend((hub, i) for i, yes in zip(ids, linked) if yes)
+                block.clear()
+
+            for a, b, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_words(batch.column(2))):
                 s = shingles(words, n)
                 if b is None:
+                    if block:
+                        flush()
                     hub, sets = a, [*(sets if hub == a else []), s]
-                    continue
-                for t in sets:
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        out.append((a, b))
-                        break
+                else:
+                    block.append((b, s))
+            if block:
+                flush()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -312,13 +362,15 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
 
     Equal sets are one class from the start. A class is left out if, within a fixed share of all n-grams,
     it has more of its own than its size lets a partner miss. The incidence matrix of the others is cut to
-    their prefix columns, whose length follows from the size. Links of each class with the first class of most of its columns join most
-    copies; columns that then still hold several parts are multiplied in blocks of rows, and what is left
-    after the size bounds is completed to whole overlap counts. Pairs within one part need no count.
+    their prefix columns, whose length follows from the size. Links of each class with the first class of most of its
+    columns join most copies; columns that then still hold several parts are multiplied in blocks of rows: wide columns
+    are dealt out by bands of size, so that rows whose sizes rule each other out never meet, and by blocks within a band.
+    Pairs that the sizes and the bound on what they differ in leave over are completed to whole overlap counts. Pairs
+    within one part need no count.
 
     Null, empty and blank texts have no shingles and link with nothing; a text of fewer than n words is
     one shingle. Rows that share an id count as one document with all their links. A null id links with
-    nothing else than copies of its text. Only the id and text columns are read.
+    nothing else than copies of its text. Only the id and text columns are read. Three passes over the texts.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -330,44 +382,40 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     top = sorted((r.gram, r.c) for r in top.collect())  # at most HEAVY rows
     heavy = spark.sparkContext.broadcast((np.array([g for g, _ in top], np.int64), np.array([c for _, c in top], np.int64)))
     # 2. classes that may have a partner: a set with so many n-grams of its own that no overlap suffices has none
-    sample = docs.mapInArrow(frugal(_sample(n, percent)), "gram long, s1 long").repartition("gram").sortWithinPartitions("gram", "s1")
-    common = sample.mapInArrow(frugal(_several), "s1 long, m long").groupBy("s1").agg(F.sum("m").alias("m"))
+    sample = docs.mapInArrow(frugal(_sample(n, percent, heavy)), "gram long, s1 long, hot long").repartition("gram").sortWithinPartitions("gram", "s1")
+    common = sample.mapInArrow(frugal(_several), "s1 long, m long, hot long").groupBy("s1").agg((F.sum("m") + F.max("hot")).alias("m"))
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("n_sampled").alias("k"))
     own = F.col("k") - F.coalesce("m", F.lit(0))
     active = classes.join(common, "s1", "left").where(own < F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1)
     active = scratch.save(active.where("id is not null").select(F.col("id").alias("doc_id")))
-    hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
 
-    def picked(ids: DataFrame, then=None, schema: str = "") -> DataFrame:
-        """Documents of the ids, and few others, passed on to `then`: a scan past a filter of fixed size, so that no text is shuffled to be dropped."""
-        at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)) + 1
-        maps = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # FILTER bits at most
-        bits = np.zeros(FILTER >> 3, np.uint8)
-        for r in maps:
-            bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
-        pick = _picked(spark.sparkContext.broadcast(bits))
-        if then is None:
-            return hashed.mapInArrow(frugal(pick), "doc_id long, text string")
-        return hashed.mapInArrow(frugal(lambda batches: then(pick(batches))), schema)  # in one Python worker
-
-    # 3. their rows of the matrix, and the columns that two classes or more share
-    matrix = scratch.save(picked(active, _rows(n, percent, heavy), "id long, s1 long, s2 long, n long, sketch binary, grams array<long>"))
-    facts = matrix.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("texts"))
-    # an id with several texts has no one sketch: none that rules out nothing stands for it
+    # 3. their rows of the matrix, by a scan past a filter of ids of fixed size, so that no text is shuffled to be dropped
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)) + 1
+    maps = active.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # FILTER bits at most
+    bits = np.zeros(FILTER >> 3, np.uint8)
+    for r in maps:
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    pick, row = _picked(spark.sparkContext.broadcast(bits)), _rows(n, percent, heavy)
+    hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
+    matrix = scratch.save(hashed.mapInArrow(frugal(lambda batches: row(pick(batches))), "id long, s1 long, n long, sketch binary, grams array<long>, text string"))
+    facts = matrix.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count_distinct("s1").alias("texts"))
+    # an id with several texts has no one parity map: none that rules out nothing stands for it
     facts = facts.select("id", "n", F.when(F.col("texts") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), "texts")
-    columns = matrix.select(F.explode("grams").alias("gram"), "s1", "s2", "id").repartition("gram").sortWithinPartitions("gram", "s1", "s2", "id")
-    shared = scratch.save(columns.mapInArrow(frugal(_shared), "gram long, id long, hub long"))
+    # the columns that two classes or more share; hub is the first class of a column
+    columns = matrix.select(F.explode("grams").alias("gram"), "id")
+    held = columns.groupBy("gram").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last")
+    shared = scratch.save(columns.join(held, "gram"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose whole overlap count suffices. Texts of these pairs move; a text is smaller than its set.
+        """Pairs (a, b) whose whole overlap count suffices. Only texts of these pairs move, and a text is smaller than its set.
         A class with many partners is dealt out with a share of them each."""
+        texts = matrix.select(F.col("id").alias("doc_id"), "text")
         pairs = scratch.save(pairs)
-        texts = picked(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
-        many = pairs.groupBy("a").agg(F.expr(f"int((count(1) + {BLOCK - 1}) div {BLOCK})").alias("shares"))
+        many = pairs.groupBy("a").agg(F.expr(f"int((count(1) + {SHARE - 1}) div {SHARE})").alias("shares"))
         hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
-        rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b", F.col("b").alias("doc_id"))
-        rows = rows.unionByName(hubs).join(texts, "doc_id").repartition("a", "share").sortWithinPartitions("a", "share", "b").select("a", "b", "text")
-        return rows.mapInArrow(frugal(_count(n, percent)), "a long, b long").distinct()
+        dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), "b", F.col("b").alias("doc_id"))
+        dealt = dealt.unionByName(hubs).join(texts, "doc_id").repartition("a", "share").sortWithinPartitions("a", "share", "b").select("a", "b", "text")
+        return dealt.mapInArrow(frugal(_count(n, percent)), "a long, b long").distinct()
 
     def parts(links: DataFrame) -> DataFrame:
         return scratch.save(connected_components(links, scratch).select("id", F.col("component").alias("part")))
@@ -385,11 +433,11 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     links = scratch.save(verify(single.unionByName(often.where("ta > 1 or tb > 1").select("a", "b"))))
     part = parts(links)
     # 5. the product of the columns that still hold several parts, in blocks
-    open_ = shared.join(part, "id", "left").select("gram", "id", F.coalesce("part", "id").alias("part"))
-    mixed = open_.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
-    open_ = scratch.save(open_.join(mixed, "gram", "left_semi"))
+    open_ = shared.select("gram", "id").join(part, "id", "left").select("gram", "id", F.coalesce("part", "id").alias("part"))
+    mixed = open_.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("gram", (F.col("m") > BLOCK).alias("wide"))
+    open_ = scratch.save(open_.join(mixed, "gram"))
     carry = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
-    pairs = gather(deal(open_, ["gram"], "id", BLOCK).join(facts, "id").join(carry, "id"), ["gram"])
+    pairs = gather(deal(_banded(open_, facts, percent), ["gram", "band"], "id", BLOCK).join(facts.drop("texts"), "id").join(carry, "id"), ["gram", "band"])
     pairs = scratch.save(pairs.mapInPandas(frugal(_product(percent)), "a long, b long").distinct())
     # 6. whole overlap counts: of each class with its least partner, then of pairs still apart
     for some in (lambda: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: pairs):
@@ -397,12 +445,29 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
         part = parts(links)
     label = part.withColumnRenamed("part", "component")
     scratch.drop(active, matrix, shared, open_, pairs, links)
+    heavy.destroy()
     # 7. back to the documents
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     full = rows.where("s1 is not null").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("s1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _banded(entries: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Entries (gram, id, part, wide) with their band, and whether they are at home there.
+
+    Bands are powers of 100 / percent, so similar sets lie in one band or in neighbours: in wide columns a row is at
+    home in its own band and visits the next one, and pairs with one at home at least are compared. An id with several
+    texts (an empty map) visits all bands. Other columns are one band.
+    """
+    step = 1.001 * math.log(100 / percent) if percent < 100 else 1.0  # a little wider than the ratio, for rounding
+    band = F.floor(F.log("n") / step).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.lit(int(45 / step) + 1)), lambda b: F.struct(b.alias("band"), (b == 0).alias("home")))
+    own = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
+    wide = entries.where("wide").join(facts.select("id", "n", "sketch"), "id")
+    wide = wide.select("gram", "id", "part", F.inline(F.when(F.octet_length("sketch") == 0, every).otherwise(own)))
+    return wide.unionByName(entries.where("not wide").select("gram", "id", "part", F.lit(-1).alias("band"), F.lit(True).alias("home")))
+
+
 def jaccard_oracle() -> str:
     """Brute force in DuckDB: all pairs of documents that share a shingle, and recursive reachability."""
     return r"""
