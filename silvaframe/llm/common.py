@@ -18,10 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: they are whole texts here.
+BATCH = 2048
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows, where the session has Spark's default of 10,000; any other choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='silvaframe-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -36,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.close)
 

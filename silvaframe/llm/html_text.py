@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Lines of a window; weight (text length) from which a window counts as a surge.
 WINDOW, SURGE = 3, 80
 
@@ -50,8 +52,7 @@ _HINTS = re.compile(r"class|id|role|hidden|style", re.I)
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-#: Parts of a page, whose edges set what is inside apart; those that mark the main text; those that stray closing tags do not pass.
-PARTS = frozenset("main article nav aside header footer form".split())
+#: Elements that mark the main text, whose edges set it apart; those that stray closing tags do not pass.
 MARKS = frozenset("main article".split())
 BARS = frozenset("article main body html".split())
 
@@ -84,7 +85,7 @@ def lines(page: str) -> list[Line]:
     """The lines of a page in order, markup stripped and white space made single.
 
     A block of text is a line. Between two blocks stand blank lines: one for each pair of further block tags there,
-    and WINDOW for each edge of a page part or of furniture. Furniture itself has no text: nothing of it is read.
+    and WINDOW for each edge of a marked part. Furniture has no text: nothing of it is read.
     """
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
@@ -112,7 +113,7 @@ def lines(page: str) -> list[Line]:
         while len(stack) > k:
             name = stack.pop()[0]
             depth -= name == "a"
-            tags += 2 * WINDOW * (name in PARTS or dropped_from == len(stack))
+            tags += 2 * WINDOW * (name in MARKS and dropped_from < 0)
             if dropped_from == len(stack):
                 dropped_from = -1
             at_name[name].pop()
@@ -138,14 +139,14 @@ def lines(page: str) -> list[Line]:
         if m[1] or m[4]:
             if name in BLOCKS:
                 flush()
-                tags += 1
+                tags += dropped_from < 0
             open_ = at_name.get(name)
             if open_ and (name in BARS or not bars or open_[-1] >= bars[-1]):
                 close(open_[-1])
             continue
         if name in BLOCKS:
             flush()
-            tags += 1
+            tags += dropped_from < 0
             # page parts end what was left open before them
             if name in ("body", "main", "article") and dropped_from >= 0 and not at_name.get("main") and not at_name.get("article"):
                 close(dropped_from)
@@ -161,11 +162,11 @@ def lines(page: str) -> list[Line]:
         if not raw and attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         starts = dropped_from < 0 and (raw or _furniture(name, attributes, inside))
-        if starts or name in PARTS:
-            flush()
-            tags += 2 * WINDOW
         if starts:
+            flush()
             dropped_from = len(stack)
+        elif name in MARKS and dropped_from < 0:
+            tags += 2 * WINDOW
         at_name.setdefault(name, []).append(len(stack))
         if name in BLOCKS:
             blocks.append(len(stack))
@@ -250,5 +251,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(h) for h in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    short_batches(pages.sparkSession)
     inner = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return inner.mapInArrow(run, f"page_id {inner.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, frugal
 
 
 #: Longest n-gram; landmarks and training texts of a language, about; landmarks of all languages, about, but one of each at
-#: least; longest landmark of a language that has others; landmarks of one that has none drawn so short.
-ORDER, LANDMARKS, TRAIN, ALL_LANDMARKS, LANDMARK_CHARS, SPARE = 3, 48, 1500, 512, 20_000, 4
+#: least; characters of a landmark, a window from the text's start; n-grams that are multiplied together.
+ORDER, LANDMARKS, TRAIN, ALL_LANDMARKS, LANDMARK_CHARS, SLICE = 3, 48, 1500, 512, 2_000, 1 << 14
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
@@ -51,116 +51,127 @@ def spectrum(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """K(x, landmarks) @ weights scores the languages; the kernel is |A n B| / sqrt(|A| |B|) on n-gram sets."""
+    """K(x, landmarks) @ weights scores the languages; the kernel is |A n B| / sqrt(|A| |B|) on n-gram sets.
+
+    The landmarks' incidence is kept as lists: the landmarks of n-gram k are owner[first[k]:first[k + 1]]. It is
+    multiplied in slices of n-grams, so memory does not follow the landmarks' lengths.
+    """
 
     languages: list[str]
     grams: np.ndarray
-    columns: np.ndarray  # grams x landmarks: presence / sqrt(size of the landmark)
-    weights: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    scale: np.ndarray  # of a landmark: 1 / sqrt(size)
+    scores: np.ndarray | None = None  # n-grams x languages: incidence @ weights
+
+    @classmethod
+    def of(cls, languages: list[str], sets: list[np.ndarray]) -> "Model":
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        grams, first = np.unique(every[order], return_index=True)
+        return cls(languages, grams, np.append(first, len(every)), owner[order], np.array([1 / np.sqrt(len(s)) for s in sets]))
+
+    def incidence(self, a: int, b: int) -> np.ndarray:
+        """n-grams a..b x landmarks: presence / sqrt(size of the landmark)."""
+        out = np.zeros((b - a, len(self.scale)), np.float32)
+        rows = np.repeat(np.arange(b - a), np.diff(self.first[a : b + 1]))
+        owner = self.owner[self.first[a] : self.first[b]]
+        out[rows, owner] = self.scale[owner]
+        return out
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([np.empty((0, self.columns.shape[1]), np.float32), *(self.of_sets([spectrum(t) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256))])
+    def learn(self, weights: np.ndarray) -> None:
+        self.scores = np.concatenate([self.incidence(a, min(a + SLICE, len(self.grams))) @ weights.astype(np.float32) for a in range(0, len(self.grams), SLICE)])
 
-    def of_sets(self, sets: list[np.ndarray]) -> np.ndarray:
-        out = np.empty((len(sets), self.columns.shape[1]), np.float32)
-        for i in range(0, len(sets), 256):  # presence of the landmarks' n-grams, then one matrix product
+    def _product(self, sets: list[np.ndarray], columns, width: int) -> np.ndarray:
+        """Presence / sqrt(size) of the sets' n-grams, multiplied by columns(a, b) of each slice a..b."""
+        out = np.zeros((len(sets), width), np.float32)
+        for i in range(0, len(sets), 256):
             part = sets[i : i + 256]
-            here = np.zeros((len(part), len(self.grams)), np.float32)
-            for row, s in zip(here, part):
-                at = np.searchsorted(self.grams, s)
-                at[at == len(self.grams)] = 0
-                row[at[self.grams[at] == s]] = 1 / np.sqrt(len(s))
-            out[i : i + 256] = here @ self.columns
+            row = np.repeat(np.arange(len(part)), [len(s) for s in part])
+            every = np.concatenate(part)
+            at = np.minimum(np.searchsorted(self.grams, every), len(self.grams) - 1)
+            hit = self.grams[at] == every
+            row, at, value = row[hit], at[hit], np.repeat([1 / np.sqrt(len(s)) for s in part], [len(s) for s in part])[hit]
+            for a in range(0, len(self.grams), SLICE):
+                b = min(a + SLICE, len(self.grams))
+                here = np.zeros((len(part), b - a), np.float32)
+                some = (at >= a) & (at < b)
+                here[row[some], at[some] - a] = value[some]
+                out[i : i + 256] += here @ columns(a, b)
         return out
 
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        return self._product(sets, self.incidence, len(self.scale))
 
-def _landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return _columns([spectrum(t) for t in texts])
-
-
-def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    grams, count = np.unique(np.concatenate(sets), return_counts=True)
-    columns = np.zeros((len(grams), len(sets)), np.float32)
-    for j, s in enumerate(sets):
-        columns[np.searchsorted(grams, s), j] = 1 / np.sqrt(len(s))
-    return grams, columns
-
-
-def _described(batches):
-    """The set of n-grams of each text instead of the text."""
-    for batch in batches:
-        at = batch.schema.get_field_index
-        for row in (batch.slice(i, 1) for i in range(len(batch))):
-            grams = spectrum(row.column(at("text"))[0].as_py()).tobytes()
-            yield pa.RecordBatch.from_arrays([*(row.column(at(c)) for c in ("lang", "long", "place", "hash")), pa.array([grams], pa.binary())], ["lang", "long", "place", "hash", "grams"])
+    def values(self, texts: list[str]) -> np.ndarray:
+        """A regression value for each language."""
+        return self._product([spectrum(t) for t in texts], lambda a, b: self.scores[a:b], len(self.languages))
 
 
-def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on a bounded sample of the rows where `labelled` holds; None without any.
+def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float = 1e-3, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fits on a bounded sample of the rows where `labelled` holds; None without any that has a language and letters.
 
-    Every language with a text that has letters; of each about TRAIN texts, of which about LANDMARKS (fewer
-    with many languages, one at least) of at most LANDMARK_CHARS characters are landmarks, picked by a hash of
-    the id, or of the text where the id is null. Where none is drawn, the first SPARE drawn texts are, short ones
-    before long ones; only their sets of n-grams leave the executors.
+    Every language is learned; of each about TRAIN different texts, of which about LANDMARKS (fewer with many
+    languages, one at least) are landmarks, each cut to a window of LANDMARK_CHARS characters. Texts are drawn by a
+    hash of the text, as a share of the language's different texts: ids do not matter, whether null or repeated, and
+    copies count once. A language of which none is drawn gives its first text in the order of hashes.
     The sample's kernel rows stay on the executors: each partition adds up its normal equations, and only
     those sums, of the landmarks' size, come together.
     """
     letters = F.col("text").rlike(r"\p{L}")
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    docs = docs.where(labelled & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).where(letters)
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    docs = documents.where(labelled).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    docs = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).where(letters).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
     if not counts:
         return None
     languages = sorted(r.lang for r in counts)
     n = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(r.n))])[F.col("lang")]
-    # a uniform number of each row in [0, 1): the n-th of a language's rows are wanted, so n / rows is the bar
-    draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    place = docs.select("lang", "text", (draw * n).alias("place"))
+    # a uniform number of each text in [0, 1), times the number of texts: those under k are about k texts
+    place = docs.withColumn("place", F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) * n)
     scratch = Scratch(documents.sparkSession, "langid")
-    chosen = scratch.save(place.where(F.col("place") < TRAIN).repartition(16))
+    few = place.where(F.col("place") < TRAIN).dropDuplicates(["lang", "hash"]).select("lang", "text", "place")
+    chosen = scratch.save(few.repartition(16))
     got = {r.lang for r in chosen.select("lang").distinct().collect()}
-    if len(got) < len(languages):  # all rows of a language share one id, which is not drawn: its first text
+    if len(got) < len(languages):
         rest = place.where(F.col("lang").isin([x for x in languages if x not in got]))
         chosen = chosen.unionByName(scratch.save(rest.groupBy("lang").agg(F.min(F.struct("place", "text")).alias("m")).select("lang", "m.text", "m.place")))
     each = min(LANDMARKS, max(1, ALL_LANDMARKS // len(languages)))
-    marks = chosen.where((F.col("place") < each) & (F.length("text") <= LANDMARK_CHARS)).select("lang", "text")
-    found = [(r.lang, r.text) for r in marks.collect()]
-    sets = [spectrum(t) for _, t in sorted(found)]
-    bare = sorted(set(languages) - {x for x, _ in found})
-    if bare:
-        over = Window.partitionBy("lang").orderBy("long", "place", "hash")
-        spare = chosen.where(F.col("lang").isin(bare)).withColumn("long", F.length("text") > LANDMARK_CHARS).withColumn("hash", F.xxhash64("text"))
-        spare = spare.mapInArrow(frugal(_described), "lang string, long boolean, place double, hash long, grams binary")
-        spare = spare.withColumn("k", F.row_number().over(over)).where(F.col("k") <= min(each, SPARE))
-        sets += [np.frombuffer(r.grams, np.int64) for r in spare.orderBy("lang", "k").toLocalIterator()]
-    grams, columns = _columns(sets)
-    m = Model(languages, grams, columns, np.zeros((len(sets), len(languages)), np.float32))
-    shared = documents.sparkSession.sparkContext.broadcast(m)  # LANDMARKS texts a language: bounded
+    cut = F.substring("text", 1, LANDMARK_CHARS)
+    # the first of a language is a landmark whatever its place
+    least = chosen.groupBy("lang").agg(F.min("place").alias("least"))
+    marks = chosen.join(F.broadcast(least), "lang").where((F.col("place") < each) | (F.col("place") == F.col("least"))).select("lang", F.when(cut.rlike(r"\p{L}"), cut).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{LANDMARK_CHARS}}}", 0)).alias("text"))
+    model = Model.of(languages, [spectrum(r.text) for r in sorted(marks.collect())])
+    size = len(model.scale)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # LANDMARKS windows a language: bounded
 
     def sums(batches):
         m = shared.value
-        a, b = np.zeros((m.columns.shape[1],) * 2), np.zeros((m.columns.shape[1], len(m.languages)))
+        a, b = np.zeros((size, size)), np.zeros((size, len(m.languages)))
         for batch in batches:
             lang = batch.column(0).to_pylist()
-            k = m.kernel(batch.column(1).to_pylist()).astype(np.float64)
-            y = np.array([[1.0 if x == one else 0.0 for one in m.languages] for x in lang]).reshape(len(lang), -1)
-            # each language weighs the same, however few rows it has
-            w = np.array([1.0 / weight[x] for x in lang])[:, None]
-            a += k.T @ (w * k)
-            b += k.T @ (w * y)
+            texts = batch.column(1).to_pylist()
+            for i in range(0, len(texts), 64):
+                k = m.kernel([spectrum(t) for t in texts[i : i + 64]]).astype(np.float64)
+                y = np.array([[float(x == one) for one in m.languages] for x in lang[i : i + 64]]).reshape(len(k), -1)
+                # each language weighs the same, however few rows it has
+                w = np.array([1.0 / weight[x] for x in lang[i : i + 64]])[:, None]
+                a += k.T @ (w * k)
+                b += k.T @ (w * y)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b"])
 
-    weight = {r.lang: min(float(r.n), TRAIN) for r in counts}
-    size = len(sets)
+    weight = {r.lang: max(1.0, min(float(r.n), TRAIN)) for r in counts}
     a, b = np.zeros((size, size)), np.zeros((size, len(languages)))
-    few = chosen.select("lang", "text").mapInArrow(frugal(sums), "a binary, b binary")
-    for r in few.toLocalIterator():  # sums of at most 16 tasks, each landmarks x landmarks
+    for r in chosen.select("lang", "text").mapInArrow(frugal(sums), "a binary, b binary").toLocalIterator():  # sums of at most 17 tasks, each landmarks x landmarks
         a += np.frombuffer(r.a).reshape(a.shape)
         b += np.frombuffer(r.b).reshape(b.shape)
     # Nystrom: min over w of |K w - y|^2 + ridge w' K_mm w
-    k_mm = m.of_sets(sets).astype(np.float64)
-    m.weights = np.linalg.solve(a + ridge * (k_mm + k_mm.T) / 2 + 1e-9 * np.eye(size), b).astype(np.float32)
-    return m
+    k_mm = np.zeros((size, size))
+    for at in range(0, len(model.grams), SLICE):
+        part = model.incidence(at, min(at + SLICE, len(model.grams))).astype(np.float64)
+        k_mm += part.T @ part
+    model.learn(np.linalg.solve(a + ridge * k_mm + 1e-9 * np.eye(size), b))
+    shared.destroy()
+    return model
 
 
 def classify(documents: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -181,7 +192,7 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if m else []
                 if known:
-                    values = m.kernel([texts[i] for i in known]) @ m.weights
+                    values = m.values([texts[i] for i in known])
                     best = values.argmax(axis=1)
                     for i, b, v in zip(known, best, values[np.arange(len(best)), best]):
                         pred[i], score[i] = m.languages[b], min(1.0, max(0.0, float(v)))
@@ -202,6 +213,6 @@ def identify(documents: DataFrame, seed: int = 0, **cols: str) -> DataFrame:
     prediction. Repeated rows get equal answers; an empty table gives an empty result.
     """
     id_col, text_col = cols.get("id_col", "doc_id"), cols.get("text_col", "text")
-    model = train(documents, ~held_out("doc_id"), seed, **cols)
+    model = train(documents, ~held_out(id_col), seed, **{k: v for k, v in cols.items() if k != "id_col"})
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return classify(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])

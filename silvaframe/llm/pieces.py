@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, mix
+from .common import frugal, mix, short_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -458,6 +458,7 @@ def _spec(model: bytes) -> tuple[dict, dict]:
 
 def read_model(spark: SparkSession, path: str = MODEL):
     """The vocabulary, read and tabulated once on the driver and broadcast: it is of fixed size."""
+    short_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(Pieces(f.read()))
 

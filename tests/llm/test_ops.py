@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from silvaframe.llm import chat, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
 from silvaframe.llm.common import Scratch, batch_words, connected_components
 
+GUESSER = secrets.Guesser(secrets.read_words())
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _text string, h int, _block int, spans string"
 
@@ -246,7 +247,7 @@ def test_secrets(spark):
 
 def test_secrets_are_taken_whole():
     """Quoted values run to their closing quote, others to white space; redaction leaves nothing of a value."""
-    found = lambda t: [t[a:b] for k, a, b in secrets.scan(t, 40.0)[0] if k == "guess"]
+    found = lambda t: [t[a:b] for k, a, b in secrets.scan(t, 40.0, GUESSER)[0] if k == "guess"]
     assert found('password: "Xk9(;p!aaQ7zR" end') == ["Xk9(;p!aaQ7zR"]
     assert found("passphrase: 'correct horse battery staple', then") == ["correct horse battery staple"]
     assert found("pwd=Xk9(;p!aaQ7zR, then") == ["Xk9(;p!aaQ7zR"]
@@ -254,16 +255,61 @@ def test_secrets_are_taken_whole():
     assert found('auth: "Bearer Xk9;p!aaQ7zR(1"') == found('auth: Bearer "Xk9;p!aaQ7zR(1"') == ["Xk9;p!aaQ7zR(1"]
     assert found('token: "Xk9;p!aaQ7zR\nnext line" x') == ["Xk9;p!aaQ7zR"]
     assert found('{"token":"abc","size":"12345678901234"}') == []
-    assert secrets.clean('password: "Xk9(;p!aaQ7zR" end', 40.0) == 'password: "[SECRET]" end'
-    assert secrets.clean('password: "monkey, dragon" end', 40.0) == '[SECRET]" end'
-    assert secrets.clean('password: "aB3dE6gH9,;aQ7zR" end', 40.0) == '[SECRET]" end'
+    assert secrets.clean('password: "Xk9(;p!aaQ7zR" end', 40.0, GUESSER) == 'password: "[SECRET]" end'
+    assert secrets.clean('password: "monkey, dragon" end', 40.0, GUESSER) == '[SECRET]" end'
+    assert secrets.clean('password: "aB3dE6gH9,;aQ7zR" end', 40.0, GUESSER) == '[SECRET]" end'
 
 
 def test_guess_costs_follow_the_cheapest_segmentation():
-    cost = secrets.guess_bits
+    cost = GUESSER.guess_bits
     assert cost("password") < cost("pxsswqrd") and cost("20240115") < cost("83651927") and cost("aaaaaaaaaaaa") < cost("awufvkqzbeym")
     assert cost("qwertyuiop") < cost("qpwoeiruty") and cost("") == 0 and cost("abcabcabcabc") < cost("abdhcaekbflc")
-    assert cost("x" * 100_000) < 60
+    assert cost("x" * 1000) < cost("x" * 999 + "q") < 40
+    # ordinary words, alone or a few of them, are no strong secret
+    assert cost("liverpool") < 20 and cost("correcthorsebattery") < 40 < cost("mK8vQz2LpX9w")
+    # walks go on across rows
+    assert cost("1qaz2wsx") < cost("1qbz2wpx") and cost("zaq1xsw2") < 40 and cost("!QAZ") < cost("!QPZ")
+
+
+def test_guess_costs_equal_brute_force():
+    """The least sum over all segmentations of short values, each span priced by itself."""
+    words = {w: k for k, w in enumerate(("abc", "wert", "cab", "qwe"), 1)}
+    g, rng = secrets.Guesser(words), random.Random(2)
+
+    def span(v, a, b):
+        part, costs = v[a:b], []
+        if b - a == 1:
+            costs.append(secrets._char_bits(part))
+        low = part.lower()
+        plain = low.translate(secrets.LEET)
+        if plain in words:
+            costs.append(1 + np.log2(words[plain]) + (part != low) + (low != plain))
+        costs += [secrets.date_bits(m) for d in secrets._DATES if (m := d.fullmatch(part))]
+        costs += [1 + np.log2(secrets.PERIODS) + secrets.AGAIN * (b - a) for p in range(1, secrets.PERIODS + 1) if a >= p and all(v[k] == v[k - p] for k in range(a, b))]
+        ways = [secrets._way(x, y) for x, y in zip(part, part[1:])]
+        if len(part) >= 3 and None not in ways:
+            costs.append(1 + secrets._KEYS + secrets.TURN + sum(secrets.STRAIGHT if x == y else secrets.TURN for x, y in zip(ways, ways[1:])))
+        return min(costs, default=np.inf)
+
+    def least(v):
+        best = [0.0]
+        for b in range(1, len(v) + 1):
+            best.append(min(best[a] + span(v, a, b) for a in range(b)))
+        return best[-1]
+
+    values = ["".join(rng.choice(kind) for _ in range(rng.randint(0, 12))) for kind in ("abc4", "qwertasd", "aA1", "12/09", "ab1q2w ") for _ in range(60)]
+    for v in [*values, "2024-01-15", "15012024x", "20240115abc", "qwerty", "wertwert", "cabcabcab", "ABCqwe99"]:
+        assert abs(g.guess_bits(v) - least(v)) < 1e-9, v
+
+
+def test_many_credentials_in_one_text_take_linear_time():
+    import time
+
+    text = " ".join(f'password: "v{k}Xq9Zt!k" AKIA{k:016}' for k in range(20_000))
+    start = time.process_time()
+    spans, _ = secrets.scan(text, 40.0, GUESSER)
+    assert len(spans) >= 20_000 and len(secrets.clean(text, 40.0, GUESSER)) < len(text)
+    assert time.process_time() - start < 25
 
 
 def test_language_id(spark):
@@ -298,17 +344,34 @@ def test_language_id_learns_every_language(spark):
     assert {r.lang_pred for r in langid.classify(long, langid.train(long, F.lit(True)), ["lang"]).collect()} == {"l03"}
 
 
+def test_language_id_whatever_the_ids(spark):
+    """Null ids, one id for all rows and many copies: texts are drawn, not ids, and the sample stays bounded."""
+    rng = random.Random(8)
+    word = {"aa": "kalomi", "bb": "zupery"}
+    texts = [(lang, " ".join("".join(rng.choice(word[lang]) for _ in range(5)) for _ in range(9))) for lang in ("aa", "bb") for _ in range(40)]
+    texts += [("aa", "kalo milo lama")] * 3000
+    for i in (None, 5):
+        frame = docs_frame(spark, [(i, t, lang, "s") for lang, t in texts])
+        model = langid.train(frame, F.lit(True))
+        assert model.languages == ["aa", "bb"] and 2 <= len(model.scale) <= 2 * (langid.LANDMARKS + 1)
+        assert all(r.lang == r.lang_pred for r in langid.classify(frame, model, ["lang"]).collect())
+
+
 def test_language_id_untrained(spark):
     out = langid.identify(docs_frame(spark, [(1, "text", None, "s")])).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
 
 
-def test_kernel_is_that_of_whole_sets():
-    from silvaframe.llm.langid import _landmarks, Model
+def test_kernel_is_that_of_whole_sets(monkeypatch):
+    from silvaframe.llm.langid import Model, spectrum
 
     texts = ["abc abd", "xyz", "ab"]
-    grams, columns = _landmarks(texts)
-    k = Model([], grams, columns, None).kernel(["abc q", "ab"])
+    monkeypatch.setattr(langid, "SLICE", 4)  # several slices of n-grams
+    m = Model.of(["u", "v"], [spectrum(t) for t in texts])
+    k = m.kernel([spectrum(t) for t in ["abc q", "ab"]])
+    weights = np.array([[1.0, 2.0], [0.5, -1.0], [3.0, 0.25]])
+    m.learn(weights)
+    assert np.allclose(m.values(["abc q", "ab"]), k @ weights, atol=1e-5)
 
     def grams_of(t):
         t = f" {t} "
