@@ -37,11 +37,6 @@ def gather(dealt: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.repartition(*unit).sortWithinPartitions(*unit)
 
 
-def units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The units of `gather`, one frame each."""
-    return runs(batches, [*keys, "_lo", "_hi"])
-
-
 def whole_runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Frames of whole runs of equal keys, from sorted rows, with the places where runs begin and the last one ends.
 
@@ -64,10 +59,3 @@ def whole_runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[tup
         held = batch.iloc[last:]
     if held is not None and len(held):
         yield held, np.array([0, len(held)])
-
-
-def runs(batches: Iterator[pd.DataFrame], unit: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys in sorted rows, one frame each."""
-    for frame, bounds in whole_runs(batches, unit):
-        for a, b in zip(bounds, bounds[1:]):
-            yield frame.iloc[a:b]

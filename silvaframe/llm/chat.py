@@ -6,11 +6,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import whole_runs
-from .common import Scratch
+from .common import Scratch, frugal, md5_long
 
 ROLES = ("system", "user", "assistant")
 #: State 0 is the start, state k the role ROLES[k - 1] of the last turn.
@@ -90,27 +90,35 @@ def _route(steps: np.ndarray, enter: int, leave: int) -> np.ndarray:
 
 
 _GROUP = ["conv", "parent"]
+#: Where turns without a number stand: behind all others.
+LAST = 1 << 62
 
 
 def _sorted(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, *order)
 
 
+def _parent(c: str) -> Column:
+    return F.expr(f"{c} div {FAN} - int({c} < 0 and {c} % {FAN} <> 0)").cast("long")
+
+
 def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, new_role, action, inserted, before, cost, is_first, is_last), a row per turn.
+    """(conv_id, turn, role, text, new_role, action, inserted, before, after, cost, is_first, is_last), a row per row.
 
     The cheapest sequence of roles for a conversation is a shortest path over four states. A turn is a
     4 x 4 matrix of costs under (min, +); products of up to FAN neighbours are formed level by level, so a
     conversation of any length is never in one task. At the top the best final state is chosen, and on
-    the way down each piece learns the states it is entered and left with. Only role codes go up; texts
-    move once, at the bottom.
+    the way down each piece learns the states it is entered and left with. A turn number that more than FAN rows of a
+    conversation share is first brought to one matrix by levels of its own, over buckets of its rows. Rows are written
+    once with a number each; only role codes go up, and texts move once, at the bottom.
 
     action: keep, merge (joined to the turn before), insert (empty turns of the roles in `before` come
     first); relabel is told by new_role <> role. inserted counts empty turns before the turn and, at the
     last turn, after it. Roles are trimmed and lower-cased, with usual aliases; null or unknown ones have
-    to be relabelled. Rows are ordered by turn (nulls last), role, text; rows equal in all four columns
-    count once. Rows without a conversation id form one conversation. Null texts render as empty. Other
-    columns are not read.
+    to be relabelled. Rows are ordered by turn (nulls last), then by the role found (none, system, user, assistant), the
+    role as written and a hash of the text (where more than FAN rows share a turn, by role found and then by a hash
+    of the row); repeated rows stay. Rows without a conversation id form one conversation. Null texts render as empty.
+    Other columns are not read.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     costs, ends = automaton.matrices(), automaton.end_costs()
@@ -124,18 +132,12 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
         F.col(text_col).cast("string").alias("text"),
         F.concat_ws(":", F.when(F.col(conv_col).isNull(), "0").otherwise("1"), F.col(conv_col).cast("string")).alias("conv"),
         F.coalesce(code, F.lit(0)).cast("int").alias("code"),
+        F.monotonically_increasing_id().alias("rid"),
     )
-    parent = lambda c: F.floor(F.coalesce(F.col(c), F.lit(1 << 62)) / FAN).cast("long")
-    # equal rows count once; a hash stands for the text on the way up
-    narrow = rows.select("conv", "turn", "role", "code", F.xxhash64("text").alias("h")).distinct().withColumn("parent", parent("turn"))
-
-    def of_turns(frame):
-        codes = frame["code"].to_numpy()
-        return lambda a, b: (codes[a:b].tobytes(), costs[codes[a:b]])
-
-    def of_pieces(frame):
-        m = np.array(frame["m"].tolist()).reshape(-1, 4, 4)
-        return lambda a, b: (None, m[a:b])
+    rows = scratch.save(rows)
+    narrow = rows.select("conv", F.coalesce("turn", F.lit(LAST)).alias("at"), "code", "role", md5_long("text").alias("h"), "rid", F.lit(None).cast("array<double>").alias("m"))
+    narrow = narrow.withColumn("parent", _parent("at"))
+    memory: dict = {}
 
     def remembered(f, key, *args):
         """f(*args), looked up for short sequences of roles, which come again and again."""
@@ -147,37 +149,35 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
             memory[key] = f(*args)
         return memory[key]
 
-    def up(steps_of):
-        def compose(batches):
-            memory.clear()
-            for frame, bounds in whole_runs(batches, _GROUP):
-                steps, first = steps_of(frame), bounds[:-1]
-                m = []
-                for a, b in zip(bounds, bounds[1:]):
-                    key, s = steps(a, b)
-                    m.append(remembered(lambda s: _product(s).ravel().tolist(), key, s))
-                yield pd.DataFrame({"conv": frame["conv"].to_numpy()[first], "at": frame["parent"].to_numpy()[first], "m": m})
-
-        return compose
-
-    memory: dict = {}
-    levels = [scratch.save(_sorted(narrow, "turn", "role", "h").mapInPandas(up(of_turns), "conv string, at long, m array<double>"))]
-    while levels[-1].groupBy("conv").count().where("count > 1").limit(1).count():
-        # indices shrink FAN-fold a level; after eight levels only -1 and 0 are left
-        levels[-1] = levels[-1].withColumn("parent", parent("at") if len(levels) < 8 else F.lit(0).cast("long"))
-        levels.append(scratch.save(_sorted(levels[-1], "at").mapInPandas(up(of_pieces), "conv string, at long, m array<double>")))
-
-    def best(m):
-        total = np.array(m)[:4] + ends
-        return int(total.argmin()), float(total.min())
-
-    @F.pandas_udf("leave int, cost double")
-    def finish(m: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best(x) for x in m], columns=["leave", "cost"])
-
-    known = levels[-1].withColumn("f", finish("m")).select("conv", F.col("at").alias("parent"), F.lit(START).alias("enter"), "f.leave", "f.cost", F.lit(True).alias("first"), F.lit(True).alias("last"))
+    def steps_of(frame):
+        """Steps a..b of a frame: by role codes where no piece among them is composed already."""
+        codes = frame["code"].to_numpy() if "code" in frame else np.full(len(frame), -1)
+        steps = costs[np.maximum(codes, 0)]
+        composed = np.flatnonzero(codes < 0)
+        if len(composed):
+            steps[composed] = np.array(frame["m"].iloc[composed].tolist()).reshape(-1, 4, 4)
+        return lambda a, b: (codes[a:b].astype(np.int8).tobytes() if (codes[a:b] >= 0).all() else None, steps[a:b])
 
-    def through(batches, steps_of):
+    def compose(batches):
+        memory.clear()
+        for frame, bounds in whole_runs(batches, _GROUP):
+            steps, first, m = steps_of(frame), bounds[:-1], []
+            for a, b in zip(bounds, bounds[1:]):
+                key, s = steps(a, b)
+                m.append(remembered(lambda s: _product(s).ravel().tolist(), key, s))
+            yield pd.DataFrame({"conv": frame["conv"].to_numpy()[first], "at": frame["parent"].to_numpy()[first], "m": m})
+
+    def climb(bottom: DataFrame, *order: str) -> list[DataFrame]:
+        """Levels of pieces over the bottom one, up to one piece for each conversation."""
+        levels = [scratch.save(_sorted(bottom, *order).mapInPandas(frugal(compose), "conv string, at long, m array<double>"))]
+        while levels[-1].groupBy("conv").count().where("count > 1").limit(1).count():
+            # indices shrink FAN-fold a level; after eight levels only -1 and 0 are left
+            levels[-1] = levels[-1].withColumn("parent", _parent("at") if len(levels) < 8 else F.lit(0).cast("long"))
+            levels.append(scratch.save(_sorted(levels[-1], "at").mapInPandas(frugal(compose), "conv string, at long, m array<double>")))
+        return levels
+
+    def through(batches):
+        """Frames of whole pieces with the states between which each of their steps leads."""
         memory.clear()
         for frame, bounds in whole_runs(batches, _GROUP):
             steps, (enter, leave, f, z) = steps_of(frame), (frame[c].to_numpy() for c in ("enter", "leave", "first", "last"))
@@ -191,36 +191,74 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
                 first[a], last[b - 1] = f[a], z[a]
             yield frame.assign(enter=before, leave=after, first=first, last=last)
 
-    for level in reversed(levels[:-1]):
+    states = "enter int, leave int, cost double, first boolean, last boolean"
 
-        def down(batches):
-            for frame in through(batches, of_pieces):
-                yield frame[["conv", "at", "enter", "leave", "cost", "first", "last"]]
+    def down(batches):
+        for frame in through(batches):
+            yield frame[["conv", "at", "enter", "leave", "cost", "first", "last"]]
 
-        known = scratch.save(_sorted(level.join(known, _GROUP), "at").mapInPandas(down, "conv string, at long, enter int, leave int, cost double, first boolean, last boolean").withColumnRenamed("at", "parent"))
+    def label(batches):
+        for frame in through(batches):
+            yield frame[["rid", "conv", "at", "enter", "leave", "cost", "first", "last"]]
+
+    def descend(levels: list[DataFrame], known: DataFrame, bottom: DataFrame, *order: str) -> DataFrame:
+        """(rid, conv, at, states) for each row of the bottom level."""
+        for level in reversed(levels[:-1]):
+            known = scratch.save(_sorted(level.join(known, _GROUP), "at").mapInPandas(frugal(down), f"conv string, at long, {states}").withColumnRenamed("at", "parent"))
+        return scratch.save(_sorted(bottom.join(known, _GROUP), *order).mapInPandas(frugal(label), f"rid long, conv string, at long, {states}"))
+
+    by_row, by_bucket = ("at", "code", "role", "h", "rid"), ("rid",)
+    # turn numbers that many rows share: only in pieces that are far too long
+    heavy = scratch.save(narrow.groupBy(*_GROUP).count().where(F.col("count") > 4 * FAN).drop("count"))
+    shared = None
+    if heavy.limit(1).count():
+        parts = F.expr(f"(count(1) + {FAN - 1}) div {FAN}").cast("long").alias("parts")
+        shared = scratch.save(narrow.join(heavy, _GROUP).groupBy("conv", "at").agg(F.count(F.lit(1)).alias("n"), parts).where(F.col("n") > FAN).drop("n"))
+        apart = narrow.join(shared, ["conv", "at"])
+        # rows of such a turn: buckets in order of the role found, as a conversation of their own
+        inner = apart.select(F.concat("conv", F.lit("#"), F.col("at").cast("string")).alias("conv"), "rid", "code", "m", (F.col("code") * F.col("parts") + F.pmod(F.xxhash64("rid"), "parts")).alias("parent"))
+        inner_levels = climb(inner, *by_bucket)
+        pieces = inner_levels[-1].withColumn("i", F.length("conv") - F.length(F.substring_index("conv", "#", -1)))
+        pieces = pieces.select(F.substring("conv", F.lit(1), F.col("i") - 1).alias("conv"), F.substring_index("conv", "#", -1).cast("long").alias("at"), F.lit(-1).alias("code"), F.lit(None).cast("string").alias("role"), F.lit(0).cast("long").alias("h"), F.lit(-1).cast("long").alias("rid"), "m")
+        narrow = narrow.join(shared, ["conv", "at"], "left_anti").unionByName(pieces.withColumn("parent", _parent("at")))
+    levels = climb(narrow, *by_row)
 
-    steps = [[automaton.step(a, b) if b else (0.0, "", []) for b in range(4)] for a in range(4)]
-    tails = [[ROLES[k - 1] for k in automaton.path(b, None) or []] for b in range(4)]
+    def best(m):
+        total = np.array(m)[:4] + ends
+        return int(total.argmin()), float(total.min())
 
-    def label(batches):
-        for frame in through(batches, of_turns):
-            pairs = list(zip(frame["enter"], frame["leave"]))
-            before = [[ROLES[k - 1] for k in steps[a][b][2]] for a, b in pairs]
-            after = [tails[b] if z else [] for (_, b), z in zip(pairs, frame["last"])]
-            yield frame[["conv_id", "turn", "role", "text"]].assign(
-                new_role=[ROLES[b - 1] for _, b in pairs],
-                action=[steps[a][b][1] for a, b in pairs],
-                inserted=[len(x) + len(y) for x, y in zip(before, after)],
-                before=before,
-                after=after,
-                cost=frame["cost"],
-                is_first=frame["first"],
-                is_last=frame["last"],
-            )
-
-    whole = rows.distinct().withColumn("h", F.xxhash64("text")).withColumn("parent", parent("turn")).join(known, _GROUP)
-    kind = turns.schema[conv_col].dataType.simpleString()
-    return _sorted(whole, "turn", "role", "h").mapInPandas(label, f"conv_id {kind}, turn long, role string, text string, new_role string, action string, inserted long, before array<string>, after array<string>, cost double, is_first boolean, is_last boolean")
+    @F.pandas_udf("leave int, cost double")
+    def finish(m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best(x) for x in m], columns=["leave", "cost"])
+
+    known = levels[-1].withColumn("f", finish("m")).select("conv", F.col("at").alias("parent"), F.lit(START).alias("enter"), "f.leave", "f.cost", F.lit(True).alias("first"), F.lit(True).alias("last"))
+    found = descend(levels, known, narrow, *by_row)
+    if shared is not None:
+        top = inner_levels[-1].select("conv", F.col("at").alias("parent"))
+        turn = found.where("rid < 0").select(F.concat("conv", F.lit("#"), F.col("at").cast("string")).alias("conv"), "enter", "leave", "cost", "first", "last")
+        found = found.where("rid >= 0").unionByName(descend(inner_levels, top.join(turn, "conv"), inner.withColumn("at", F.col("parent")), *by_bucket))
+
+    # what a step means: looked up by the states it leads between
+    steps = [automaton.step(a, b) if b else (0.0, "", []) for a in range(4) for b in range(4)]
+    tails = [automaton.path(b, None) or [] for b in range(4)]
+    names = lambda path: F.array(*[F.lit(ROLES[k - 1]) for k in path]).cast("array<string>")
+    step = F.col("enter") * 4 + F.col("leave")
+    before = F.get(F.array(*[names(path) for _, _, path in steps]), step)
+    after = F.when(F.col("last"), F.get(F.array(*[names(path) for path in tails]), F.col("leave"))).otherwise(names([]))
+    return rows.join(found.drop("conv", "at"), "rid").select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("leave") - 1).alias("new_role"),
+        F.get(F.array(*[F.lit(action) for _, action, _ in steps]), step).alias("action"),
+        (F.size(before) + F.size(after)).cast("long").alias("inserted"),
+        before.alias("before"),
+        after.alias("after"),
+        "cost",
+        F.col("first").alias("is_first"),
+        F.col("last").alias("is_last"),
+    )
 
 
 def render(repaired: DataFrame, opening: str = "<|{}|>\n", closing: str = "<|end|>\n", joint: str = "\n") -> DataFrame:
@@ -239,7 +277,7 @@ def render(repaired: DataFrame, opening: str = "<|{}|>\n", closing: str = "<|end
 
 
 def format_chats(turns: DataFrame, automaton: Automaton = Automaton(), **cols: str) -> DataFrame:
-    """(conv_id, turn, role, new_role, action, inserted, cost, is_first, is_last, rendered), a row per distinct turn."""
+    """(conv_id, turn, role, new_role, action, inserted, cost, is_first, is_last, rendered), a row per row."""
     return render(repair(turns, automaton, **cols)).select("conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "is_first", "is_last", "rendered")
 
 
@@ -252,3 +290,31 @@ def conversations(formatted: DataFrame) -> DataFrame:
         F.sum("inserted").alias("n_inserted"),
         F.first("cost").alias("cost"),
     )
+
+
+def format_oracle(automaton: Automaton = Automaton()) -> str:
+    """The same in DuckDB's SQL: costs of the four states turn by turn, then back along the cheapest way."""
+    number = lambda x: "'inf'::DOUBLE" if np.isinf(x) else f"{float(x)}::DOUBLE"
+    array = lambda xs: "[" + ", ".join(xs) + "]"
+    m = automaton.matrices()
+    costs = array(array(array(number(m[f, a, b]) for a in range(4)) for b in range(4)) for f in range(4))
+    steps = [automaton.step(a, b) if b else (0.0, "", []) for a in range(4) for b in range(4)]
+    empty = lambda path: "'" + "".join(f"<|{ROLES[k - 1]}|>\n<|end|>\n" for k in path) + "'"
+    tails = [automaton.path(b, None) or [] for b in range(4)]
+    name = "lower(trim(role))"
+    name = "CASE " + " ".join(f"WHEN {name} = '{a}' THEN '{r}'" for a, r in ALIASES.items()) + f" ELSE {name} END"
+    return f"""
+    WITH RECURSIVE q AS (SELECT {costs} AS costs, {array(number(x) for x in automaton.end_costs())} AS ends, {array("'" + x[1] + "'" for x in steps)} AS actions, {array(str(len(x[2])) for x in steps)} AS n_before,
+      {array(empty(x[2]) for x in steps)} AS before, {array(empty(x) for x in tails)} AS after, {array(str(len(x)) for x in tails)} AS n_after, {array("'" + r + "'" for r in ROLES)} AS roles),
+    t0 AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN '0' ELSE '1:' || conv_id END AS k, CASE {name} WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS code FROM conversations),
+    t AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY k) AS n FROM t0 WINDOW w AS (PARTITION BY k ORDER BY turn NULLS LAST, code, role NULLS FIRST, substr(md5(coalesce(text, '')), 1, 15))),
+    fwd AS (SELECT DISTINCT k, 0::BIGINT AS rn, [0::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE] AS c, []::BIGINT[] AS back FROM t
+      UNION ALL SELECT k, rn, list_transform(tot, lambda x: list_min(x)), list_transform(tot, lambda x: list_position(x, list_min(x)) - 1) FROM (
+        SELECT t.k, t.rn, list_transform(costs[code + 1], lambda col: list_transform([1, 2, 3, 4], lambda i: c[i] + col[i])) AS tot FROM fwd JOIN t ON t.k = fwd.k AND t.rn = fwd.rn + 1, q)),
+    fin AS (SELECT k, list_transform([1, 2, 3, 4], lambda i: c[i] + ends[i]) AS tot FROM fwd JOIN (SELECT DISTINCT k, n FROM t) USING (k), q WHERE rn = n),
+    bwd AS (SELECT k, n AS rn, list_position(tot, list_min(tot)) - 1 AS s, list_min(tot) AS cost FROM fin JOIN (SELECT DISTINCT k, n FROM t) USING (k)
+      UNION ALL SELECT bwd.k, bwd.rn - 1, back[s + 1], cost FROM bwd JOIN fwd ON fwd.k = bwd.k AND fwd.rn = bwd.rn WHERE bwd.rn > 0),
+    way AS (SELECT t.*, a.s AS enter, b.s AS leave, b.cost, t.rn = 1 AS is_first, t.rn = t.n AS is_last FROM t JOIN bwd b ON b.k = t.k AND b.rn = t.rn JOIN bwd a ON a.k = t.k AND a.rn = t.rn - 1)
+    SELECT conv_id, turn, role, roles[leave] AS new_role, actions[enter * 4 + leave + 1] AS action, (n_before[enter * 4 + leave + 1] + CASE WHEN is_last THEN n_after[leave + 1] ELSE 0 END)::BIGINT AS inserted, cost, is_first, is_last,
+      CASE WHEN actions[enter * 4 + leave + 1] = 'merge' THEN chr(10) ELSE CASE WHEN is_first THEN '' ELSE '<|end|>' || chr(10) END || before[enter * 4 + leave + 1] || '<|' || roles[leave] || '|>' || chr(10) END
+      || coalesce(text, '') || CASE WHEN is_last THEN '<|end|>' || chr(10) || after[leave + 1] ELSE '' END AS rendered FROM way, q"""

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, gather, units
-from .common import Scratch, _forest, connected_components
+from .blocks import deal, gather, whole_runs
+from .common import Scratch, _forest, connected_components, frugal
 
 #: Vectors that the rotations are fitted on; members of a block; chance to miss a pair at the very threshold.
 SAMPLE, BLOCK, MISS = 8192, 512, 0.02
@@ -28,11 +28,13 @@ class Model:
     tables: int
     radius: int
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """uint32 keys, a column for each table."""
+    def signs(self, x: np.ndarray) -> np.ndarray:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        signs = ((x - self.mean) @ self.rotation > 0).reshape(len(x), self.tables, self.bits)
-        return (signs @ (1 << np.arange(self.bits))).astype(np.uint32)
+        return (x - self.mean) @ self.rotation > 0
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """A column for each table: the number that its stretch of the code makes."""
+        return signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
 def _rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 30) -> np.ndarray:
@@ -81,73 +83,85 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _encode(model: Model, d: int):
+    """An entry for each vector and table: (space, t, key, id, codes), codes being all tables' bits in words of 64."""
+
     def run(batches):
         for batch in batches:
-            keys = model.codes(_matrix(batch.column("embedding"), d))
+            signs = model.signs(_matrix(batch.column("embedding"), d))
+            keys = model.keys(signs)
             n, t = keys.shape
-            every = np.repeat(np.arange(n), t)
+            every = pa.array(np.repeat(np.arange(n), t))
+            packed = np.packbits(np.pad(signs, ((0, 0), (0, -signs.shape[1] % 64))), axis=1)
+            codes = pa.array([row.tobytes() for row in packed], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("space").take(pa.array(every)),
-                    pa.array(np.tile(np.arange(t, dtype=np.int32), n)),
-                    pa.array(keys.ravel().astype(np.int64)),
-                    batch.column("id").take(pa.array(every)),
-                    pa.array([keys[i].tobytes() for i in every], pa.binary()),
-                ],
+                [batch.column("space").take(every), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(keys.ravel()), batch.column("id").take(every), codes.take(every)],
                 ["space", "t", "key", "id", "codes"],
             )
 
     return run
 
 
-def _keys(unit: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(unit["codes"]), np.uint32).reshape(len(unit), -1)
+def _words(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["codes"]), np.uint64).reshape(len(frame), -1)
+
 
+def _pairs(frame: pd.DataFrame, bounds: np.ndarray, radius: int):
+    """Pairs of rows (i, j) of all units of a frame at once that lie within the Hamming radius, a distance in the frame at a time."""
+    words, own, across = _words(frame), frame["_own"].to_numpy(), (frame["_lo"] != frame["_hi"]).to_numpy()
+    end, i, d = np.repeat(bounds[1:], np.diff(bounds)), np.arange(len(frame)), 0
+    while True:
+        d += 1
+        i = i[i + d < end[i]]
+        if not len(i):
+            return
+        j = i + d
+        some = ~across[i] | (own[i] != own[j])
+        a, b = i[some], j[some]
+        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= radius
+        if near.any():
+            yield a[near], b[near]
 
-def _partners(unit: pd.DataFrame, near: np.ndarray) -> np.ndarray:
-    """Of a matrix of pairs, those above the diagonal that belong to this unit."""
-    own = unit["_own"].to_numpy()
-    if unit["_lo"].iloc[0] != unit["_hi"].iloc[0]:
-        near &= own[:, None] != own[None, :]
-    return np.triu(near, 1)
+
+_UNIT = ["space", "t", "key", "_lo", "_hi"]
 
 
 def _retrieve(radius: int):
     """Members of a bucket that have another one within the Hamming radius, over all tables' bits."""
 
     def run(batches):
-        for unit in units(batches, ["space", "t", "key"]):
-            keys = _keys(unit)
-            apart = np.zeros((len(unit),) * 2, np.int16)
-            for t in range(keys.shape[1]):
-                apart += np.bitwise_count(keys[:, None, t] ^ keys[None, :, t])
-            near = _partners(unit, apart <= radius)
-            hit = near.any(axis=0) | near.any(axis=1)
+        for frame, bounds in whole_runs(batches, _UNIT):
+            hit = np.zeros(len(frame), bool)
+            for i, j in _pairs(frame, bounds, radius):
+                hit[i] = hit[j] = True
             if hit.any():
-                yield unit.loc[hit, ["space", "t", "key", "id", "codes"]]
+                yield frame.loc[hit, ["space", "t", "key", "id", "codes"]]
 
     return run
 
 
-def _rerank(threshold: float):
+def _rerank(model: Model, threshold: float):
     """Links of each member met first in this table, by cosine in double precision, and a forest of them."""
 
     def run(batches):
-        for unit in units(batches, ["space", "t", "key"]):
-            x = np.array(unit["embedding"].tolist(), np.float64)
+        for frame, bounds in whole_runs(batches, _UNIT):
+            x = np.array(frame["embedding"].tolist(), np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys, t = _keys(unit), int(unit["t"].iloc[0])
-            near = x @ x.T >= threshold
-            for u in range(t):  # met in an earlier table
-                near &= keys[:, None, u] != keys[None, :, u]
-            near = _partners(unit, near)
-            if not near.any():
-                continue
-            ids, copies = unit["id"].to_numpy(), unit["copies"].to_numpy()
-            links = (near | near.T) @ copies
-            i, j = np.nonzero(near)
-            yield next(iter(_forest(iter([pd.DataFrame({"a": ids[i], "b": ids[j]})])))).assign(n=0)
-            yield pd.DataFrame({"a": ids[links > 0], "b": ids[links > 0], "n": links[links > 0]})
+            bits = np.unpackbits(_words(frame).view(np.uint8), axis=1)[:, : model.tables * model.bits]
+            keys, t = model.keys(bits), frame["t"].to_numpy()
+            ids, copies, links = frame["id"].to_numpy(), frame["copies"].to_numpy(), np.zeros(len(frame), np.int64)
+            edges = []
+            for a, b in _pairs(frame, bounds, model.radius):
+                for at in range(0, len(a), 4096):
+                    i, j = a[at : at + 4096], b[at : at + 4096]
+                    near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+                    near &= ~((keys[i] == keys[j]) & (np.arange(model.tables) < t[i][:, None])).any(axis=1)  # met in an earlier table
+                    i, j = i[near], j[near]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    edges.append(pd.DataFrame({"a": ids[i], "b": ids[j]}))
+            if links.any():
+                yield next(iter(_forest(iter([pd.concat(edges)])))).assign(n=0)
+                yield pd.DataFrame({"a": ids[links > 0], "b": ids[links > 0], "n": links[links > 0]})
 
     return run
 
@@ -181,11 +195,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     if n:
         sample = [r.embedding for r in rep.select("embedding").orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).collect()]
         model = fit(np.array([v + [0.0] * (d - len(v)) for v in sample]), n, threshold, seed)
-        entries = rep.select("space", "id", "embedding").mapInArrow(_encode(model, d), "space string, t int, key long, id long, codes binary")
+        entries = rep.select("space", "id", "embedding").mapInArrow(frugal(_encode(model, d)), "space string, t int, key long, id long, codes binary")
         bucket = ["space", "t", "key"]
-        entries = scratch.save(gather(deal(entries, bucket, "id", BLOCK), bucket).mapInPandas(_retrieve(model.radius), "space string, t int, key long, id long, codes binary").distinct())
+        entries = scratch.save(gather(deal(entries, bucket, "id", BLOCK), bucket).mapInPandas(frugal(_retrieve(model.radius)), "space string, t int, key long, id long, codes binary").distinct())
         facts = deal(entries, bucket, "id", BLOCK).join(rep.select("id", "copies", "embedding"), "id")
-        found = scratch.save(gather(facts, bucket).mapInPandas(_rerank(threshold), "a long, b long, n long"))
+        found = scratch.save(gather(facts, bucket).mapInPandas(frugal(_rerank(model, threshold)), "a long, b long, n long"))
         label = connected_components(found.where("n = 0").select("a", "b"), scratch).join(rep.select("id", "vec_id"), "id")
         least = label.groupBy("component").agg(F.min("vec_id").alias("component_id"))
         label = label.join(least, "component").select("id", "component_id")
@@ -197,3 +211,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     out = good.select("vec_id", "h1", "h2").join(result, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates_oracle(threshold: float = 0.93) -> str:
+    """All pairs of equal label by cosine in DuckDB, and recursive reachability: what an exact search gives."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    ok AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {threshold}::DOUBLE),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""

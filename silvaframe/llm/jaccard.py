@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, gather, units
+from .blocks import deal, gather, whole_runs
 from .common import Scratch, batch_words, connected_components, frugal, mix
 
 #: Rows of a block; members of a share of a class's partners; heavy n-grams that are broadcast; n-grams carried to
 #: tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
 BLOCK, SHARE, HEAVY, CARRY, FILTER = 2048, 512, 100_000, 8, 1 << 24
-#: Rows of one step of a block's product.
-STEP = 256
+#: Rows of one step of a block's product; rows of a unit that is worked through together with others.
+STEP, NARROW = 256, 64
 
 
 def parity_words(n: int) -> int:
@@ -225,19 +225,40 @@ def _spare(a, b, percent: int):
     return a + b - 2 * least_overlap(a, b, percent)
 
 
+class Maps:
+    """Parity maps of rows, by length, so that many pairs of rows are compared at once."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.place, self.maps = np.zeros(len(sketches), np.int64), {}
+        for u in np.unique(self.words):
+            rows = np.flatnonzero(self.words == u)
+            self.place[rows] = np.arange(len(rows))
+            self.maps[u] = _maps([sketches[k] for k in rows], u)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many members at least the sets of each pair of rows differ; none where a row has no map."""
+        out = np.zeros(len(i), np.int64)
+        kinds = self.words[i] * 2048 + self.words[j]
+        for kind in np.unique(kinds):
+            u, v = divmod(int(kind), 2048)
+            some = np.flatnonzero(kinds == kind)
+            w = min(u, v)
+            if w:
+                x, y = self.maps[u][:, self.place[i[some]]], self.maps[v][:, self.place[j[some]]]
+                out[some] = np.bitwise_count(folded(x, w) ^ folded(y, w)).sum(axis=0, dtype=np.int64)
+        return out
+
+
 def _may_link(percent: int):
     """Pairs (a, b, na, nb, sa, sb) that the sizes and the overlap bound of `_product` do not rule out."""
 
     def run(batches):
         for t in batches:
             na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
-            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            wa, wb = (t[c].map(len).to_numpy() // 8 for c in ("sa", "sb"))
-            for u, v in {*zip(wa[keep], wb[keep])}:
-                i = np.flatnonzero(keep & (wa == u) & (wb == v))
-                x, y = _maps(list(t["sa"].iloc[i]), u), _maps(list(t["sb"].iloc[i]), v)
-                apart = np.bitwise_count(folded(x, min(u, v)) ^ folded(y, min(u, v))).sum(axis=0, dtype=np.int64)
-                keep[i] = apart <= _spare(na[i], nb[i], percent)
+            k = np.arange(len(t))
+            apart = Maps([*t["sa"], *t["sb"]]).apart(k, k + len(t))
+            keep = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (apart <= _spare(na, nb, percent))
             yield t.loc[keep, ["a", "b"]]
 
     return run
@@ -280,42 +301,56 @@ def _near(n: np.ndarray, words: np.ndarray, sketches: list[bytes], left: np.ndar
 
 
 def _product(percent: int):
-    """Pairs of a unit, a block of rows by a block of rows of one column, that may be similar and are not linked yet.
+    """Pairs of rows of a unit, a block of rows by a block of rows of one column, that may be similar and are not linked yet.
 
     What two rows differ in is bounded from below by their parity maps, and pairs whose sizes ask for a
-    larger overlap are discarded. A pair that shares an earlier carried column is left to that column.
+    larger overlap are discarded. A pair that shares an earlier carried column is left to that column. Narrow units are
+    worked through together, pairs of one distance in the frame at a time, wide ones by blocks.
     """
 
     def run(batches):
-        out, found = [], 0
-        for unit in units(batches, ["gram", "band"]):
-            n, ids, own, part, home = (unit[c].to_numpy() for c in ("n", "id", "_own", "part", "home"))
-            sketches = list(unit["sketch"])
-            words, gram = np.array([len(x) // 8 for x in sketches]), unit["gram"].iloc[0]
-            lo, hi = unit["_lo"].iloc[0], unit["_hi"].iloc[0]
-            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-            carry = np.full((len(unit), CARRY), gram)  # filled up with the column itself, which is no earlier one
-            for row, c in zip(carry, unit["carry"]):
-                c = c[c < gram]
-                row[: len(c)] = c
+        for frame, bounds in whole_runs(batches, ["gram", "band", "_lo", "_hi"]):
+            n, ids, own, part, home, gram = (frame[c].to_numpy() for c in ("n", "id", "_own", "part", "home", "gram"))
+            across, sketches = (frame["_lo"] != frame["_hi"]).to_numpy(), list(frame["sketch"])
+            maps, carry = Maps(sketches), np.repeat(gram[:, None], CARRY, axis=1)  # filled up with the column itself, which is no earlier one
+            lengths = frame["carry"].map(len).to_numpy()
+            filled = np.arange(CARRY)[None, :] < lengths[:, None]
+            carry[filled] = np.concatenate(frame["carry"].to_numpy())
 
             def may(i, j):
-                ok = (part[i] != part[j]) & (home[i] | home[j])
-                return ok & (i < j) if lo == hi else ok
-
-            # lengths of maps are grouped, so within one block both orders of a pair come up where they differ
-            for i, j in _near(n, words, sketches, left, right, may, percent):
-                for at in range(0, len(i), 8192):
-                    a, b = i[at : at + 8192], j[at : at + 8192]
-                    first = ~((carry[a][:, :, None] == carry[b][:, None, :]) & (carry[a] < gram)[:, :, None]).any(axis=(1, 2))
-                    a, b = ids[a[first]], ids[b[first]]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                    found += len(a)
-            if found > 100_000:
+                return (part[i] != part[j]) & (home[i] | home[j]) & (~across[i] | (own[i] != own[j]))
+
+            def found():
+                sizes = np.diff(bounds)
+                end = np.repeat(np.where(sizes <= NARROW, bounds[1:], 0), sizes)
+                i, d = np.arange(len(frame)), 0
+                while len(i := i[i + d + 1 < end[i]]):
+                    d += 1
+                    a, b = i, i + d
+                    ok = may(a, b)
+                    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                    ok &= (100 * small >= percent * large) | (maps.words[a] == 0) | (maps.words[b] == 0)
+                    a, b = a[ok], b[ok]
+                    near = (maps.apart(a, b) <= _spare(n[a], n[b], percent)) | (maps.words[a] == 0) | (maps.words[b] == 0)
+                    yield a[near], b[near]
+                for at, to in zip(bounds[:-1][sizes > NARROW], bounds[1:][sizes > NARROW]):
+                    rows = np.arange(at, to)
+                    left, right = (rows[own[rows] == own[rows].min()], rows[own[rows] == own[rows].max()]) if across[at] else (rows, rows)
+                    yield from _near(n, maps.words, sketches, left, right, may if across[at] else lambda i, j: may(i, j) & (i < j), percent)
+
+            out, count = [], 0
+            for a, b in found():
+                for at in range(0, len(a), 8192):
+                    i, j = a[at : at + 8192], b[at : at + 8192]
+                    first = ~((carry[i][:, :, None] == carry[j][:, None, :]) & (carry[i] < gram[i][:, None])[:, :, None]).any(axis=(1, 2))
+                    i, j = ids[i[first]], ids[j[first]]
+                    out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+                    count += len(i)
+                if count > 100_000:
+                    yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                    out, count = [], 0
+            if count:
                 yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-                out, found = [], 0
-        if found:
-            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return run
 

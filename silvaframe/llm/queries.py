@@ -69,5 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle(), "op5_quality_rules": quality.quality_oracle()}
+    out = {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle(), "op4_embedding_dedup": itq.near_duplicates_oracle(), "op5_quality_rules": quality.quality_oracle(), "op6_sharding": sharding.shard_oracle(), "op7_chat_formatting": chat.format_oracle()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -441,22 +441,28 @@ def test_chat_repairs_at_least_cost(spark, monkeypatch):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None, "human", " User "]), f"t{t}", "c") for c in range(40) for t in range(rng.randint(1, 6))]
     rows += [(999, t * 7 - 100, rng.choice(["user", "assistant", "system"]), "x", "c") for t in range(150)]
     rows += [(None, 0, "user", None, "c"), (None, None, "assistant", "", "c"), (5, 0, "user", "again", "c")] + [(6, 0, "user", "copy", "c")] * 3
+    # turn numbers that more rows share than a piece has: null ones, repeated rows, and neighbours around them
+    rows += [(1000, rng.choice([None, 3]), rng.choice(["user", "assistant", "gpt", None]), f"n{t}", "c") for t in range(90)] + [(1000, 2, "user", "a", "c"), (1000, 4, "user", "b", "c")]
+    rows += [(1001, 0, "user", "same", "c")] * 130
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string")
     out = chat.format_chats(frame).collect()
-    assert len(out) == len(set(rows))
+    assert collections.Counter((r.conv_id, r.turn, r.role) for r in out) == collections.Counter(r[:3] for r in rows)
     a = chat.Automaton()
     m, end = a.matrices(), a.end_costs()
-    code = lambda r: {"system": 1, "user": 2, "human": 2, "assistant": 3}.get((r or "").strip().lower(), 0)
+    code = lambda r: {"system": 1, "user": 2, "human": 2, "assistant": 3, "gpt": 3}.get((r or "").strip().lower(), 0)
     by = collections.defaultdict(list)
     for r in out:
         by[r.conv_id].append(r)
     for conv, turns in by.items():
-        seq = sorted(turns, key=lambda r: (r.turn is None, r.turn or 0))
+        seq = sorted(turns, key=lambda r: (r.turn is None, r.turn or 0, code(r.role)))
         cost = np.array([0.0, np.inf, np.inf, np.inf])
-        if len({r.turn for r in seq}) < len(seq):
-            continue
         for r in seq:
             cost = (cost[:, None] + m[code(r.role)]).min(axis=0)
+        spent = sum(a.relabel * (code(r.role) != chat.ROLES.index(r.new_role) + 1) + a.merge * (r.action == "merge") + a.insert * r.inserted for r in seq)
+        assert abs((cost + end).min() - spent) < 1e-9 and all(abs(r.cost - spent) < 1e-9 for r in seq), conv
+        assert sum(r.is_first for r in seq) == sum(r.is_last for r in seq) == 1
+        if len({(r.turn, code(r.role)) for r in seq}) < len(seq):
+            continue  # in which order rows of one turn and role are rendered is not told by the result
         states = [0] + [chat.ROLES.index(r.new_role) + 1 for r in seq]
         paid = sum(m[code(r.role), x, y] for r, x, y in zip(seq, states, states[1:])) + end[states[-1]]
         assert abs((cost + end).min() - paid) < 1e-9 and all(abs(r.cost - paid) < 1e-9 for r in seq)
@@ -464,6 +470,7 @@ def test_chat_repairs_at_least_cost(spark, monkeypatch):
         roles = re.findall(r"<\|(\w+)\|>\n", text.replace("<|end|>\n", ""))
         assert roles[-1] == "assistant" and all(x != y for x, y in zip(roles, roles[1:])) and "system" not in roles[1:] and text.count("<|end|>") == len(roles)
     whole = {r.conv_id: r for r in chat.conversations(chat.format_chats(frame)).collect()}
+    assert whole[1001].n_turns == 130 and whole[1001].n_merged == 129
     assert whole[999].n_turns == 150 and whole[999].n_inserted == sum(r.inserted for r in by[999])
 
 
@@ -500,6 +507,32 @@ def test_surge_and_dive_points():
     assert html_text.stretches([5, 0, 0, 0, 0, 200], 80) == [(5, 6)]
 
 
+def against_sql(frame, table, sql, rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("_t", frame.toPandas())
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}
+    con.execute(f"CREATE TABLE {table} AS SELECT " + ", ".join(f"{c}::{kinds[t]} AS {c}" for c, t in frame.dtypes) + " FROM _t")
+    got = con.execute(sql)
+    names = [d[0] for d in got.description]
+    assert collections.Counter(got.fetchall()) == collections.Counter(tuple(r[c] for c in names) for r in rows)
+
+
+def test_sharding_equals_its_sql(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 7)  # repeated rows are numbered in stretches
+    texts = [(i, f"text {i} é" * (i % 9), "x") for i in range(150)] + [(3, "same", "x")] * 40 + [(None, None, "x"), (None, "", "y")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    against_sql(frame, "documents", sharding.shard_oracle(), sharding.shard(frame).collect())
+
+
+def test_chats_equal_their_sql(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2, 3, 4, 5]), rng.choice(["user", "assistant", "system", "tool", None, " GPT"]), rng.choice(["a", "b\n", None, ""])) for _ in range(80)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    against_sql(frame, "conversations", chat.format_oracle(), chat.format_chats(frame).collect())
+
+
 def test_empty_tables(spark):
     none = docs_frame(spark, [])
     for f in (quality.quality, sharding.shard, mixing.mix_sources, jaccard.jaccard_components, secrets.secret_digest, langid.identify, pieces.encode_documents):
