@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,14 @@ def tree_mask(s: int = 25, v: int = 40, exg: int = 10) -> Column:
     return _between("h", 28, 105) & (F.col("s") >= s) & (F.col("v") >= v) & (F.col("exg") >= exg)
 
 
+def vote_mask(a_plane: Column | None = None, lightness: Column | None = None, exg: int = 10) -> Column:
+    """Two votes of three: a green hue, an excess of green, a greenish plane a of Lab; without that plane it counts as a vote.
+    Shadows go: dark pixels, or those of little lightness where it is known."""
+    votes = [_between("h", 25, 110), F.col("exg") >= exg, F.lit(True) if a_plane is None else a_plane < 122]
+    shadow = F.col("v") < 40 if lightness is None else (F.col("v") < 40) | (lightness < 35)
+    return (sum((v.cast("int") for v in votes), F.lit(0)) >= 2) & ~shadow
+
+
 def red_mask() -> Column:
     return (_between("h", 0, 12) | _between("h", 168, 179)) & (F.col("s") >= 70) & (F.col("v") >= 60)
 
@@ -108,31 +119,47 @@ def square(size: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
-def _spread(marked: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
-    """Pixels with the number of marked pixels under the kernel around them: marks are sent out and counted on arrival."""
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in kernel])
-    sent = marked.select("image_id", "x", "y", F.explode(offsets).alias("o"))
-    return sent.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("hits"))
+def _reach(masks: DataFrame, kernels: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """Each mask becomes true where any pixel under its kernel is. Pixels outside the image count for nothing.
+
+    A kernel's rows have to be whole and centred, and no wider away from its middle, as squares, crosses and
+    ellipses have them: then it is a union of rectangles, one for each width, and a rectangle is a window along
+    rows followed by one along columns. All masks go through the same two windows over (image, y) and (image, x).
+    """
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    halves = {m: {h: max(dy for dx, dy in k if dx == h) for h in {max(dx for dx, dy in k if dy == at) for _, at in k}} for m, k in kernels.items()}
+    along = masks.select(*masks.columns, *[F.max(m).over(row.rangeBetween(-h, h)).alias(f"_{m}_{h}") for m, by in halves.items() for h in by])
+    across = {m: reduce(or_, [F.max(f"_{m}_{h}").over(column.rangeBetween(-d, d)) for h, d in by.items()]) for m, by in halves.items()}
+    return along.select(*[across[c].alias(c) if c in across else F.col(c) for c in masks.columns])
+
+
+def _changed(pixels: DataFrame, masks: list[str], steps: str, kernel: list[tuple[int, int]]) -> DataFrame:
+    """pixels with the masks dilated (d) or eroded (e) step by step; only the masks and places move until the end."""
+    narrow = pixels.select(*PIXEL, *masks)
+    flipped = lambda df: df.select(*PIXEL, *[(~F.col(m)).alias(m) for m in masks])
+    for step in steps:
+        narrow = _reach(narrow, dict.fromkeys(masks, kernel)) if step == "d" else flipped(_reach(flipped(narrow), dict.fromkeys(masks, kernel)))
+    rest = [c for c in pixels.columns if c not in masks]
+    return (pixels.select(*rest).join(narrow, PIXEL) if set(rest) != set(PIXEL) else narrow).select(*pixels.columns)
 
 
 def dilate(pixels: DataFrame, mask: str, kernel: list[tuple[int, int]]) -> DataFrame:
-    """mask becomes true where any pixel under the kernel is. Pixels outside the image count for nothing."""
-    near = _spread(pixels.where(mask), kernel)
-    return pixels.join(near, PIXEL, "left").withColumn(mask, F.col("hits").isNotNull()).drop("hits")
+    return _changed(pixels, [mask], "d", kernel)
 
 
 def erode(pixels: DataFrame, mask: str, kernel: list[tuple[int, int]]) -> DataFrame:
     """mask stays true where no pixel under the kernel is false. Pixels outside the image count for nothing."""
-    near = _spread(pixels.where(~F.col(mask)), kernel)
-    return pixels.join(near, PIXEL, "left").withColumn(mask, F.col("hits").isNull()).drop("hits")
+    return _changed(pixels, [mask], "e", kernel)
 
 
-def opened(pixels: DataFrame, mask: str, kernel: list[tuple[int, int]]) -> DataFrame:
-    return dilate(erode(pixels, mask, kernel), mask, kernel)
+def opened(pixels: DataFrame, mask: str | list[str], kernel: list[tuple[int, int]]) -> DataFrame:
+    """One mask or several, eroded and then dilated."""
+    return _changed(pixels, [mask] if isinstance(mask, str) else mask, "ed", kernel)
 
 
-def closed(pixels: DataFrame, mask: str, kernel: list[tuple[int, int]]) -> DataFrame:
-    return erode(dilate(pixels, mask, kernel), mask, kernel)
+def closed(pixels: DataFrame, mask: str | list[str], kernel: list[tuple[int, int]]) -> DataFrame:
+    """One mask or several, dilated and then eroded."""
+    return _changed(pixels, [mask] if isinstance(mask, str) else mask, "de", kernel)
 
 
 def components(pixels: DataFrame, mask: str) -> DataFrame:
@@ -144,7 +171,8 @@ def components(pixels: DataFrame, mask: str) -> DataFrame:
     """
     key = F.col("y").cast("long") * 1_000_000 + F.col("x")
     row = Window.partitionBy("image_id", "y").orderBy("x")
-    on = pixels.where(mask).withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
+    on = stage(pixels.where(mask), "masked")  # what the mask is made of is worked out once
+    on = on.withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
     on = on.withColumn("_run", F.sum("_new").over(row)).withColumn("run", F.min(key).over(Window.partitionBy("image_id", "y", "_run"))).drop("_new", "_run")
     on = stage(on, "runs")
     runs = on.groupBy("image_id", "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
@@ -213,11 +241,11 @@ def shrink(pixels: DataFrame, factor: int) -> DataFrame:
 
 
 def local_maxima(pixels: DataFrame, value: str, radius: int, least: int) -> DataFrame:
-    """Pixels whose value is the largest within a square and reaches `least`."""
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in square(2 * radius + 1)])
-    sent = pixels.select("image_id", F.col("x"), F.col("y"), F.col(value).alias("_v"), F.explode(offsets).alias("o"))
-    top = sent.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "_v").groupBy(*PIXEL).agg(F.max("_v").alias("_top"))
-    return pixels.where(F.col(value) >= least).join(top, PIXEL).where(F.col(value) == F.col("_top")).drop("_top")
+    """Pixels whose value is the largest within a square and reaches `least`: windows along rows, then along columns."""
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    along = pixels.withColumn("_along", F.max(value).over(row.rangeBetween(-radius, radius)))
+    top = along.withColumn("_top", F.max("_along").over(column.rangeBetween(-radius, radius)))
+    return top.where((F.col(value) >= least) & (F.col(value) == F.col("_top"))).drop("_along", "_top")
 
 
 def ring_coverage(rings: DataFrame, pixels: DataFrame, mask: str, angles: int = 96, width: int = 3) -> DataFrame:

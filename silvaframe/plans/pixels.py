@@ -103,8 +103,9 @@ def ag6_grid(spark, d):
     return raster.grid(pixels(spark, d))
 
 
-#: A disc for every hundredth pixel.
-_DISCS = "SELECT image_id, CAST(y * 40 + x AS BIGINT) AS idx, x AS cx, y AS cy, CAST(3 + (x + y) % 5 AS INT) AS radius FROM pixels WHERE (y * 40 + x) % 97 = 5"
+#: A disc for each square of 10 x 10 pixels, around its last pixel.
+_DISCS = """SELECT image_id, CAST(max(y * 40 + x) AS BIGINT) AS idx, CAST(max(x) AS INT) AS cx, CAST(max(y) AS INT) AS cy, CAST(3 + (max(x) + 3 * max(y) + image_id) % 5 AS INT) AS radius
+FROM pixels GROUP BY image_id, floor(x / 10), floor(y / 10)"""
 
 
 def discs(spark, d):

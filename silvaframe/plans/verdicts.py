@@ -43,26 +43,26 @@ def ag3_species(spark, d):
     return verdicts.species_counts(verdicts.verify(view(spark, d, "crowns"), view(spark, d, "verdicts_raw")))
 
 
-@query(with_views("""SELECT image_id, '[' || string_agg('{"idx":' || idx || ',"x":' || x || ',"y":' || y || ',"radius":' || radius || '}', ',' ORDER BY idx) || ']' AS candidates FROM crowns WHERE idx % 50 = 0 GROUP BY image_id""", "crowns"))
+@query(with_views("""SELECT image_id, '[' || string_agg('{"idx":' || idx || ',"x":' || x || ',"y":' || y || ',"radius":' || radius || '}', ',' ORDER BY idx) || ']' AS candidates FROM crowns GROUP BY image_id""", "crowns"))
 def e23_prompt_table(spark, d):
-    return verdicts.prompt_rows(view(spark, d, "crowns").where("idx % 50 = 0"))
+    return verdicts.prompt_rows(view(spark, d, "crowns"))
 
 
-#: Numbered detections of the images: the first forty crowns of each, cut to the image; tiles of the images.
+#: Numbered detections of the images: the crowns within each; tiles of the images.
 DETS = "SELECT c.image_id, row_number() OVER (PARTITION BY c.image_id ORDER BY idx) - 1 AS det_no, c.x, c.y, radius, source FROM crowns c JOIN images i ON i.image_id = c.image_id AND c.x < i.width AND c.y < i.height"
 
 
 def repair_inputs(spark, d):
     images = view(spark, d, "images")
     text = DETS.replace("crowns c", "{crowns} c").replace("images i", "{images} i")
-    dets = spark.sql(f"SELECT image_id, CAST(det_no AS BIGINT) AS det_no, x, y, radius, source FROM ({text}) WHERE det_no < 40", crowns=view(spark, d, "crowns"), images=images)
+    dets = spark.sql(f"SELECT image_id, CAST(det_no AS BIGINT) AS det_no, x, y, radius, source FROM ({text})", crowns=view(spark, d, "crowns"), images=images)
     return dets, view(spark, d, "repair_actions"), tiles.generate_tiles(images)
 
 
 def _repair_sql(strict: bool) -> str:
     missed = "shown AND NOT coalesce(reviewed, false)" if strict else "false"
     return with_views(
-        f"""WITH {TILES_SQL}, dets AS (SELECT * FROM ({DETS}) WHERE det_no < 40),
+        f"""WITH {TILES_SQL}, dets AS ({DETS}),
     scope AS (SELECT d.image_id, t.tile_idx, d.det_no FROM dets d JOIN tiles t ON t.image_id = d.image_id AND tx <= x AND x < tx + tw AND ty <= y AND y < ty + th),
     acts AS (SELECT a.*, least(100, greatest(0, confidence)) AS conf, CASE kind WHEN 'keep' THEN 0 WHEN 'reject' THEN 1 ELSE 2 END AS k,
       a.x < tw AND a.y < th AND a.radius BETWEEN 5 AND 80 AS ok, tx + a.x AS gx, ty + a.y AS gy FROM repair_actions a JOIN tiles t ON t.image_id = a.image_id AND t.tile_idx = a.tile_idx),

@@ -26,8 +26,15 @@ FROM nation""",
        CAST(40 + (u % 3) * 70 + (x * 7 + y * 13 + image_id * 5) % 23 AS INT) AS g,
        CAST(50 + ((u + 1) % 3) * 50 + (x * 3 + y * 5) % 19 AS INT) AS r
 FROM (SELECT image_id, x, y, CAST(floor(x / 8) + floor(y / 8) AS BIGINT) + image_id AS u
-      FROM (SELECT CAST(n.n_nationkey AS BIGINT) AS image_id, CAST(e.event_id % 40 AS INT) AS x, CAST(floor(e.event_id / 40) AS INT) AS y
-            FROM nation n CROSS JOIN (SELECT event_id FROM events WHERE event_id < 1000) e) p0) p1""",
+      FROM (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS image_id, CAST(event_id % 40 AS INT) AS x, CAST(floor((event_id % 1000) / 40) AS INT) AS y
+            FROM events) p0) p1""",
+    "site_pixels": """SELECT image_id, x, y,
+       CAST(CASE k WHEN 0 THEN 190 + t % 40 WHEN 4 THEN 20 + t % 13 WHEN 7 THEN 140 + t % 9 WHEN 2 THEN 90 + t % 11 ELSE 30 + t % 25 END AS INT) AS b,
+       CAST(CASE k WHEN 0 THEN 195 + t % 37 WHEN 4 THEN 60 + t % 17 WHEN 7 THEN 145 + t % 7 WHEN 2 THEN 110 + t % 13 ELSE 110 + t % 31 END AS INT) AS g,
+       CAST(CASE k WHEN 0 THEN 192 + t % 41 WHEN 4 THEN 225 + t % 19 WHEN 7 THEN 143 + t % 8 WHEN 2 THEN 130 + t % 17 ELSE 60 + t % 23 END AS INT) AS r
+FROM (SELECT image_id, x, y, (x * 7 + y * 13 + image_id) AS t, (CAST(floor(x / 7) AS BIGINT) * 5 + CAST(floor(y / 6) AS BIGINT) * 3 + image_id) % 9 AS k
+      FROM (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS image_id, CAST(event_id % 40 AS INT) AS x, CAST(floor((event_id % 1000) / 40) AS INT) AS y
+            FROM events) p0) p1""",
     "verdicts_raw": """SELECT CAST(user_id AS BIGINT) AS image_id, CAST(event_id AS BIGINT) AS id,
        CASE WHEN event_id % 11 = 0 THEN '[{"id": 1, "is_tree": tru'
             WHEN event_id % 7 = 0 THEN concat('Result:', chr(10), '```json', chr(10), '[{"id": ', CAST(event_id AS VARCHAR(20)), ', "is_tree": "yes", "species": "oak", "confidence": "77"}]', chr(10), '```')
