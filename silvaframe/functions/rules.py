@@ -61,6 +61,13 @@ def coerce_confidence(text: Column, default: int = 0) -> Column:
     return F.coalesce(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(v, 0))), F.lit(float(default))).cast("int")
 
 
+def whole_number(text: Column, default: int) -> Column:
+    """A whole number, half to even; what is no finite number becomes the default."""
+    v = F.trim(text).try_cast("double")
+    v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    return F.coalesce(F.bround(v, 0).cast("long"), F.lit(default).cast("long"))
+
+
 def tile_to_global(tile: tuple, x: Column, y: Column, radius: Column, low: int, high: int) -> Column:
     """struct<x, y, radius> in image pixels; null where the point leaves the tile or the radius its bounds."""
     tx, ty, tw, th = tile

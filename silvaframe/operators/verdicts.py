@@ -7,9 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvaframe.functions.rules import UNKNOWN_SPECIES, coerce_bool, coerce_confidence, tile_to_global
+from silvaframe.functions import conflicts
+from silvaframe.functions.rules import REPAIR_RANK, UNKNOWN_SPECIES, case_of, coerce_bool, coerce_confidence, tile_to_global, whole_number
+from silvaframe.operators.suppress import renumber, suppress
 
 VERDICT = "array<struct<id:string,is_tree:string,species:string,confidence:string>>"
+_ACTION = "array<struct<id:string,x:string,y:string,radius:string,confidence:string>>"
+#: Kinds of repair in the order in which a tile's answer is gone through.
+ACTIONS = ("keep", "reject", "adjust", "add")
 
 
 def json_array(text: Column) -> Column:
@@ -43,8 +48,43 @@ def verify(detections: DataFrame, responses: DataFrame, least: int = 50, reject:
     return out.withColumn("llm_decision", decide(F.col("is_tree"), F.col("llm_confidence"), least, reject, conservative))
 
 
+def parse_actions(responses: DataFrame) -> DataFrame:
+    """(image_id, tile_idx, kind, det_no, x, y, radius, confidence, pos): the actions in answers (image_id, tile_idx, answer, response_text).
+
+    The body of a fenced block if there is one, from the first { to the last }, read as an object of four lists; a list
+    that is none, or an answer that is no such object, gives no actions. pos orders the actions of a tile and kind.
+    """
+    text = F.col("response_text")
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)\{.*\}", 0)
+    read = responses.withColumn("a", F.from_json(body, "struct<" + ",".join(f"{k}:{_ACTION}" for k in ACTIONS) + ">"))
+    listed = lambda k: F.transform(F.coalesce(f"a.{k}", F.array().cast(_ACTION)), lambda v, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), v.alias("v")))
+    every = F.flatten(F.array(*map(listed, ACTIONS)))
+    items = read.select("image_id", "tile_idx", "answer", F.explode(every).alias("e")).where("e.v is not null")
+    number = lambda c, default: whole_number(F.col(f"e.v.{c}"), default)
+    return items.select(
+        "image_id", "tile_idx", "e.kind", number("id", -1).alias("det_no"), number("x", -1).alias("x"), number("y", -1).alias("y"), number("radius", 0).alias("radius"),
+        coerce_confidence(F.col("e.v.confidence")).alias("confidence"), (F.col("answer") * 1000 + F.col("e.i")).alias("pos"),
+    )
+
+
+def repaired(detections: DataFrame, responses: DataFrame, scope: DataFrame, tiles: DataFrame, overlap: float = 0.58, widest_radius: int = 80, **options) -> DataFrame:
+    """(image_id, id, x, y, radius, llm_decision, llm_confidence, source): from answers to numbered detections.
+
+    Actions are parsed and applied (`repair`), rejected rows go, of rows that are the same tree the one of the better
+    source, confidence and radius stays, and what is left is numbered by (y, x).
+    """
+    out = repair(detections, parse_actions(responses), scope, tiles, **options).where(~F.col("llm_decision").startswith("rejected"))
+    first = F.coalesce("det_no", F.lit(10**12) + F.col("tile_idx").cast("long") * 10**9 + F.col("pos"))
+    out = out.withColumn("idx", first.cast("long")).withColumn("_source", case_of(F.col("source"), REPAIR_RANK, 0))
+    rank = [-F.col("_source"), -F.col("llm_confidence"), -F.col("radius"), F.col("idx")]
+    kept = suppress(out, rank, conflicts.same_circle(5.0, 0.45, overlap), 2.0 * widest_radius + 2)
+    return renumber(kept).select("image_id", "id", "x", "y", "radius", "llm_decision", "llm_confidence", "source")
+
+
 def repair(detections: DataFrame, actions: DataFrame, scope: DataFrame, tiles: DataFrame, least: int = 50, reject: int = 70, conservative: bool = True, strict: bool = False, radius: tuple[int, int] = (5, 80)) -> DataFrame:
-    """(image_id, det_no, x, y, radius, llm_decision, llm_confidence, source): detections after tile repair, and added circles.
+    """(image_id, det_no, x, y, radius, llm_decision, llm_confidence, source, tile_idx, pos): detections after tile repair, and
+    added circles with their tile and place.
 
     detections (image_id, det_no, x, y, radius, source); actions (image_id, tile_idx, kind, det_no, x, y,
     radius, confidence, pos); scope (image_id, tile_idx, det_no): the candidates each tile was shown; tiles
@@ -80,10 +120,10 @@ def repair(detections: DataFrame, actions: DataFrame, scope: DataFrame, tiles: D
     use = moved & ~rejected & ~missed
     pick = lambda c: F.when(use, F.col(f"adjusted.circle.{c}")).otherwise(F.col(c)).cast("int").alias(c)
     conf_out = F.when(use, F.col("adjusted.conf")).otherwise(F.coalesce(confidence, F.lit(0))).cast("int")
-    out = out.select("image_id", "det_no", pick("x"), pick("y"), pick("radius"), decision.alias("llm_decision"), conf_out.alias("llm_confidence"), F.when(use, "llm_adjust").otherwise(F.col("source")).alias("source"))
+    out = out.select("image_id", "det_no", pick("x"), pick("y"), pick("radius"), decision.alias("llm_decision"), conf_out.alias("llm_confidence"), F.when(use, "llm_adjust").otherwise(F.col("source")).alias("source"), F.lit(None).cast("int").alias("tile_idx"), F.lit(None).cast("long").alias("pos"))
     added = acts.where((F.col("kind") == "add") & (F.col("conf") >= least) & F.col("circle").isNotNull())
     none = F.lit(None).cast("long")
-    added = added.select("image_id", none.alias("det_no"), "circle.x", "circle.y", "circle.radius", F.lit("added_tree").alias("llm_decision"), F.col("conf").cast("int").alias("llm_confidence"), F.lit("llm_add").alias("source"))
+    added = added.select("image_id", none.alias("det_no"), F.col("circle.x").cast("int").alias("x"), F.col("circle.y").cast("int").alias("y"), F.col("circle.radius").cast("int").alias("radius"), F.lit("added_tree").alias("llm_decision"), F.col("conf").cast("int").alias("llm_confidence"), F.lit("llm_add").alias("source"), F.col("tile_idx").cast("int").alias("tile_idx"), F.col("pos").cast("long").alias("pos"))
     return out.unionByName(added)
 
 

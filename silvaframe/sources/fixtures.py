@@ -41,6 +41,13 @@ FROM (SELECT image_id, x, y, (x * 7 + y * 13 + image_id) AS t, (CAST(floor(x / 7
             WHEN event_id % 5 = 0 THEN concat('[{"id": ', CAST(event_id AS VARCHAR(20)), ', "is_tree": false, "confidence": ', CAST(event_id % 130 AS VARCHAR(20)), '}]')
             ELSE concat('[{"id": ', CAST(event_id AS VARCHAR(20)), ', "is_tree": true, "species": "pine", "confidence": ', CAST(event_id % 101 AS VARCHAR(20)), '.5}]') END AS response_text
 FROM events WHERE event_id % 13 <> 0""",
+    "repair_raw": """SELECT CAST(user_id AS BIGINT) AS image_id, CAST(event_id % 6 AS INT) AS tile_idx, CAST(event_id AS BIGINT) AS answer,
+       CASE WHEN event_id % 11 = 0 THEN 'I found {no list' WHEN event_id % 13 = 0 THEN '[]'
+            WHEN event_id % 3 = 0 THEN concat('Done.', chr(10), '```json', chr(10), '{"keep": [{"id": ', CAST((event_id * 3) % 40 AS VARCHAR(20)), ', "confidence": "', CAST(event_id % 101 AS VARCHAR(20)),
+                 '"}], "adjust": [{"id": "', CAST((event_id * 7) % 40 AS VARCHAR(20)), '", "x": ', CAST((event_id * 17) % 300 AS VARCHAR(20)), '.5, "y": ', CAST((event_id * 19) % 260 AS VARCHAR(20)), ', "radius": ', CAST((event_id * 23) % 95 AS VARCHAR(20)), ', "confidence": ', CAST((event_id * 41) % 120 AS VARCHAR(20)), '}]}', chr(10), '```')
+            WHEN event_id % 3 = 1 THEN concat('{"reject": [{"id": ', CAST((event_id * 5) % 40 AS VARCHAR(20)), ', "confidence": ', CAST((event_id * 13) % 101 AS VARCHAR(20)), '}, {"id": "none"}], "add": "nothing"}')
+            ELSE concat('{"keep": [], "add": [{"x": ', CAST((event_id * 17) % 300 AS VARCHAR(20)), ', "y": ', CAST((event_id * 19) % 260 AS VARCHAR(20)), ', "radius": "', CAST((event_id * 23) % 95 AS VARCHAR(20)), '", "confidence": ', CAST((event_id * 41) % 101 AS VARCHAR(20)), '}]}') END AS response_text
+FROM events""",
     "repair_actions": """SELECT CAST(user_id AS BIGINT) AS image_id, CAST(event_id AS BIGINT) AS pos, CAST(event_id % 6 AS INT) AS tile_idx,
        CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' WHEN 2 THEN 'adjust' ELSE 'add' END AS kind,
        CAST((event_id * 3) % 40 AS BIGINT) AS det_no, CAST((event_id * 17) % 300 AS INT) AS x, CAST((event_id * 19) % 260 AS INT) AS y,
@@ -58,9 +65,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the tables in a directory; nothing is registered in the session."""
     text = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in text}
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text.replace('{"id"', '{{"id"').replace("}]", "}}]"), **used)
+    return spark.sql(text, **used)
 
 
 def with_views(sql: str, *names: str) -> str:
