@@ -19,6 +19,11 @@ def _pair(p: Row, q: Row):
     return d, r1, r2, F.least(r1, r2), F.greatest(r1, r2)
 
 
+def _shares(r1: Column, r2: Column, d: Column, small: Column, need: Column) -> Column:
+    """The common area is at least `need` (null: not looked at) of the smaller disc: worked out once for a pair, and last."""
+    return need.isNotNull() & (lens_area(r1, r2, d) >= need * (math.pi * small * small))
+
+
 def overlap(threshold: float):
     """The common area is at least `threshold` of the smaller disc."""
 
@@ -34,19 +39,16 @@ def pool(threshold: float = 0.74):
 
     def rule(p: Row, q: Row) -> Column:
         d, r1, r2, small, large = _pair(p, q)
-        lens = lens_area(r1, r2, d)
-        of_small, of_large = lens / F.when(small > 0, math.pi * small * small), lens / F.when(large > 0, math.pi * large * large)
         near = lambda least, share: d <= F.greatest(F.lit(least), small * share)
-        return F.coalesce(
-            (small > 0)
-            & (
-                near(3.0, 0.25)
-                | (near(5.0, 0.50) & (of_small >= 0.38))
-                | (((of_small >= threshold) | (of_large >= threshold * 0.70)) & near(10.0, 0.85))
-                | (((of_small >= threshold * 0.65) | (of_large >= threshold * 0.50)) & near(6.0, 0.55))
-            ),
-            F.lit(False),
+        # a share of the larger disc is one of the smaller disc, times the areas' ratio
+        ratio = (large * large) / F.when(small > 0, small * small)
+        either = lambda a, b: F.least(F.lit(a), b * ratio)
+        need = F.least(
+            F.when(near(5.0, 0.50), 0.38),
+            F.when(near(10.0, 0.85), either(threshold, threshold * 0.70)),
+            F.when(near(6.0, 0.55), either(threshold * 0.65, threshold * 0.50)),
         )
+        return (small > 0) & (near(3.0, 0.25) | _shares(r1, r2, d, small, need))
 
     return rule
 
@@ -56,17 +58,8 @@ def dense(factor: float = 1.80, least_overlap: float = 0.10, least_ratio: float
 
     def rule(p: Row, q: Row) -> Column:
         d, r1, r2, small, large = _pair(p, q)
-        of_small = lens_area(r1, r2, d) / F.when(small > 0, math.pi * small * small)
-        return F.coalesce(
-            (small > 0)
-            & (small >= least_ratio * large)
-            & (
-                (d <= F.greatest(F.lit(7.0), small * 0.82))
-                | ((d + small <= large * 1.08) & (of_small >= max(least_overlap, 0.35)))
-                | ((d <= F.greatest(F.lit(10.0), small * factor)) & (of_small >= least_overlap))
-            ),
-            F.lit(False),
-        )
+        need = F.least(F.when(d + small <= large * 1.08, max(least_overlap, 0.35)), F.when(d <= F.greatest(F.lit(10.0), small * factor), least_overlap))
+        return (small > 0) & (small >= least_ratio * large) & ((d <= F.greatest(F.lit(7.0), small * 0.82)) | _shares(r1, r2, d, small, need))
 
     return rule
 

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 Conflict = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, on: list[str], cell: Column | float, condition: Conflict, how: str = "inner") -> DataFrame:
+def grid_pairs(left: DataFrame, right: DataFrame, on: list[str], cell: Column | float, condition: Conflict, how: str = "inner", keep: tuple[list[str] | None, list[str] | None] = (None, None)) -> DataFrame:
     """Pairs (p: struct of left, q: struct of right) that meet `condition`, at most `cell` apart in x and in y.
 
     The left side keeps its own cell, the right one is copied to the nine cells around it, and the join
     is an equi-join on (on, cell x, cell y) with the condition as its residue. Dense groups are split by
-    their cells; nothing is broadcast unless the planner finds a side small.
+    their cells; nothing is broadcast unless the planner finds a side small. keep: the columns that p and q carry
+    besides those that the condition reads; all where None.
     """
+    read = (set(), set())
+    condition(*[lambda c, names=names: names.add(c) or F.col(c) for names in read])
+    left, right = (df if some is None else df.select(*dict.fromkeys([*on, "x", "y", *some, *sorted(names)])) for df, some, names in zip((left, right), keep, read))
     of = lambda c, d: F.floor(F.col(c) / cell + d).cast("long")
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     p = left.select(*on, of("x", 0).alias("_cx"), of("y", 0).alias("_cy"), F.struct("*").alias("p"))

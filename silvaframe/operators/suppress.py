@@ -27,7 +27,7 @@ def _fixpoint(df: DataFrame, conflict: Conflict, by: str, cell: float) -> DataFr
     stays; rows with a better one that stays go. The rounds needed grow with the log of a group at most
     as a rule; every round is written and reread."""
     better = lambda p, q: (q("_rank") < p("_rank")) & conflict(p, q)
-    pairs = grid_pairs(df, df, [by], cell, better)
+    pairs = grid_pairs(df, df, [by], cell, better, keep=(["_rank"], ["_rank"]))
     edges = stage(pairs.select(F.col("p._rank").alias("worse"), F.col("q._rank").alias("better"), F.col(f"p.{by}").alias("g")), "edges")
     gone = None
     while True:
@@ -45,12 +45,17 @@ def suppress(df: DataFrame, rank: list[Column], conflict: Conflict, cell: float,
     """The rows of df that greedy suppression keeps, with all their columns.
 
     `rank` sorts ascending, best first, and has to be total within a group (end it with the row's
-    number). strategy: fold for groups of at most FOLD rows, which is counted; fixpoint for any.
+    number). strategy: fold for groups of at most FOLD rows, which is counted; fixpoint for any; auto takes
+    either for each group by its size.
     """
-    if strategy == "auto":
-        largest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-        strategy = "fold" if largest <= FOLD else "fixpoint"
     ranked = df.withColumn("_rank", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)]))
+    if strategy == "auto":
+        sizes = df.groupBy(by).count()
+        large = stage(sizes.where(F.col("count") > FOLD).select(by), "large")
+        if large.limit(1).count():
+            small = _fold(ranked.join(large, by, "left_anti").select(*ranked.columns), conflict, by)
+            return small.select(*df.columns).unionByName(_fixpoint(ranked.join(large, by, "left_semi"), conflict, by, cell).select(*df.columns))
+        strategy = "fold"
     out = _fold(ranked, conflict, by) if strategy == "fold" else _fixpoint(ranked, conflict, by, cell)
     return out.select(*df.columns)
 
@@ -59,7 +64,7 @@ def first_suppressor(df: DataFrame, kept: DataFrame, rank: list[Column], conflic
     """Rows of df that are not kept, with the best kept row in conflict: duplicate_of_x, _y, _radius."""
     ranked = lambda d: d.withColumn("_rank", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)]))
     gone = ranked(df).join(kept.select(by, "idx"), [by, "idx"], "left_anti")
-    pairs = grid_pairs(gone, ranked(kept), [by], cell, lambda p, q: (q("_rank") < p("_rank")) & conflict(p, q))
+    pairs = grid_pairs(gone, ranked(kept), [by], cell, lambda p, q: (q("_rank") < p("_rank")) & conflict(p, q), keep=(None, ["_rank", "radius"]))
     first = pairs.groupBy("p").agg(F.min(F.struct("q._rank", "q.x", "q.y", "q.radius")).alias("q"))
     return first.select(*[F.col(f"p.{c}") for c in df.columns], F.col("q.x").alias("duplicate_of_x"), F.col("q.y").alias("duplicate_of_y"), F.col("q.radius").alias("duplicate_of_radius"))
 
