@@ -52,6 +52,22 @@ def manifest(images: DataFrame, labels: DataFrame, limit: int | None = None) ->
     )
 
 
+def image_of_label(labels: DataFrame, demo: DataFrame, raw: DataFrame) -> DataFrame:
+    """(stem, label_path, image_path): each label file (stem, path) with the image of its stem, from the demo folder or else
+    from the raw images; labels without an image are left out."""
+    of = lambda df, name: df.groupBy("stem").agg(F.min("path").alias(name))
+    out = labels.select("stem", F.col("path").alias("label_path")).join(of(demo, "_demo"), "stem", "left").join(of(raw, "_raw"), "stem", "left")
+    return out.select("stem", "label_path", F.coalesce("_demo", "_raw").alias("image_path")).where("image_path is not null")
+
+
+def with_classes(rows: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Rows (image_id, idx, species) with the class from their pixels (image_id, idx, n, species, species_confidence) where twenty pixels or more
+    gave one; the row's own class otherwise."""
+    of = pixels.where("n >= 20").select("image_id", "idx", F.col("species").alias("_species"), F.col("species_confidence").alias("_sure"))
+    out = rows.join(of, ["image_id", "idx"], "left")
+    return out.withColumn("species", F.coalesce("_species", "species")).withColumnRenamed("_sure", "species_confidence").drop("_species")
+
+
 def pending(images: DataFrame, done: DataFrame, start_after: str | None = None, limit: int | None = None) -> DataFrame:
     """Images without an output yet, after a name, by name, so many at most."""
     out = images.join(done.select("stem"), "stem", "left_anti")

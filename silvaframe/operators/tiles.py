@@ -64,8 +64,15 @@ def split(stem: Column, tx: Column, ty: Column, train: float = 0.8, seed: str =
     return F.when(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 10000 < int(train * 10000), "train").otherwise("val")
 
 
-def dataset(images: DataFrame, labels: DataFrame, size: int = 640, overlap: float = 0.2, visible: float = 0.65, include_empty: bool = False, train: float = 0.8) -> DataFrame:
-    """(image_id, stem, tile_idx, tx, ty, tw, th, split, lines): a row per tile with its label lines."""
+def dataset(images: DataFrame, labels: DataFrame, size: int = 640, overlap: float = 0.2, visible: float = 0.65, include_empty: bool = False, train: float = 0.8, need_labels: bool = False) -> DataFrame:
+    """(image_id, stem, tile_idx, tx, ty, tw, th, split, lines): a row per tile with its label lines.
+
+    need_labels: an image without any label is an error, raised when the rows are read.
+    """
+    if need_labels:
+        some = labels.select("image_id").distinct().withColumn("_some", F.lit(True))
+        none = F.raise_error(F.concat(F.lit("no labels for image "), F.col("stem")))
+        images = images.join(some, "image_id", "left").withColumn("stem", F.when(F.col("_some"), F.col("stem")).otherwise(none)).drop("_some")
     tiles = generate_tiles(images, size, overlap)
     lines = tile_labels(labels, tiles, visible, size).groupBy("image_id", "tile_idx").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     out = tiles.join(images.select("image_id", "stem"), "image_id").join(lines, ["image_id", "tile_idx"], "left" if include_empty else "inner")

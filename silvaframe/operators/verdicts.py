@@ -140,5 +140,20 @@ def prompt_rows(detections: DataFrame) -> DataFrame:
     return detections.groupBy("image_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("candidates"))
 
 
+def prompts(candidates: DataFrame, template: str) -> DataFrame:
+    """Adds prompt to (image_id, tile_idx, tw, th, candidates): the template with {width}, {height} and {candidates} filled in."""
+    text = F.lit(template)
+    for name, value in (("{width}", F.col("tw").cast("string")), ("{height}", F.col("th").cast("string")), ("{candidates}", F.col("candidates"))):
+        text = F.replace(text, F.lit(name), value)
+    return candidates.withColumn("prompt", text)
+
+
+def tile_candidates(detections: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(image_id, tile_idx, tw, th, candidates): the detections (image_id, det_no, x, y, radius, tile_idx, tx, ty) in each tile, in its own coordinates, as JSON."""
+    row = F.struct(F.col("det_no").alias("id"), (F.col("x") - F.col("tx")).alias("x"), (F.col("y") - F.col("ty")).alias("y"), "radius")
+    listed = detections.groupBy("image_id", "tile_idx").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("candidates"))
+    return tiles.select("image_id", "tile_idx", "tw", "th").join(listed, ["image_id", "tile_idx"], "left").withColumn("candidates", F.coalesce("candidates", F.lit("[]")))
+
+
 def circle_area(radius: Column) -> Column:
     return F.bround(math.pi * radius * radius, 2)

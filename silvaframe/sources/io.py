@@ -7,11 +7,14 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from silvaframe.functions.geometry import parse_contour
+from silvaframe.functions.rules import crown_class
 from silvaframe.operators.labels import IMAGE_SUFFIXES, stem, suffix
 
 LABEL_SCHEMA = "id int, x double, y double, radius double, source string"
@@ -51,7 +54,7 @@ def _raw_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, x, y, radius) of label files for training: the three columns are required, circles without extent are dropped."""
+    """(x, y, radius) of label files for training: the three columns are required, circles without extent are dropped."""
     df = _raw_labels(spark, path)
     _require(df, ("x", "y", "radius"))
     number = lambda c: F.col(c).try_cast("double").alias(c)
@@ -93,6 +96,32 @@ def write_label_set(dataset: DataFrame, path: str) -> None:
     lines.repartition("split", "tile").write.mode("overwrite").partitionBy("split", "tile").text(path)
 
 
+def write_dataset_description(spark: SparkSession, path: str, names: list[str]) -> None:
+    """data.yaml of a label set: where its parts are, and the names of its classes."""
+    lines = [f"path: {path}", "train: images/train", "val: images/val", "names:", *[f"  {k}: {name}" for k, name in enumerate(names)]]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/data.yaml")
+
+
+def encoded(images: DataFrame, column: str = "content") -> DataFrame:
+    """Adds base64: the bytes of an encoded image as text, as a vision model takes them."""
+    return images.withColumn("base64", F.regexp_replace(F.base64(column), r"\s+", ""))
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x, y, radius, source, area_px, circularity, fill_ratio, contour, species) of a results workbook or CSV: contours that are no
+    JSON are null, the class follows from the row. A file that is not there gives no rows."""
+    schema = "id int, x double, y double, radius double, source string, area_px double, circularity double, fill_ratio double, contour string"
+    try:
+        df = _raw_labels(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
+    have = {k: kind for k, kind in (c.rsplit(" ", 1) for c in schema.split(", "))}
+    df = df.select(*[(F.col(k).try_cast(kind) if k in df.columns else F.lit(None).cast(kind)).alias(k) for k, kind in have.items()])
+    return df.withColumn("contour", parse_contour(F.col("contour"))).withColumn("species", crown_class(F.col("source"), F.col("radius"), F.col("area_px"), F.col("fill_ratio")))
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
