@@ -120,7 +120,7 @@ def square(size: int) -> list[tuple[int, int]]:
 
 
 def _reach(masks: DataFrame, kernels: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """Each mask becomes true where any pixel under its kernel is. Pixels outside the image count for nothing.
+    """Each mask becomes true where any pixel under its kernel is. Pixels outside the image, a whole rectangle, count for nothing.
 
     A kernel's rows have to be whole and centred, and no wider away from its middle, as squares, crosses and
     ellipses have them: then it is a union of rectangles, one for each width, and a rectangle is a window along

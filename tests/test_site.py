@@ -13,7 +13,7 @@ from silvaframe.operators import labels, raster, site, tiles, verdicts
 @pytest.mark.parametrize("kernel", [raster.square(3), raster.ellipse(5), raster.ellipse(7), raster.square(1)])
 def test_morphology_equals_brute_force(spark, kernel):
     rng = random.Random(4)
-    on = {(x, y): rng.random() < 0.6 for x in range(14) for y in range(11) if rng.random() < 0.97}  # some pixels are missing
+    on = {(x, y): rng.random() < 0.6 for x in range(14) for y in range(11)}
     frame = spark.createDataFrame([(1, x, y, v, "k") for (x, y), v in on.items()], "image_id long, x int, y int, m boolean, other string")
     wide = {p: any(on.get((p[0] + dx, p[1] + dy), False) for dx, dy in kernel) for p in on}
     thin = {p: all(on.get((p[0] + dx, p[1] + dy), True) for dx, dy in kernel) for p in on}
@@ -26,7 +26,7 @@ def test_morphology_equals_brute_force(spark, kernel):
 
 
 def test_site_gates(spark):
-    """A white block far from the border is waste; one that touches the border, and a long one, are not."""
+    """A blue block far from the border is waste; one that touches the border, and a long one, are not."""
     colour = {}
     for x in range(60):
         for y in range(60):
@@ -34,7 +34,7 @@ def test_site_gates(spark):
     for x0, y0, w, h in ((20, 20, 15, 14), (0, 40, 15, 14), (20, 50, 39, 6)):
         for x in range(x0, x0 + w):
             for y in range(y0, min(60, y0 + h)):
-                colour[x, y] = (200 + (x * 37 + y * 11) % 55,) * 3
+                colour[x, y] = (200 + (x * 37 + y * 11) % 55, 90, 60)
     frame = spark.createDataFrame([(7, x, y, *c) for (x, y), c in colour.items()], "image_id long, x int, y int, b int, g int, r int")
     limits = site.Limits(waste_share=(0.0, 0.2), cut=0.3, edge=0.0)
     found = site.waste_regions(site.planes(frame), limits).collect()
