@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: they are whole texts here.
-BATCH = 2048
+BATCH = 1024
 
 
 def short_batches(spark: SparkSession) -> None:

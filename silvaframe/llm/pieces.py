@@ -15,11 +15,11 @@ from .common import frugal, mix, short_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a worker remembers at most, in each of two generations, and the longest segment that is remembered.
-REMEMBERED, SHORT = 100_000, 64
+REMEMBERED, SHORT = 40_000, 64
 #: Windows of this many of the longest piece; characters that are segmented together; lanes from which they advance in step.
 WINDOW, TOGETHER, LANES = 4, 100_000, 8
-#: Slots of the memory of pairs of pieces (a power of two): 9 MB, whatever the input.
-PAIRS = 1 << 20
+#: Slots of the memory of pairs of pieces (a power of two): 5 MB, whatever the input.
+PAIRS = 1 << 19
 
 
 class Table:
@@ -479,7 +479,7 @@ def encode_documents(documents: DataFrame, path: str = MODEL, keep: list[str] |
     def run(batches):
         p = model.value
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
+            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
                 texts = batch.column(len(keep)).to_pylist()
                 raw = p.encode_many(texts)
                 same = pa.array([None if t is None else p.decode(np.frombuffer(i, np.int32).tolist()) == t for t, i in zip(texts, raw)], pa.bool_())
