@@ -169,7 +169,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 # --- word hashes over raw UTF-8 bytes, for whole Arrow batches at once ---
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z

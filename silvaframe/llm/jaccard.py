@@ -98,12 +98,12 @@ def _describe(n: int, percent: int):
                 if x is not None and (x, y) not in seen:
                     seen.add((x, y))
                     new.append(s)
-            if len(seen) > 100_000:
+            if len(seen) > 30_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)] + [pa.nulls(len(out), pa.int64())], ["doc_id", "n_shingles", "s1", "s2", "n_sampled", "gram"])
             counts += new
             kept += sum(map(len, new))
-            if kept > 2_000_000:
+            if kept > 1_000_000:
                 yield from _repeated(counts)
                 counts, kept = [], 0
         yield from _repeated(counts)
