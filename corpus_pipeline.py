@@ -24,11 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the documents has."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """The documents written with a number of each row, and the name of its column: ids may be null or repeat."""
-    key = "_row"
-    while key in map(str.lower, docs.columns):
-        key += "_"
+    key = unused(docs, "_row")
     return scratch.save(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
@@ -59,9 +64,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Takes each row as often as its source's weight asks for."""
     scratch = Scratch(spark, "pipeline-mixing")
     rows, key = keyed(docs, scratch)
-    copies = scratch.save(mixing.mix_sources(rows, row_col=key).where("copies <> 1").select(key, F.col("copies").alias("_copies")))
-    out = rows.join(copies, key, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    n = unused(rows, "_copies")
+    copies = scratch.save(mixing.mix_sources(rows, row_col=key).where("copies <> 1").select(key, F.col("copies").alias(n)))
+    out = rows.join(copies, key, "left").withColumn(n, F.coalesce(n, F.lit(1)))
+    out = out.where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
     out._reads = [rows]
     return out
 
