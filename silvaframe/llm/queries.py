@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
 from .common import table
 
@@ -64,10 +62,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_mixing": mixing.mix_oracle(), "op3_jaccard_join": jaccard.jaccard_oracle(), "op4_embedding_dedup": itq.near_duplicates_oracle(), "op5_quality_rules": quality.quality_oracle(), "op6_sharding": sharding.shard_oracle(), "op7_chat_formatting": chat.format_oracle()}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {
+        "op2_mixing": mixing.mix_oracle(),
+        "op3_jaccard_join": jaccard.jaccard_oracle(),
+        "op4_embedding_dedup": itq.near_duplicates_oracle(),
+        "op5_quality_rules": quality.quality_oracle(),
+        "op6_sharding": sharding.shard_oracle(),
+        "op7_chat_formatting": chat.format_oracle(),
+    }

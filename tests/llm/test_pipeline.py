@@ -64,3 +64,18 @@ def test_rows_keep_apart_whatever_their_ids(spark):
     for r in mixing.mix_sources(frame, row_col="text").where("n_tokens > 0").collect():
         spread[r.source].add(want[r.doc_id, r.text])
     assert all(max(s) - min(s) <= 1 for s in spread.values())
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Columns named as what the stages use inside, null and repeated ids, and an empty table."""
+    names = ["_row", "_copies", "_copy", "component_id", "n_tokens", "lang_pred", "key"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    texts = [f"word{i} kaloka minola {i * 7} tuvo renak {i % 3} sopi" for i in range(12)] + ["same text of eight words in all here"] * 3
+    rows = [(None if i % 5 == 0 else i % 4, t, "en", "s", len(t), *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (cp.jaccard_join, cp.secret_scan, cp.source_mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= set(rows) and len({r[1] for r in got}) == len({r[1] for r in rows})
+        assert stage(spark, docs.limit(0), "").count() == 0
