@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
+from . import chat, fim, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -73,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.quality_oracle(),
         "op6_sharding": sharding.shard_oracle(),
         "op7_chat_formatting": chat.format_oracle(),
+        "op13_fill_in_middle": fim.fill_oracle(),
     }
