@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fim, html_text, itq, jaccard, langid, mixing, pieces, quality, secrets, sharding
+from . import chat, fim, html_text, itq, jaccard, langid, mixing, pieces, postings, quality, secrets, sharding
 from .common import table
 
 
@@ -50,6 +50,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return postings.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
