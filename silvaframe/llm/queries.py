@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fim, html_text, itq, jaccard, langid, mixing, pieces, postings, quality, secrets, sharding
+from . import chat, fim, html_text, itq, jaccard, langid, mixing, pieces, postings, quality, secrets, sharding, structure
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure.digest(turns, structure.repair_structure(structure.damaged(turns)))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
         "op11_nearest_neighbours": op11_nearest_neighbours,
+        "op12_structure_repair": op12_structure_repair,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -84,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.quality_oracle(),
         "op6_sharding": sharding.shard_oracle(),
         "op7_chat_formatting": chat.format_oracle(),
+        "op12_structure_repair": structure.structure_oracle(),
         "op13_fill_in_middle": fim.fill_oracle(),
     }
