@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +20,16 @@ def colour(pixels: DataFrame) -> DataFrame:
     span = (top - low).cast("double")
     turn = F.when(span == 0, 0.0).when(top == r, 60.0 * (g - b) / F.nullif(span, F.lit(0.0))).when(top == g, 120.0 + 60.0 * (b - r) / F.nullif(span, F.lit(0.0))).otherwise(240.0 + 60.0 * (r - g) / F.nullif(span, F.lit(0.0)))
     turn = F.when(turn < 0, turn + 360.0).otherwise(turn)
-    return pixels.withColumns(
-        {
-            "h": (F.bround(turn / 2.0, 0).cast("int") % 180).cast("int"),
-            "s": F.when(top == 0, 0).otherwise(F.bround(255.0 * span / F.nullif(top, F.lit(0)), 0).cast("int")),
-            "v": top.cast("int"),
-            "gray": F.bround(0.114 * b + 0.587 * g + 0.299 * r, 0).cast("int"),
-            "exg": (2 * g - r - b).cast("int"),
-            "delta": (top - low).cast("int"),
-        }
+    # a list of one struct: the planner writes none of this out again in the masks and filters that read it
+    found = F.struct(
+        (F.bround(turn / 2.0, 0).cast("int") % 180).cast("int").alias("h"),
+        F.when(top == 0, 0).otherwise(F.bround(255.0 * span / F.nullif(top, F.lit(0)), 0).cast("int")).alias("s"),
+        top.cast("int").alias("v"),
+        F.bround(0.114 * b + 0.587 * g + 0.299 * r, 0).cast("int").alias("gray"),
+        (2 * g - r - b).cast("int").alias("exg"),
+        (top - low).cast("int").alias("delta"),
     )
+    return pixels.select("*", F.inline(F.array(found)))
 
 
 def _between(c: str, low: int, high: int) -> Column:
@@ -162,34 +162,35 @@ def closed(pixels: DataFrame, mask: str | list[str], kernel: list[tuple[int, int
     return _changed(pixels, [mask] if isinstance(mask, str) else mask, "de", kernel)
 
 
-def components(pixels: DataFrame, mask: str) -> DataFrame:
-    """The masked pixels with label: the least y * 1e6 + x of their 8-connected component.
+def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",), diagonal: bool = True) -> DataFrame:
+    """The masked pixels with label: the least y * 1e6 + x of their component, 8-connected or by sides only.
 
-    Runs of a row are found first (a window within rows), so rounds move one record per run, not per
-    pixel; then runs that touch pass on the least label, with a jump to the label's own label, until
-    nothing changes. Each round is written and reread.
+    by: the columns that keep pixels apart, so that regions that overlap in one image can be told too. Runs of a row are
+    found first (a window within rows), so rounds move one record per run, not per pixel; then runs that touch pass on the
+    least label, with a jump to the label's own label, until nothing changes. Each round is written and reread.
     """
+    by = list(by)
     key = F.col("y").cast("long") * 1_000_000 + F.col("x")
-    row = Window.partitionBy("image_id", "y").orderBy("x")
+    row = Window.partitionBy(*by, "y").orderBy("x")
     on = stage(pixels.where(mask), "masked")  # what the mask is made of is worked out once
     on = on.withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
-    on = on.withColumn("_run", F.sum("_new").over(row)).withColumn("run", F.min(key).over(Window.partitionBy("image_id", "y", "_run"))).drop("_new", "_run")
+    on = on.withColumn("_run", F.sum("_new").over(row)).withColumn("run", F.min(key).over(Window.partitionBy(*by, "y", "_run"))).drop("_new", "_run")
     on = stage(on, "runs")
-    runs = on.groupBy("image_id", "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
+    runs = on.groupBy(*by, "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
     a, b = runs.alias("a"), runs.withColumn("up", F.col("y") + 1).alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.up")) & (F.col("a.x1") <= F.col("b.x2") + 1) & (F.col("b.x1") <= F.col("a.x2") + 1)
-    links = a.join(b, touch).select("a.image_id", F.col("a.run").alias("u"), F.col("b.run").alias("v"))
-    links = stage(links.unionByName(links.select("image_id", F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    label = runs.select("image_id", "run", F.col("run").alias("label"))
+    touch = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.y") == F.col("b.up")) & (F.col("a.x1") <= F.col("b.x2") + int(diagonal)) & (F.col("b.x1") <= F.col("a.x2") + int(diagonal))
+    links = a.join(b, touch).select(*[f"a.{c}" for c in by], F.col("a.run").alias("u"), F.col("b.run").alias("v"))
+    links = stage(links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    label = runs.select(*by, "run", F.col("run").alias("label"))
     while True:
-        heard = links.join(label, [links["image_id"] == label["image_id"], links["v"] == label["run"]]).groupBy(links["image_id"], links["u"].alias("run")).agg(F.min("label").alias("heard"))
-        low = label.join(heard, ["image_id", "run"], "left").select("image_id", "run", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
-        jump = low.select("image_id", F.col("run").alias("now"), F.col("now").alias("further"))
-        new = stage(low.join(jump, ["image_id", "now"]).select("image_id", "run", "was", F.col("further").alias("label")), "labels")
+        heard = links.withColumnRenamed("v", "run").join(label, [*by, "run"]).groupBy(*by, F.col("u").alias("run")).agg(F.min("label").alias("heard"))
+        low = label.join(heard, [*by, "run"], "left").select(*by, "run", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
+        jump = low.select(*by, F.col("run").alias("now"), F.col("now").alias("further"))
+        new = stage(low.join(jump, [*by, "now"]).select(*by, "run", "was", F.col("further").alias("label")), "labels")
         if not new.where("was <> label").limit(1).count():
             break
-        label = new.select("image_id", "run", "label")
-    return on.join(new.select("image_id", "run", "label"), ["image_id", "run"]).drop("run")
+        label = new.select(*by, "run", "label")
+    return on.join(new.select(*by, "run", "label"), [*by, "run"]).drop("run")
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
