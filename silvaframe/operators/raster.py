@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,25 @@ def tree_mask(s: int = 25, v: int = 40, exg: int = 10) -> Column:
     return _between("h", 28, 105) & (F.col("s") >= s) & (F.col("v") >= v) & (F.col("exg") >= exg)
 
 
-def vote_mask(a_plane: Column | None = None, lightness: Column | None = None, exg: int = 10) -> Column:
-    """Two votes of three: a green hue, an excess of green, a greenish plane a of Lab; without that plane it counts as a vote.
-    Shadows go: dark pixels, or those of little lightness where it is known."""
-    votes = [_between("h", 25, 110), F.col("exg") >= exg, F.lit(True) if a_plane is None else a_plane < 122]
-    shadow = F.col("v") < 40 if lightness is None else (F.col("v") < 40) | (lightness < 35)
-    return (sum((v.cast("int") for v in votes), F.lit(0)) >= 2) & ~shadow
+def vote_mask(a_plane: Column | None = None, lightness: Column | None = None, exg: int = 10, s: int = 0, v: int = 0, shadow: bool = True) -> Column:
+    """Two votes of three: a green hue, saturated and lit enough, an excess of green, a greenish plane a of Lab; without that plane it counts
+    as a vote. Shadows go: dark pixels, or those of little lightness where it is known."""
+    votes = [_between("h", 25, 110) & (F.col("s") >= s) & (F.col("v") >= v), F.col("exg") >= exg, F.lit(True) if a_plane is None else a_plane < 122]
+    dark = F.col("v") < 40 if lightness is None else (F.col("v") < 40) | (lightness < 35)
+    return (sum((x.cast("int") for x in votes), F.lit(0)) >= 2) & (~dark if shadow else F.lit(True))
+
+
+def lab(pixels: DataFrame) -> DataFrame:
+    """Adds lab_l and lab_a (0..255): lightness, and green against red about 128, of sRGB under daylight, as 8-bit image code defines them."""
+    linear = lambda c: F.when(F.col(c) / 255.0 > 0.04045, F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255.0 / 12.92)
+    rgb = pixels.select("*", F.inline(F.array(F.struct(linear("r").alias("_r"), linear("g").alias("_g"), linear("b").alias("_b")))))
+    x = (0.412453 * F.col("_r") + 0.357580 * F.col("_g") + 0.180423 * F.col("_b")) / 0.950456
+    y = 0.212671 * F.col("_r") + 0.715160 * F.col("_g") + 0.072169 * F.col("_b")
+    bent = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    light = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
+    byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(c, 0).cast("int")))
+    found = F.struct(byte(light * 2.55).alias("lab_l"), byte(500 * (bent(x) - bent(y)) + 128).alias("lab_a"))
+    return rgb.select(*pixels.columns, F.inline(F.array(found)))
 
 
 def red_mask() -> Column:
@@ -162,12 +177,47 @@ def closed(pixels: DataFrame, mask: str | list[str], kernel: list[tuple[int, int
     return _changed(pixels, [mask] if isinstance(mask, str) else mask, "de", kernel)
 
 
+#: Rows of an image whose links are brought together.
+BAND = 256
+
+
+def _stars(by: list[str]):
+    """Links (*by, u, v) of each batch as links of every run to the least one that it hangs together with in it."""
+
+    def run(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            space = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            ends = pd.DataFrame({"s": np.tile(space, 2), "k": np.concatenate([frame["u"], frame["v"]])})
+            code = ends.groupby(["s", "k"]).ngroup().to_numpy()  # in order of k within a space
+            a, b = code[: len(frame)], code[len(frame) :]
+            label = np.arange(code.max() + 1)
+            while True:
+                low = np.minimum(label[a], label[b])
+                new = label.copy()
+                for at in (a, b, label[a], label[b]):
+                    np.minimum.at(new, at, low)
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            first = np.zeros(len(label), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]  # a place where each run is named
+            child = np.flatnonzero(label != np.arange(len(label)))
+            out = frame[by].iloc[first[child] % len(frame)].reset_index(drop=True)
+            yield out.assign(u=ends["k"].to_numpy()[first[child]], v=ends["k"].to_numpy()[first[label[child]]])
+
+    return run
+
+
 def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",), diagonal: bool = True) -> DataFrame:
     """The masked pixels with label: the least y * 1e6 + x of their component, 8-connected or by sides only.
 
     by: the columns that keep pixels apart, so that regions that overlap in one image can be told too. Runs of a row are
-    found first (a window within rows), so rounds move one record per run, not per pixel; then runs that touch pass on the
-    least label, with a jump to the label's own label, until nothing changes. Each round is written and reread.
+    found first (a window within rows), so all that follows moves one record per run, not per pixel. Links of a band of rows
+    are brought down to stars where they lie; then runs pass on the least label, with a jump to the label's own label,
+    until nothing changes: at once for images of one band. Each round is written and reread.
     """
     by = list(by)
     key = F.col("y").cast("long") * 1_000_000 + F.col("x")
@@ -179,7 +229,8 @@ def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",)
     runs = on.groupBy(*by, "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
     a, b = runs.alias("a"), runs.withColumn("up", F.col("y") + 1).alias("b")
     touch = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.y") == F.col("b.up")) & (F.col("a.x1") <= F.col("b.x2") + int(diagonal)) & (F.col("b.x1") <= F.col("a.x2") + int(diagonal))
-    links = a.join(b, touch).select(*[f"a.{c}" for c in by], F.col("a.run").alias("u"), F.col("b.run").alias("v"))
+    links = a.join(b, touch).select(*[f"a.{c}" for c in by], F.col("a.run").alias("u"), F.col("b.run").alias("v"), F.expr(f"a.y div {BAND}").alias("_band"))
+    links = links.repartition(*by, "_band").drop("_band").mapInPandas(_stars(by), links.drop("_band").schema)
     links = stage(links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))), "links")
     label = runs.select(*by, "run", F.col("run").alias("label"))
     while True:
@@ -225,11 +276,12 @@ def grid(pixels: DataFrame, rows: int = 6, cols: int = 8) -> DataFrame:
 
 
 def in_discs(pixels: DataFrame, discs: DataFrame, cell: int) -> DataFrame:
-    """Pixels with each disc (image_id, idx, cx, cy, radius) that holds them: an equi-join on grid squares."""
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    """Pixels with each disc (image_id, idx, cx, cy, radius) that holds them: an equi-join on grid squares of side `cell`.
+
+    A disc is copied to the squares that it reaches, so its radius may be anything; `cell` only decides how many these are."""
     p = pixels.withColumn("_gx", F.floor(F.col("x") / cell)).withColumn("_gy", F.floor(F.col("y") / cell))
-    d = discs.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    d = d.withColumn("_gx", F.floor(F.col("cx") / cell) + F.col("_dx")).withColumn("_gy", F.floor(F.col("cy") / cell) + F.col("_dy")).drop("_dx", "_dy")
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius")) / cell), F.floor((F.col(c) + F.col("radius")) / cell)))
+    d = discs.where("radius >= 0").withColumn("_gx", reach("cx")).withColumn("_gy", reach("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     return p.join(d, ["image_id", "_gx", "_gy"]).where(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).drop("_gx", "_gy")
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silvaframe.operators import field, raster, shape
-from silvaframe.plans.pixels import _REACH, HSV, pixels
+from silvaframe.plans.pixels import HSV, _morph, pixels
 from silvaframe.plans.registry import query
 from silvaframe.plans.scratch import stage
-from silvaframe.sources.fixtures import with_views
+from silvaframe.sources.fixtures import view, with_views
 
+#: 8-connected components: the first pixels of neighbourhoods spread their number to what comes behind them.
+_REACH = """on_ AS (SELECT image_id, x, y, y::BIGINT * 1000000 + x AS id FROM px WHERE {mask}),
+e AS (SELECT a.image_id, a.id AS u, b.id AS v FROM on_ a JOIN on_ b ON b.image_id = a.image_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.id <> b.id),
+reach AS (SELECT image_id, id, id AS label FROM on_ WHERE (image_id, id) NOT IN (SELECT (image_id, u) FROM e WHERE v < u) UNION SELECT e.image_id, e.v, r.label FROM reach r JOIN e ON e.image_id = r.image_id AND e.u = r.id AND e.v > r.label),
+lab AS (SELECT o.*, r.label FROM on_ o JOIN (SELECT image_id, id, min(label) AS label FROM reach GROUP BY 1, 2) r ON r.image_id = o.image_id AND r.id = o.id)"""
 _LAB = f"{HSV}, {_REACH.format(mask='bare')}"
 #: The cracks of regions with their successors, followed one by one from the top side of each region's first pixel.
 _CRACKS = """nb AS (SELECT a.image_id, a.label, a.x, a.y, bool_or(b.x = a.x AND b.y = a.y - 1) AS n, bool_or(b.x = a.x + 1 AND b.y = a.y) AS e, bool_or(b.x = a.x AND b.y = a.y + 1) AS s, bool_or(b.x = a.x - 1 AND b.y = a.y) AS w,
@@ -63,14 +68,18 @@ def seg12_hulls(spark, d):
     return shape.hulls(regions(spark, d)).select("image_id", "label", F.inline("hull"))
 
 
-@query(
-    with_views(
-        f"""WITH RECURSIVE {_LAB}, {_HULL},
-    two AS (SELECT a.image_id, a.label, (a.x + b.x) / 2.0::DOUBLE AS cx, (a.y + b.y) / 2.0::DOUBLE AS cy, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4.0::DOUBLE AS r2 FROM corner a JOIN corner b ON a.image_id = b.image_id AND a.label = b.label AND (a.x, a.y) <= (b.x, b.y)),
+#: All circles through two or three corners, and those of them that hold all corners.
+_CIRCLES = """two AS (SELECT a.image_id, a.label, (a.x + b.x) / 2.0::DOUBLE AS cx, (a.y + b.y) / 2.0::DOUBLE AS cy, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4.0::DOUBLE AS r2 FROM corner a JOIN corner b ON a.image_id = b.image_id AND a.label = b.label AND (a.x, a.y) <= (b.x, b.y)),
     tri AS (SELECT a.image_id, a.label, a.x, a.y, (b.x - a.x)::DOUBLE AS ux, (b.y - a.y)::DOUBLE AS uy, (c.x - a.x)::DOUBLE AS vx, (c.y - a.y)::DOUBLE AS vy FROM corner a JOIN corner b ON a.image_id = b.image_id AND a.label = b.label AND (a.x, a.y) < (b.x, b.y) JOIN corner c ON a.image_id = c.image_id AND a.label = c.label AND (b.x, b.y) < (c.x, c.y)),
     off AS (SELECT image_id, label, x, y, (vy * (ux * ux + uy * uy) - uy * (vx * vx + vy * vy)) / (2 * (ux * vy - uy * vx)) AS ox, (ux * (vx * vx + vy * vy) - vx * (ux * ux + uy * uy)) / (2 * (ux * vy - uy * vx)) AS oy FROM tri WHERE ux * vy <> uy * vx),
     cand AS (SELECT image_id, label, cx, cy, r2 FROM two UNION ALL SELECT image_id, label, x + ox, y + oy, ox * ox + oy * oy FROM off),
-    fits AS (SELECT q.image_id, q.label, q.cx, q.cy, q.r2 FROM cand q JOIN corner p ON p.image_id = q.image_id AND p.label = q.label GROUP BY 1, 2, 3, 4, 5 HAVING max((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) <= r2 + 1e-9 * (1 + r2))
+    fits AS (SELECT q.image_id, q.label, q.cx, q.cy, q.r2 FROM cand q JOIN corner p ON p.image_id = q.image_id AND p.label = q.label GROUP BY 1, 2, 3, 4, 5 HAVING max((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) <= r2 + 1e-9 * (1 + r2))"""
+
+
+@query(
+    with_views(
+        f"""WITH RECURSIVE {_LAB}, {_HULL},
+    {_CIRCLES}
     SELECT image_id, label, round(arg_min(cx, r2), 5) AS ex, round(arg_min(cy, r2), 5) AS ey, round(sqrt(min(r2)), 6) AS er FROM fits GROUP BY image_id, label""",
         "pixels",
     )
@@ -81,10 +90,10 @@ def seg9_enclosing_circles(spark, d):
     return found.select("image_id", "label", F.round("ex", 5).alias("ex"), F.round("ey", 5).alias("ey"), F.round("er", 6).alias("er"))
 
 
-_D2 = "d2 AS (SELECT a.image_id, a.x, a.y, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM px a JOIN px b ON b.image_id = a.image_id AND NOT b.{mask} GROUP BY 1, 2, 3)"
+_D2 = "d2 AS (SELECT a.image_id, a.x, a.y, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM {px} a JOIN {px} b ON b.image_id = a.image_id AND NOT b.{mask} GROUP BY 1, 2, 3)"
 
 
-@query(with_views(f"WITH {HSV}, {_D2.format(mask='tree')} SELECT image_id, x, y, d2::BIGINT AS d2 FROM d2 WHERE d2 > 0", "pixels"))
+@query(with_views(f"WITH {HSV}, {_D2.format(px='px', mask='tree')} SELECT image_id, x, y, d2::BIGINT AS d2 FROM d2 WHERE d2 > 0", "pixels"))
 def seg3_distance(spark, d):
     """The squared distance of each tree pixel to the nearest other one."""
     return field.distance_squared(pixels(spark, d), "tree").where("d2 > 0")
@@ -97,13 +106,13 @@ _FIELD = ", ".join(
     [
         _D2,
         _TAPS,
-        f"b1 AS (SELECT a.image_id, a.x, a.y, sum(w * sqrt(b.d2)) AS v FROM d2 a, taps JOIN d2 b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {_MIRROR.format(at='a.x + k', last=39, twice=78)} GROUP BY 1, 2, 3)",
-        f"dist AS (SELECT a.image_id, a.x, a.y, round(sum(w * b.v), 4) AS distance FROM b1 a, taps JOIN b1 b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {_MIRROR.format(at='a.y + k', last=24, twice=48)} GROUP BY 1, 2, 3)",
+        f"b1 AS (SELECT a.image_id, a.x, a.y, sum(w * sqrt(b.d2)) AS v FROM d2 a, taps JOIN d2 b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {_MIRROR.format(at='a.x + k', last='{right}', twice='2 * {right}')} GROUP BY 1, 2, 3)",
+        f"dist AS (SELECT a.image_id, a.x, a.y, round(sum(w * b.v), 4) AS distance FROM b1 a, taps JOIN b1 b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {_MIRROR.format(at='a.y + k', last='{bottom}', twice='2 * {bottom}')} GROUP BY 1, 2, 3)",
     ]
 )
 
 
-@query(with_views(f"WITH {HSV}, {_FIELD.format(mask='tree')} SELECT image_id, x, y, distance FROM dist", "pixels"))
+@query(with_views(f"WITH {HSV}, {_FIELD.format(px='px', mask='tree', right=39, bottom=24)} SELECT image_id, x, y, distance FROM dist", "pixels"))
 def seg2_blurred_distance(spark, d):
     """The distance field, blurred."""
     return field.distance(pixels(spark, d), "tree")
@@ -116,31 +125,33 @@ _PEAKS = ", ".join(
         f"kern AS (SELECT i - 6 AS dy, unnest(range(-h, h + 1)) AS dx FROM (SELECT unnest(range(0, 13)) AS i, unnest({_HALF13}) AS h))",
         "low AS (SELECT image_id, x, y, greatest(distance - 1.5::DOUBLE, 0) AS height FROM dist)",
         "peak AS (SELECT a.image_id, a.x, a.y FROM low a, kern JOIN low b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy WHERE a.height >= 2 GROUP BY a.image_id, a.x, a.y, a.height HAVING max(b.height) = a.height)",
-        "cross3 AS (SELECT DISTINCT p.image_id, p.x + dx AS x, p.y + dy AS y FROM peak p, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) c(dx, dy) WHERE p.x + dx BETWEEN 0 AND 39 AND p.y + dy BETWEEN 0 AND 24)",
+        "cross3 AS (SELECT DISTINCT p.image_id, p.x + dx AS x, p.y + dy AS y FROM peak p, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) c(dx, dy) WHERE p.x + dx BETWEEN 0 AND 79 AND p.y + dy BETWEEN 0 AND 49)",
         _REACH.format(mask="true").replace("FROM px WHERE true", "FROM cross3"),
     ]
 )
-#: Kruskal's algorithm, pass by pass: basins of an image as a list, those with a marker below zero.
-_KRUSKAL = """span AS (SELECT image_id, min(distance) AS low, max(distance) AS high FROM dist GROUP BY image_id),
-ground AS (SELECT p.image_id, p.x, p.y, row_number() OVER (PARTITION BY p.image_id ORDER BY p.y, p.x) AS i, p.y::BIGINT * 1000000 + p.x AS key, CASE WHEN high > low THEN trunc((high - distance) * 255.0::DOUBLE / (high - low))::INT ELSE 0 END AS e, l.label AS marker
-  FROM px p JOIN dist USING (image_id, x, y) JOIN span USING (image_id) LEFT JOIN lab l ON l.image_id = p.image_id AND l.x = p.x AND l.y = p.y WHERE p.{mask} AND p.image_id IN (SELECT image_id FROM lab)),
-way AS (SELECT a.image_id, a.i AS u, b.i AS v, row_number() OVER (PARTITION BY a.image_id ORDER BY greatest(a.e, b.e), a.key, b.key) AS k FROM ground a JOIN ground b ON b.image_id = a.image_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))),
-kru AS (SELECT image_id, 0::BIGINT AS k, list(CASE WHEN marker IS NULL THEN i ELSE -1 - marker END ORDER BY i) AS basin FROM ground GROUP BY image_id
-  UNION ALL SELECT image_id, k, CASE WHEN a = b OR (a < 0 AND b < 0) THEN basin ELSE list_transform(basin, lambda q: CASE WHEN q = greatest(a, b) THEN least(a, b) ELSE q END) END FROM (
-    SELECT kru.image_id, way.k, basin, basin[u] AS a, basin[v] AS b FROM kru JOIN way ON way.image_id = kru.image_id AND way.k = kru.k + 1)),
-flooded AS (SELECT g.image_id, g.x, g.y, CASE WHEN f.basin[g.i] < 0 THEN -1 - f.basin[g.i] END AS label FROM ground g JOIN (SELECT image_id, max_by(basin, k) AS basin FROM kru GROUP BY image_id) f USING (image_id))"""
-
-
-@query(with_views(f"WITH RECURSIVE {HSV}, {_FIELD.format(mask='dark')}, {_PEAKS}, {_KRUSKAL.format(mask='dark')} SELECT image_id, x, y, label FROM flooded", "pixels"))
+_CANOPY = HSV.replace("FROM pixels)", "FROM canopy)")
+#: The tree mask opened and closed by a cross of 3.
+_CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+_CLEAN = ", ".join(["m0 AS (SELECT image_id, x, y, tree AS m FROM px)", *[_morph(f"m{k}", f"m{k + 1}", test, _CROSS) for k, test in enumerate(("bool_and", "bool_or", "bool_or", "bool_and"))]])
+
+
+def canopy(spark, d):
+    """Pixels of crowns that grow into each other, with the mask tree, opened and closed."""
+    p = raster.colour(view(spark, d, "canopy")).select("image_id", "x", "y", raster.tree_mask().alias("tree"))
+    return raster.closed(raster.opened(p, "tree", raster.ellipse(3)), "tree", raster.ellipse(3))
+
+
+@query(with_views(f"WITH RECURSIVE {_CANOPY}, {_CLEAN}, {_FIELD.format(px='m4', mask='m', right=79, bottom=49)}, {_PEAKS} SELECT image_id, x, y, label AS marker FROM lab", "canopy"))
+def seg4_markers(spark, d):
+    """Peaks of the distance field of trees."""
+    on = stage(canopy(spark, d), "mask")
+    return field.markers(stage(field.distance(on, "tree"), "distance"), on.where("tree"), 13, 2)
+
+
+@query()
 def seg4_watershed(spark, d):
-    """Dark pixels by the peak of the distance field that water reaches them from."""
-    p = pixels(spark, d).withColumn("dark", raster.dark_crown())
-    on = stage(p.select("image_id", "x", "y", "dark"), "mask")
-    heights = stage(field.distance(on, "dark"), "distance")
-    span = heights.groupBy("image_id").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-    peaks = field.markers(heights, on.where("dark"), 13, 2)
-    ground = on.where("dark").join(heights, raster.PIXEL).join(span, "image_id").join(peaks, raster.PIXEL, "left").join(peaks.select("image_id").distinct(), "image_id", "left_semi")
-    return field.flood(ground.select(*raster.PIXEL, field.elevation(F.col("distance"), F.col("low"), F.col("high")).alias("elevation"), "marker"))
+    """Tree pixels by the peak of the distance field that water reaches them from. SQL has no flood: tests hold it against one pixel after another."""
+    return field.crowns(canopy(spark, d), "tree")[0]
 
 
 _RINGS = "rings AS (SELECT image_id, x, y, NOT ((greatest(abs(x % 20 - 10), abs(y - 12)) % 3 <> 0) OR (x + y * 3 + image_id) % 17 = 0) AS m FROM px)"

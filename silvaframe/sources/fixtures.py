@@ -60,6 +60,20 @@ FROM events""",
 }
 _TABLES = ("events", "nation")
 
+# Crowns around the points of a grid of 20 pixels, each a little off its point, of 7 to 11 pixels' radius, so that some grow
+# into each other; here and there a pixel shows the ground. Each event gives four pixels of an image of 80 x 50.
+_PLACES = " UNION ALL ".join(f"SELECT CAST(floor(event_id / 1000) AS BIGINT) AS image_id, CAST((event_id % 40) * 2 + {dx} AS INT) AS x, CAST(floor((event_id % 1000) / 40) * 2 + {dy} AS INT) AS y FROM events" for dx in (0, 1) for dy in (0, 1))
+_NEAR = " OR ".join(
+    f"(x - 20 * (i + {di}) - ((i + {di}) * 7 + (j + {dj}) * 13 + image_id * 5) % 7 + 3) * (x - 20 * (i + {di}) - ((i + {di}) * 7 + (j + {dj}) * 13 + image_id * 5) % 7 + 3)"
+    f" + (y - 20 * (j + {dj}) - ((i + {di}) * 11 + (j + {dj}) * 3 + image_id) % 5 + 2) * (y - 20 * (j + {dj}) - ((i + {di}) * 11 + (j + {dj}) * 3 + image_id) % 5 + 2)"
+    f" <= (7 + ((i + {di}) * 5 + (j + {dj}) * 3 + image_id) % 5) * (7 + ((i + {di}) * 5 + (j + {dj}) * 3 + image_id) % 5)"
+    for di in (0, 1)
+    for dj in (0, 1)
+)
+VIEWS["canopy"] = f"""SELECT image_id, x, y, CAST(CASE WHEN k THEN 40 + t % 20 ELSE 100 + t % 9 END AS INT) AS b, CAST(CASE WHEN k THEN 110 + (t * 7) % 50 ELSE 120 + t % 7 END AS INT) AS g, CAST(CASE WHEN k THEN 60 + (t * 3) % 25 ELSE 150 + t % 11 END AS INT) AS r
+FROM (SELECT image_id, x, y, ({_NEAR}) AND (x * 5 + y * 11 + image_id) % 29 <> 0 AS k, (x * 17 + y * 31 + x * y + image_id * 3) AS t
+      FROM (SELECT image_id, x, y, CAST(floor(x / 20) AS BIGINT) AS i, CAST(floor(y / 20) AS BIGINT) AS j FROM ({_PLACES}) q0) q1) q2"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the tables in a directory; nothing is registered in the session."""
