@@ -222,8 +222,7 @@ def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",)
     by = list(by)
     key = F.col("y").cast("long") * 1_000_000 + F.col("x")
     row = Window.partitionBy(*by, "y").orderBy("x")
-    on = stage(pixels.where(mask), "masked")  # what the mask is made of is worked out once
-    on = on.withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
+    on = pixels.where(mask).withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
     on = on.withColumn("_run", F.sum("_new").over(row)).withColumn("run", F.min(key).over(Window.partitionBy(*by, "y", "_run"))).drop("_new", "_run")
     on = stage(on, "runs")
     runs = on.groupBy(*by, "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
@@ -231,8 +230,10 @@ def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",)
     touch = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.y") == F.col("b.up")) & (F.col("a.x1") <= F.col("b.x2") + int(diagonal)) & (F.col("b.x1") <= F.col("a.x2") + int(diagonal))
     links = a.join(b, touch).select(*[f"a.{c}" for c in by], F.col("a.run").alias("u"), F.col("b.run").alias("v"), F.expr(f"a.y div {BAND}").alias("_band"))
     links = links.repartition(*by, "_band").drop("_band").mapInPandas(_stars(by), links.drop("_band").schema)
-    links = stage(links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    label = runs.select(*by, "run", F.col("run").alias("label"))
+    stars = stage(links, "links")
+    links = stars.unionByName(stars.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+    first = stars.groupBy(*by, F.col("u").alias("run")).agg(F.min("v").alias("label"))
+    label = runs.select(*by, "run").join(first, [*by, "run"], "left").select(*by, "run", F.coalesce("label", "run").alias("label"))
     while True:
         heard = links.withColumnRenamed("v", "run").join(label, [*by, "run"]).groupBy(*by, F.col("u").alias("run")).agg(F.min("label").alias("heard"))
         low = label.join(heard, [*by, "run"], "left").select(*by, "run", F.col("label").alias("was"), F.least("label", "heard").alias("now"))

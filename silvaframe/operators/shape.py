@@ -6,6 +6,8 @@ together by sides or corners. Regions may overlap: pixels of another region are
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,43 @@ def cracks(labelled: DataFrame, by: tuple[str, ...] = REGION) -> DataFrame:
     return each.select(*by, number(F.col("x"), F.col("y"), F.col("e.side")).alias("c"), number(F.col("e.to.x"), F.col("e.to.y"), F.col("e.to.side")).alias("s"), "x", "y", F.col("e.to.x").alias("nx"), F.col("e.to.y").alias("ny"))
 
 
+#: Rows of an image whose links are followed together.
+BAND = 256
+
+
+def _hops(by: list[str]):
+    """Links of one band as links that leave it, or end. Rings that lie in the band have no end and go."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        space = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        own = pd.MultiIndex.from_arrays([space, frame["c"]])
+        ends = frame["next"].isna().to_numpy()
+        to = own.get_indexer(pd.MultiIndex.from_arrays([space, frame["next"].fillna(-1).astype("int64")]))
+        d, last = frame["d"].to_numpy().copy(), np.arange(len(frame))  # last: the link whose own next is that of the chain so far
+        hop = np.where(ends, -1, to)
+        for _ in range(len(frame).bit_length()):
+            go = hop >= 0
+            d = np.where(go, d + d[hop], d)
+            last = np.where(go, last[hop], last)
+            hop = np.where(go, hop[hop], hop)
+        out = frame[[*by, "c"]].assign(next=frame["next"].to_numpy()[last], d=d)
+        return out[hop < 0]
+
+    return run
+
+
 def ranked(links: DataFrame, by: list[str]) -> DataFrame:
     """(*by, c, d): for each link (*by, c, next, d) the sum of d from it to the end of its list, whose next is null.
 
     Pointer doubling: each round every open link takes over the sum of the link it points to, and then points where that
-    one points. A list of n links is done after log2(n) rounds; each round is written and reread. Links of rings have no
-    end and are left out: the rounds stop when no list has got an end nearer.
+    one points. A list of n links is done after log2(n) rounds. Links of a band of rows are followed where they lie
+    first, so that only lists that leave their band go through rounds, and these by their ways through bands; each round is
+    written and reread. Links of rings have no end and are left out: the rounds stop when no list has got an end nearer.
     """
-    now, done = stage(links, "links"), -1
-    while (ended := now.where("next is null").count()) != done:
+    band = F.expr(f"c div {4_000_000 * BAND}")
+    followed = links.groupBy(by[0], band.alias("_band")).applyInPandas(_hops(by), links.select(*by, "c", "next", "d").schema)
+    now, done = stage(followed, "links"), -1
+    while now.where("next is not null").limit(1).count() and (ended := now.where("next is null").count()) != done:
         done = ended
         to = now.select(*by, F.col("c").alias("next"), F.col("next").alias("further"), F.col("d").alias("more"))
         moved = now.where("next is not null").join(to, [*by, "next"]).select(*by, "c", F.col("further").alias("next"), (F.col("d") + F.col("more")).alias("d"))
