@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaframe.plans import detect, detector, extra, files, labels, pixels, shapes, site, tiling, verdicts  # noqa: F401  they register their queries
+from silvaframe.plans import calls, detect, detector, extra, files, labels, pixels, shapes, site, tiling, verdicts  # noqa: F401  they register their queries
 from silvaframe.plans.registry import ORACLES, QUERIES
 
 

@@ -26,18 +26,23 @@ def list_images(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...]
     return files.where(suffix(F.col("path")).isin(*suffixes)).dropDuplicates(["path"]).withColumn("stem", stem(F.col("path"))).orderBy("path")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(image_id, height, width, data): decoded images, bytes in blue, green, red order; undecodable files are left out."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path)
     return raw.select(stem(F.col("image.origin")).alias("image_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
 
 
+def row_slices(images: DataFrame) -> DataFrame:
+    """(image_id, width, y, line): the bytes of each row of decoded three-channel images; no row carries more than its own."""
+    cut = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.struct(y.alias("y"), F.substring("data", y * F.col("width") * 3 + 1, F.col("width") * 3).alias("line")))
+    return images.where("height > 0 and width > 0").select("image_id", "width", F.inline(cut))
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
-    """(image_id, x, y, b, g, r): a row per pixel of decoded three-channel images, without leaving the JVM."""
-    at = F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("k")
-    byte = lambda c: F.conv(F.hex(F.substring("data", F.col("k") * 3 + (c + 1), F.lit(1))), 16, 10).cast("int")
-    out = images.select("image_id", "width", "data", at)
-    return out.select("image_id", F.pmod("k", "width").cast("int").alias("x"), F.expr("int(k div width)").alias("y"), byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
+    """(image_id, x, y, b, g, r): a row per pixel of decoded three-channel images, cut row by row without leaving the JVM."""
+    byte = lambda x, c: F.conv(F.hex(F.substring("line", x * 3 + (c + 1), F.lit(1))), 16, 10).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: F.struct(x.alias("x"), byte(x, 0).alias("b"), byte(x, 1).alias("g"), byte(x, 2).alias("r")))
+    return row_slices(images).select("image_id", "y", F.inline(cut)).select("image_id", "x", "y", "b", "g", "r")
 
 
 def _require(df: DataFrame, columns: tuple[str, ...]) -> None:

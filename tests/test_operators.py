@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaframe.functions import conflicts, geometry, rules
-from silvaframe.operators import labels, raster, tiles, verdicts
+from silvaframe.operators import calls, labels, raster, tiles, verdicts
 from silvaframe.operators.spatial import widest
 from silvaframe.operators.suppress import renumber, suppress
 from silvaframe.sources import io as sio
@@ -231,3 +231,52 @@ def test_frames_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     want = frames.frame_cover(spark.read.parquet(str(tmp_path / "in"))).groupBy("image_id").agg(F.count_if("vegetation").alias("v")).collect()
     assert sorted((r.image_id, r.vegetation) for r in out) == sorted((r.image_id, r.v) for r in want) and all(r.pixels == 40 for r in out)
+
+
+def test_frames_of_images_stream(spark, tmp_path):
+    """PNG frames in, counts per frame out; a restart repeats nothing and takes what is new."""
+    (tmp_path / "in").mkdir()
+    green, soil = (40, 160, 60), (150, 120, 100)
+    for k in range(3):
+        png(tmp_path / "in" / f"f{k}.png", 6 + k, 4, green if k % 2 else soil)
+    (tmp_path / "in" / "broken.png").write_bytes(b"no image")
+    files = lambda: frames.frame_files(spark, str(tmp_path / "in"), per_batch=2)
+    counts = lambda: sorted((r.image_id, r.pixels, r.vegetation) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [("f0", 24, 0), ("f1", 28, 28), ("f2", 32, 0)]
+    for _ in range(2):
+        frames.run_images(files(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        assert counts() == want
+    png(tmp_path / "in" / "f3.png", 2, 2, green)
+    frames.run_images(files(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert counts() == [*want, ("f3", 4, 4)]
+
+
+def test_each_request_is_answered_once(spark, tmp_path):
+    """A model that fails at random: attempts are counted, waits grow, and a second run asks nobody."""
+    asked, waits = tmp_path / "asked", []
+    asked.mkdir()
+
+    def model(request, attempt):
+        (asked / f"{request}-{attempt}-{random.random()}").write_text("")
+        if zlib.crc32(f"{request}:{attempt}".encode()) % 3 == 0 or request == "q13":
+            raise ConnectionError("busy")
+        return request.upper()
+
+    requests = spark.createDataFrame([(i, f"q{i}", "x") for i in range(40)] + [(3, "q3", "again"), (None, "q", "x"), (77, None, "x")], "key long, request string, note string")
+    run = lambda m: calls.answered(requests, m, str(tmp_path / "ledger"), parallel=3, pause=waits.append)
+    first = {(r.key, r.note): r for r in run(model).collect()}
+    fails = lambda i, k: i == 13 or zlib.crc32(f"q{i}:{k}".encode()) % 3 == 0
+    for i in range(40):
+        tries = next((k for k in (1, 2, 3) if not fails(i, k)), None)
+        r = first[i, "x"]
+        assert (r.answer, r.attempts, r.error is None) == ((f"Q{i}", tries, True) if tries else (None, 3, False))
+    assert first[3, "again"].answer == first[3, "x"].answer and first[77, "x"].answer is None and first[77, "x"].attempts == first[None, "x"].attempts == 0
+    assert len(list(asked.iterdir())) == sum(r.attempts for k, r in first.items() if k[1] == "x") and waits == [1.0, 2.0]
+
+    def never(request, attempt):
+        raise AssertionError("asked again")
+
+    assert sorted(map(str, run(never).collect())) == sorted(map(str, first.values()))
+    with pytest.raises(ValueError, match="answer"):
+        calls.answered(requests.withColumn("Answer", F.lit(1)), model, str(tmp_path / "other"))
+    assert calls.answered(requests.limit(0), model, str(tmp_path / "none")).count() == 0
