@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,8 @@ from .common import Scratch, frugal
 #: least; characters of a landmark, a window from the text's start; n-grams that are multiplied together.
 ORDER, LANDMARKS, TRAIN, ALL_LANDMARKS, LANDMARK_CHARS, SLICE = 3, 48, 1500, 512, 2_000, 1 << 14
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most: the model and what is collected for it grow with them.
+LANGUAGES = 1000
 _CHUNK = 1 << 20
 
 
@@ -114,16 +114,19 @@ def train(documents: DataFrame, labelled: Column, seed: int = 0, ridge: float =
     Every language is learned; of each about TRAIN different texts, of which about LANDMARKS (fewer with many
     languages, one at least) are landmarks, each cut to a window of LANDMARK_CHARS characters. Texts are drawn by a
     hash of the text, as a share of the language's different texts: ids do not matter, whether null or repeated, and
-    copies count once. A language of which none is drawn gives its first text in the order of hashes.
+    copies count once. A language of which none is drawn gives its first text in the order of hashes. More than LANGUAGES
+    different values are refused.
     The sample's kernel rows stay on the executors: each partition adds up its normal equations, and only
     those sums, of the landmarks' size, come together.
     """
     letters = F.col("text").rlike(r"\p{L}")
     docs = documents.where(labelled).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).where(letters).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
-    counts = docs.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).limit(LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different values in {lang_col}: these are hardly languages, and none is left out in silence")
     languages = sorted(r.lang for r in counts)
     n = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(r.n))])[F.col("lang")]
     # a uniform number of each text in [0, 1), times the number of texts: those under k are about k texts
@@ -190,7 +193,7 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str], text_co
             for batch in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
                 texts = batch.column(len(keep)).to_pylist()
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if m else []
+                known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if m else []
                 if known:
                     values = m.values([texts[i] for i in known])
                     best = values.argmax(axis=1)

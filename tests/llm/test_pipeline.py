@@ -3,6 +3,9 @@
 import collections
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from silvaframe.llm import mixing, pieces, secrets
 
@@ -68,7 +71,7 @@ def test_rows_keep_apart_whatever_their_ids(spark):
 
 def test_stages_leave_clashing_columns_alone(spark):
     """Columns named as what the stages use inside, null and repeated ids, and an empty table."""
-    names = ["_row", "_copies", "_copy", "component_id", "n_tokens", "lang_pred", "key"]
+    names = ["_row", "_copies", "_copy", "component_id", "n_tokens", "lang_pred", "score", "c0", "key", "ids", "hash"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
     texts = [f"word{i} kaloka minola {i * 7} tuvo renak {i % 3} sopi" for i in range(12)] + ["same text of eight words in all here"] * 3
     rows = [(None if i % 5 == 0 else i % 4, t, "en", "s", len(t), *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
@@ -79,3 +82,29 @@ def test_stages_leave_clashing_columns_alone(spark):
         got = [tuple(r) for r in out.collect()]
         assert set(got) <= set(rows) and len({r[1] for r in got}) == len({r[1] for r in rows})
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_stage_leaves_columns_and_unlabelled_corpora_alone(spark):
+    """Clashing names, null ids and repeated rows; a corpus without any label passes whole; rejected are only rows without letters."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score string, c0 string, c1 string, hash string"
+    texts = ["the quick brown fox jumps over the lazy dog again and again"] * 2 + [f"word{i} and other words of the text number {i}" for i in range(30)] + [None, "", "½ ² ①", "Ⅷ 12"]
+    rows = [(None if i % 5 == 0 else i % 4, t, "en", "s", len(t or ""), "p", "q", "r", "s", "t") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    out = cp.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert collections.Counter(map(tuple, cp.language_id(spark, bare, "").collect())) == collections.Counter(map(tuple, bare.collect()))
+    assert cp.language_id(spark, docs.limit(0), "").count() == 0
+    last = cp.sentencepiece(spark, docs, "").collect()
+    assert len(last) == len(rows)
+
+
+def test_junk_labels_are_refused(spark, monkeypatch):
+    from silvaframe.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    docs = spark.createDataFrame([(i, f"some words here {i}", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.train(docs, F.lit(True))
+    assert langid.train(docs.where("doc_id < 5"), F.lit(True)).languages == [f"l{i}" for i in range(5)]
