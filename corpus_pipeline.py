@@ -17,11 +17,20 @@ LEAST_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language (no letters, or a score under LEAST_SCORE); fills missing langs."""
+    """Drops documents in no known language (null, empty or no letters, or a score under LEAST_SCORE); fills missing langs.
+
+    Learns from the rows that have a lang and are not held out. Where none has, no language is known that a document could
+    be judged by, and all rows pass as they are. Ids and repeated rows do not matter, other columns stay whatever their
+    names, and an empty table gives an empty one.
+    """
     model = langid.train(docs, ~langid.held_out())
-    out = langid.classify(docs, model, docs.columns)
+    if model is None:
+        return docs
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: plain[docs.columns.index(c)] for c in ("text", "lang")}
+    out = langid.classify(docs.toDF(*plain), model, plain, text_col=at["text"])
     out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return out.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).select(*plain).toDF(*docs.columns)
 
 
 def unused(docs: DataFrame, name: str) -> str:
