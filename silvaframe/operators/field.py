@@ -243,6 +243,38 @@ def filled_regions(pixels: DataFrame, mask: str) -> DataFrame:
     return components(whole.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, "label")
 
 
+def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150) -> DataFrame:
+    """(image_id, x, y, edge): thin edges of a plane of whole numbers, weak ones only where they hang together with a strong one (Canny 1986).
+
+    Gradients are those of Sobel's kernels, the border being repeated, and count by the sum of their amounts. A pixel stays if
+    it is the highest across its edge, in one of four directions: along a row or a column one side may be as high, on a diagonal none.
+    Values of neighbours come by windows along columns and along rows; weak components are labelled and kept if they hold a strong pixel.
+    """
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    near = lambda c, w, k, none: F.coalesce((F.lag if k < 0 else F.lead)(c, abs(k)).over(w), none)
+    p = pixels.select(*PIXEL, F.col(value).cast("int").alias("_v"))
+    own = F.col("_v")
+    up, down = near("_v", column, -1, own), near("_v", column, 1, own)
+    p = p.select(*PIXEL, (up + 2 * own + down).alias("_s"), (down - up).alias("_d"))
+    beside = lambda c, k: near(c, row, k, F.col(c))
+    p = p.select(*PIXEL, (beside("_s", 1) - beside("_s", -1)).alias("gx"), (beside("_d", -1) + 2 * F.col("_d") + beside("_d", 1)).alias("gy"))
+    p = stage(p.withColumn("m", F.abs("gx") + F.abs("gy")), "gradients")
+    zero = F.lit(0)
+    p = p.withColumns({"w": near("m", row, -1, zero), "e": near("m", row, 1, zero)})
+    for name, k in (("n", -1), ("s", 1)):
+        p = p.withColumns({name: near("m", column, k, zero), f"{name}w": near("w", column, k, zero), f"{name}e": near("e", column, k, zero)})
+    ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
+    # tan of 22.5 degrees in units of 2^-15, and that of 67.5 degrees, which is two more
+    flat, steep = ay * 32768 < ax * 13573, ay * 32768 > ax * (13573 + 65536)
+    same = (F.col("gx") < 0) == (F.col("gy") < 0)
+    thin = F.when(flat, (m > F.col("w")) & (m >= F.col("e"))).when(steep, (m > F.col("n")) & (m >= F.col("s"))).when(same, (m > F.col("nw")) & (m > F.col("se"))).otherwise((m > F.col("ne")) & (m > F.col("sw")))
+    weak = stage(p.select(*PIXEL, (thin & (m > low)).alias("_weak"), (m > high).alias("_strong")), "thin")
+    lab = components(weak, "_weak").select(*PIXEL, "_strong", "label")
+    real = lab.where("_strong").select("image_id", "label").distinct()
+    on = lab.join(real, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("edge"))
+    return weak.select(*PIXEL).join(on, PIXEL, "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"))
+
+
 def elevation(distance: Column, low: Column, high: Column) -> Column:
     """Heights from 0 where the distance is largest to 255 where it is smallest, cut to whole numbers."""
     return F.when(high > low, ((high - distance) * 255.0 / F.nullif(high - low, F.lit(0.0)))).otherwise(0.0).cast("int")

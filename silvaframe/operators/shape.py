@@ -204,3 +204,55 @@ def enclosing_circles(hulled: DataFrame, by: tuple[str, ...] = REGION) -> DataFr
     return out.select(*by, F.col("circle.cx").alias("ex"), F.col("circle.cy").alias("ey"), F.sqrt("circle.r2").alias("er"))
 
 
+
+
+def simplified(rings: DataFrame, by: tuple[str, ...] = REGION, most: int = 96, share: float = 0.006, least: float = 0.8) -> DataFrame:
+    """(*by, seq, x, y): the corners of each ring (*by, seq, x, y) that tell its shape to within max(least, share of its length), in order.
+
+    Douglas and Peucker's rule in rounds. A ring is opened at its first point and the one farthest from it, of equal ones the first. In a round each open stretch
+    between two corners is split at its farthest point, the first of equals, if that is farther off the chord than the tolerance; otherwise it is done, and
+    its points take part no more. All stretches of all rings go on at once. If more than `most` corners are left, so many are taken, evenly spread.
+    """
+    keys = list(by)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    follow = Window.partitionBy(*keys).orderBy("seq")
+    span = rings.withColumns({"_nx": F.lead("x").over(follow), "_ny": F.lead("y").over(follow)}) if "nx" not in rings.columns else rings.withColumnsRenamed({"nx": "_nx", "ny": "_ny"})
+    first = span.where("seq = 0").select(*keys, F.col("x").alias("_x0"), F.col("y").alias("_y0"))
+    span = span.join(first, keys).withColumns({"_nx": F.coalesce("_nx", "_x0"), "_ny": F.coalesce("_ny", "_y0")})
+    away = lambda a, b: F.sqrt((F.col(a) - x) * (F.col(a) - x) + (F.col(b) - y) * (F.col(b) - y))
+    whole = span.groupBy(*keys).agg(F.greatest(F.lit(least), F.sum(away("_nx", "_ny")) * share).alias("eps"), F.max(F.struct(away("_x0", "_y0").alias("d"), (-F.col("seq")).alias("s"))).alias("far"), (F.max("seq") + 1).alias("n"), F.min(F.struct("_x0", "_y0")).alias("o"))
+    whole = stage(whole.select(*keys, "eps", (-F.col("far.s")).alias("far"), "n", F.col("o._x0").alias("x0"), F.col("o._y0").alias("y0")), "rings")
+    at = rings.select(*keys, "seq", "x", "y")
+    far = whole.join(at.withColumnRenamed("seq", "far"), [*keys, "far"]).select(*keys, "eps", "far", "n", "x0", "y0", F.col("x").alias("xf"), F.col("y").alias("yf"))
+    # stretches from a to b: the last one ends at the first point, which has number n there
+    stretch = lambda a, b: F.struct(*[c.alias(k) for k, c in zip(("a", "b", "ax", "ay", "bx", "by"), (*a[:1], *b[:1], *a[1:], *b[1:]))])
+    p0, pf, pn = (F.lit(0).cast("long"), F.col("x0"), F.col("y0")), (F.col("far"), F.col("xf"), F.col("yf")), (F.col("n"), F.col("x0"), F.col("y0"))
+    open_ = far.select(*keys, "eps", F.inline(F.array(stretch(p0, pf), stretch(pf, pn))))
+    points = at.join(open_, keys).where("seq > a and seq < b")
+    corners = [far.select(*keys, F.lit(0).cast("long").alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y")), far.where("far > 0").select(*keys, F.col("far").alias("seq"), F.col("xf").alias("x"), F.col("yf").alias("y"))]
+    while True:
+        points = stage(points, "points")
+        if not points.limit(1).count():
+            break
+        bx, by_ = (F.col("bx") - F.col("ax")).cast("double"), (F.col("by") - F.col("ay")).cast("double")
+        px, py = x - F.col("ax"), y - F.col("ay")
+        length = F.sqrt(bx * bx + by_ * by_)
+        off = F.when(length > 0, F.abs(px * by_ - py * bx) / length).otherwise(F.sqrt(px * px + py * py))
+        split = points.withColumn("off", off).groupBy(*keys, "a", "b").agg(F.max(F.struct("off", (-F.col("seq")).alias("s"), "x", "y")).alias("m"), F.first("eps").alias("eps")).where("m.off > eps")
+        split = stage(split.select(*keys, "a", "b", (-F.col("m.s")).alias("c"), F.col("m.x").alias("cx"), F.col("m.y").alias("cy")), "split")
+        corners.append(split.select(*keys, F.col("c").alias("seq"), F.col("cx").alias("x"), F.col("cy").alias("y")))
+        left = F.col("seq") < F.col("c")
+        pick = lambda then, other: F.when(left, then).otherwise(other)
+        points = points.join(split, [*keys, "a", "b"]).where("seq <> c").select(
+            *keys, "seq", "x", "y", "eps", pick(F.col("a"), F.col("c")).alias("a"), pick(F.col("c"), F.col("b")).alias("b"),
+            pick(F.col("ax"), F.col("cx")).alias("ax"), pick(F.col("ay"), F.col("cy")).alias("ay"), pick(F.col("cx"), F.col("bx")).alias("bx"), pick(F.col("cy"), F.col("by")).alias("by"),
+        )
+    kept = corners[0]
+    for more in corners[1:]:
+        kept = kept.unionByName(more)
+    kept = kept.withColumns({"_k": F.row_number().over(follow) - 1, "_m": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    # number k of m is taken if it is the whole part of one of `most` even steps from the first to the last
+    step = F.lit(most - 1)
+    j = F.ceil(F.col("_k") * step / F.nullif(F.col("_m") - 1, F.lit(0)))
+    even = F.floor(j * (F.col("_m") - 1) / step) == F.col("_k")
+    return kept.where((F.col("_m") <= most) | even).select(*keys, "seq", "x", "y")

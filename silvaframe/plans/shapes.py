@@ -177,3 +177,26 @@ def seg6_holes(spark, d):
 def seg6_filled_regions(spark, d):
     """Regions of nested rings with all that they shut in."""
     return field.filled_regions(rings(spark, d), "m")
+
+
+#: Sobel's gradients with the border repeated, their amounts beside and across, and which pixels are highest across their edge.
+_CANNY = """g8 AS (SELECT a.image_id, a.x, a.y, sum(b.gray * dx * (2 - abs(dy))) AS gx, sum(b.gray * dy * (2 - abs(dx))) AS gy FROM px a, range(-1, 2) i(dx), range(-1, 2) j(dy) JOIN px b
+  ON b.image_id = a.image_id AND b.x = greatest(0, least(39, a.x + dx)) AND b.y = greatest(0, least(24, a.y + dy)) GROUP BY 1, 2, 3),
+mg AS (SELECT *, abs(gx) + abs(gy) AS m FROM g8),
+nb8 AS (SELECT a.image_id, a.x, a.y, any_value(a.gx) AS gx, any_value(a.gy) AS gy, any_value(a.m) AS m, sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y) AS w, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y) AS e, sum(b.m) FILTER (b.x = a.x AND b.y = a.y - 1) AS n, sum(b.m) FILTER (b.x = a.x AND b.y = a.y + 1) AS s,
+  sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y - 1) AS nw, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y - 1) AS ne, sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y + 1) AS sw, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y + 1) AS se
+  FROM mg a JOIN mg b ON b.image_id = a.image_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY 1, 2, 3),
+thin AS (SELECT image_id, x, y, m, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN m > coalesce(w, 0) AND m >= coalesce(e, 0) WHEN abs(gy) * 32768 > abs(gx) * 79109 THEN m > coalesce(n, 0) AND m >= coalesce(s, 0)
+  WHEN (gx < 0) = (gy < 0) THEN m > coalesce(nw, 0) AND m > coalesce(se, 0) ELSE m > coalesce(ne, 0) AND m > coalesce(sw, 0) END AND m > 70 AS weak FROM nb8)"""
+
+
+@query(with_views(f"WITH RECURSIVE {HSV}, {_CANNY}, {_REACH.format(mask='weak').replace('FROM px WHERE', 'FROM thin WHERE')} SELECT l.image_id, l.x, l.y FROM lab l JOIN (SELECT DISTINCT l.image_id, l.label FROM lab l JOIN thin t ON t.image_id = l.image_id AND t.x = l.x AND t.y = l.y WHERE t.m > 150) s ON s.image_id = l.image_id AND s.label = l.label", "pixels"))
+def px15_edges(spark, d):
+    """Edges of the grey plane, weak ones where they hang together with strong ones."""
+    return field.edges(pixels(spark, d)).where("edge").select("image_id", "x", "y")
+
+
+@query()
+def seg11_simplified(spark, d):
+    """The corners of each region's contour. SQL would have to split stretches in turn: tests hold it against the recursive rule."""
+    return shape.simplified(shape.contours(regions(spark, d)))

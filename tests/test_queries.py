@@ -31,11 +31,15 @@ def rows(frame):
     return list(frame.columns), sorted(tuple(map(cell, r)) for r in frame.itertuples(index=False, name=None))
 
 
+#: What SQL cannot say without a flood or stretches split in turn: tests/test_shapes.py holds it against plain Python.
+NO_SQL = {"seg4_watershed", "seg11_simplified", "gen10_reference_detector", "gen11_ensemble_detector", "gen12_precision_detector"}
+
+
 def test_all_have_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     found = rows(QUERIES[name](spark, SF).toPandas())
     assert found == rows(duck.execute(ORACLES[name]).df())

@@ -355,3 +355,45 @@ def test_lab_of_known_colours(spark):
     rows = [(0, k, 0, *c) for k, c in enumerate([(0, 0, 0), (255, 255, 255), (0, 255, 0), (0, 0, 255), (128, 128, 128)])]
     got = [(r.lab_l, r.lab_a) for r in raster.lab(spark.createDataFrame(rows, "image_id long, x int, y int, b int, g int, r int")).orderBy("x").collect()]
     assert got == [(0, 128), (255, 128), (224, 42), (136, 208), (137, 128)]
+
+
+def corners_of(ring, eps, most):
+    """Douglas and Peucker's rule by recursion."""
+    far = max(range(len(ring)), key=lambda k: (math.dist(ring[k], ring[0]), -k))
+
+    def split(a, b):
+        (ax, ay), (bx, by) = ring[a], ring[b % len(ring)]
+        n = math.hypot(bx - ax, by - ay)
+        off = lambda p: abs((p[0] - ax) * (by - ay) - (p[1] - ay) * (bx - ax)) / n if n else math.dist(p, (ax, ay))
+        if b - a < 2:
+            return []
+        c = max(range(a + 1, b), key=lambda k: (off(ring[k]), -k))
+        return [*split(a, c), c, *split(c, b)] if off(ring[c]) > eps else []
+
+    kept = [0, *split(0, far), far, *split(far, len(ring))] if far else [0]
+    if len(kept) > most:
+        kept = [kept[math.floor(j * (len(kept) - 1) / (most - 1))] for j in range(most)]
+    return kept
+
+
+@pytest.mark.parametrize("most,share", [(96, 0.006), (5, 0.0)])
+def test_simplified_contours(spark, masks, most, share):
+    rings = shape.contours(regions(masks))
+    got = {}
+    for r in shape.simplified(rings, most=most, share=share, least=0.3).orderBy("seq").collect():
+        got.setdefault((r.image_id, r.label), []).append((r.seq, (r.x, r.y)))
+    whole = {}
+    for r in rings.orderBy("seq").collect():
+        whole.setdefault((r.image_id, r.label), []).append((r.x, r.y))
+    assert set(got) == set(whole)
+    for key, ring in whole.items():
+        length = sum(math.dist(a, b) for a, b in zip(ring, [*ring[1:], ring[0]]))
+        want = corners_of(ring, max(0.3, share * length), most)
+        assert got[key] == [(k, ring[k]) for k in want]
+
+
+def test_edges_of_a_step_and_a_flat_image(spark):
+    step = [(0, x, y, 20 if x < 6 else 120) for x in range(12) for y in range(8)] + [(1, x, y, 50) for x in range(5) for y in range(5)]
+    got = field.edges(spark.createDataFrame(step, "image_id long, x int, y int, gray int"))
+    on = {(r.image_id, r.x, r.y) for r in got.where("edge").collect()}
+    assert got.count() == len(step) and on == {(0, 5, y) for y in range(8)}
