@@ -11,31 +11,61 @@ from pyspark.sql import functions as F
 Conflict = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, on: list[str], cell: Column | float, condition: Conflict, how: str = "inner", keep: tuple[list[str] | None, list[str] | None] = (None, None)) -> DataFrame:
-    """Pairs (p: struct of left, q: struct of right) that meet `condition`, at most `cell` apart in x and in y.
+def grid_pairs(
+    left: DataFrame, right: DataFrame, on: list[str], cell: Column | float, condition: Conflict, how: str = "inner", keep: tuple[list[str] | None, list[str] | None] = (None, None), reach: Callable[[Callable[[str], Column]], Column] | None = None
+) -> DataFrame:
+    """Pairs (p: struct of left, q: struct of right) that meet `condition`.
 
-    The left side keeps its own cell, the right one is copied to the nine cells around it, and the join
-    is an equi-join on (on, cell x, cell y) with the condition as its residue. Dense groups are split by
-    their cells; nothing is broadcast unless the planner finds a side small. keep: the columns that p and q carry
-    besides those that the condition reads; all where None.
+    reach: how far a row goes from its place in x and in y; rows whose squares of that reach do not touch must not meet the
+    condition. Both sides are copied to the cells that their squares touch, and a pair counts in the one cell that holds the
+    lower corner of what the squares share. So any `cell` gives the same pairs, and a row of wide reach only adds copies of itself.
+    Without reach (as `how` other than inner asks for) pairs may be `cell` apart at most: the left side keeps its own cell, the right one is copied to the
+    nine cells around it. The join is an equi-join on (on, cell x, cell y) with the condition as its residue. Dense groups are
+    split by their cells; nothing is broadcast unless the planner finds a side small. keep: the columns that p and q carry
+    besides those that the condition and the reach read; all where None.
     """
     read = (set(), set())
     condition(*[lambda c, names=names: names.add(c) or F.col(c) for names in read])
+    for names in read if reach else ():
+        reach(lambda c, names=names: names.add(c) or F.col(c))
     left, right = (df if some is None else df.select(*dict.fromkeys([*on, "x", "y", *some, *sorted(names)])) for df, some, names in zip((left, right), keep, read))
-    of = lambda c, d: F.floor(F.col(c) / cell + d).cast("long")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = left.select(*on, of("x", 0).alias("_cx"), of("y", 0).alias("_cy"), F.struct("*").alias("p"))
-    q = right.select(*on, F.struct("*").alias("q")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    q = q.select(*on, (F.floor(F.col("q.x") / cell).cast("long") + F.col("_dx")).alias("_cx"), (F.floor(F.col("q.y") / cell).cast("long") + F.col("_dy")).alias("_cy"), "q")
     keys = [*on, "_cx", "_cy"]
+    if reach:
+        def filed(df: DataFrame, name: str) -> DataFrame:
+            r = reach(lambda c: F.col(f"{name}.{c}"))
+            at = lambda c, d: F.floor((F.col(f"{name}.{c}") + d * r) / cell).cast("long")
+            out = df.select(*on, F.struct("*").alias(name)).withColumn("_cx", F.explode(F.sequence(at("x", -1), at("x", 1))))
+            return out.withColumn("_cy", F.explode(F.sequence(at("y", -1), at("y", 1))))
+
+        p, q = filed(left, "p"), filed(right, "q")
+    else:
+        of = lambda c, d: F.floor(F.col(c) / cell + d).cast("long")
+        near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+        p = left.select(*on, of("x", 0).alias("_cx"), of("y", 0).alias("_cy"), F.struct("*").alias("p"))
+        q = right.select(*on, F.struct("*").alias("q")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
+        q = q.select(*on, (F.floor(F.col("q.x") / cell).cast("long") + F.col("_dx")).alias("_cx"), (F.floor(F.col("q.y") / cell).cast("long") + F.col("_dy")).alias("_cy"), "q")
     a, b = p.alias("a"), q.alias("b")
-    match = condition(lambda c: F.col(f"a.p.{c}"), lambda c: F.col(f"b.q.{c}"))
+    of_p, of_q = (lambda c: F.col(f"a.p.{c}")), (lambda c: F.col(f"b.q.{c}"))
+    match = condition(of_p, of_q)
+    if reach:
+        low = lambda c: F.floor(F.greatest(of_p(c) - reach(of_p), of_q(c) - reach(of_q)) / cell)
+        match = (low("x") == F.col("a._cx")) & (low("y") == F.col("a._cy")) & match
     for k in keys:
         match = (F.col(f"a.{k}") == F.col(f"b.{k}")) & match
     out = a.join(b, match, how)
     return out.select("a.p", "b.q") if how in ("inner", "left") else out.select("p")
 
 
+def disc_reach(row: Callable[[str], Column]) -> Column:
+    """Discs in conflict overlap, or their centres are no farther apart than 12 pixels."""
+    return F.greatest(row("radius").cast("double"), F.lit(6.0))
+
+
+def box_reach(row: Callable[[str], Column]) -> Column:
+    """Boxes in conflict overlap, or the centres of their discs are no farther apart than 12 pixels."""
+    return F.greatest(disc_reach(row), row("x2") - row("x"), row("x") - row("x1"), row("y2") - row("y"), row("y") - row("y1"))
+
+
 def widest(df: DataFrame, factor: float, least: float) -> float:
     """A cell side that no conflict exceeds: the larger of `least` and factor x the largest radius, plus 2."""
     r = df.agg(F.max("radius")).first()[0] or 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from silvaframe.functions import conflicts, rules
 from silvaframe.functions.geometry import DIST_SQL, LENS_SQL, distance, lens_area
 from silvaframe.operators import candidates
-from silvaframe.operators.spatial import grid_pairs, widest
+from silvaframe.operators.spatial import box_reach, grid_pairs, widest
 from silvaframe.operators.suppress import first_suppressor, renumber, suppress
 from silvaframe.plans.registry import query
 from silvaframe.sources.fixtures import view, with_views
@@ -122,7 +122,7 @@ _NMS = f"""(({_W} * {_H}) / ({_AREA.format('r')} + {_AREA.format('e')} - {_W} *
 @query(greedy_sql("conf DESC, idx", _NMS))
 def d4_box_nms(spark, d):
     c = boxed(crowns(spark, d))
-    return suppress(c, [-F.col("conf"), F.col("idx")], conflicts.boxes(), widest(c, 2.0, 10)).select("image_id", "idx")
+    return suppress(c, [-F.col("conf"), F.col("idx")], conflicts.boxes(), widest(c, 2.0, 10), reach=box_reach).select("image_id", "idx")
 
 
 _SAME = f"(({_D}) <= greatest({{least}}::DOUBLE, greatest(1.0::DOUBLE, {_SMALL}) * {{share}}::DOUBLE) OR {_LENS} >= {{t}}::DOUBLE * (pi() * {_SMALL} * {_SMALL}))"

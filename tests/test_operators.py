@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from silvaframe.functions import conflicts, geometry, rules
 from silvaframe.operators import calls, labels, raster, tiles, verdicts
-from silvaframe.operators.spatial import widest
+from silvaframe.operators.spatial import box_reach, widest
 from silvaframe.operators.suppress import renumber, suppress
 from silvaframe.sources import io as sio
 from silvaframe.streaming import frames
@@ -34,6 +34,21 @@ def test_fold_and_fixpoint_agree(spark, name):
     assert keep("fold") == keep("fixpoint") and 0 < len(keep("fold")) < 400
 
 
+@pytest.mark.parametrize("cell", [30.0, 200.0, 5000.0])
+def test_cells_decide_nothing(spark, cell):
+    """Wide circles, an outlier as wide as many images and circles of no radius: any cell gives what the fold gives."""
+    rng = random.Random(9)
+    rows = [(0, i, rng.randrange(300), rng.randrange(300), rng.choice([0, 1, 6, 20, 60]), rng.random(), "peak") for i in range(60)] + [(0, 100, 50, 50, 600, 0.9, "peak"), (0, 101, 280, 50, 600, 0.8, "peak"), (0, 102, -2000, 40, 1500, 0.7, "peak")]
+    c = spark.createDataFrame(rows, "image_id long, idx long, x int, y int, radius int, conf double, source string")
+    rank = [-F.col("conf"), F.col("idx")]
+    for name in ("overlap", "pool", "near") if cell == 30 else ("pool",):
+        keep = lambda how: sorted(r.idx for r in suppress(c, rank, RULES[name], cell, strategy=how).collect())
+        assert keep("fold") == keep("fixpoint")
+    boxed = c.where("radius > 0").select("*", *[F.expr(e) for e in ("x - 3 * radius as x1", "x + radius as x2", "y - radius as y1", "y + 2 * radius as y2")])
+    keep = lambda how: sorted(r.idx for r in suppress(boxed, rank, conflicts.boxes(), cell, strategy=how, reach=box_reach).collect())
+    assert keep("fold") == keep("fixpoint")
+
+
 def test_suppression_is_independent_and_maximal(spark):
     c = crowns(spark, 200)
     rank, cell, rule = [-F.col("conf"), F.col("idx")], widest(c, 2.0, 10), conflicts.overlap(0.4)
