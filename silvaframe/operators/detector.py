@@ -268,3 +268,59 @@ def refine(pixels: DataFrame, found: DataFrame, threshold: float = 0.58) -> tupl
     judged = stage(core_decisions(core_mask(pixels), found), "judged")
     kept = judged.where("local_refine_decision = 'kept_refined'")
     return renumber(pooled(kept, threshold)), judged.where("local_refine_decision <> 'kept_refined'")
+
+
+def _name() -> Column:
+    """A detection's own name among images: what holds for an image then holds for each detection by itself."""
+    return F.concat_ws(":", F.col("image_id").cast("string"), F.col("idx").cast("string"))
+
+
+def _windows(planes: DataFrame, found: DataFrame, padding: float) -> DataFrame:
+    """(image_id: name of the detection, x, y, the planes, dx, dy, reach): the square around each detection, cut to its image."""
+    reach = F.greatest(F.lit(4), F.bround(F.col("radius") * padding, 0).cast("int"))
+    around = found.select("image_id", "idx", F.col("x").alias("cx"), F.col("y").alias("cy"), reach.alias("reach"))
+    square = raster.in_discs(planes, around.withColumn("radius", F.col("reach") * 1.4143), 64).drop("radius")
+    square = square.withColumns({"dx": F.col("x") - F.col("cx"), "dy": F.col("y") - F.col("cy")}).where((F.abs("dx") <= F.col("reach")) & (F.abs("dy") <= F.col("reach")))
+    return square.withColumn("image_id", _name()).drop("idx", "cx", "cy")
+
+
+def _closed_regions(squares: DataFrame, on: Column) -> DataFrame:
+    """(image_id, label, x, y): regions of what holds within a detection's disc, closed by a kernel of 3 within its square."""
+    p = stage(squares.select(*PIXEL, (on & (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= F.col("reach") * F.col("reach"))).alias("on")), "squares")
+    some = p.where("on").select("image_id").distinct()
+    return stage(raster.components(raster.closed(p.join(some, "image_id", "left_semi"), "on", raster.ellipse(3)), "on").select("image_id", "label", "x", "y"), "local")
+
+
+def with_contours(mask: DataFrame, found: DataFrame, least: float = 6.0) -> DataFrame:
+    """The detections with contour: array<struct<x, y>> and contour_points, null where the mask (image_id, x, y, mask) shows no crown there.
+
+    A detection takes the crown at its centre, or the most frequent one near it, within a slightly wider disc: the convex hull of the largest piece.
+    Where that gives none, it takes what the mask shows within a wider disc: the piece that holds the centre, or else is large and near.
+    Pieces whose contour's area is under `least` do not count. Contours are simplified (`shape.simplified`). Discs that overlap are looked at apart.
+    """
+    mask = stage(mask.select(*PIXEL, F.coalesce("mask", F.lit(False)).alias("mask")), "mask")
+    found = stage(found.withColumn("_name", _name()), "detections")
+    crown, _ = field.crowns(mask, "mask")
+    own = stage(raster.label_near(found.select("image_id", "idx", "x", "y"), crown), "near").where("label is not null").select(_name().alias("image_id"), F.col("label").alias("own"))
+    planes = stage(mask.join(crown, PIXEL, "left"), "planes")
+    lab = _closed_regions(_windows(planes, found, 1.08).join(own, "image_id"), F.col("mask") & (F.col("label") == F.col("own")))
+    rings = stage(shape.contours(lab), "rings")
+    best = shape.contour_stats(lab, rings).where(F.col("area") >= least).groupBy("image_id").agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))
+    hull = shape.hulls(lab.join(best, ["image_id", "label"], "left_semi")).select("image_id", "label", F.posexplode("hull").alias("k", "p"))
+    hull = stage(hull.select("image_id", "label", F.col("k").cast("long").alias("seq"), "p.x", "p.y"), "hulls")
+
+    rest = found.join(hull.select(F.col("image_id").alias("_name")).distinct(), "_name", "left_anti")
+    lab = _closed_regions(_windows(planes, rest, 1.22), F.col("mask"))
+    rings = stage(shape.contours(lab), "rings")
+    centre = rest.select(F.col("_name").alias("image_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    edge = rings.join(centre, "image_id")
+    over = ((F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))) & (F.col("px") < (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) / F.nullif(F.col("ny") - F.col("y"), F.lit(0)) + F.col("x"))
+    holds = edge.groupBy("image_id", "label").agg(((F.count_if(over) % 2 == 1) | F.max((F.col("x") == F.col("px")) & (F.col("y") == F.col("py")))).alias("holds"))
+    stats = shape.contour_stats(lab, rings).select("image_id", "label", "area", "cx", "cy").join(holds, ["image_id", "label"]).join(centre, "image_id")
+    away = F.sqrt(F.pow(F.coalesce("cx", "px") - F.col("px"), 2) + F.pow(F.coalesce("cy", "py") - F.col("py"), 2))
+    best = stats.groupBy("image_id").agg(F.max(F.struct("holds", (F.col("area") / (1.0 + away)).alias("score"), "area", (-F.col("label")).alias("first"))).alias("m"))
+    best = best.where(F.col("m.area") >= least).select("image_id", (-F.col("m.first")).alias("label"))
+    both = hull.unionByName(rings.join(best, ["image_id", "label"], "left_semi").select("image_id", "label", "seq", "x", "y"))
+    points = shape.simplified(stage(both, "contours")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))  # as many as a simplified contour has at most
+    points = points.where(F.size("p") >= 3).select(F.col("image_id").alias("_name"), F.transform("p", lambda q: F.struct(q["x"].cast("int").alias("x"), q["y"].cast("int").alias("y"))).alias("contour"))
+    return found.join(points, "_name", "left").drop("_name").withColumn("contour_points", F.when(F.col("contour").isNotNull(), F.size("contour")))

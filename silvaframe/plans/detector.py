@@ -166,3 +166,10 @@ def gen11_ensemble_detector(spark, d):
 def gen12_precision_detector(spark, d):
     """The detector of the vote of three with Lab's planes, by its name."""
     return detector.detect(view(spark, d, "canopy"), "precision")[0].select("image_id", "id", "x", "y", "radius", "area_px", "circularity", "fill_ratio")
+
+
+@query()
+def seg19_attached_contours(spark, d):
+    """Detections with the contour of the crown that they stand on."""
+    out = detector.with_contours(detector.tree_mask(coloured(spark, d)), found(spark, d).select("image_id", "idx", "x", "y", "radius"))
+    return out.select("image_id", "idx", "contour_points", F.to_json("contour").alias("contour"))

@@ -397,3 +397,15 @@ def test_edges_of_a_step_and_a_flat_image(spark):
     got = field.edges(spark.createDataFrame(step, "image_id long, x int, y int, gray int"))
     on = {(r.image_id, r.x, r.y) for r in got.where("edge").collect()}
     assert got.count() == len(step) and on == {(0, 5, y) for y in range(8)}
+
+
+def test_contours_of_detections(spark):
+    """A square crown gives its corners, a far smaller disc what it holds of it, bare ground none; a centre off the crown takes the crown beside it."""
+    on = lambda x, y: 10 <= x < 31 and 10 <= y < 31 or 50 <= x < 54 and 5 <= y < 9
+    mask = spark.createDataFrame([(0, x, y, on(x, y)) for x in range(70) for y in range(40)], "image_id long, x int, y int, mask boolean")
+    found = spark.createDataFrame([(0, 1, 20, 20, 20), (0, 2, 60, 30, 5), (0, 3, 34, 20, 18), (0, 4, 51, 7, 4)], "image_id long, idx long, x int, y int, radius int")
+    got = {r.idx: r for r in detector.with_contours(mask, found).collect()}
+    assert {(p.x, p.y) for p in got[1].contour} == {(10, 10), (30, 10), (30, 30), (10, 30)} and got[1].contour_points == 4
+    assert got[2].contour is None and got[2].contour_points is None
+    assert got[3].contour and all(on(p.x, p.y) and (p.x - 34) ** 2 + (p.y - 20) ** 2 <= 23**2 for p in got[3].contour)
+    assert {(p.x, p.y) for p in got[4].contour} == {(50, 5), (53, 5), (53, 8), (50, 8)}
