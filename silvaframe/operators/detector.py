@@ -324,3 +324,20 @@ def with_contours(mask: DataFrame, found: DataFrame, least: float = 6.0) -> Data
     points = shape.simplified(stage(both, "contours")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))  # as many as a simplified contour has at most
     points = points.where(F.size("p") >= 3).select(F.col("image_id").alias("_name"), F.transform("p", lambda q: F.struct(q["x"].cast("int").alias("x"), q["y"].cast("int").alias("y"))).alias("contour"))
     return found.join(points, "_name", "left").drop("_name").withColumn("contour_points", F.when(F.col("contour").isNotNull(), F.size("contour")))
+
+
+def red_circles(pixels: DataFrame, scale: tuple[float, float] = (1.0, 1.0), radii: tuple[int, int] = (8, 95), least_cover: float = 0.16, threshold: float = 0.62) -> DataFrame:
+    """(image_id, id, x, y, radius, score, overlay_x, overlay_y, overlay_radius, source): circles drawn in red over coloured pixels, as labels of the image
+    they were drawn on, which is `scale` times as wide and high.
+
+    Circles are found by votes on the blurred red mask. Their score is the share of places on the ring and close to it that are red; circles with
+    too little go, and of two that are the same the one with the better score, then the wider one, stays. Numbers go by position, before the scaling.
+    """
+    mask = _cleaned(pixels, raster.red_mask(), [("open", 3), ("close", 3)])
+    soft = field.blurred(mask.select(*PIXEL, (F.col("mask").cast("int") * 255).alias("v")), "v", field.gaussian(1.5, 9)).withColumn("v", F.bround("v", 0))
+    rings = stage(field.circles(soft, "v", radii, max(6, radii[0])).select("image_id", "idx", F.bround("cx", 0).cast("int").alias("cx"), F.bround("cy", 0).cast("int").alias("cy"), "radius"), "rings")
+    cover = raster.ring_share(rings, mask, "mask")
+    scored = rings.join(cover, ["image_id", "idx"]).where(F.col("coverage") >= least_cover).select("image_id", "idx", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", F.bround("coverage", 4).alias("score"))
+    kept = renumber(suppress(scored, [-F.col("score"), -F.col("radius"), F.col("idx")], conflicts.same_circle(4.0, 0.38, threshold), 64.0))
+    old = kept.withColumns({"overlay_x": F.col("x"), "overlay_y": F.col("y"), "overlay_radius": F.col("radius"), "area_px": F.lit(0.0)})
+    return candidates.rescale(old, *scale).drop("area_px", "idx").withColumn("source", F.lit("red_overlay"))

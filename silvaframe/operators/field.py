@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvaframe.operators.raster import PIXEL, components, ellipse
+from silvaframe.operators.raster import PIXEL, components, ellipse, in_discs
 from silvaframe.operators.shape import pixel_key
+from silvaframe.operators.suppress import suppress
 from silvaframe.plans.scratch import stage
 
 #: Rows or columns that are worked on together; decimals to which heights are kept, so that equal ones stay equal.
@@ -243,8 +244,8 @@ def filled_regions(pixels: DataFrame, mask: str) -> DataFrame:
     return components(whole.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, "label")
 
 
-def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150) -> DataFrame:
-    """(image_id, x, y, edge): thin edges of a plane of whole numbers, weak ones only where they hang together with a strong one (Canny 1986).
+def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150, gradients: bool = False) -> DataFrame:
+    """(image_id, x, y, edge, and gx, gy if asked for): thin edges of a plane of whole numbers, weak ones only where they hang together with a strong one (Canny 1986).
 
     Gradients are those of Sobel's kernels, the border being repeated, and count by the sum of their amounts. A pixel stays if
     it is the highest across its edge, in one of four directions: along a row or a column one side may be as high, on a diagonal none.
@@ -268,11 +269,12 @@ def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150
     flat, steep = ay * 32768 < ax * 13573, ay * 32768 > ax * (13573 + 65536)
     same = (F.col("gx") < 0) == (F.col("gy") < 0)
     thin = F.when(flat, (m > F.col("w")) & (m >= F.col("e"))).when(steep, (m > F.col("n")) & (m >= F.col("s"))).when(same, (m > F.col("nw")) & (m > F.col("se"))).otherwise((m > F.col("ne")) & (m > F.col("sw")))
-    weak = stage(p.select(*PIXEL, (thin & (m > low)).alias("_weak"), (m > high).alias("_strong")), "thin")
+    weak = stage(p.select(*PIXEL, "gx", "gy", (thin & (m > low)).alias("_weak"), (m > high).alias("_strong")), "thin")
     lab = components(weak, "_weak").select(*PIXEL, "_strong", "label")
     real = lab.where("_strong").select("image_id", "label").distinct()
     on = lab.join(real, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("edge"))
-    return weak.select(*PIXEL).join(on, PIXEL, "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"))
+    rest = ["gx", "gy"] if gradients else []
+    return weak.select(*PIXEL, *rest).join(on, PIXEL, "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"), *rest)
 
 
 def elevation(distance: Column, low: Column, high: Column) -> Column:
@@ -297,3 +299,31 @@ def crowns(pixels: DataFrame, mask: str, peak_distance: int = 0, least_peak: int
     split = flood(ground.join(with_peaks, "image_id", "left_semi")).where("label is not null")
     whole = filled_regions(narrow.join(with_peaks, "image_id", "left_anti"), "_mask")
     return stage(split.unionByName(whole), "crowns"), field
+
+
+def circles(pixels: DataFrame, value: str = "gray", radii: tuple[int, int] = (8, 95), apart: int = 8, low: int = 40, high: int = 80, votes: int = 13, bin_size: float = 1.2) -> DataFrame:
+    """(image_id, idx, cx, cy, radius, votes): circles whose edges' gradients point to a common centre.
+
+    Each edge pixel votes along its gradient, both ways, for the bins that a centre within the radii may lie in. Votes are counted before
+    they are shuffled. A bin is a centre if it has `votes` or more and as many as any bin around it, the first of equals; of centres
+    nearer than `apart` the one with most votes stays. The radius is the distance at which most edge pixels lie around it, for each unit of length;
+    these have to be more than `votes`.
+    """
+    edge = stage(edges(pixels, value, low, high, True).where("edge").select(*PIXEL, "gx", "gy"), "edges")
+    n = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
+    way = edge.where("gx <> 0 or gy <> 0").select(*PIXEL, (F.col("gx") / n).alias("_ux"), (F.col("gy") / n).alias("_uy"))
+    steps = F.explode(F.sequence(F.lit(radii[0]), F.lit(radii[1]))).alias("_r")
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    at = way.select("*", steps).withColumn("_r", F.explode(F.array("_r", -F.col("_r"))))
+    bin_ = lambda c, u: F.floor((F.col(c) + F.col("_r") * F.col(u)) / bin_size).cast("int")
+    count = at.select("image_id", bin_("x", "_ux").alias("x"), bin_("y", "_uy").alias("y")).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("votes"))
+    count = count.join(size, "image_id").where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") * bin_size < F.col("_w")) & (F.col("y") * bin_size < F.col("_h"))).drop("_w", "_h")
+    top = highest(count, "votes", [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "top").where((F.col("votes") == F.col("top")) & (F.col("votes") >= votes))
+    found = top.select("image_id", pixel_key(F.col("x"), F.col("y")).alias("idx"), ((F.col("x") + 0.5) * bin_size).alias("x"), ((F.col("y") + 0.5) * bin_size).alias("y"), "votes", F.lit(float(apart)).alias("radius"))
+    near = lambda p, q: (p("x") - q("x")) * (p("x") - q("x")) + (p("y") - q("y")) * (p("y") - q("y")) < float(apart * apart)
+    centre = suppress(found, [-F.col("votes"), F.col("idx")], near, 2.0 * apart).select("image_id", "idx", F.col("x").alias("cx"), F.col("y").alias("cy"), "votes")
+    around = in_discs(edge.select(*PIXEL), centre.withColumn("radius", F.lit(float(radii[1] + 1))), 64)
+    far = F.bround(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)), 0).cast("int")
+    rings = around.select("image_id", "idx", far.alias("r")).where(F.col("r").between(*radii)).groupBy("image_id", "idx", "r").agg(F.count(F.lit(1)).alias("n"))
+    best = rings.groupBy("image_id", "idx").agg(F.max(F.struct((F.col("n") / F.col("r")).alias("per"), (-F.col("r")).alias("r"), "n")).alias("m")).where(F.col("m.n") > votes).select("image_id", "idx", (-F.col("m.r")).alias("radius"))
+    return centre.join(best, ["image_id", "idx"]).select("image_id", "idx", "cx", "cy", "radius", "votes")

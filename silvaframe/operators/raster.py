@@ -313,6 +313,15 @@ def ring_coverage(rings: DataFrame, pixels: DataFrame, mask: str, angles: int =
     return by.groupBy("image_id", "idx").agg(F.avg("hit").alias("coverage"))
 
 
+def ring_share(rings: DataFrame, pixels: DataFrame, mask: str, angles: int = 96, width: int = 3) -> DataFrame:
+    """(image_id, idx, coverage): share of the places on and up to `width` off a circle, in so many directions, where the mask holds; places off the image do not count."""
+    at = rings.select("image_id", "idx", "cx", "cy", "radius", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("k")).withColumn("o", F.explode(F.sequence(F.lit(-width), F.lit(width))))
+    a, r = F.col("k") * (2 * 3.141592653589793 / angles), F.greatest(F.lit(1), F.col("radius") + F.col("o"))
+    at = at.select("image_id", "idx", F.bround(F.col("cx") + r * F.cos(a), 0).cast("int").alias("x"), F.bround(F.col("cy") + r * F.sin(a), 0).cast("int").alias("y"))
+    met = at.join(pixels.select(*PIXEL, F.col(mask).cast("int").alias("_met")), PIXEL)
+    return met.groupBy("image_id", "idx").agg(F.avg("_met").alias("coverage"))
+
+
 def label_near(points: DataFrame, labelled: DataFrame, radius: int = 7) -> DataFrame:
     """(image_id, idx, label): the label at a point, else the most frequent one in the square around it, the least of equals."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in square(2 * radius + 1)])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from silvaframe.functions import rules
 from silvaframe.operators import detector, field, raster
 from silvaframe.plans.detect import _POOL, greedy_sql
@@ -173,3 +175,16 @@ def seg19_attached_contours(spark, d):
     """Detections with the contour of the crown that they stand on."""
     out = detector.with_contours(detector.tree_mask(coloured(spark, d)), found(spark, d).select("image_id", "idx", "x", "y", "radius"))
     return out.select("image_id", "idx", "contour_points", F.to_json("contour").alias("contour"))
+
+
+def ringed(spark, d):
+    """Crowns with a red circle drawn in each quarter of an image, of a radius that follows from the image."""
+    off = F.sqrt(F.pow(F.expr("x - (int(x div 40) * 40 + 20)"), 2) + F.pow(F.expr("y - (int(y div 25) * 25 + 12)"), 2)) - (8 + F.col("image_id") % 3)
+    red = F.abs(off) <= 1.2
+    return view(spark, d, "canopy").select("image_id", "x", "y", *[F.when(red, v).otherwise(F.col(c)).alias(c) for c, v in (("b", 30), ("g", 35), ("r", 220))])
+
+
+@query()
+def gen13_red_circles(spark, d):
+    """Circles drawn in red, read back as labels of an image twice the size. SQL has no votes of gradients to offer: tests look for the circles drawn."""
+    return detector.red_circles(raster.colour(ringed(spark, d)), scale=(2.0, 2.0), least_cover=0.25)

@@ -32,7 +32,7 @@ def rows(frame):
 
 
 #: What SQL cannot say without a flood or stretches split in turn: tests/test_shapes.py holds it against plain Python.
-NO_SQL = {"seg4_watershed", "seg11_simplified", "gen10_reference_detector", "gen11_ensemble_detector", "gen12_precision_detector", "seg19_attached_contours"}
+NO_SQL = {"seg4_watershed", "seg11_simplified", "gen10_reference_detector", "gen11_ensemble_detector", "gen12_precision_detector", "seg19_attached_contours", "gen13_red_circles"}
 
 
 def test_all_have_an_oracle():

@@ -409,3 +409,28 @@ def test_contours_of_detections(spark):
     assert got[2].contour is None and got[2].contour_points is None
     assert got[3].contour and all(on(p.x, p.y) and (p.x - 34) ** 2 + (p.y - 20) ** 2 <= 23**2 for p in got[3].contour)
     assert {(p.x, p.y) for p in got[4].contour} == {(50, 5), (53, 5), (53, 8), (50, 8)}
+
+
+def test_planted_red_circles_are_found(spark):
+    """Rings drawn in red over green and brown ground, one touching another; scaled to the image they belong to."""
+    rings = [(30, 30, 14), (75, 28, 20), (110, 60, 11), (50, 75, 17)]
+    rows = []
+    for x in range(130):
+        for y in range(100):
+            red = any(abs(math.dist((x, y), c[:2]) - c[2]) <= 1.6 for c in rings)
+            rows.append((0, x, y, *((30, 40, 220) if red else (60, 130, 70) if (x // 9 + y // 7) % 2 else (90, 130, 140))))
+    frame = raster.colour(spark.createDataFrame(rows, "image_id long, x int, y int, b int, g int, r int"))
+    got = detector.red_circles(frame, scale=(2.0, 2.0), least_cover=0.3).orderBy("id").collect()
+    found = [(r.overlay_x, r.overlay_y, r.overlay_radius) for r in got]
+    assert [r.id for r in got] == list(range(1, len(got) + 1)) and len(found) == len(rings)
+    for c in rings:
+        assert any(math.dist(c[:2], f[:2]) <= 2.5 and abs(c[2] - f[2]) <= 3 for f in found), (c, found)
+    assert all(r.x == 2 * r.overlay_x and r.radius == 2 * r.overlay_radius and 0.3 <= r.score <= 0.6 for r in got)
+
+
+def test_drawn_circles_are_read_back(spark):
+    got = [(r.overlay_x, r.overlay_y, r.overlay_radius) for r in catalog.queries()["gen13_red_circles"](spark, SF).collect()]
+    for cx in (20, 60):
+        for cy in (12, 37):
+            assert any(math.dist((cx, cy), f[:2]) <= 2.5 and abs(f[2] - 8) <= 3 for f in got), (cx, cy, got)
+    assert len(got) <= 16
