@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from silvaframe.functions import rules
 from silvaframe.operators import detector, field, raster
 from silvaframe.plans.detect import _POOL, greedy_sql
-from silvaframe.plans.pixels import _morph
 from silvaframe.plans.registry import query
-from silvaframe.plans.shapes import _CANOPY, _CIRCLES, _CRACKS, _CROSS, _HOLES, _HULL, _REACH
+from silvaframe.plans.shapes import _CANOPY, _CIRCLES, _CRACKS, _CROSS, _HOLES, _HULL, _morph, _REACH
 from silvaframe.sources.fixtures import view, with_views
 
 #: Detections to be refined: a disc for each square of 13 pixels, at home nowhere in particular.
@@ -23,7 +22,7 @@ FROM canopy GROUP BY image_id, floor(x / 13), floor(y / 13)"""
 _CORE = ", ".join(
     [
         "taps3 AS (SELECT dx, dy, (CASE WHEN dx = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) * (CASE WHEN dy = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM range(-1, 2) a(dx), range(-1, 2) b(dy))",
-        """tex AS (SELECT a.image_id, a.x, a.y, sum(w * b.gray) AS g, sum(w * b.gray * b.gray) AS g2 FROM px a, taps3 JOIN px b ON b.image_id = a.image_id
+        """tex AS (SELECT a.image_id, a.x, a.y, sum(w * b.gray) AS g, sum(w * b.gray * b.gray) AS g2 FROM px a, taps3, px b WHERE b.image_id = a.image_id
   AND b.x = (CASE WHEN a.x + dx < 0 THEN -(a.x + dx) WHEN a.x + dx > 79 THEN 158 - a.x - dx ELSE a.x + dx END) AND b.y = (CASE WHEN a.y + dy < 0 THEN -(a.y + dy) WHEN a.y + dy > 49 THEN 98 - a.y - dy ELSE a.y + dy END) GROUP BY 1, 2, 3)""",
         """m0 AS (SELECT image_id, x, y, ((h BETWEEN 26 AND 110 AND s >= 48 AND v >= 52 AND exg >= 10 AND px.g >= r + 6) OR (h BETWEEN 26 AND 110 AND s >= 40 AND v BETWEEN 38 AND 75 AND exg >= 6 AND px.g >= r))
   AND NOT (s < 22 AND v > 68) AND NOT (v < 30 AND exg < 6) AND greatest(g2 - tex.g * tex.g, 0) > 30 AS m FROM px JOIN tex USING (image_id, x, y))""",

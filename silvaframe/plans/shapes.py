@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silvaframe.operators import field, raster, shape
-from silvaframe.plans.pixels import HSV, _morph, pixels
+from silvaframe.plans.pixels import HSV, _kernel_sql, pixels
 from silvaframe.plans.registry import query
 from silvaframe.plans.scratch import stage
 from silvaframe.sources.fixtures import view, with_views
 
+def _morph(source: str, out: str, test: str, kernel) -> str:
+    """One pass over a kernel's offsets: bool_and erodes, bool_or dilates; each pixel is told to the places that see it."""
+    told = f"(SELECT image_id, x - dx AS x, y - dy AS y, m FROM {source}, {_kernel_sql(kernel)})"
+    return f"{out} AS (SELECT a.image_id, a.x, a.y, {test}(b.m) AS m FROM {source} a JOIN {told} b USING (image_id, x, y) GROUP BY 1, 2, 3)"
+
+
 #: 8-connected components: the first pixels of neighbourhoods spread their number to what comes behind them.
 _REACH = """on_ AS (SELECT image_id, x, y, y::BIGINT * 1000000 + x AS id FROM px WHERE {mask}),
 e AS (SELECT a.image_id, a.id AS u, b.id AS v FROM on_ a JOIN on_ b ON b.image_id = a.image_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.id <> b.id),
-reach AS (SELECT image_id, id, id AS label FROM on_ WHERE (image_id, id) NOT IN (SELECT (image_id, u) FROM e WHERE v < u) UNION SELECT e.image_id, e.v, r.label FROM reach r JOIN e ON e.image_id = r.image_id AND e.u = r.id AND e.v > r.label),
+reach AS (SELECT image_id, id, id AS label FROM on_ o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.image_id = o.image_id AND e.u = o.id AND e.v < e.u) UNION SELECT e.image_id, e.v, r.label FROM reach r JOIN e ON e.image_id = r.image_id AND e.u = r.id AND e.v > r.label),
 lab AS (SELECT o.*, r.label FROM on_ o JOIN (SELECT image_id, id, min(label) AS label FROM reach GROUP BY 1, 2) r ON r.image_id = o.image_id AND r.id = o.id)"""
 _LAB = f"{HSV}, {_REACH.format(mask='bare')}"
 #: The cracks of regions with their successors, followed one by one from the top side of each region's first pixel.
@@ -106,8 +112,8 @@ _FIELD = ", ".join(
     [
         _D2,
         _TAPS,
-        f"b1 AS (SELECT a.image_id, a.x, a.y, sum(w * sqrt(b.d2)) AS v FROM d2 a, taps JOIN d2 b ON b.image_id = a.image_id AND b.y = a.y AND b.x = {_MIRROR.format(at='a.x + k', last='{right}', twice='2 * {right}')} GROUP BY 1, 2, 3)",
-        f"dist AS (SELECT a.image_id, a.x, a.y, round(sum(w * b.v), 4) AS distance FROM b1 a, taps JOIN b1 b ON b.image_id = a.image_id AND b.x = a.x AND b.y = {_MIRROR.format(at='a.y + k', last='{bottom}', twice='2 * {bottom}')} GROUP BY 1, 2, 3)",
+        f"b1 AS (SELECT a.image_id, a.x, a.y, sum(w * sqrt(b.d2)) AS v FROM d2 a, taps, d2 b WHERE b.image_id = a.image_id AND b.y = a.y AND b.x = {_MIRROR.format(at='a.x + k', last='{right}', twice='2 * {right}')} GROUP BY 1, 2, 3)",
+        f"dist AS (SELECT a.image_id, a.x, a.y, round(sum(w * b.v), 4) AS distance FROM b1 a, taps, b1 b WHERE b.image_id = a.image_id AND b.x = a.x AND b.y = {_MIRROR.format(at='a.y + k', last='{bottom}', twice='2 * {bottom}')} GROUP BY 1, 2, 3)",
     ]
 )
 
@@ -124,7 +130,7 @@ _PEAKS = ", ".join(
     [
         f"kern AS (SELECT i - 6 AS dy, unnest(range(-h, h + 1)) AS dx FROM (SELECT unnest(range(0, 13)) AS i, unnest({_HALF13}) AS h))",
         "low AS (SELECT image_id, x, y, greatest(distance - 1.5::DOUBLE, 0) AS height FROM dist)",
-        "peak AS (SELECT a.image_id, a.x, a.y FROM low a, kern JOIN low b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy WHERE a.height >= 2 GROUP BY a.image_id, a.x, a.y, a.height HAVING max(b.height) = a.height)",
+        "peak AS (SELECT a.image_id, a.x, a.y FROM low a JOIN (SELECT image_id, x - dx AS x, y - dy AS y, height FROM low, kern) b USING (image_id, x, y) WHERE a.height >= 2 GROUP BY a.image_id, a.x, a.y, a.height HAVING max(b.height) = a.height)",
         "cross3 AS (SELECT DISTINCT p.image_id, p.x + dx AS x, p.y + dy AS y FROM peak p, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) c(dx, dy) WHERE p.x + dx BETWEEN 0 AND 79 AND p.y + dy BETWEEN 0 AND 49)",
         _REACH.format(mask="true").replace("FROM px WHERE true", "FROM cross3"),
     ]
@@ -180,8 +186,8 @@ def seg6_filled_regions(spark, d):
 
 
 #: Sobel's gradients with the border repeated, their amounts beside and across, and which pixels are highest across their edge.
-_CANNY = """g8 AS (SELECT a.image_id, a.x, a.y, sum(b.gray * dx * (2 - abs(dy))) AS gx, sum(b.gray * dy * (2 - abs(dx))) AS gy FROM px a, range(-1, 2) i(dx), range(-1, 2) j(dy) JOIN px b
-  ON b.image_id = a.image_id AND b.x = greatest(0, least(39, a.x + dx)) AND b.y = greatest(0, least(24, a.y + dy)) GROUP BY 1, 2, 3),
+_CANNY = """g8 AS (SELECT a.image_id, a.x, a.y, sum(b.gray * dx * (2 - abs(dy))) AS gx, sum(b.gray * dy * (2 - abs(dx))) AS gy FROM px a, range(-1, 2) i(dx), range(-1, 2) j(dy), px b
+  WHERE b.image_id = a.image_id AND b.x = greatest(0, least(39, a.x + dx)) AND b.y = greatest(0, least(24, a.y + dy)) GROUP BY 1, 2, 3),
 mg AS (SELECT *, abs(gx) + abs(gy) AS m FROM g8),
 nb8 AS (SELECT a.image_id, a.x, a.y, any_value(a.gx) AS gx, any_value(a.gy) AS gy, any_value(a.m) AS m, sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y) AS w, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y) AS e, sum(b.m) FILTER (b.x = a.x AND b.y = a.y - 1) AS n, sum(b.m) FILTER (b.x = a.x AND b.y = a.y + 1) AS s,
   sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y - 1) AS nw, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y - 1) AS ne, sum(b.m) FILTER (b.x = a.x - 1 AND b.y = a.y + 1) AS sw, sum(b.m) FILTER (b.x = a.x + 1 AND b.y = a.y + 1) AS se
