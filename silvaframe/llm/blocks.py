@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def deal(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
+def deal(rows: DataFrame, keys: list[str], id_col: str, block: int, weight: str | None = None) -> DataFrame:
     """Rows of groups with two members or more, dealt into pairs of blocks.
 
     A group of m rows is cut by a hash of the id into ceil(m / block) blocks; every pair of blocks,
     and every block with itself, becomes one unit (keys, _lo, _hi) of at most about two blocks. A row
     goes to as many units as its group has blocks, so m members cost m * m / block rows, not m * m.
     Each row has its own block's number in _own. What a unit needs to know of its rows is best joined
-    to the dealt ids, before `gather`.
+    to the dealt ids, before `gather`. With a weight, blocks hold about so much of its sum, and there are
+    no more of them than rows.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    total = F.least(F.count(F.lit(1)) * block, F.sum(weight)) if weight else F.count(F.lit(1))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), total.alias("_m")).where("_n > 1").drop("_n")
     return (
         rows.join(sizes, keys)
         .withColumn("_blocks", F.expr(f"int((_m + {block - 1}) div {block})"))

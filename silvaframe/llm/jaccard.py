@@ -16,8 +16,9 @@ from .common import Scratch, batch_words, connected_components, frugal, mix
 #: Rows of a block; members of a share of a class's partners; heavy n-grams that are broadcast; n-grams carried to
 #: tell in which column a pair is met first; bits of a filter of ids (2 MB, whatever the input).
 BLOCK, SHARE, HEAVY, CARRY, FILTER = 2048, 512, 100_000, 8, 1 << 24
-#: Rows of one step of a block's product; rows of a unit that is worked through together with others.
-STEP, NARROW = 256, 64
+#: Rows of one step of a block's bounds; rows of a unit that is worked through together with others; n-grams of the rows
+#: of a block whose overlaps are counted, unless a single row has more.
+STEP, NARROW, WEIGHT = 256, 64, 1 << 19
 
 
 def parity_words(n: int) -> int:
@@ -251,7 +252,7 @@ class Maps:
 
 
 def _may_link(percent: int):
-    """Pairs (a, b, na, nb, sa, sb) that the sizes and the overlap bound of `_product` do not rule out."""
+    """Pairs (a, b, na, nb, sa, sb) that the sizes and the overlap bound of `_meet` do not rule out."""
 
     def run(batches):
         for t in batches:
@@ -300,8 +301,21 @@ def _near(n: np.ndarray, words: np.ndarray, sketches: list[bytes], left: np.ndar
                     yield i[p], cols[q]
 
 
-def _product(percent: int):
-    """Pairs of rows of a unit, a block of rows by a block of rows of one column, that may be similar and are not linked yet.
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the least row of its cluster, once rows a and b are in one cluster each."""
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _meet(percent: int):
+    """Rows of a unit, a block of rows by a block of rows of one column, that may be similar to another one and are not
+    linked to it yet, with the cluster of rows that such pairs make up: a row per row, however many pairs there are.
 
     What two rows differ in is bounded from below by their parity maps, and pairs whose sizes ask for a
     larger overlap are discarded. A pair that shares an earlier carried column is left to that column. Narrow units are
@@ -338,19 +352,80 @@ def _product(percent: int):
                     left, right = (rows[own[rows] == own[rows].min()], rows[own[rows] == own[rows].max()]) if across[at] else (rows, rows)
                     yield from _near(n, maps.words, sketches, left, right, may if across[at] else lambda i, j: may(i, j) & (i < j), percent)
 
-            out, count = [], 0
+            label, held, count = np.arange(len(frame)), [], 0
             for a, b in found():
                 for at in range(0, len(a), 8192):
                     i, j = a[at : at + 8192], b[at : at + 8192]
                     first = ~((carry[i][:, :, None] == carry[j][:, None, :]) & (carry[i] < gram[i][:, None])[:, :, None]).any(axis=(1, 2))
-                    i, j = ids[i[first]], ids[j[first]]
-                    out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
-                    count += len(i)
+                    held.append((i[first], j[first]))
+                    count += len(held[-1][0])
                 if count > 100_000:
-                    yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-                    out, count = [], 0
+                    label, held, count = _joined(label, *map(np.concatenate, zip(*held))), [], 0
             if count:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                label = _joined(label, *map(np.concatenate, zip(*held)))
+            met = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+            if len(met):
+                out = frame.iloc[met][["gram", "band", "_lo", "_hi", "id", "part", "n"]]
+                yield out.assign(cluster=ids[label[met]], side=np.where(across[met], own[met], -1))
+
+    return run
+
+
+def _product(n: int, percent: int):
+    """A spanning forest of the links (a, b) among the rows of each unit (unit, _lo, _hi, id, part, side, _own, text).
+
+    The unit's rows of the incidence matrix times their transpose, a row by a block of rows at a time: overlap counts are
+    added up over all n-grams that two rows of the unit hold, and pairs below the overlap that their sizes ask for go. The
+    bounds by sizes and parity maps mask the block; so does what is linked already, by part or by an earlier row.
+    """
+
+    def links(key, rows: list[tuple]):
+        if len(rows) < 2:
+            return
+        ids, part, side, own = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        sets = [r[4] for r in rows]
+        sizes, across = np.array([len(s) for s in sets]), key[1] != key[2]
+        _, local, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = held[local] > 1
+        ends = np.concatenate([[0], np.cumsum(common)])[np.cumsum(sizes)]
+        starts, local = np.concatenate([[0], ends[:-1]]), local[common].astype(np.int32)
+        mark, label = np.zeros(len(held), bool), np.unique(part, return_inverse=True)[1]
+        maps = Maps([parity(s).tobytes() for s in sets])
+        for i in range(len(rows) - 1):
+            small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+            ok = (label != label[i]) & ((side != side[i]) | (side < 0)) & (100 * small >= percent * large)
+            if across:
+                ok &= own != own[i]
+            j = i + 1 + np.flatnonzero(ok[i + 1 :])
+            j = j[maps.apart(np.full(len(j), i), j) <= _spare(sizes[i], sizes[j], percent)]
+            if not len(j):
+                continue
+            mark[local[starts[i] : ends[i]]] = True
+            lengths = ends[j] - starts[j]
+            for block in np.split(j, np.flatnonzero(np.diff(np.cumsum(lengths) >> 20)) + 1):
+                hits = np.concatenate([[0], np.cumsum(mark[np.concatenate([local[starts[k] : ends[k]] for k in block])])])
+                at = np.cumsum(ends[block] - starts[block])
+                overlap = hits[at] - hits[at - ends[block] + starts[block]]
+                for k in block[overlap >= least_overlap(sizes[block], sizes[i], percent)]:
+                    if label[k] != label[i]:
+                        label[label == label[k]] = label[i]
+                        yield ids[i], ids[k]
+            mark[local[starts[i] : ends[i]]] = False
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for *row, words in zip(*(batch.column(k).to_pylist() for k in range(7)), batch_words(batch.column(7))):
+                if row[:3] != key:
+                    found += links(key, rows)
+                    key, rows = row[:3], []
+                rows.append((*row[3:], shingles(words, n)))
+            yield batch_of(found)
+        yield batch_of(list(links(key, rows)))
 
     return run
 
@@ -400,8 +475,9 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     their prefix columns, whose length follows from the size. Links of each class with the first class of most of its
     columns join most copies; columns that then still hold several parts are multiplied in blocks of rows: wide columns
     are dealt out by bands of size, so that rows whose sizes rule each other out never meet, and by blocks within a band.
-    Pairs that the sizes and the bound on what they differ in leave over are completed to whole overlap counts. Pairs
-    within one part need no count.
+    Rows that the sizes and the bound on what they differ in leave with a possible partner are gathered by clusters, where
+    the blocked product adds up whole overlap counts; a cluster hands on a spanning forest of its links, so what is written
+    follows the rows, not their pairs. Pairs within one part need no count.
 
     Null, empty and blank texts have no shingles and link with nothing; a text of fewer than n words is
     one shingle. Rows that share an id count as one document with all their links. A null id links with
@@ -455,10 +531,6 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     def parts(links: DataFrame) -> DataFrame:
         return scratch.save(connected_components(links, scratch).select("id", F.col("component").alias("part")))
 
-    def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
-        of = lambda x: part.select(F.col("id").alias(x), F.col("part").alias(f"p{x}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b")
-
     # 4. each class with the hub of most of its columns joins most copies
     often = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
     often = often.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -472,14 +544,16 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90, id_c
     mixed = open_.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("gram", (F.col("m") > BLOCK).alias("wide"))
     open_ = scratch.save(open_.join(mixed, "gram"))
     carry = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRY).alias("carry"))
-    pairs = gather(deal(_banded(open_, facts, percent), ["gram", "band"], "id", BLOCK).join(facts.drop("texts"), "id").join(carry, "id"), ["gram", "band"])
-    pairs = scratch.save(pairs.mapInPandas(frugal(_product(percent)), "a long, b long").distinct())
-    # 6. whole overlap counts: of each class with its least partner, then of pairs still apart
-    for some in (lambda: pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda: pairs):
-        links = scratch.save(links.unionByName(verify(apart(some(), part))))
-        part = parts(links)
+    met = gather(deal(_banded(open_, facts, percent), ["gram", "band"], "id", BLOCK).join(facts.drop("texts"), "id").join(carry, "id"), ["gram", "band"])
+    met = met.mapInPandas(frugal(_meet(percent)), "gram long, band int, _lo int, _hi int, id long, part long, n long, cluster long, side int")
+    met = scratch.save(met.select(F.xxhash64("gram", "band", "_lo", "_hi", "cluster").alias("unit"), "id", "part", "n", "side"))
+    # 6. whole overlap counts within each cluster; only texts of these rows move, and a text is smaller than its set
+    dealt = deal(met, ["unit"], "id", WEIGHT, "n").join(matrix.select("id", "text"), "id")
+    dealt = gather(dealt.select("unit", "_lo", "_hi", "id", "part", "side", "_own", "text"), ["unit"])
+    links = scratch.save(links.unionByName(dealt.mapInArrow(frugal(_product(n, percent)), "a long, b long")))
+    part = parts(links)
     label = part.withColumnRenamed("part", "component")
-    scratch.drop(active, matrix, shared, open_, pairs, links)
+    scratch.drop(active, matrix, shared, open_, met, links)
     heavy.destroy()
     # 7. back to the documents
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).join(label, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))

@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +76,11 @@ def test_jaccard_equals_brute_force(spark, corpus, n, percent):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(i, len(s), want[i]) for i, s in sets.items()}
 
 
-def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
-    """A family whose members are linked to some of each other only, in more rows than a block has."""
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+@pytest.mark.parametrize("block,weight", [(8, jaccard.WEIGHT), (8, 400), (jaccard.BLOCK, 1)])
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch, block, weight):
+    """A family whose members are linked to some of each other only, in more rows than a block has, and more n-grams."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
     rng = random.Random(1)
     base = [f"w{k}" for k in range(80)]
     rows = []
@@ -93,6 +97,18 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     assert len(set(want.values())) > 1
 
 
+def test_jaccard_clusters_grow_with_their_rows():
+    """Of rows that all may be similar to each other, each is handed on once, and a forest of their links."""
+    sets = [np.unique(np.concatenate([np.arange(100), 1000 + 100 * i + np.arange(9)])) for i in range(60)]
+    frame = pd.DataFrame({"gram": 5, "band": -1, "_lo": 0, "_hi": 0, "id": range(60), "_own": 0, "part": range(60), "home": True, "n": 109, "sketch": [jaccard.parity(s).tobytes() for s in sets], "carry": [[5]] * 60})
+    met = pd.concat(list(jaccard._meet(80)([frame])))
+    assert sorted(met["id"]) == list(range(60)) and set(met["cluster"]) == {0}
+    texts = [" ".join(f"w{k}" for k in s) for s in sets]
+    rows = pa.record_batch([pa.array([v] * 60, pa.int64()) for v in (1, 0, 0)] + [pa.array(range(60), pa.int64())] * 2 + [pa.array([-1] * 60, pa.int64()), pa.array([0] * 60, pa.int64()), pa.array(texts)], ["unit", "_lo", "_hi", "id", "part", "side", "_own", "text"])
+    for percent, links in ((80, 59), (90, 0)):
+        assert sum(b.num_rows for b in jaccard._product(1, percent)([rows])) == links
+
+
 def test_word_hashes_do_not_depend_on_batching():
     import pyarrow as pa
 
