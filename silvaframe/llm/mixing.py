@@ -85,19 +85,19 @@ def mix_sources(
     a document is taken, 0 for none.
 
     Null sources are a source of their own. Null, empty and blank texts have no tokens and are not
-    taken; a source without tokens has weight 0. Ids may be null or repeat: rows equal in id and tokens
-    keep apart, in an order that does not change their number of copies in total, by row_col where it is given. An empty table gives
-    an empty result. Other columns are not read, so their names cannot clash.
+    taken; a source without tokens has weight 0. Ids may be null or repeat: rows equal in id and tokens count as a range
+    within their block, and only where the quota cuts the range itself are they numbered, over runs of bounded length, in
+    an order that does not change their number of copies in total, by row_col where it is given. An empty table gives an empty result. Other columns are not read, so their names cannot clash.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
-    row = [F.col(row_col)] if row_col else []
     docs = scratch.save(
         documents.select(
-            *row,
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"),
+            F.concat_ws(":", F.when(F.col(id_col).isNull(), "0").otherwise("1"), F.col(id_col).cast("string")).alias("_id"),
         ).withColumn("_key", F.concat_ws(":", F.when(F.col("source").isNull(), "0").otherwise("1"), F.col("source").cast("string")))
     )
     per = scratch.save(docs.groupBy("_key").agg(F.sum("n_tokens").alias("_tokens"), F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0)).alias("_docs")).where("_tokens > 0"))
@@ -125,11 +125,21 @@ def mix_sources(
     rows = rows.join(blocks, ["_key", "_block"], "left")
     # only blocks that the quota cuts need their documents in order
     cut = (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_size") > F.col("_rest"))
-    inner = Window.partitionBy("_key", "_block").orderBy(md5_long("doc_id", "n_tokens", F.lit(seed + 1)), "doc_id", "n_tokens", *row)
     whole = rows.where(~F.coalesce(cut, F.lit(False))).withColumn("_in", F.when(F.col("_before") + F.col("_size") <= F.col("_rest"), 1).otherwise(0))
-    part = rows.where(cut).withColumn("_in", F.when(F.col("_before") + F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_rest"), 1).otherwise(0))
-    return whole.unionByName(part).select(
-        *row,
+    same = ["_key", "_block", "_id", "n_tokens"]
+    part = scratch.save(rows.where(cut))
+    ranges = part.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.first("doc_id").alias("doc_id"), F.first(F.col("_rest") - F.col("_before")).alias("_left"))
+    inner = Window.partitionBy("_key", "_block").orderBy(md5_long("doc_id", "n_tokens", F.lit(seed + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_left") - F.coalesce(F.sum(F.col("_n") * F.col("n_tokens")).over(inner), F.lit(0))
+    ranges = scratch.save(ranges.withColumn("_fit", F.greatest(F.least(F.expr("_n * n_tokens"), left), F.lit(0))).select(*same, "_n", F.expr("_fit div n_tokens").alias("_fit")))
+    part = part.join(ranges, same)
+    clear = part.where("_fit = 0 or _fit = _n").withColumn("_in", F.when(F.col("_fit") > 0, 1).otherwise(0))
+    # rows of a range that the quota cuts
+    split = part.where("_fit > 0 and _fit < _n").withColumn("_span", F.pmod(F.xxhash64("_row"), F.expr(f"(_n + {RUN - 1}) div {RUN}"))).withColumn("_one", F.lit(1))
+    split = offsets_before(split, same, "_span", ["_row"], "_one", "_at").withColumn("_in", F.when(F.col("_at") < F.col("_fit"), 1).otherwise(0))
+    part = clear.unionByName(split.select(*clear.columns))
+    return whole.unionByName(part.select(*whole.columns)).select(
+        *([F.col("_row").alias(row_col)] if row_col else []),
         "doc_id",
         "source",
         "n_tokens",
