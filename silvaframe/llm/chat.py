@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import whole_runs
-from .common import Scratch, frugal, md5_long
+from .common import Scratch, frugal, md5_long, offsets_before
 
 ROLES = ("system", "user", "assistant")
 #: State 0 is the start, state k the role ROLES[k - 1] of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
-#: Turns, or pieces of the level below, that are composed into one piece.
-FAN = 256
+#: Turns, or pieces of the level below, that are composed into one piece; pieces whose rows are numbered together.
+FAN, RUN = 256, 16
 
 # Names under which roles are found.
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatbot": "assistant", "developer": "system"}
@@ -116,8 +116,7 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
     first); relabel is told by new_role <> role. inserted counts empty turns before the turn and, at the
     last turn, after it. Roles are trimmed and lower-cased, with usual aliases; null or unknown ones have
     to be relabelled. Rows are ordered by turn (nulls last), then by the role found (none, system, user, assistant), the
-    role as written and a hash of the text (where more than FAN rows share a turn, by role found and then by a hash
-    of the row); repeated rows stay. Rows without a conversation id form one conversation. Null texts render as empty.
+    role as written and a hash of the text, however many share a turn; repeated rows stay. Rows without a conversation id form one conversation. Null texts render as empty.
     Other columns are not read.
     """
     scratch = Scratch(turns.sparkSession, "chat")
@@ -207,7 +206,7 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
             known = scratch.save(_sorted(level.join(known, _GROUP), "at").mapInPandas(frugal(down), f"conv string, at long, {states}").withColumnRenamed("at", "parent"))
         return scratch.save(_sorted(bottom.join(known, _GROUP), *order).mapInPandas(frugal(label), f"rid long, conv string, at long, {states}"))
 
-    by_row, by_bucket = ("at", "code", "role", "h", "rid"), ("rid",)
+    by_row, by_place = ("at", "code", "role", "h", "rid"), ("code", "role", "h", "rid")
     # turn numbers that many rows share: only in pieces that are far too long
     heavy = scratch.save(narrow.groupBy(*_GROUP).count().where(F.col("count") > 4 * FAN).drop("count"))
     shared = None
@@ -215,9 +214,18 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
         parts = F.expr(f"(count(1) + {FAN - 1}) div {FAN}").cast("long").alias("parts")
         shared = scratch.save(narrow.join(heavy, _GROUP).groupBy("conv", "at").agg(F.count(F.lit(1)).alias("n"), parts).where(F.col("n") > FAN).drop("n"))
         apart = narrow.join(shared, ["conv", "at"])
-        # rows of such a turn: buckets in order of the role found, as a conversation of their own
-        inner = apart.select(F.concat("conv", F.lit("#"), F.col("at").cast("string")).alias("conv"), "rid", "code", "m", (F.col("code") * F.col("parts") + F.pmod(F.xxhash64("rid"), "parts")).alias("parent"))
-        inner_levels = climb(inner, *by_bucket)
+        # rows of such a turn: numbered in their order over runs of bounded length, FAN of them a bucket, as a conversation
+        # of their own. Rows equal in all that the order knows count as a range, dealt out by themselves.
+        apart = apart.withColumn("_role", F.concat(F.when(F.col("role").isNull(), "0").otherwise("1"), F.coalesce("role", F.lit(""))))
+        same = ["conv", "at", "code", "_role", "h"]
+        ranges = apart.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.first("parts").alias("parts"))
+        ranges = ranges.withColumn("run", F.struct("code", "_role", F.expr(f"h div ({1 << 60} div ((parts + {RUN - 1}) div {RUN}))").alias("h")))
+        ranges = scratch.save(offsets_before(ranges, ["conv", "at"], "run", ["code", "_role", "h"], "copies", "start").select(*same, "copies", "start"))
+        apart = apart.join(ranges, same).withColumn("run", F.pmod(F.xxhash64("rid"), F.expr(f"(copies + {RUN * FAN - 1}) div {RUN * FAN}"))).withColumn("one", F.lit(1))
+        apart = offsets_before(apart, same, "run", ["rid"], "one", "k")
+        inner = apart.select(F.concat("conv", F.lit("#"), F.col("at").cast("string")).alias("conv"), "rid", "code", "role", "h", "m", F.expr(f"(start + k) div {FAN}").alias("parent"))
+        inner = scratch.save(inner)
+        inner_levels = climb(inner, *by_place)
         pieces = inner_levels[-1].withColumn("i", F.length("conv") - F.length(F.substring_index("conv", "#", -1)))
         pieces = pieces.select(F.substring("conv", F.lit(1), F.col("i") - 1).alias("conv"), F.substring_index("conv", "#", -1).cast("long").alias("at"), F.lit(-1).alias("code"), F.lit(None).cast("string").alias("role"), F.lit(0).cast("long").alias("h"), F.lit(-1).cast("long").alias("rid"), "m")
         narrow = narrow.join(shared, ["conv", "at"], "left_anti").unionByName(pieces.withColumn("parent", _parent("at")))
@@ -236,7 +244,7 @@ def repair(turns: DataFrame, automaton: Automaton = Automaton(), conv_col: str =
     if shared is not None:
         top = inner_levels[-1].select("conv", F.col("at").alias("parent"))
         turn = found.where("rid < 0").select(F.concat("conv", F.lit("#"), F.col("at").cast("string")).alias("conv"), "enter", "leave", "cost", "first", "last")
-        found = found.where("rid >= 0").unionByName(descend(inner_levels, top.join(turn, "conv"), inner.withColumn("at", F.col("parent")), *by_bucket))
+        found = found.where("rid >= 0").unionByName(descend(inner_levels, top.join(turn, "conv"), inner.withColumn("at", F.col("parent")), *by_place))
 
     # what a step means: looked up by the states it leads between
     steps = [automaton.step(a, b) if b else (0.0, "", []) for a in range(4) for b in range(4)]

@@ -549,6 +549,48 @@ def test_chats_equal_their_sql(spark):
     against_sql(frame, "conversations", chat.format_oracle(), chat.format_chats(frame).collect())
 
 
+def test_chats_with_shared_turns_equal_their_sql(spark, monkeypatch):
+    """Turn numbers that more rows share than a piece has keep the one order, whatever the table's partitions."""
+    monkeypatch.setattr(chat, "FAN", 4)
+    monkeypatch.setattr(chat, "RUN", 2)
+    rng = random.Random(7)
+    rows = [(1, rng.choice([None, 3, 3, 4]), rng.choice(["user", "assistant", "system", "tool", "x", None, " GPT"]), rng.choice(["a", "b", "c", "d", None, ""])) for _ in range(140)]
+    rows += [(2, 0, "user", "same")] * 60 + [(2, 0, "tool", "same")] * 30 + [(2, 1, "assistant", "end")]
+    seen = []
+    for parts in (1, 7):
+        out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts)).collect()
+        seen.append(collections.Counter(tuple(r) for r in out))
+    assert seen[0] == seen[1]
+    # the same as in pieces that hold a conversation whole, where no turn is taken apart: cost and rendered roles in order
+    monkeypatch.setattr(chat, "FAN", 256)
+    whole = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.cost) for r in whole} == {(t[0], t[6]) for t in seen[0]}
+    firsts = lambda rs: {tuple(r)[:3] for r in rs if tuple(r)[7]}
+    assert firsts(whole) == firsts(seen[0])
+
+
+def test_mixing_cuts_ranges_of_equal_rows(spark):
+    """Rows without ids and with one count of tokens are one range; a cut within it takes as many as fit."""
+    rows = [(None, "a b c", "x")] * 400 + [(k, "a " * (k % 5 + 1), "yz"[k % 2]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter(tuple(r) for r in mixed_in_sql(frame, mixing.mix_oracle()))
+    assert collections.Counter(tuple(r) for r in mixing.mix_sources(frame).collect()) == want
+    assert len({r[4] for r in want if r[0] is None}) == 2
+    numbered = frame.withColumn("_row", F.monotonically_increasing_id())
+    out = mixing.mix_sources(numbered, row_col="_row").collect()
+    assert out[0].asDict().keys() == {"_row", "doc_id", "source", "n_tokens", "weight", "copies"}
+    assert len({r["_row"] for r in out}) == len(rows) and collections.Counter(tuple(r)[1:] for r in out) == want
+
+
+def mixed_in_sql(frame, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("_t", frame.toPandas())
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text, source::VARCHAR AS source FROM _t")
+    return con.execute(sql).fetchall()
+
+
 def test_empty_tables(spark):
     none = docs_frame(spark, [])
     for f in (quality.quality, sharding.shard, mixing.mix_sources, jaccard.jaccard_components, secrets.secret_digest, langid.identify, pieces.encode_documents):
