@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from silvaframe.plans.scratch import stage
 
@@ -24,10 +26,10 @@ def colour(pixels: DataFrame) -> DataFrame:
     turn = F.when(turn < 0, turn + 360.0).otherwise(turn)
     # a list of one struct: the planner writes none of this out again in the masks and filters that read it
     found = F.struct(
-        (F.bround(turn / 2.0, 0).cast("int") % 180).cast("int").alias("h"),
-        F.when(top == 0, 0).otherwise(F.bround(255.0 * span / F.nullif(top, F.lit(0)), 0).cast("int")).alias("s"),
+        (F.rint(turn / 2.0).cast("int") % 180).cast("int").alias("h"),
+        F.when(top == 0, 0).otherwise(F.rint(255.0 * span / F.nullif(top, F.lit(0))).cast("int")).alias("s"),
         top.cast("int").alias("v"),
-        F.bround(0.114 * b + 0.587 * g + 0.299 * r, 0).cast("int").alias("gray"),
+        F.rint(0.114 * b + 0.587 * g + 0.299 * r).cast("int").alias("gray"),
         (2 * g - r - b).cast("int").alias("exg"),
         (top - low).cast("int").alias("delta"),
     )
@@ -88,7 +90,7 @@ def lab(pixels: DataFrame) -> DataFrame:
     y = 0.212671 * F.col("_r") + 0.715160 * F.col("_g") + 0.072169 * F.col("_b")
     bent = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
     light = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
-    byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.bround(c, 0).cast("int")))
+    byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(c).cast("int")))
     found = F.struct(byte(light * 2.55).alias("lab_l"), byte(500 * (bent(x) - bent(y)) + 128).alias("lab_a"))
     return rgb.select(*pixels.columns, F.inline(F.array(found)))
 
@@ -134,28 +136,83 @@ def square(size: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
-def _reach(masks: DataFrame, kernels: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """Each mask becomes true where any pixel under its kernel is. Pixels outside the image, a whole rectangle, count for nothing.
+#: Side of the squares of an image that are worked on in one task.
+TILE = 512
 
-    A kernel's rows have to be whole and centred, and no wider away from its middle, as squares, crosses and
-    ellipses have them: then it is a union of rectangles, one for each width, and a rectangle is a window along
-    rows followed by one along columns. All masks go through the same two windows over (image, y) and (image, x).
+
+def tiled(pixels: DataFrame, reach: Column | int, work, schema) -> DataFrame:
+    """`work` on each square of an image with all pixels up to `reach` around it: work(rows, grid, own) -> rows of the schema.
+
+    Pixels move once, those near a square's border in a few copies, and no task sees more than a square and its surroundings.
+    rows are an Arrow table; grid (y, x) tells their places in arrays that hold them; own tells which of them the square has to give out.
     """
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    halves = {m: {h: max(dy for dx, dy in k if dx == h) for h in {max(dx for dx, dy in k if dy == at) for _, at in k}} for m, k in kernels.items()}
-    along = masks.select(*masks.columns, *[F.max(m).over(row.rangeBetween(-h, h)).alias(f"_{m}_{h}") for m, by in halves.items() for h in by])
-    across = {m: reduce(or_, [F.max(f"_{m}_{h}").over(column.rangeBetween(-d, d)) for h, d in by.items()]) for m, by in halves.items()}
-    return along.select(*[across[c].alias(c) if c in across else F.col(c) for c in masks.columns])
+    reach = reach if isinstance(reach, Column) else F.lit(reach)
+
+    def squares(c: str) -> Column:
+        low = F.when(F.col(c) >= 0, F.greatest(F.lit(0), F.col(c) - reach)).otherwise(F.col(c) - reach)  # images begin at 0
+        return F.explode(F.sequence(F.floor(low / TILE).cast("int"), F.floor((F.col(c) + reach) / TILE).cast("int")))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        own = (x // side == key[1].as_py()) & (y // side == key[2].as_py())
+        if not own.any():
+            return kind.empty_table()
+        return work(rows.drop(["_tx", "_ty"]), (y - y.min(), x - x.min()), own).select(kind.names).cast(kind)
+
+    side, kind = TILE, to_arrow_schema(schema)
+    return pixels.withColumn("_tx", squares("x")).withColumn("_ty", squares("y")).groupBy("image_id", "_tx", "_ty").applyInArrow(run, schema)
+
+
+def placed(values: np.ndarray, grid: tuple[np.ndarray, np.ndarray], none=0) -> np.ndarray:
+    """An array [y, x] of the values, `none` where there is no pixel."""
+    out = np.full((grid[0].max() + 1, grid[1].max() + 1), none, values.dtype)
+    out[grid] = values
+    return out
+
+
+def under(grid: np.ndarray, kernel: list[tuple[int, int]], most=np.maximum) -> np.ndarray:
+    """The largest value under a kernel whose rows are whole and centred."""
+    halves = {dy: max(dx for dx, at in kernel if at == dy) for _, dy in kernel}
+    high, wide = grid.shape
+    along, row, out = {0: grid}, grid.copy(), grid.copy()
+    for k in range(1, max(halves.values()) + 1):
+        if k < wide:
+            most(row[:, k:], grid[:, :-k], out=row[:, k:])
+            most(row[:, :-k], grid[:, k:], out=row[:, :-k])
+        along[k] = row.copy()
+    for dy, half in halves.items():
+        if abs(dy) < high:
+            to, of = (slice(None, high - dy), slice(dy, None)) if dy >= 0 else (slice(-dy, None), slice(None, dy))
+            most(out[to], along[half][of], out=out[to])
+    return out
+
+
+def morphed(pixels: DataFrame, steps: dict[str, list[tuple[str, list[tuple[int, int]]]]]) -> DataFrame:
+    """pixels with each mask dilated ("d") or eroded ("e") by kernels, step by step. What is null, or lies outside the image, counts for nothing.
+
+    A kernel's rows have to be whole and centred, as squares, crosses and ellipses have them. All steps of all masks are worked out
+    in one pass over squares, which see as far around as their steps reach.
+    """
+    reach = max(sum(max(max(abs(dx), abs(dy)) for dx, dy in kernel) for _, kernel in todo) for todo in steps.values())
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        for mask, todo in steps.items():
+            known = placed(rows[mask].is_valid().to_numpy(), grid)
+            on = placed(rows[mask].fill_null(False).to_numpy(), grid)
+            every = known.all()
+            for step, kernel in todo:
+                on = under(on, kernel, np.logical_or) if step == "d" else ~under(known & ~on, kernel, np.logical_or)
+                if not every:  # places outside the image never get to know anything
+                    known = under(known, kernel, np.logical_or) & placed(np.ones(len(rows), bool), grid)
+                    on &= known
+            rows = rows.set_column(rows.column_names.index(mask), mask, pa.array(on[grid], mask=~known[grid]))
+        return rows.filter(pa.array(own))
+
+    return tiled(pixels, reach, work, pixels.schema)
 
 
 def _changed(pixels: DataFrame, masks: list[str], steps: str, kernel: list[tuple[int, int]]) -> DataFrame:
-    """pixels with the masks dilated (d) or eroded (e) step by step; only the masks and places move until the end."""
-    narrow = pixels.select(*PIXEL, *masks)
-    flipped = lambda df: df.select(*PIXEL, *[(~F.col(m)).alias(m) for m in masks])
-    for step in steps:
-        narrow = _reach(narrow, dict.fromkeys(masks, kernel)) if step == "d" else flipped(_reach(flipped(narrow), dict.fromkeys(masks, kernel)))
-    rest = [c for c in pixels.columns if c not in masks]
-    return (pixels.select(*rest).join(narrow, PIXEL) if set(rest) != set(PIXEL) else narrow).select(*pixels.columns)
+    return morphed(pixels, {m: [(s, kernel) for s in steps] for m in masks})
 
 
 def dilate(pixels: DataFrame, mask: str, kernel: list[tuple[int, int]]) -> DataFrame:
@@ -177,72 +234,81 @@ def closed(pixels: DataFrame, mask: str | list[str], kernel: list[tuple[int, int
     return _changed(pixels, [mask] if isinstance(mask, str) else mask, "de", kernel)
 
 
-#: Rows of an image whose links are brought together.
+#: Rows of an image whose components are found together.
 BAND = 256
 
 
-def _stars(by: list[str]):
-    """Links (*by, u, v) of each batch as links of every run to the least one that it hangs together with in it."""
-
-    def run(batches):
-        for frame in batches:
-            if not len(frame):
-                continue
-            space = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-            ends = pd.DataFrame({"s": np.tile(space, 2), "k": np.concatenate([frame["u"], frame["v"]])})
-            code = ends.groupby(["s", "k"]).ngroup().to_numpy()  # in order of k within a space
-            a, b = code[: len(frame)], code[len(frame) :]
-            label = np.arange(code.max() + 1)
-            while True:
-                low = np.minimum(label[a], label[b])
-                new = label.copy()
-                for at in (a, b, label[a], label[b]):
-                    np.minimum.at(new, at, low)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            first = np.zeros(len(label), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]  # a place where each run is named
-            child = np.flatnonzero(label != np.arange(len(label)))
-            out = frame[by].iloc[first[child] % len(frame)].reset_index(drop=True)
-            yield out.assign(u=ends["k"].to_numpy()[first[child]], v=ends["k"].to_numpy()[first[label[child]]])
-
-    return run
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n things the least one that it hangs together with by links a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def in_band(space: np.ndarray, x: np.ndarray, y: np.ndarray, diagonal: bool) -> np.ndarray:
+    """The place of the first pixel, row by row, of each pixel's component among those of its space: runs of rows are linked to those above them."""
+    order = np.lexsort((x, y, space))
+    s, r, c = space[order], y[order] - y.min() + 1, x[order] - x.min() + 2
+    row, wide = s.astype(np.int64) * (r.max() + 2) + r, int(c.max()) + 4  # the row above the first one of a space is nobody's
+    new = np.append(True, (row[1:] != row[:-1]) | (c[1:] - c[:-1] > 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    at, reach = row[first], int(diagonal)
+    low = np.searchsorted(at * wide + c[last], (at - 1) * wide + c[first] - reach, "left")
+    high = np.searchsorted(at * wide + c[first], (at - 1) * wide + c[last] + reach, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(first)), n)
+    label = joined(len(first), a, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[a])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[first[label[np.cumsum(new) - 1]]]
+    return out
 
 
 def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",), diagonal: bool = True) -> DataFrame:
     """The masked pixels with label: the least y * 1e6 + x of their component, 8-connected or by sides only.
 
-    by: the columns that keep pixels apart, so that regions that overlap in one image can be told too. Runs of a row are
-    found first (a window within rows), so all that follows moves one record per run, not per pixel. Links of a band of rows
-    are brought down to stars where they lie; then runs pass on the least label, with a jump to the label's own label,
-    until nothing changes: at once for images of one band. Each round is written and reread.
+    by: the columns that keep pixels apart, so that regions that overlap in one image can be told too; the first one is the image.
+    Components of a band of rows are found where they lie, which is all for images of one band. Where pixels meet across
+    two bands, their labels are links: labels pass on the least one, with a jump to the label's own label, until nothing
+    changes. So what goes through rounds are labels along the borders of bands; each round is written and reread.
     """
-    by = list(by)
-    key = F.col("y").cast("long") * 1_000_000 + F.col("x")
-    row = Window.partitionBy(*by, "y").orderBy("x")
-    on = pixels.where(mask).withColumn("_new", F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1))
-    on = on.withColumn("_run", F.sum("_new").over(row)).withColumn("run", F.min(key).over(Window.partitionBy(*by, "y", "_run"))).drop("_new", "_run")
-    on = stage(on, "runs")
-    runs = on.groupBy(*by, "run", "y").agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
-    a, b = runs.alias("a"), runs.withColumn("up", F.col("y") + 1).alias("b")
-    touch = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.y") == F.col("b.up")) & (F.col("a.x1") <= F.col("b.x2") + int(diagonal)) & (F.col("b.x1") <= F.col("a.x2") + int(diagonal))
-    links = a.join(b, touch).select(*[f"a.{c}" for c in by], F.col("a.run").alias("u"), F.col("b.run").alias("v"), F.expr(f"a.y div {BAND}").alias("_band"))
-    links = links.repartition(*by, "_band").drop("_band").mapInPandas(_stars(by), links.drop("_band").schema)
-    stars = stage(links, "links")
+    by, rows = list(by), BAND
+    on = pixels.where(mask).withColumn("_band", F.floor(F.col("y") / rows))
+    rest = [c for c in pixels.columns if c not in by]
+    schema = StructType([*pixels.select(*by, *rest).schema.fields, StructField("label", LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table["x"].to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64)
+        space = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy() if len(by) > 1 else np.zeros(len(x), np.int64)
+        label = (y * 1_000_000 + x)[in_band(space, x, y, diagonal)]
+        return table.select([*by, *rest]).append_column("label", pa.array(label))
+
+    on = stage(on.groupBy(by[0], "_band").applyInArrow(run, schema), "bands")
+    beside = F.explode(F.array(*[F.lit(d) for d in ((-1, 0, 1) if diagonal else (0,))]))
+    under_ = on.where(F.pmod("y", F.lit(rows)) == 0).select(*by, "y", F.col("x").alias("_x"), F.col("label").alias("u"), beside.alias("_d")).select(*by, (F.col("_x") + F.col("_d")).alias("x"), (F.col("y") - 1).alias("y"), "u")
+    above = on.where(F.pmod("y", F.lit(rows)) == rows - 1).select(*by, "x", "y", F.col("label").alias("v"))
+    stars = stage(under_.join(above.hint("merge"), [*by, "x", "y"]).select(*by, "u", "v").distinct(), "links")
+    if not stars.limit(1).count():
+        return on
     links = stars.unionByName(stars.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-    first = stars.groupBy(*by, F.col("u").alias("run")).agg(F.min("v").alias("label"))
-    label = runs.select(*by, "run").join(first, [*by, "run"], "left").select(*by, "run", F.coalesce("label", "run").alias("label"))
+    label = links.select(*by, F.col("u").alias("run"), F.col("u").alias("label")).distinct()
     while True:
-        heard = links.withColumnRenamed("v", "run").join(label, [*by, "run"]).groupBy(*by, F.col("u").alias("run")).agg(F.min("label").alias("heard"))
-        low = label.join(heard, [*by, "run"], "left").select(*by, "run", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
+        heard = links.withColumnRenamed("v", "run").join(label.hint("merge"), [*by, "run"]).groupBy(*by, F.col("u").alias("run")).agg(F.min("label").alias("heard"))
+        low = label.join(heard.hint("merge"), [*by, "run"], "left").select(*by, "run", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
         jump = low.select(*by, F.col("run").alias("now"), F.col("now").alias("further"))
-        new = stage(low.join(jump, [*by, "now"]).select(*by, "run", "was", F.col("further").alias("label")), "labels")
+        new = stage(low.join(jump.hint("merge"), [*by, "now"]).select(*by, "run", "was", F.col("further").alias("label")), "labels")
         if not new.where("was <> label").limit(1).count():
             break
         label = new.select(*by, "run", "label")
-    return on.join(new.select(*by, "run", "label"), [*by, "run"]).drop("run")
+    named = new.select(*by, F.col("run").alias("label"), F.col("label").alias("_least"))
+    return on.join(named.hint("merge"), [*by, "label"], "left").select(*by, *rest, F.coalesce("_least", "label").alias("label"))
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -284,7 +350,7 @@ def in_discs(pixels: DataFrame, discs: DataFrame, cell: int) -> DataFrame:
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius")) / cell), F.floor((F.col(c) + F.col("radius")) / cell)))
     d = discs.where("radius >= 0").withColumn("_gx", reach("cx")).withColumn("_gy", reach("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    return p.join(d, ["image_id", "_gx", "_gy"]).where(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).drop("_gx", "_gy")
+    return p.hint("merge").join(d, ["image_id", "_gx", "_gy"]).where(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).drop("_gx", "_gy")
 
 
 def shrink(pixels: DataFrame, factor: int) -> DataFrame:
@@ -308,7 +374,7 @@ def ring_coverage(rings: DataFrame, pixels: DataFrame, mask: str, angles: int =
     at = rings.select("image_id", "idx", "cx", "cy", "radius", turn).withColumn("o", F.explode(F.sequence(F.lit(-width), F.lit(width))))
     a = F.col("k") * (2 * 3.141592653589793 / angles)
     at = at.withColumn("x", F.bround(F.col("cx") + (F.col("radius") + F.col("o")) * F.cos(a), 0).cast("int")).withColumn("y", F.bround(F.col("cy") + (F.col("radius") + F.col("o")) * F.sin(a), 0).cast("int"))
-    hit = at.join(pixels.where(mask).select(*PIXEL, F.lit(1).alias("hit")), PIXEL, "left")
+    hit = at.join(pixels.where(mask).select(*PIXEL, F.lit(1).alias("hit")).hint("merge"), PIXEL, "left")
     by = hit.groupBy("image_id", "idx", "k").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return by.groupBy("image_id", "idx").agg(F.avg("hit").alias("coverage"))
 
@@ -318,7 +384,7 @@ def ring_share(rings: DataFrame, pixels: DataFrame, mask: str, angles: int = 96,
     at = rings.select("image_id", "idx", "cx", "cy", "radius", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("k")).withColumn("o", F.explode(F.sequence(F.lit(-width), F.lit(width))))
     a, r = F.col("k") * (2 * 3.141592653589793 / angles), F.greatest(F.lit(1), F.col("radius") + F.col("o"))
     at = at.select("image_id", "idx", F.bround(F.col("cx") + r * F.cos(a), 0).cast("int").alias("x"), F.bround(F.col("cy") + r * F.sin(a), 0).cast("int").alias("y"))
-    met = at.join(pixels.select(*PIXEL, F.col(mask).cast("int").alias("_met")), PIXEL)
+    met = at.join(pixels.select(*PIXEL, F.col(mask).cast("int").alias("_met")).hint("merge"), PIXEL)
     return met.groupBy("image_id", "idx").agg(F.avg("_met").alias("coverage"))
 
 
@@ -327,20 +393,26 @@ def label_near(points: DataFrame, labelled: DataFrame, radius: int = 7) -> DataF
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in square(2 * radius + 1)])
     at = points.select("image_id", "idx", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(offsets).alias("o"))
     at = at.select("image_id", "idx", (F.col("px") + F.col("o.dx")).alias("x"), (F.col("py") + F.col("o.dy")).alias("y"), ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("exact"))
-    n = at.join(labelled.select(*PIXEL, "label"), PIXEL).groupBy("image_id", "idx", "label").agg(F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
+    n = at.join(labelled.select(*PIXEL, "label").hint("merge"), PIXEL).groupBy("image_id", "idx", "label").agg(F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
     return n.groupBy("image_id", "idx").agg(F.max_by("label", F.struct("exact", "n", -F.col("label"))).alias("label"))
 
 
 def blurred(pixels: DataFrame, values: dict[str, Column], weights: list[tuple[int, int, float]]) -> DataFrame:
     """Adds weighted sums over a small kernel (dx, dy, weight); beyond the border the image is mirrored about its edge pixel."""
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
-    mirror = lambda at, n: F.when(at < 0, -at).when(at >= F.col(n), 2 * (F.col(n) - 1) - at).otherwise(at)
-    kernel = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in weights])
-    seek = pixels.select(*PIXEL).join(size, "image_id").withColumn("o", F.explode(kernel))
-    seek = seek.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), mirror(F.col("x") + F.col("o.dx"), "_w").cast("int").alias("x"), mirror(F.col("y") + F.col("o.dy"), "_h").cast("int").alias("y"), F.col("o.w").alias("_k"))
-    found = seek.join(pixels.select(*PIXEL, *[v.cast("double").alias(k) for k, v in values.items()]), PIXEL)
-    sums = found.groupBy("image_id", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(*[F.sum(F.col(k) * F.col("_k")).alias(k) for k in values])
-    return pixels.join(sums, PIXEL)
+    reach, names = max(max(abs(dx), abs(dy)) for dx, dy, _ in weights), list(values)
+    wide = pixels.withColumns({k: v.cast("double") for k, v in values.items()})
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        for k in names:
+            v = placed(np.nan_to_num(rows[k].to_numpy()), grid)
+            for axis, n in enumerate(v.shape):  # an image without a second row or column has nothing to be mirrored
+                v = np.pad(v, [(reach, reach) if axis == at else (0, 0) for at in (0, 1)], **({"mode": "reflect"} if n > 1 else {}))
+            at = [(grid[0] + reach + dy, grid[1] + reach + dx) for dx, dy, _ in weights]
+            found = sum(w * v[place] for place, (_, _, w) in zip(at, weights))
+            rows = rows.set_column(rows.column_names.index(k), k, pa.array(found))
+        return rows.filter(pa.array(own))
+
+    return tiled(wide, reach, work, StructType([*pixels.schema.fields, *[StructField(k, DoubleType()) for k in names]]))
 
 
 #: The 3 x 3 binomial kernel, by which a Gaussian of that size is taken.

@@ -49,11 +49,10 @@ def planes(pixels: DataFrame, edge: Column | None = None) -> DataFrame:
     raw = raster.colour(pixels).withColumns(
         {"vegetation": raster.vegetation(), "bare": raster.bare_soil(), "anomaly": raster.colour_anomaly(), "fire": raster.fire_core(), "smoke": raster.smoke_like(), "edge": F.lit(False) if edge is None else edge}
     )
-    raw = stage(raw.select("image_id", "x", "y", "b", "g", "r", "v", "vegetation", "bare", "anomaly", "fire", "smoke", "edge"), "planes")
-    masks = raw.select("image_id", "x", "y", "vegetation", "bare", "anomaly", "fire")
-    masks = raster.closed(masks, "anomaly", raster.ellipse(7))
-    masks = raster.opened(raster.opened(masks, ["vegetation", "bare", "anomaly"], raster.ellipse(5)), "fire", raster.square(3))
-    return stage(raw.drop("vegetation", "bare", "anomaly", "fire").join(masks, raster.PIXEL), "planes")
+    raw = raw.select("image_id", "x", "y", "b", "g", "r", "v", "smoke", "edge", "vegetation", "bare", "anomaly", "fire")
+    k3, k5, k7 = raster.square(3), raster.ellipse(5), raster.ellipse(7)
+    opened = lambda k: [("e", k), ("d", k)]
+    return stage(raster.morphed(raw, {"vegetation": opened(k5), "bare": opened(k5), "anomaly": [("d", k7), ("e", k7), *opened(k5)], "fire": opened(k3)}), "planes")
 
 
 def sizes(planes: DataFrame) -> DataFrame:
@@ -102,7 +101,7 @@ def fire_points(planes: DataFrame, limits: Limits = Limits()) -> DataFrame:
     upto = planes.select("image_id", "y", F.col("x").alias("at"), F.sum(F.col("smoke").cast("int")).over(row).alias("upto"))
     sides = F.array(F.struct((F.col("hx1") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("hx2") - 1).alias("at"), F.lit(1).alias("sign")))
     ends = c.withColumn("y", F.explode(F.sequence("hy1", F.col("hy2") - 1))).withColumn("e", F.explode(sides)).select("image_id", "component", "y", "e.at", "e.sign")
-    smoke = ends.join(upto, ["image_id", "y", "at"]).groupBy("image_id", "component").agg(F.sum(F.col("sign") * F.col("upto")).alias("smoke"))
+    smoke = ends.join(upto.hint("merge"), ["image_id", "y", "at"]).groupBy("image_id", "component").agg(F.sum(F.col("sign") * F.col("upto")).alias("smoke"))
     ratio = F.coalesce("smoke", F.lit(0)) / ((F.col("hx2") - F.col("hx1")) * (F.col("hy2") - F.col("hy1")))
     c = c.join(smoke, ["image_id", "component"], "left").withColumn("smoke_ratio", ratio)
     c = c.withColumn("score", rules.fire_confidence(F.col("red"), F.col("hot"), F.col("area_px"), F.col("smoke_ratio"))).where(F.col("score") >= limits.cut)
