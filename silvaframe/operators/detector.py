@@ -34,7 +34,7 @@ def measured(labelled: DataFrame, heights: DataFrame | None, area: tuple[float,
     out = stats.join(round_, list(PART)).select("image_id", "label", F.col("area").alias("area_px"), "perimeter", F.col("er").alias("enclosing"), F.col("w").alias("bw"), F.col("h").alias("bh"), F.coalesce("cx", "ex").alias("cx"), F.coalesce("cy", "ey").alias("cy"), "ex", "ey")
     if heights is None:
         return out
-    peak = labelled.join(heights, PIXEL).groupBy("image_id", "label").agg(F.max("distance").alias("peak"))
+    peak = labelled.join(heights.hint("merge"), PIXEL).groupBy("image_id", "label").agg(F.max("distance").alias("peak"))
     return out.join(peak, ["image_id", "label"])
 
 
@@ -60,10 +60,8 @@ def detections(labelled: DataFrame, heights: DataFrame | None, rule: Rule, sourc
 
 def _cleaned(pixels: DataFrame, mask: Column, steps: list[tuple[str, int]]) -> DataFrame:
     """(image_id, x, y, mask) after opening and closing by elliptic kernels."""
-    p = pixels.select(*PIXEL, F.coalesce(mask, F.lit(False)).alias("mask"))
-    for kind, size in steps:
-        p = (raster.opened if kind == "open" else raster.closed)(p, "mask", raster.ellipse(size))
-    return stage(p, "mask")
+    todo = [(step, raster.ellipse(size)) for kind, size in steps for step in ("ed" if kind == "open" else "de")]
+    return stage(raster.morphed(pixels.select(*PIXEL, F.coalesce(mask, F.lit(False)).alias("mask")), {"mask": todo}), "mask")
 
 
 def tree_mask(pixels: DataFrame, s: int = 25, v: int = 40, exg: int = 10) -> DataFrame:
@@ -112,7 +110,7 @@ def residual(mask: DataFrame, found: DataFrame, stage_no: int) -> DataFrame:
     """Detections on what of the mask lies under no disc found so far, opened and closed."""
     discs = found.select("image_id", "idx", F.col("x").alias("cx"), F.col("y").alias("cy"), F.greatest(F.lit(2), "radius").alias("radius"))
     under = raster.in_discs(mask.where("mask").select(*PIXEL), discs, 64).select(*PIXEL).distinct().withColumn("_under", F.lit(True))
-    rest = mask.join(under, PIXEL, "left")
+    rest = mask.join(under.hint("merge"), PIXEL, "left")
     rest = _cleaned(rest, F.col("mask") & F.col("_under").isNull(), [("open", 3), ("close", 5)])
     labelled, heights = field.crowns(rest, "mask", 20)
     return detections(labelled, heights, RESIDUAL, "residual", stage_no)
@@ -189,8 +187,8 @@ def voted_mask(pixels: DataFrame, settings: Settings) -> DataFrame:
     least = settings.rule.area[0] // 2
     lab = raster.components(p, "mask")
     large = lab.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("image_id", "label")
-    kept = lab.join(large, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("_kept"))
-    return stage(p.join(kept, PIXEL, "left").select(*PIXEL, F.coalesce("_kept", F.lit(False)).alias("mask")), "mask")
+    kept = lab.join(large.hint("merge"), ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("_kept"))
+    return stage(p.join(kept.hint("merge"), PIXEL, "left").select(*PIXEL, F.coalesce("_kept", F.lit(False)).alias("mask")), "mask")
 
 
 def enclosed(pixels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -302,7 +300,7 @@ def with_contours(mask: DataFrame, found: DataFrame, least: float = 6.0) -> Data
     found = stage(found.withColumn("_name", _name()), "detections")
     crown, _ = field.crowns(mask, "mask")
     own = stage(raster.label_near(found.select("image_id", "idx", "x", "y"), crown), "near").where("label is not null").select(_name().alias("image_id"), F.col("label").alias("own"))
-    planes = stage(mask.join(crown, PIXEL, "left"), "planes")
+    planes = stage(mask.join(crown.hint("merge"), PIXEL, "left"), "planes")
     lab = _closed_regions(_windows(planes, found, 1.08).join(own, "image_id"), F.col("mask") & (F.col("label") == F.col("own")))
     rings = stage(shape.contours(lab), "rings")
     best = shape.contour_stats(lab, rings).where(F.col("area") >= least).groupBy("image_id").agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))

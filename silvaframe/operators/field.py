@@ -7,14 +7,15 @@ one task; nothing needs an image as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from silvaframe.operators.raster import PIXEL, components, ellipse, in_discs
+from silvaframe.operators.raster import PIXEL, components, ellipse, in_discs, placed, tiled, under
 from silvaframe.operators.shape import pixel_key
 from silvaframe.operators.suppress import suppress
 from silvaframe.plans.scratch import stage
@@ -99,13 +100,16 @@ def medians(field: DataFrame, value: str) -> DataFrame:
     return ranked.where((F.col("place") == low) | (F.col("place") == high)).groupBy("image_id").agg(F.first("n").alias("n"), F.avg(value).alias("median"))
 
 
-def highest(pixels: DataFrame, value: str, kernel: list[tuple[int, int]], out: str) -> DataFrame:
-    """Adds the largest value under a kernel whose rows are whole and centred: a window along rows and one along columns for each of its widths."""
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    halves = {h: max(dy for dx, dy in kernel if dx == h) for h in {max(dx for dx, dy in kernel if dy == at) for _, at in kernel}}
-    along = pixels.select("*", *[F.max(value).over(row.rangeBetween(-h, h)).alias(f"_h{h}") for h in halves])
-    tops = [F.max(f"_h{h}").over(column.rangeBetween(-d, d)) for h, d in halves.items()]
-    return along.withColumn(out, reduce(F.greatest, tops)).drop(*[f"_h{h}" for h in halves])
+def highest(pixels: DataFrame, value: str, kernel: list[tuple[int, int]] | str, out: str) -> DataFrame:
+    """Adds the largest value under a kernel whose rows are whole and centred, or under the ellipse whose size a column tells for each image."""
+    reach = (F.col(kernel) / 2).cast("int") if isinstance(kernel, str) else max(max(abs(dx), abs(dy)) for dx, dy in kernel)
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        shape = ellipse(rows[kernel][0].as_py()) if isinstance(kernel, str) else kernel
+        values = placed(np.nan_to_num(rows[value].to_numpy().astype("float64"), nan=-np.inf), grid, -np.inf)
+        return rows.append_column(out, pa.array(under(values, shape)[grid])).filter(pa.array(own))
+
+    return tiled(pixels, reach, work, StructType([*pixels.schema.fields, StructField(out, pixels.schema[value].dataType)]))
 
 
 def markers(field: DataFrame, mask: DataFrame, peak_distance: int = 0, least_peak: int = 0, dome: float = 1.5) -> DataFrame:
@@ -114,7 +118,7 @@ def markers(field: DataFrame, mask: DataFrame, peak_distance: int = 0, least_pea
     A peak is the highest under an elliptic kernel as wide as the peak distance, and high enough. Where these are not given
     they follow from the median of the image's distances; images with fewer than 50 pixels of the mask take wide ones.
     """
-    size = medians(field.join(mask.select(*PIXEL), PIXEL), "distance")
+    size = medians(field.join(mask.select(*PIXEL).hint("merge"), PIXEL), "distance")
     tiny = F.col("n") < 50
     wide, least = F.when(tiny, max(peak_distance, 25)).otherwise(peak_distance), F.when(tiny, max(least_peak, 5)).otherwise(least_peak)
     size = size.select("image_id", "median", wide.alias("wide"), least.alias("least"))
@@ -122,16 +126,10 @@ def markers(field: DataFrame, mask: DataFrame, peak_distance: int = 0, least_pea
     least = F.when(F.col("least") <= 0, F.greatest(F.lit(3), (F.col("median") * 0.28).cast("int"))).otherwise(F.col("least"))
     size = stage(size.select("image_id", F.greatest(F.lit(3), wide.bitwiseOR(1)).alias("size"), F.greatest(least, F.lit(2)).alias("least")), "peaks")
     low = stage(field.join(size, "image_id").select(*PIXEL, F.greatest(F.col("distance") - dome, F.lit(0.0)).alias("height"), "size", "least"), "heights")
-    found = None
-    for r in size.select("size").distinct().orderBy("size").collect():  # odd numbers up to the width of an image
-        own = highest(low.where(F.col("size") == r["size"]), "height", ellipse(r["size"]), "top")
-        own = own.where((F.col("height") == F.col("top")) & (F.col("height") >= F.col("least"))).select(*PIXEL)
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return field.where("false").select(*PIXEL, F.lit(0).cast("long").alias("marker"))
+    found = highest(low, "height", "size", "top").where((F.col("height") == F.col("top")) & (F.col("height") >= F.col("least")))
     # a cross around each peak pixel
     cross = F.inline(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ellipse(3)]))
-    spread = found.select("image_id", cross).distinct().join(field.select(*PIXEL), PIXEL)
+    spread = found.select("image_id", cross).distinct().join(field.select(*PIXEL).hint("merge"), PIXEL)
     return components(spread.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, F.col("label").alias("marker"))
 
 
@@ -173,7 +171,7 @@ def _contracted(frame: pd.DataFrame) -> pd.DataFrame:
         own = to[own]
     least = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(least, own, frame["basin"].to_numpy())  # the marker, or the least pixel
-    return frame[["image_id", "x", "y", "key", "elevation"]].assign(basin=least[own])
+    return frame[["image_id", "x", "y", "key", "elevation"]].assign(basin=least[own], open=frame["open"])
 
 
 def flood(pixels: DataFrame) -> DataFrame:
@@ -183,7 +181,7 @@ def flood(pixels: DataFrame) -> DataFrame:
     equal ones that of the least first pixel, then of the least second one, pixels being counted row by row. What each
     marker floods is its tree in the minimum spanning forest of these passes, so it is worked out by Borůvka rounds: every
     basin that holds no marker joins the one across its lowest pass, all of them at once. Squares of an image are contracted
-    first, where each basin that ends within the square can tell its lowest pass there. What reaches over squares goes on in
+    first, where each basin that ends within the square can tell its lowest pass there, which is all for images of one square. What reaches over squares goes on in
     rounds of joins, chains of basins being followed by pointer doubling. Each round at least halves the basins without a
     marker. Rounds are written and reread.
     """
@@ -191,11 +189,15 @@ def flood(pixels: DataFrame) -> DataFrame:
     key = pixel_key(F.col("x"), F.col("y"))
     basin = F.when(F.col("marker").isNotNull(), -1 - F.col("marker")).otherwise(key)  # below zero: has a marker
     v = pixels.select(*PIXEL, key.alias("key"), F.col("elevation").cast("int").alias("elevation"), basin.alias("basin"))
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    beside = lambda c, w: F.coalesce(((F.lag(c).over(w) == F.col(c) - 1) & (F.col(c) % TILE == 0)) | ((F.lead(c).over(w) == F.col(c) + 1) & (F.col(c) % TILE == TILE - 1)), F.lit(False))
-    v = v.withColumn("_across", beside("x", row)).withColumn("open", F.col("_across") | beside("y", column)).drop("_across")
+    border = lambda c: ((F.col(c) % TILE == 0) & (F.col(c) > 0)) | (F.col(c) % TILE == TILE - 1)
+    v = v.withColumn("open", border("x") | border("y"))
     square = v.groupBy("image_id", F.expr(f"x div {TILE}"), F.expr(f"y div {TILE}"))
-    v = stage(square.applyInPandas(_contracted, v.drop("open").schema), "basins")
+    whole = stage(square.applyInPandas(_contracted, v.schema), "basins")
+    done = whole.select(*PIXEL, F.when(F.col("basin") < 0, -1 - F.col("basin")).alias("label"))
+    wide = stage(whole.where("open").select("image_id").distinct(), "wide")
+    if not wide.limit(1).count():  # every image lies within one square
+        return done
+    v, done = whole.join(wide, "image_id", "left_semi").drop("open"), done.join(wide, "image_id", "left_anti")
     ways = []
     for window, c in ((Window.partitionBy("image_id", "y").orderBy("x"), "x"), (Window.partitionBy("image_id", "x").orderBy("y"), "y")):
         then = F.lead(F.struct(c, "key", "elevation", "basin")).over(window)
@@ -213,21 +215,22 @@ def flood(pixels: DataFrame) -> DataFrame:
             break
         # two that chose each other: the lesser number stays
         mutual = lowest.select(*by, F.col("b").alias("a"), F.col("a").alias("b")).where("b < a")
-        to = stage(lowest.join(mutual.select(*by, F.col("b").alias("a"), F.col("a").alias("b")), [*by, "a", "b"], "left_anti"), "to")
+        to = stage(lowest.join(mutual.select(*by, F.col("b").alias("a"), F.col("a").alias("b")).hint("merge"), [*by, "a", "b"], "left_anti"), "to")
         while True:
             further = to.select(*by, F.col("a").alias("b"), F.col("b").alias("further"))
-            new = stage(to.join(further, [*by, "b"], "left").select(*by, "a", F.coalesce("further", "b").alias("b"), F.col("further").isNotNull().alias("moved")), "to")
+            new = stage(to.join(further.hint("merge"), [*by, "b"], "left").select(*by, "a", F.coalesce("further", "b").alias("b"), F.col("further").isNotNull().alias("moved")), "to")
             to = new.select(*by, "a", "b")
             if not new.where("moved").limit(1).count():
                 break
 
         def renamed(df: DataFrame, c: str) -> DataFrame:
             name = to.select(*by, F.col("a").alias(c), F.col("b").alias("_to"))
-            return df.join(name, [*by, c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+            return df.join(name.hint("merge"), [*by, c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
 
         where = stage(renamed(where, "basin"), "where")
         passes = renamed(renamed(open_, "a"), "b")
-    return v.select(*PIXEL, "key").join(where.select(*by, "key", F.when(F.col("basin") < 0, -1 - F.col("basin")).alias("label")), [*by, "key"]).select(*PIXEL, "label")
+    named = where.select(*by, "key", F.when(F.col("basin") < 0, -1 - F.col("basin")).alias("label")).hint("merge")
+    return done.unionByName(v.select(*PIXEL, "key").join(named, [*by, "key"]).select(*PIXEL, "label"))
 
 
 def holes(pixels: DataFrame, mask: str) -> DataFrame:
@@ -235,7 +238,7 @@ def holes(pixels: DataFrame, mask: str) -> DataFrame:
     edge = pixels.groupBy("image_id").agg(F.min("x").alias("_x1"), F.max("x").alias("_x2"), F.min("y").alias("_y1"), F.max("y").alias("_y2"))
     off = components(pixels.select(*PIXEL, (~F.coalesce(F.col(mask), F.lit(False))).alias("_off")), "_off", diagonal=False).select(*PIXEL, "label")
     out = off.join(edge, "image_id").where("x = _x1 or x = _x2 or y = _y1 or y = _y2").select("image_id", "label").distinct()
-    return off.join(out, ["image_id", "label"], "left_anti").select(*PIXEL, "label")
+    return off.join(out.hint("merge"), ["image_id", "label"], "left_anti").select(*PIXEL, "label")
 
 
 def filled_regions(pixels: DataFrame, mask: str) -> DataFrame:
@@ -249,30 +252,30 @@ def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150
 
     Gradients are those of Sobel's kernels, the border being repeated, and count by the sum of their amounts. A pixel stays if
     it is the highest across its edge, in one of four directions: along a row or a column one side may be as high, on a diagonal none.
-    Values of neighbours come by windows along columns and along rows; weak components are labelled and kept if they hold a strong pixel.
+    Squares see two pixels around them, as far as an answer reaches; weak components are labelled and kept if they hold a strong pixel.
     """
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    near = lambda c, w, k, none: F.coalesce((F.lag if k < 0 else F.lead)(c, abs(k)).over(w), none)
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        v = np.pad(placed(rows["_v"].to_numpy().astype(np.int64), grid), 1, mode="edge")
+        smooth, step = v[:-2] + 2 * v[1:-1] + v[2:], v[2:] - v[:-2]
+        gx, gy = smooth[:, 2:] - smooth[:, :-2], step[:, :-2] + 2 * step[:, 1:-1] + step[:, 2:]
+        ax, ay = np.abs(gx), np.abs(gy)
+        wide = np.pad(ax + ay, 1)
+        m = wide[1:-1, 1:-1]
+        at = lambda dy, dx: wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx]
+        # tan of 22.5 degrees in units of 2^-15, and that of 67.5 degrees, which is two more
+        flat, steep, same = ay * 32768 < ax * 13573, ay * 32768 > ax * (13573 + 65536), (gx < 0) == (gy < 0)
+        thin = np.select([flat, steep, same], [(m > at(0, -1)) & (m >= at(0, 1)), (m > at(-1, 0)) & (m >= at(1, 0)), (m > at(-1, -1)) & (m > at(1, 1))], (m > at(-1, 1)) & (m > at(1, -1)))
+        out = rows.select(PIXEL)
+        for name, plane in (("gx", gx), ("gy", gy), ("_weak", thin & (m > low)), ("_strong", m > high)):
+            out = out.append_column(name, pa.array(plane[grid]))
+        return out.filter(pa.array(own))
+
     p = pixels.select(*PIXEL, F.col(value).cast("int").alias("_v"))
-    own = F.col("_v")
-    up, down = near("_v", column, -1, own), near("_v", column, 1, own)
-    p = p.select(*PIXEL, (up + 2 * own + down).alias("_s"), (down - up).alias("_d"))
-    beside = lambda c, k: near(c, row, k, F.col(c))
-    p = p.select(*PIXEL, (beside("_s", 1) - beside("_s", -1)).alias("gx"), (beside("_d", -1) + 2 * F.col("_d") + beside("_d", 1)).alias("gy"))
-    p = stage(p.withColumn("m", F.abs("gx") + F.abs("gy")), "gradients")
-    zero = F.lit(0)
-    p = p.withColumns({"w": near("m", row, -1, zero), "e": near("m", row, 1, zero)})
-    for name, k in (("n", -1), ("s", 1)):
-        p = p.withColumns({name: near("m", column, k, zero), f"{name}w": near("w", column, k, zero), f"{name}e": near("e", column, k, zero)})
-    ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
-    # tan of 22.5 degrees in units of 2^-15, and that of 67.5 degrees, which is two more
-    flat, steep = ay * 32768 < ax * 13573, ay * 32768 > ax * (13573 + 65536)
-    same = (F.col("gx") < 0) == (F.col("gy") < 0)
-    thin = F.when(flat, (m > F.col("w")) & (m >= F.col("e"))).when(steep, (m > F.col("n")) & (m >= F.col("s"))).when(same, (m > F.col("nw")) & (m > F.col("se"))).otherwise((m > F.col("ne")) & (m > F.col("sw")))
-    weak = stage(p.select(*PIXEL, "gx", "gy", (thin & (m > low)).alias("_weak"), (m > high).alias("_strong")), "thin")
+    schema = StructType([*p.schema.fields[:3], StructField("gx", IntegerType()), StructField("gy", IntegerType()), StructField("_weak", BooleanType()), StructField("_strong", BooleanType())])
+    weak = stage(tiled(p, 2, work, schema), "thin")
     lab = components(weak, "_weak").select(*PIXEL, "_strong", "label")
     real = lab.where("_strong").select("image_id", "label").distinct()
-    on = lab.join(real, ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("edge"))
+    on = lab.join(real.hint("merge"), ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("edge")).hint("merge")
     rest = ["gx", "gy"] if gradients else []
     return weak.select(*PIXEL, *rest).join(on, PIXEL, "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"), *rest)
 
@@ -293,7 +296,7 @@ def crowns(pixels: DataFrame, mask: str, peak_distance: int = 0, least_peak: int
     field = stage(distance(narrow, "_mask"), "distance")
     peaks = stage(markers(field, on, peak_distance, least_peak), "markers")
     span = field.groupBy("image_id").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-    ground = on.join(field, PIXEL).join(span, "image_id").join(peaks, PIXEL, "left")
+    ground = on.join(field.hint("merge"), PIXEL).join(span, "image_id").join(peaks.hint("merge"), PIXEL, "left")
     ground = ground.select(*PIXEL, elevation(F.col("distance"), F.col("low"), F.col("high")).alias("elevation"), "marker")
     with_peaks = peaks.select("image_id").distinct()
     split = flood(ground.join(with_peaks, "image_id", "left_semi")).where("label is not null")
@@ -311,13 +314,14 @@ def circles(pixels: DataFrame, value: str = "gray", radii: tuple[int, int] = (8,
     """
     edge = stage(edges(pixels, value, low, high, True).where("edge").select(*PIXEL, "gx", "gy"), "edges")
     n = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
-    way = edge.where("gx <> 0 or gy <> 0").select(*PIXEL, (F.col("gx") / n).alias("_ux"), (F.col("gy") / n).alias("_uy"))
-    steps = F.explode(F.sequence(F.lit(radii[0]), F.lit(radii[1]))).alias("_r")
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    way = edge.where("gx <> 0 or gy <> 0").select(*PIXEL, (F.col("gx") / n).alias("_ux"), (F.col("gy") / n).alias("_uy")).hint("merge").join(size, "image_id")
+    steps = F.explode(F.sequence(F.lit(radii[0]), F.lit(radii[1]))).alias("_r")
     at = way.select("*", steps).withColumn("_r", F.explode(F.array("_r", -F.col("_r"))))
     bin_ = lambda c, u: F.floor((F.col(c) + F.col("_r") * F.col(u)) / bin_size).cast("int")
-    count = at.select("image_id", bin_("x", "_ux").alias("x"), bin_("y", "_uy").alias("y")).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("votes"))
-    count = count.join(size, "image_id").where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") * bin_size < F.col("_w")) & (F.col("y") * bin_size < F.col("_h"))).drop("_w", "_h")
+    at = at.select("image_id", bin_("x", "_ux").alias("x"), bin_("y", "_uy").alias("y"), "_w", "_h")
+    at = at.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") * bin_size < F.col("_w")) & (F.col("y") * bin_size < F.col("_h")))
+    count = at.groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("votes"))
     top = highest(count, "votes", [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], "top").where((F.col("votes") == F.col("top")) & (F.col("votes") >= votes))
     found = top.select("image_id", pixel_key(F.col("x"), F.col("y")).alias("idx"), ((F.col("x") + 0.5) * bin_size).alias("x"), ((F.col("y") + 0.5) * bin_size).alias("y"), "votes", F.lit(float(apart)).alias("radius"))
     near = lambda p, q: (p("x") - q("x")) * (p("x") - q("x")) + (p("y") - q("y")) * (p("y") - q("y")) < float(apart * apart)

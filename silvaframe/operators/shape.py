@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from silvaframe.plans.scratch import stage
 
 REGION = ("image_id", "label")
+#: Rows of an image that are looked at, and whose links are followed, together.
+BAND = 256
 
 
 def pixel_key(x: Column, y: Column) -> Column:
@@ -23,13 +27,25 @@ def pixel_key(x: Column, y: Column) -> Column:
 def neighbours(labelled: DataFrame, by: tuple[str, ...] = REGION) -> DataFrame:
     """Adds nb: bit 3 * (dy + 1) + (dx + 1) tells whether the pixel at (dx, dy) belongs to the region.
 
-    Each pixel is seen from its own row and the rows above and below; there a window gathers what lies at x - 1, x and x + 1.
+    Bands of rows are looked at together, each with the rows above and below it.
     """
-    rows = labelled.select(*by, "x", "y").withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    rows = rows.select(*by, "x", (F.col("y") + F.col("_d")).alias("y"), "_d", F.expr("shiftleft(1, 3 * (1 - _d))").alias("_bit"))
-    row = Window.partitionBy(*by, "y").orderBy("x")
-    at = lambda d: F.coalesce(F.sum("_bit").over(row.rangeBetween(d, d)), F.lit(0))
-    return rows.withColumn("nb", (at(-1) + 2 * at(0) + 4 * at(1)).cast("int")).where("_d = 0").select(*by, "x", "y", "nb")
+    names, rows = [*by, "x", "y"], BAND
+    bands = F.explode(F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor((F.col("y") + d) / rows))))
+    schema = StructType([*labelled.select(*names).schema.fields, StructField("nb", IntegerType())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = table["x"].to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64)
+        space = table.select(list(by)).to_pandas().groupby(list(by), sort=False, dropna=False).ngroup().to_numpy()
+        wide, high = x.max() - x.min() + 3, y.max() - y.min() + 3
+        at = (space * high + y - y.min() + 1) * wide + x - x.min() + 1
+        there, nb = np.sort(at), np.zeros(len(at), np.int32)
+        for bit in range(9):
+            sought = at + (bit // 3 - 1) * wide + bit % 3 - 1
+            place = np.minimum(np.searchsorted(there, sought), len(there) - 1)
+            nb |= (there[place] == sought).astype(np.int32) << bit
+        return table.select(names).append_column("nb", pa.array(nb)).filter(pa.array(y // rows == key[1].as_py()))
+
+    return labelled.select(*names).withColumn("_band", bands).groupBy(by[0], "_band").applyInArrow(run, schema)
 
 
 #: Sides of a pixel, and for each the places, counted from the pixel, of what lies across, ahead on the region's side and
@@ -55,10 +71,6 @@ def cracks(labelled: DataFrame, by: tuple[str, ...] = REGION) -> DataFrame:
     return each.select(*by, number(F.col("x"), F.col("y"), F.col("e.side")).alias("c"), number(F.col("e.to.x"), F.col("e.to.y"), F.col("e.to.side")).alias("s"), "x", "y", F.col("e.to.x").alias("nx"), F.col("e.to.y").alias("ny"))
 
 
-#: Rows of an image whose links are followed together.
-BAND = 256
-
-
 def _hops(by: list[str]):
     """Links of one band as links that leave it, or end. Rings that lie in the band have no end and go."""
 
@@ -94,7 +106,7 @@ def ranked(links: DataFrame, by: list[str]) -> DataFrame:
     while now.where("next is not null").limit(1).count() and (ended := now.where("next is null").count()) != done:
         done = ended
         to = now.select(*by, F.col("c").alias("next"), F.col("next").alias("further"), F.col("d").alias("more"))
-        moved = now.where("next is not null").join(to, [*by, "next"]).select(*by, "c", F.col("further").alias("next"), (F.col("d") + F.col("more")).alias("d"))
+        moved = now.where("next is not null").join(to.hint("merge"), [*by, "next"]).select(*by, "c", F.col("further").alias("next"), (F.col("d") + F.col("more")).alias("d"))
         now = stage(moved.unionByName(now.where("next is null")), "links")
     return now.where("next is null").select(*by, "c", "d")
 
@@ -114,7 +126,7 @@ def contours(labelled: DataFrame, by: tuple[str, ...] = REGION) -> DataFrame:
     rank = stage(ranked(links, keys), "rank")
     whole = rank.join(first, keys).where("c = start").select(*keys, F.col("d").alias("n"))
     moves = c.where((F.col("x") != F.col("nx")) | (F.col("y") != F.col("ny"))).select(*keys, "c", "x", "y", "nx", "ny")
-    return moves.join(rank, [*keys, "c"]).join(whole, keys).select(*keys, (F.col("n") - F.col("d")).alias("seq"), "x", "y", "nx", "ny")
+    return moves.join(rank.hint("merge"), [*keys, "c"]).join(whole, keys).select(*keys, (F.col("n") - F.col("d")).alias("seq"), "x", "y", "nx", "ny")
 
 
 def contour_stats(labelled: DataFrame, rings: DataFrame, by: tuple[str, ...] = REGION) -> DataFrame:
