@@ -67,3 +67,14 @@ def test_an_image_of_one_square_floods_without_rounds(spark, monkeypatch):
     whole = rows(once)
     monkeypatch.setattr(field, "TILE", 3)
     assert rows(field.flood(frame)) == whole
+
+
+def test_regions_of_one_band_are_measured_in_one_pass(spark, spots, monkeypatch):
+    """Their contours take one pass and no join; hulls and circles write nothing at all."""
+    lab = raster.components(spots[1], "m").select("image_id", "label", "x", "y")
+    staged = []
+    real = shape.stage
+    monkeypatch.setattr(shape, "stage", lambda df, name="stage": staged.append(name) or real(df, name))
+    assert "Join" not in plan(shape.contours(lab)) and staged == ["rings"]
+    circles = shape.enclosing_circles(shape.hulls(lab))
+    assert staged == ["rings"] and circles.count() == lab.select("label").distinct().count()
