@@ -18,6 +18,8 @@ from silvaframe.plans.scratch import stage
 #: Between the numbers of candidates of one stage and of the next: more than any image has pixels.
 STAGE = 10**13
 PART = ("image_id", "label", "part")
+#: Side of the squares in which pixels meet discs: about as wide as crowns, so that most pixels that meet a disc lie in it.
+CELL = 16
 
 
 def measured(labelled: DataFrame, heights: DataFrame | None, area: tuple[float, float]) -> DataFrame:
@@ -30,12 +32,12 @@ def measured(labelled: DataFrame, heights: DataFrame | None, area: tuple[float,
     stats = shape.contour_stats(lab, shape.contours(lab, PART), PART)
     largest = Window.partitionBy("image_id", "label").orderBy(F.desc("area"), "part")
     stats = stage(stats.withColumn("_n", F.row_number().over(largest)).where("_n = 1").where(F.col("area").between(*area)).drop("_n"), "stats")
-    round_ = shape.enclosing_circles(shape.hulls(lab.join(stats.select(*PART), list(PART), "left_semi"), PART), PART)
-    out = stats.join(round_, list(PART)).select("image_id", "label", F.col("area").alias("area_px"), "perimeter", F.col("er").alias("enclosing"), F.col("w").alias("bw"), F.col("h").alias("bh"), F.coalesce("cx", "ex").alias("cx"), F.coalesce("cy", "ey").alias("cy"), "ex", "ey")
+    round_ = shape.enclosing_circles(shape.hulls(lab.join(stats.select(*PART).hint("merge"), list(PART), "left_semi"), PART), PART)
+    out = stats.join(round_.hint("merge"), list(PART)).select("image_id", "label", F.col("area").alias("area_px"), "perimeter", F.col("er").alias("enclosing"), F.col("w").alias("bw"), F.col("h").alias("bh"), F.coalesce("cx", "ex").alias("cx"), F.coalesce("cy", "ey").alias("cy"), "ex", "ey")
     if heights is None:
         return out
     peak = labelled.join(heights.hint("merge"), PIXEL).groupBy("image_id", "label").agg(F.max("distance").alias("peak"))
-    return out.join(peak, ["image_id", "label"])
+    return out.join(peak.hint("merge"), ["image_id", "label"])
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,7 @@ def reference(pixels: DataFrame, settings: Reference = Reference(), source: str
 def residual(mask: DataFrame, found: DataFrame, stage_no: int) -> DataFrame:
     """Detections on what of the mask lies under no disc found so far, opened and closed."""
     discs = found.select("image_id", "idx", F.col("x").alias("cx"), F.col("y").alias("cy"), F.greatest(F.lit(2), "radius").alias("radius"))
-    under = raster.in_discs(mask.where("mask").select(*PIXEL), discs, 64).select(*PIXEL).distinct().withColumn("_under", F.lit(True))
+    under = raster.in_discs(mask.where("mask").select(*PIXEL), discs, CELL).select(*PIXEL).distinct().withColumn("_under", F.lit(True))
     rest = mask.join(under.hint("merge"), PIXEL, "left")
     rest = _cleaned(rest, F.col("mask") & F.col("_under").isNull(), [("open", 3), ("close", 5)])
     labelled, heights = field.crowns(rest, "mask", 20)
@@ -126,9 +128,9 @@ def peaks(mask: DataFrame, found: DataFrame, stage_no: int, least: float = 8.0,
     best = comp.groupBy("image_id", "label").agg(F.max(F.struct("distance", (-shape.pixel_key(F.col("x"), F.col("y"))).alias("first"), "x", "y")).alias("m"))
     at = best.select("image_id", F.col("label").alias("idx"), F.col("m.x").alias("cx"), F.col("m.y").alias("cy"), F.col("m.distance").alias("peak"))
     at = stage(at.withColumn("radius", F.bround(F.greatest(F.lit(6.0), F.least(F.lit(50.0), F.col("peak") * 1.70 + 3.0)), 0).cast("int")), "peaks")
-    px = raster.in_discs(mask.where("mask").select(*PIXEL), at.select("image_id", "idx", "cx", "cy", "radius"), 64).groupBy("image_id", "idx").agg(F.count(F.lit(1)).alias("px"))
+    px = raster.in_discs(mask.where("mask").select(*PIXEL), at.select("image_id", "idx", "cx", "cy", "radius"), CELL).groupBy("image_id", "idx").agg(F.count(F.lit(1)).alias("px"))
     fill = F.col("px") / (math.pi * F.col("radius") * F.col("radius"))
-    own = at.join(px, ["image_id", "idx"]).where((F.col("px") >= least_px) & (fill >= least_fill))
+    own = at.join(px.hint("merge"), ["image_id", "idx"]).where((F.col("px") >= least_px) & (fill >= least_fill))
     own = own.select(
         "image_id", (F.col("idx") + stage_no * STAGE).alias("idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", F.col("px").cast("double").alias("area_px"),
         F.lit(0.0).alias("circularity"), F.bround(fill, 3).alias("fill_ratio"), F.bround("peak", 2).alias("peak_radius"), F.lit("peak").alias("source"), F.lit(True).alias("_fresh"),
@@ -184,11 +186,7 @@ def voted_mask(pixels: DataFrame, settings: Settings) -> DataFrame:
     p = raster.lab(pixels) if settings.lab else pixels
     mask = raster.vote_mask(F.col("lab_a") if settings.lab else None, F.col("lab_l") if settings.lab and settings.shadow else None, settings.exg, settings.s, settings.v, settings.shadow)
     p = _cleaned(p, mask, [("open", 3), ("close", 7), ("close", 9)])
-    least = settings.rule.area[0] // 2
-    lab = raster.components(p, "mask")
-    large = lab.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("image_id", "label")
-    kept = lab.join(large.hint("merge"), ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("_kept"))
-    return stage(p.join(kept.hint("merge"), PIXEL, "left").select(*PIXEL, F.coalesce("_kept", F.lit(False)).alias("mask")), "mask")
+    return stage(raster.without_small(p, "mask", settings.rule.area[0] // 2), "mask")
 
 
 def enclosed(pixels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -237,19 +235,19 @@ def core_decisions(core: DataFrame, found: DataFrame, least_green: float = 0.28,
     seen = found.where("radius > 0").join(size, "image_id").where((F.col("x") + pad >= 0) & (F.col("y") + pad >= 0) & (F.col("x") - pad < F.col("_w")) & (F.col("y") - pad < F.col("_h")))
     seen = stage(seen, "detections")
     discs = seen.select(*own, F.col("x").alias("cx"), F.col("y").alias("cy"), F.greatest(F.lit(3), "radius").alias("radius"))
-    gate = stage(raster.in_discs(core, discs, 64).select(*own, "x", "y", "mask", "cx", "cy", "radius"), "gate")
+    gate = stage(raster.in_discs(core, discs, CELL).select(*own, "x", "y", "mask", "cx", "cy", "radius"), "gate")
     share = gate.groupBy(*own).agg((F.count_if("mask") / F.count(F.lit(1))).alias("green"))
-    judged = stage(seen.join(share, own, "left").withColumn("green", F.coalesce("green", F.lit(0.0))), "judged")
+    judged = stage(seen.join(share.hint("merge"), own, "left").withColumn("green", F.coalesce("green", F.lit(0.0))), "judged")
     ok = judged.where(F.col("green") >= least_green).select(*own)
-    lab = stage(raster.components(gate.join(ok, own, "left_semi"), "mask", ("image_id", "idx")), "cores")
+    lab = stage(raster.components(gate.join(ok.hint("merge"), own, "left_semi"), "mask", ("image_id", "idx")), "cores")
     away = F.sqrt(F.pow(F.avg("x") - F.first("cx"), 2) + F.pow(F.avg("y") - F.first("cy"), 2))
     stats = lab.groupBy(*own, "label").agg(F.count(F.lit(1)).alias("n"), away.alias("away"), F.first("radius").alias("radius"))
     stats = stats.where((F.col("n") >= least_px) & (F.col("away") <= F.greatest(F.lit(10.0), F.col("radius") * 0.90)))
     best = stage(stats.groupBy(*own).agg(F.max_by("label", F.struct(F.col("n") / (1.0 + F.col("away") * 0.18), -F.col("label"))).alias("label")), "best")
     by = ("image_id", "idx", "label")
-    lab = lab.select(*by, "x", "y").join(best, list(by), "left_semi")
-    shaped = shape.contour_stats(lab, shape.contours(lab, by), by).select(*by, F.greatest(F.lit(1.0), "area").alias("_area")).join(shape.enclosing_circles(shape.hulls(lab, by), by), list(by)).drop("label")
-    out = judged.join(shaped, own, "left")
+    lab = lab.select(*by, "x", "y").join(best.hint("merge"), list(by), "left_semi")
+    shaped = shape.contour_stats(lab, shape.contours(lab, by), by).select(*by, F.greatest(F.lit(1.0), "area").alias("_area")).join(shape.enclosing_circles(shape.hulls(lab, by), by).hint("merge"), list(by)).drop("label")
+    out = judged.join(shaped.hint("merge"), own, "left")
     need = F.greatest(F.sqrt(F.col("_area") / math.pi) * 1.45, F.col("er") * 0.85, F.lit(5.0))
     radius = F.when(F.col("radius") > need * 1.35, F.bround(F.least("radius", need), 0).cast("int")).otherwise(F.col("radius"))
     kept = F.col("er").isNotNull()
@@ -277,7 +275,7 @@ def _windows(planes: DataFrame, found: DataFrame, padding: float) -> DataFrame:
     """(image_id: name of the detection, x, y, the planes, dx, dy, reach): the square around each detection, cut to its image."""
     reach = F.greatest(F.lit(4), F.bround(F.col("radius") * padding, 0).cast("int"))
     around = found.select("image_id", "idx", F.col("x").alias("cx"), F.col("y").alias("cy"), reach.alias("reach"))
-    square = raster.in_discs(planes, around.withColumn("radius", F.col("reach") * 1.4143), 64).drop("radius")
+    square = raster.in_discs(planes, around.withColumn("radius", F.col("reach") * 1.4143), CELL).drop("radius")
     square = square.withColumns({"dx": F.col("x") - F.col("cx"), "dy": F.col("y") - F.col("cy")}).where((F.abs("dx") <= F.col("reach")) & (F.abs("dy") <= F.col("reach")))
     return square.withColumn("image_id", _name()).drop("idx", "cx", "cy")
 
@@ -286,7 +284,7 @@ def _closed_regions(squares: DataFrame, on: Column) -> DataFrame:
     """(image_id, label, x, y): regions of what holds within a detection's disc, closed by a kernel of 3 within its square."""
     p = stage(squares.select(*PIXEL, (on & (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= F.col("reach") * F.col("reach"))).alias("on")), "squares")
     some = p.where("on").select("image_id").distinct()
-    return stage(raster.components(raster.closed(p.join(some, "image_id", "left_semi"), "on", raster.ellipse(3)), "on").select("image_id", "label", "x", "y"), "local")
+    return stage(raster.components(raster.closed(p.join(some.hint("merge"), "image_id", "left_semi"), "on", raster.ellipse(3)), "on").select("image_id", "label", "x", "y"), "local")
 
 
 def with_contours(mask: DataFrame, found: DataFrame, least: float = 6.0) -> DataFrame:
@@ -301,27 +299,27 @@ def with_contours(mask: DataFrame, found: DataFrame, least: float = 6.0) -> Data
     crown, _ = field.crowns(mask, "mask")
     own = stage(raster.label_near(found.select("image_id", "idx", "x", "y"), crown), "near").where("label is not null").select(_name().alias("image_id"), F.col("label").alias("own"))
     planes = stage(mask.join(crown.hint("merge"), PIXEL, "left"), "planes")
-    lab = _closed_regions(_windows(planes, found, 1.08).join(own, "image_id"), F.col("mask") & (F.col("label") == F.col("own")))
+    lab = _closed_regions(_windows(planes, found, 1.08).join(own.hint("shuffle_hash"), "image_id"), F.col("mask") & (F.col("label") == F.col("own")))
     rings = stage(shape.contours(lab), "rings")
     best = shape.contour_stats(lab, rings).where(F.col("area") >= least).groupBy("image_id").agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))
-    hull = shape.hulls(lab.join(best, ["image_id", "label"], "left_semi")).select("image_id", "label", F.posexplode("hull").alias("k", "p"))
+    hull = shape.hulls(lab.join(best.hint("merge"), ["image_id", "label"], "left_semi")).select("image_id", "label", F.posexplode("hull").alias("k", "p"))
     hull = stage(hull.select("image_id", "label", F.col("k").cast("long").alias("seq"), "p.x", "p.y"), "hulls")
 
-    rest = found.join(hull.select(F.col("image_id").alias("_name")).distinct(), "_name", "left_anti")
+    rest = found.join(hull.select(F.col("image_id").alias("_name")).distinct().hint("merge"), "_name", "left_anti")
     lab = _closed_regions(_windows(planes, rest, 1.22), F.col("mask"))
     rings = stage(shape.contours(lab), "rings")
     centre = rest.select(F.col("_name").alias("image_id"), F.col("x").alias("px"), F.col("y").alias("py"))
-    edge = rings.join(centre, "image_id")
+    edge = rings.join(centre.hint("merge"), "image_id")
     over = ((F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))) & (F.col("px") < (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) / F.nullif(F.col("ny") - F.col("y"), F.lit(0)) + F.col("x"))
     holds = edge.groupBy("image_id", "label").agg(((F.count_if(over) % 2 == 1) | F.max((F.col("x") == F.col("px")) & (F.col("y") == F.col("py")))).alias("holds"))
-    stats = shape.contour_stats(lab, rings).select("image_id", "label", "area", "cx", "cy").join(holds, ["image_id", "label"]).join(centre, "image_id")
+    stats = shape.contour_stats(lab, rings).select("image_id", "label", "area", "cx", "cy").join(holds.hint("merge"), ["image_id", "label"]).join(centre.hint("merge"), "image_id")
     away = F.sqrt(F.pow(F.coalesce("cx", "px") - F.col("px"), 2) + F.pow(F.coalesce("cy", "py") - F.col("py"), 2))
     best = stats.groupBy("image_id").agg(F.max(F.struct("holds", (F.col("area") / (1.0 + away)).alias("score"), "area", (-F.col("label")).alias("first"))).alias("m"))
     best = best.where(F.col("m.area") >= least).select("image_id", (-F.col("m.first")).alias("label"))
-    both = hull.unionByName(rings.join(best, ["image_id", "label"], "left_semi").select("image_id", "label", "seq", "x", "y"))
+    both = hull.unionByName(rings.join(best.hint("merge"), ["image_id", "label"], "left_semi").select("image_id", "label", "seq", "x", "y"))
     points = shape.simplified(stage(both, "contours")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))  # as many as a simplified contour has at most
     points = points.where(F.size("p") >= 3).select(F.col("image_id").alias("_name"), F.transform("p", lambda q: F.struct(q["x"].cast("int").alias("x"), q["y"].cast("int").alias("y"))).alias("contour"))
-    return found.join(points, "_name", "left").drop("_name").withColumn("contour_points", F.when(F.col("contour").isNotNull(), F.size("contour")))
+    return found.join(points.hint("merge"), "_name", "left").drop("_name").withColumn("contour_points", F.when(F.col("contour").isNotNull(), F.size("contour")))
 
 
 def red_circles(pixels: DataFrame, scale: tuple[float, float] = (1.0, 1.0), radii: tuple[int, int] = (8, 95), least_cover: float = 0.16, threshold: float = 0.62) -> DataFrame:
@@ -335,7 +333,7 @@ def red_circles(pixels: DataFrame, scale: tuple[float, float] = (1.0, 1.0), radi
     soft = field.blurred(mask.select(*PIXEL, (F.col("mask").cast("int") * 255).alias("v")), "v", field.gaussian(1.5, 9)).withColumn("v", F.bround("v", 0))
     rings = stage(field.circles(soft, "v", radii, max(6, radii[0])).select("image_id", "idx", F.bround("cx", 0).cast("int").alias("cx"), F.bround("cy", 0).cast("int").alias("cy"), "radius"), "rings")
     cover = raster.ring_share(rings, mask, "mask")
-    scored = rings.join(cover, ["image_id", "idx"]).where(F.col("coverage") >= least_cover).select("image_id", "idx", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", F.bround("coverage", 4).alias("score"))
+    scored = rings.join(cover.hint("merge"), ["image_id", "idx"]).where(F.col("coverage") >= least_cover).select("image_id", "idx", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", F.bround("coverage", 4).alias("score"))
     kept = renumber(suppress(scored, [-F.col("score"), -F.col("radius"), F.col("idx")], conflicts.same_circle(4.0, 0.38, threshold), 64.0))
     old = kept.withColumns({"overlay_x": F.col("x"), "overlay_y": F.col("y"), "overlay_radius": F.col("radius"), "area_px": F.lit(0.0)})
     return candidates.rescale(old, *scale).drop("area_px", "idx").withColumn("source", F.lit("red_overlay"))

@@ -13,9 +13,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from silvaframe.operators.raster import PIXEL, components, ellipse, in_discs, placed, tiled, under
+from silvaframe.operators import raster
+from silvaframe.operators.raster import PIXEL, components, ellipse, in_band, in_discs, placed, tiled, under
 from silvaframe.operators.shape import pixel_key
 from silvaframe.operators.suppress import suppress
 from silvaframe.plans.scratch import stage
@@ -72,19 +73,69 @@ def gaussian(sigma: float, size: int) -> list[float]:
 
 def blurred(pixels: DataFrame, value: str, weights: list[float]) -> DataFrame:
     """(image_id, x, y, value): weighted sums along rows, then along columns; beyond the border the image is mirrored about its edge pixel."""
+    work = lambda grid: _smooth(grid, weights)
+    return _along(_along(pixels, "x", value, work), "y", value, work)
+
+
+#: How far around a square background is looked for before lines of the whole image are.
+REACH = 64
+
+
+def _smooth(grid: np.ndarray, weights: list[float]) -> np.ndarray:
     reach = len(weights) // 2
+    wide = np.pad(grid, ((reach, reach), (0, 0)), mode="reflect" if len(grid) > 1 else "edge")
+    return sum(w * wide[k : k + len(grid)] for k, w in enumerate(weights))
 
-    def work(grid: np.ndarray) -> np.ndarray:
-        wide = np.pad(grid, ((reach, reach), (0, 0)), mode="reflect" if len(grid) > 1 else "edge")
-        return sum(w * wide[k : k + len(grid)] for k, w in enumerate(weights))
 
-    return _along(_along(pixels, "x", value, work), "y", value, work)
+def _distances(pixels: DataFrame, mask: str, sigma: float = 2.0, size: int = 17) -> DataFrame:
+    """(image_id, x, y, _mask, distance) of all pixels; distance is null in images without background.
+
+    Squares see REACH pixels and the blur's width around them. Where no pixel that counts has its background farther off than what the
+    square does not see, all is known in one pass; the other images go by whole lines (`distance_squared`, `blurred`).
+    """
+    weights, blur = gaussian(sigma, size), size // 2
+    around, side = REACH + blur, raster.TILE
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        off = placed(~rows["_mask"].to_numpy(), grid)
+        high, wide = off.shape
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        x0, y0, at = x.min(), y.min(), np.arange(wide)
+        tx, ty = x[own][0] // side * side, y[own][0] // side * side
+        # ends of what is seen that need not be the image's
+        cut = [x0 == tx - around, x.max() == tx + side - 1 + around, y0 == ty - around, y.max() == ty + side - 1 + around]
+        sure, found = not any(cut), None
+        if off.any():
+            left = at - np.maximum.accumulate(np.where(off, at, -np.inf), axis=1)
+            right = np.minimum.accumulate(np.where(off, at, np.inf)[:, ::-1], axis=1)[:, ::-1] - at
+            d2 = _envelope(np.minimum(left, right))
+            if any(cut):
+                gap = np.full(off.shape, np.inf)
+                for is_cut, line in zip(cut, (at[None] + 1, wide - at[None], np.arange(high)[:, None] + 1, high - np.arange(high)[:, None])):
+                    gap = np.minimum(gap, line) if is_cut else gap
+                near = (slice(max(0, y[own].min() - y0 - blur), y[own].max() - y0 + blur + 1), slice(max(0, x[own].min() - x0 - blur), x[own].max() - x0 + blur + 1))
+                sure = bool((d2[near] <= gap[near] * gap[near]).all())
+            found = _smooth(_smooth(np.sqrt(d2).T, weights).T, weights)[grid]
+        values = pa.array(found, pa.float64()) if sure and found is not None else pa.nulls(len(rows), pa.float64())
+        return rows.append_column("distance", values).append_column("_sure", pa.array(np.full(len(rows), sure))).filter(pa.array(own))
+
+    p = pixels.select(*PIXEL, F.coalesce(F.col(mask), F.lit(False)).alias("_mask"))
+    found = tiled(p, around, work, StructType([*p.schema.fields, StructField("distance", DoubleType()), StructField("_sure", BooleanType())]))
+    found = stage(found.withColumn("distance", F.round("distance", DECIMALS)), "distance")
+    known = found.select(*PIXEL, "_mask", "distance")
+    far = found.where("not _sure").select("image_id").distinct()
+    if not far.limit(1).count():
+        return known
+    far = stage(far, "far")
+    rest = stage(known.join(far, "image_id", "left_semi").select(*PIXEL, "_mask"), "mask")
+    field = distance_squared(rest, "_mask").where("d2 is not null").select(*PIXEL, F.sqrt("d2").alias("distance"))
+    field = blurred(field, "distance", weights).withColumn("distance", F.round("distance", DECIMALS))
+    return known.join(far, "image_id", "left_anti").unionByName(stage(rest.join(field.hint("merge"), PIXEL, "left"), "distance"))
 
 
 def distance(pixels: DataFrame, mask: str, sigma: float = 2.0, size: int = 17) -> DataFrame:
     """(image_id, x, y, distance): the distance field, blurred and kept to DECIMALS. An image without background counts as infinitely far and is left out."""
-    d = distance_squared(pixels, mask).where("d2 is not null").select(*PIXEL, F.sqrt("d2").alias("distance"))
-    return blurred(d, "distance", gaussian(sigma, size)).withColumn("distance", F.round("distance", DECIMALS))
+    return _distances(pixels, mask, sigma, size).where("distance is not null").select(*PIXEL, "distance")
 
 
 def medians(field: DataFrame, value: str) -> DataFrame:
@@ -96,7 +147,7 @@ def medians(field: DataFrame, value: str) -> DataFrame:
     low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     bins = bins.withColumn("before", F.col("upto") - F.col("c")).where((F.col("before") <= high) & (low < F.col("upto")))
     place = F.row_number().over(Window.partitionBy("image_id", "_bin").orderBy(value)) - 1 + F.col("before")
-    ranked = positive.join(bins.select("image_id", "_bin", "before", "n"), ["image_id", "_bin"]).withColumn("place", place)
+    ranked = positive.join(bins.select("image_id", "_bin", "before", "n").hint("shuffle_hash"), ["image_id", "_bin"]).withColumn("place", place)
     return ranked.where((F.col("place") == low) | (F.col("place") == high)).groupBy("image_id").agg(F.first("n").alias("n"), F.avg(value).alias("median"))
 
 
@@ -118,18 +169,22 @@ def markers(field: DataFrame, mask: DataFrame, peak_distance: int = 0, least_pea
     A peak is the highest under an elliptic kernel as wide as the peak distance, and high enough. Where these are not given
     they follow from the median of the image's distances; images with fewer than 50 pixels of the mask take wide ones.
     """
-    size = medians(field.join(mask.select(*PIXEL).hint("merge"), PIXEL), "distance")
+    return _peaks(field, medians(field.join(mask.select(*PIXEL).hint("merge"), PIXEL), "distance"), peak_distance, least_peak, dome)
+
+
+def _peaks(field: DataFrame, size: DataFrame, peak_distance: int, least_peak: int, dome: float = 1.5) -> DataFrame:
     tiny = F.col("n") < 50
     wide, least = F.when(tiny, max(peak_distance, 25)).otherwise(peak_distance), F.when(tiny, max(least_peak, 5)).otherwise(least_peak)
     size = size.select("image_id", "median", wide.alias("wide"), least.alias("least"))
     wide = F.when(F.col("wide") <= 0, F.greatest(F.lit(13), (F.col("median") * 1.35).cast("int"))).otherwise(F.col("wide"))
     least = F.when(F.col("least") <= 0, F.greatest(F.lit(3), (F.col("median") * 0.28).cast("int"))).otherwise(F.col("least"))
     size = stage(size.select("image_id", F.greatest(F.lit(3), wide.bitwiseOR(1)).alias("size"), F.greatest(least, F.lit(2)).alias("least")), "peaks")
-    low = stage(field.join(size, "image_id").select(*PIXEL, F.greatest(F.col("distance") - dome, F.lit(0.0)).alias("height"), "size", "least"), "heights")
+    low = field.join(size.hint("shuffle_hash"), "image_id").select(*PIXEL, F.greatest(F.col("distance") - dome, F.lit(0.0)).alias("height"), "size", "least")
     found = highest(low, "height", "size", "top").where((F.col("height") == F.col("top")) & (F.col("height") >= F.col("least")))
     # a cross around each peak pixel
     cross = F.inline(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ellipse(3)]))
-    spread = found.select("image_id", cross).distinct().join(field.select(*PIXEL).hint("merge"), PIXEL)
+    ends = field.groupBy("image_id").agg(F.min("x").alias("_x1"), F.max("x").alias("_x2"), F.min("y").alias("_y1"), F.max("y").alias("_y2"))
+    spread = found.select("image_id", cross).distinct().join(ends.hint("shuffle_hash"), "image_id").where("x between _x1 and _x2 and y between _y1 and _y2").select(*PIXEL)
     return components(spread.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, F.col("label").alias("marker"))
 
 
@@ -164,7 +219,7 @@ def _contracted(frame: pd.DataFrame) -> pd.DataFrame:
             break
         mutual = (to[to] == np.arange(len(names))) & (np.arange(len(names)) < to)
         to[mutual] = np.flatnonzero(mutual)
-        while (further := to[to]).tolist() != to.tolist():
+        while ((further := to[to]) != to).any():
             to = further
         np.logical_or.at(stays, to, stays.copy())
         np.logical_or.at(rooted, to, rooted.copy())
@@ -237,14 +292,44 @@ def holes(pixels: DataFrame, mask: str) -> DataFrame:
     """(image_id, x, y, label): pixels off the mask from which no way by sides, off the mask, leads to the border of the image."""
     edge = pixels.groupBy("image_id").agg(F.min("x").alias("_x1"), F.max("x").alias("_x2"), F.min("y").alias("_y1"), F.max("y").alias("_y2"))
     off = components(pixels.select(*PIXEL, (~F.coalesce(F.col(mask), F.lit(False))).alias("_off")), "_off", diagonal=False).select(*PIXEL, "label")
-    out = off.join(edge, "image_id").where("x = _x1 or x = _x2 or y = _y1 or y = _y2").select("image_id", "label").distinct()
+    out = off.join(edge.hint("shuffle_hash"), "image_id").where("x = _x1 or x = _x2 or y = _y1 or y = _y2").select("image_id", "label").distinct()
     return off.join(out.hint("merge"), ["image_id", "label"], "left_anti").select(*PIXEL, "label")
 
 
 def filled_regions(pixels: DataFrame, mask: str) -> DataFrame:
-    """(image_id, x, y, label): the mask with its holes filled, in 8-connected regions: what the outermost contours hold."""
-    whole = pixels.where(mask).select(*PIXEL).unionByName(holes(pixels, mask).select(*PIXEL))
-    return components(whole.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, "label")
+    """(image_id, x, y, label): the mask with its holes filled, in 8-connected regions: what the outermost contours hold.
+
+    Images of one square are filled and labelled there, in one pass; wider ones go through `holes` and `components`."""
+    side = raster.TILE
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        x, y = rows["x"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64)
+        if _at_border(x, y, side).any():
+            return rows.append_column("label", pa.nulls(len(rows), pa.int64()))
+        on = rows["_mask"].to_numpy().copy()
+        off = np.flatnonzero(~on)
+        if len(off):
+            part = in_band(np.zeros(len(off), np.int64), x[off], y[off], False)
+            edge = (x == x.min()) | (x == x.max()) | (y == y.min()) | (y == y.max())
+            out = np.zeros(len(off), bool)
+            out[part[edge[off]]] = True
+            on[off[~out[part]]] = True
+        whole = np.flatnonzero(on)
+        label = (y * 1_000_000 + x)[whole[in_band(np.zeros(len(whole), np.int64), x[whole], y[whole], True)]] if len(whole) else whole
+        return rows.take(pa.array(whole)).append_column("label", pa.array(label))
+
+    p = pixels.select(*PIXEL, F.coalesce(F.col(mask), F.lit(False)).alias("_mask"))
+    found = stage(tiled(p, 0, work, StructType([*p.schema.fields, StructField("label", LongType())])), "filled")
+    done, wide = found.where("label is not null").select(*PIXEL, "label"), found.where("label is null").select(*PIXEL, "_mask")
+    if not wide.limit(1).count():
+        return done
+    whole = wide.where("_mask").select(*PIXEL).unionByName(holes(wide, "_mask").select(*PIXEL))
+    return done.unionByName(components(whole.withColumn("_on", F.lit(True)), "_on").select(*PIXEL, "label"))
+
+
+def _at_border(x: np.ndarray, y: np.ndarray, side: int) -> np.ndarray:
+    """Which pixels have neighbours, or may have, in another square."""
+    return (x % side == side - 1) | (y % side == side - 1) | ((x % side == 0) & (x > 0)) | ((y % side == 0) & (y > 0))
 
 
 def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150, gradients: bool = False) -> DataFrame:
@@ -252,8 +337,11 @@ def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150
 
     Gradients are those of Sobel's kernels, the border being repeated, and count by the sum of their amounts. A pixel stays if
     it is the highest across its edge, in one of four directions: along a row or a column one side may be as high, on a diagonal none.
-    Squares see two pixels around them, as far as an answer reaches; weak components are labelled and kept if they hold a strong pixel.
+    Squares see two pixels around them, as far as an answer reaches; weak components are labelled and kept if they hold a strong pixel:
+    within the square where they touch none of its borders, and by rounds where they reach into another one.
     """
+    side = raster.TILE
+
     def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
         v = np.pad(placed(rows["_v"].to_numpy().astype(np.int64), grid), 1, mode="edge")
         smooth, step = v[:-2] + 2 * v[1:-1] + v[2:], v[2:] - v[:-2]
@@ -265,19 +353,30 @@ def edges(pixels: DataFrame, value: str = "gray", low: int = 70, high: int = 150
         # tan of 22.5 degrees in units of 2^-15, and that of 67.5 degrees, which is two more
         flat, steep, same = ay * 32768 < ax * 13573, ay * 32768 > ax * (13573 + 65536), (gx < 0) == (gy < 0)
         thin = np.select([flat, steep, same], [(m > at(0, -1)) & (m >= at(0, 1)), (m > at(-1, 0)) & (m >= at(1, 0)), (m > at(-1, -1)) & (m > at(1, 1))], (m > at(-1, 1)) & (m > at(1, -1)))
-        out = rows.select(PIXEL)
-        for name, plane in (("gx", gx), ("gy", gy), ("_weak", thin & (m > low)), ("_strong", m > high)):
-            out = out.append_column(name, pa.array(plane[grid]))
-        return out.filter(pa.array(own))
+        weak, strong = (thin & (m > low))[grid][own], (m > high)[grid][own]
+        out = rows.select(PIXEL).filter(pa.array(own))
+        at, edge, known = np.flatnonzero(weak), np.zeros(len(weak), bool), np.ones(len(weak), bool)
+        if len(at):
+            x, y = out["x"].to_numpy().astype(np.int64)[at], out["y"].to_numpy().astype(np.int64)[at]
+            part, holds, open_ = in_band(np.zeros(len(at), np.int64), x, y, True), np.zeros(len(at), bool), np.zeros(len(at), bool)
+            holds[part[strong[at]]] = True
+            open_[part[_at_border(x, y, side)]] = True
+            edge[at], known[at] = holds[part], ~open_[part]
+        for name, plane in (("gx", gx[grid][own]), ("gy", gy[grid][own]), ("_strong", strong)):
+            out = out.append_column(name, pa.array(plane))
+        return out.append_column("edge", pa.array(edge, mask=~known))
 
     p = pixels.select(*PIXEL, F.col(value).cast("int").alias("_v"))
-    schema = StructType([*p.schema.fields[:3], StructField("gx", IntegerType()), StructField("gy", IntegerType()), StructField("_weak", BooleanType()), StructField("_strong", BooleanType())])
-    weak = stage(tiled(p, 2, work, schema), "thin")
-    lab = components(weak, "_weak").select(*PIXEL, "_strong", "label")
-    real = lab.where("_strong").select("image_id", "label").distinct()
-    on = lab.join(real.hint("merge"), ["image_id", "label"], "left_semi").select(*PIXEL, F.lit(True).alias("edge")).hint("merge")
+    schema = StructType([*p.schema.fields[:3], StructField("gx", IntegerType()), StructField("gy", IntegerType()), StructField("_strong", BooleanType()), StructField("edge", BooleanType())])
+    found = stage(tiled(p, 2, work, schema), "thin")
     rest = ["gx", "gy"] if gradients else []
-    return weak.select(*PIXEL, *rest).join(on, PIXEL, "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"), *rest)
+    done, weak = found.where("edge is not null").select(*PIXEL, "edge", *rest), found.where("edge is null")
+    if not weak.limit(1).count():
+        return done
+    lab = components(weak.select(*PIXEL, "_strong", *rest, F.lit(True).alias("_weak")), "_weak")
+    real = lab.where("_strong").select("image_id", "label").distinct().withColumn("edge", F.lit(True))
+    open_ = lab.join(real.hint("merge"), ["image_id", "label"], "left").select(*PIXEL, F.coalesce("edge", F.lit(False)).alias("edge"), *rest)
+    return done.unionByName(open_)
 
 
 def elevation(distance: Column, low: Column, high: Column) -> Column:
@@ -291,17 +390,18 @@ def crowns(pixels: DataFrame, mask: str, peak_distance: int = 0, least_peak: int
     Water rises from the peaks of the distance field. In images without a peak the filled regions of the mask stand for crowns. Pixels
     of the mask that no water reaches belong to no crown.
     """
-    narrow = stage(pixels.select(*PIXEL, F.coalesce(F.col(mask), F.lit(False)).alias("_mask")), "mask")
-    on = narrow.where("_mask").select(*PIXEL)
-    field = stage(distance(narrow, "_mask"), "distance")
-    peaks = stage(markers(field, on, peak_distance, least_peak), "markers")
+    planes = _distances(pixels, mask)
+    field = planes.where("distance is not null").select(*PIXEL, "distance")
+    on = planes.where("_mask and distance is not null")
+    peaks = stage(_peaks(field, medians(on, "distance"), peak_distance, least_peak), "markers")
     span = field.groupBy("image_id").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-    ground = on.join(field.hint("merge"), PIXEL).join(span, "image_id").join(peaks.hint("merge"), PIXEL, "left")
-    ground = ground.select(*PIXEL, elevation(F.col("distance"), F.col("low"), F.col("high")).alias("elevation"), "marker")
-    with_peaks = peaks.select("image_id").distinct()
-    split = flood(ground.join(with_peaks, "image_id", "left_semi")).where("label is not null")
-    whole = filled_regions(narrow.join(with_peaks, "image_id", "left_anti"), "_mask")
-    return stage(split.unionByName(whole), "crowns"), field
+    with_peaks = stage(peaks.select("image_id").distinct(), "with_peaks")
+    ground = on.join(span.join(with_peaks, "image_id", "left_semi").hint("shuffle_hash"), "image_id").join(peaks.hint("merge"), PIXEL, "left")
+    split = flood(ground.select(*PIXEL, elevation(F.col("distance"), F.col("low"), F.col("high")).alias("elevation"), "marker")).where("label is not null")
+    without = planes.join(with_peaks.hint("shuffle_hash"), "image_id", "left_anti")
+    if without.where("_mask").limit(1).count():
+        split = split.unionByName(filled_regions(without, "_mask"))
+    return stage(split, "crowns"), field
 
 
 def circles(pixels: DataFrame, value: str = "gray", radii: tuple[int, int] = (8, 95), apart: int = 8, low: int = 40, high: int = 80, votes: int = 13, bin_size: float = 1.2) -> DataFrame:
@@ -330,4 +430,4 @@ def circles(pixels: DataFrame, value: str = "gray", radii: tuple[int, int] = (8,
     far = F.bround(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)), 0).cast("int")
     rings = around.select("image_id", "idx", far.alias("r")).where(F.col("r").between(*radii)).groupBy("image_id", "idx", "r").agg(F.count(F.lit(1)).alias("n"))
     best = rings.groupBy("image_id", "idx").agg(F.max(F.struct((F.col("n") / F.col("r")).alias("per"), (-F.col("r")).alias("r"), "n")).alias("m")).where(F.col("m.n") > votes).select("image_id", "idx", (-F.col("m.r")).alias("radius"))
-    return centre.join(best, ["image_id", "idx"]).select("image_id", "idx", "cx", "cy", "radius", "votes")
+    return centre.join(best.hint("merge"), ["image_id", "idx"]).select("image_id", "idx", "cx", "cy", "radius", "votes")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from silvaframe.plans.scratch import stage
 
@@ -113,7 +113,7 @@ def otsu(pixels: DataFrame, value: str = "exg") -> DataFrame:
     """
     span = pixels.groupBy("image_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     level = F.when(F.col("hi") > F.col("lo"), F.bround(255.0 * (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")), 0)).otherwise(0).cast("int")
-    bins = pixels.join(span, "image_id").groupBy("image_id", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    bins = pixels.join(span.hint("shuffle_hash"), "image_id").groupBy("image_id", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
     upto, whole = Window.partitionBy("image_id").orderBy("level"), Window.partitionBy("image_id")
     sums = bins.select("image_id", "level", F.sum("n").over(upto).alias("w"), F.sum(F.col("n") * F.col("level")).over(upto).alias("m"), F.sum("n").over(whole).alias("all_w"), F.sum(F.col("n") * F.col("level")).over(whole).alias("all_m"))
     rest = F.col("all_w") - F.col("w")
@@ -311,6 +311,33 @@ def components(pixels: DataFrame, mask: str, by: tuple[str, ...] = ("image_id",)
     return on.join(named.hint("merge"), [*by, "label"], "left").select(*by, *rest, F.coalesce("_least", "label").alias("label"))
 
 
+def without_small(pixels: DataFrame, mask: str, least: int) -> DataFrame:
+    """(image_id, x, y, mask): the mask without components of fewer than `least` pixels.
+
+    Components that touch no border of their square are counted there; only those that reach into another square are labelled in rounds."""
+    side = TILE
+
+    def work(rows: pa.Table, grid, own: np.ndarray) -> pa.Table:
+        x, y = rows["x"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64)
+        on, known = rows[mask].to_numpy().copy(), np.ones(len(rows), bool)
+        at = np.flatnonzero(on)
+        if len(at):
+            part, open_ = in_band(np.zeros(len(at), np.int64), x[at], y[at], True), np.zeros(len(at), bool)
+            border = ((x % side == 0) & (x > 0)) | (x % side == side - 1) | ((y % side == 0) & (y > 0)) | (y % side == side - 1)
+            open_[part[border[at]]] = True
+            on[at], known[at] = np.bincount(part)[part] >= least, ~open_[part]
+        return rows.set_column(rows.column_names.index(mask), mask, pa.array(on, mask=~known))
+
+    p = pixels.select(*PIXEL, F.coalesce(F.col(mask), F.lit(False)).alias(mask))
+    found = stage(tiled(p, 0, work, StructType([*p.schema.fields[:3], StructField(mask, BooleanType())])), "large")
+    done, open_ = found.where(F.col(mask).isNotNull()), found.where(F.col(mask).isNull()).select(*PIXEL, F.lit(True).alias(mask))
+    if not open_.limit(1).count():
+        return done
+    lab = components(open_, mask)
+    large = lab.groupBy("image_id", "label").agg((F.count(F.lit(1)) >= least).alias("_large"))
+    return done.unionByName(lab.join(large.hint("merge"), ["image_id", "label"]).select(*PIXEL, F.col("_large").alias(mask)))
+
+
 def component_stats(labelled: DataFrame) -> DataFrame:
     """(image_id, label, area, x, y, w, h, cx, cy) of each component."""
     return labelled.groupBy("image_id", "label").agg(
@@ -338,7 +365,7 @@ def grid(pixels: DataFrame, rows: int = 6, cols: int = 8) -> DataFrame:
     """
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
     cell = lambda at, n, k: F.expr(f"int((({at} + 1) * {k} - 1) div {n})")
-    out = pixels.join(size, "image_id").withColumn("row", cell("y", "_h", rows)).withColumn("col", cell("x", "_w", cols))
+    out = pixels.join(size.hint("shuffle_hash"), "image_id").withColumn("row", cell("y", "_h", rows)).withColumn("col", cell("x", "_w", cols))
     return out.groupBy("image_id", "row", "col").agg(F.round(F.avg(F.col("vegetation").cast("int")), 3).alias("vegetation"), F.round(F.avg(F.col("bare").cast("int")), 3).alias("bare"))
 
 
@@ -434,5 +461,5 @@ def original_mask(pixels: DataFrame) -> DataFrame:
     """Adds original: a green hue and an excess-green index above the image's own Otsu level."""
     span = pixels.groupBy("image_id").agg(F.min("exg").alias("_lo"), F.max("exg").alias("_hi"))
     level = F.when(F.col("_hi") > F.col("_lo"), F.bround(255.0 * (F.col("exg") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 0)).otherwise(0)
-    p = pixels.join(span.join(otsu(pixels), "image_id"), "image_id")
+    p = pixels.join(span.join(otsu(pixels).hint("merge"), "image_id").hint("shuffle_hash"), "image_id")
     return p.withColumn("original", _between("h", 30, 100) & (level > F.col("threshold"))).drop("_lo", "_hi", "threshold")

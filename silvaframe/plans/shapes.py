@@ -151,7 +151,7 @@ def canopy(spark, d):
 def seg4_markers(spark, d):
     """Peaks of the distance field of trees."""
     on = stage(canopy(spark, d), "mask")
-    return field.markers(stage(field.distance(on, "tree"), "distance"), on.where("tree"), 13, 2)
+    return field.markers(field.distance(on, "tree"), on.where("tree"), 13, 2)
 
 
 @query()

@@ -78,3 +78,26 @@ def test_regions_of_one_band_are_measured_in_one_pass(spark, spots, monkeypatch)
     assert "Join" not in plan(shape.contours(lab)) and staged == ["rings"]
     circles = shape.enclosing_circles(shape.hulls(lab))
     assert staged == ["rings"] and circles.count() == lab.select("label").distinct().count()
+
+
+def test_squares_decide_nothing_for_fields(spots, monkeypatch):
+    """Distances, filled regions, edges and large components: known within a square, or by the way that any image can take."""
+    frame = spots[1]
+    work = {
+        "distance": lambda: field.distance(frame, "m", size=5),
+        "filled": lambda: field.filled_regions(frame, "m"),
+        "edges": lambda: field.edges(frame, "v", gradients=True),
+        "large": lambda: raster.without_small(frame, "m", 6),
+        "crowns": lambda: field.crowns(frame, "m", 3, 1)[0],
+    }
+    assert "Window" not in plan(field.distance(frame, "m")) and "Join" not in plan(field.edges(frame, "v"))
+    whole = {k: rows(f()) for k, f in work.items()}
+    monkeypatch.setattr(raster, "TILE", 6)
+    assert {k: rows(f()) for k, f in work.items()} == whole
+    monkeypatch.setattr(field, "REACH", 1)
+    assert {k: rows(f()) for k, f in work.items()} == whole
+
+
+def test_what_holds_for_an_image_reaches_pixels_without_a_broadcast(spark):
+    colours = raster.colour(spark.createDataFrame([(1, x, y, 90, 120, 40 + x) for x in range(9) for y in range(9)], "image_id long, x int, y int, b int, g int, r int"))
+    assert "Broadcast" not in plan(raster.original_mask(colours)) and "Broadcast" not in plan(field.medians(colours, "v"))
