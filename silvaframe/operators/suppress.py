@@ -12,13 +12,15 @@ from silvaframe.plans.scratch import stage
 FOLD = 512
 
 
-def _fold(df: DataFrame, conflict: Conflict, by: str) -> DataFrame:
-    """Groups of a checked size: sort the group's rows and scan them, all inside one aggregation."""
+def _fold(df: DataFrame, conflict: Conflict, by: str, reach) -> DataFrame:
+    """Groups of a checked size: sort the group's rows and scan them, all inside one aggregation. Of most pairs the reach tells that they are too far apart."""
+    apart = lambda p, q, c: F.abs(p(c) - q(c)) > reach(p) + reach(q)
+    meets = lambda p, q: F.when(apart(p, q, "x") | apart(p, q, "y"), False).otherwise(conflict(p, q))
     rows = F.array_sort(F.collect_list(F.struct("_rank", F.struct(*[c for c in df.columns if c != "_rank"]).alias("row"))))
     kind = df.drop("_rank").schema.simpleString().removeprefix("struct<").removesuffix(">")
     empty = F.array().cast(f"array<struct<{kind}>>")
     of = lambda r: lambda c: r[c]
-    kept = F.aggregate(rows, empty, lambda acc, v: F.when(F.exists(acc, lambda e: conflict(of(v["row"]), of(e))), acc).otherwise(F.array_append(acc, v["row"])))
+    kept = F.aggregate(rows, empty, lambda acc, v: F.when(F.exists(acc, lambda e: meets(of(v["row"]), of(e))), acc).otherwise(F.array_append(acc, v["row"])))
     return df.groupBy(by).agg(kept.alias("kept")).select(F.inline("kept"))
 
 
@@ -55,10 +57,10 @@ def suppress(df: DataFrame, rank: list[Column], conflict: Conflict, cell: float,
         sizes = df.groupBy(by).count()
         large = stage(sizes.where(F.col("count") > FOLD).select(by), "large")
         if large.limit(1).count():
-            small = _fold(ranked.join(large, by, "left_anti").select(*ranked.columns), conflict, by)
+            small = _fold(ranked.join(large, by, "left_anti").select(*ranked.columns), conflict, by, reach)
             return small.select(*df.columns).unionByName(_fixpoint(ranked.join(large, by, "left_semi"), conflict, by, cell, reach).select(*df.columns))
         strategy = "fold"
-    out = _fold(ranked, conflict, by) if strategy == "fold" else _fixpoint(ranked, conflict, by, cell, reach)
+    out = _fold(ranked, conflict, by, reach) if strategy == "fold" else _fixpoint(ranked, conflict, by, cell, reach)
     return out.select(*df.columns)
 
 

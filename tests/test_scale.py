@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaframe.operators import field, raster, shape, site
+from silvaframe.operators.suppress import suppress
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,11 @@ def test_squares_decide_nothing_for_fields(spots, monkeypatch):
 def test_what_holds_for_an_image_reaches_pixels_without_a_broadcast(spark):
     colours = raster.colour(spark.createDataFrame([(1, x, y, 90, 120, 40 + x) for x in range(9) for y in range(9)], "image_id long, x int, y int, b int, g int, r int"))
     assert "Broadcast" not in plan(raster.original_mask(colours)) and "Broadcast" not in plan(field.medians(colours, "v"))
+
+
+def test_rows_too_far_apart_are_not_compared(spark):
+    """Within a folded group the reach rules most pairs out, before a costly condition is worked out."""
+    frame = spark.createDataFrame([(1, k, 100 * k + d, 0, 5) for k in range(6) for d in (0, 3)], "image_id long, idx long, x int, y int, radius int")
+    near = lambda p, q: F.when(F.abs(p("x") - q("x")) < 50, True).otherwise(F.raise_error(F.lit("compared")).cast("boolean"))
+    kept = suppress(frame, [F.col("x")], near, 12.0)
+    assert sorted(r.x for r in kept.collect()) == [100 * k for k in range(6)]
