@@ -34,8 +34,7 @@ def snk5_review(spark, d):
     """Reviewed labels as CSV, a folder for each image, numbered anew."""
     path = folder(spark, "review")
     io.write_review(view(spark, d, "crowns").withColumnRenamed("idx", "id"), path)
-    number = lambda c: F.col(c).cast("int").alias(c)
-    return spark.read.option("header", True).csv(path).select(F.col("image_id").cast("long").alias("image_id"), number("id"), number("x"), number("y"), number("radius"), "source")
+    return io.read_review(spark, path).withColumn("image_id", F.col("image_id").cast("long"))
 
 
 @query(with_views("SELECT x::DOUBLE AS x, y::DOUBLE AS y, (radius - 20)::DOUBLE AS radius FROM crowns WHERE radius > 20", "crowns"))

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import io
+import itertools
+import os
 import re
+import shutil
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from silvaframe.functions.geometry import parse_contour
@@ -86,12 +92,31 @@ def write_detections(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_review(df: DataFrame, path: str, by: str = "image_id") -> None:
-    """CSV with a header: rows renumbered by position, whole numbers half to even."""
+    """CSV with a header, a folder for each image: rows renumbered by position, whole numbers half to even; the path is replaced.
+
+    On a file system that is local or mounted (file:, seen by all executors) tasks write each image's file themselves, as Spark's writer
+    starts processes for each such file to set its mode. Elsewhere Spark writes; folders and lines are the same.
+    """
     from pyspark.sql import Window
 
     whole = lambda c: F.bround(c, 0).cast("int").alias(c)
-    out = df.withColumn("id", F.row_number().over(Window.partitionBy(by).orderBy("id")))
-    out.select(by, "id", whole("x"), whole("y"), whole("radius"), "source").write.mode("overwrite").option("header", True).partitionBy(by).csv(path)
+    out = df.withColumn("id", F.row_number().over(Window.partitionBy(by).orderBy("id"))).select(by, "id", whole("x"), whole("y"), whole("radius"), "source")
+    if _seen_as_files(df.sparkSession, path):
+        register(df.sparkSession)
+        lines = out.sortWithinPartitions(by, "id").select(F.col(by).cast("string").alias("folder"), F.to_csv(F.struct(*_REVIEW)).alias("line"))
+        lines.write.format("label_folders").option("by", by).option("header", ",".join(_REVIEW)).mode("overwrite").save(path)
+    else:
+        out.write.mode("overwrite").option("header", True).partitionBy(by).csv(path)
+
+
+def read_review(spark: SparkSession, path: str, by: str = "image_id") -> DataFrame:
+    """(image_id as text, id, x, y, radius, source) of what `write_review` wrote. Local or mounted folders are listed where they are read, not by the driver."""
+    kinds = ", ".join(f"{c} {kind}" for c, kind in _REVIEW.items())
+    if not _seen_as_files(spark, path):
+        return spark.read.schema(f"{kinds}, `{by}` string").option("header", True).csv(path).select(by, *_REVIEW)
+    register(spark)
+    lines = spark.read.format("label_folders").option("by", by).option("parts", 4 * spark.sparkContext.defaultParallelism).load(path)
+    return lines.select(F.col("folder").alias(by), F.from_csv("line", kinds).alias("row")).select(by, "row.*")
 
 
 def write_label_set(dataset: DataFrame, path: str) -> None:
@@ -195,5 +220,104 @@ class XlsxSource(DataSource):
         return XlsxReader(self.options["path"], schema)
 
 
+# --- label files, one for each image, in folders by image as Spark names them ---
+
+_REVIEW = {"id": "int", "x": "int", "y": "int", "radius": "int", "source": "string"}
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _seen_as_files(spark: SparkSession, path: str) -> bool:
+    """Whether Spark takes the path for one of a local or mounted file system."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path.startswith("file:") or path.startswith("/") and default.startswith("file:")
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
+
+
+def _folder(by: str, value: str | None) -> str:
+    return f"{by}=" + (re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value) if value else _NO_VALUE)
+
+
+class FolderWriter(DataSourceArrowWriter):
+    """Rows of a folder have to lie together. A file has another name until it is whole, so that attempts of one task do not meet;
+    all is written beside the path and takes its place at the end."""
+
+    def __init__(self, path: str, by: str, header: str):
+        self.path, self.by, self.header = path, by, header
+        self.beside = f"{path}.{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        rows = (row for batch in iterator for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for value, group in itertools.groupby(rows, lambda row: row[0]):
+            folder = f"{self.beside}/{_folder(self.by, value)}"
+            os.makedirs(folder, exist_ok=True)
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.write(f"{self.header}\n")
+                f.writelines(f"{line}\n" for _, line in group)
+            os.replace(part, f"{folder}/{'empty' if value == '' else 'labels'}.csv")
+        return WriterCommitMessage()
+
+    def commit(self, messages):
+        os.makedirs(self.beside, exist_ok=True)
+        open(f"{self.beside}/_SUCCESS", "w").close()
+        shutil.rmtree(self.path, ignore_errors=True)
+        os.rename(self.beside, self.path)
+
+    def abort(self, messages):
+        shutil.rmtree(self.beside, ignore_errors=True)
+
+
+class _Share(InputPartition):
+    def __init__(self, number: int):
+        self.number = number
+
+
+class FolderReader(DataSourceReader):
+    """Each task lists the folders and reads those that its number falls on by a hash of their name."""
+
+    def __init__(self, path: str, by: str, parts: int):
+        self.path, self.by, self.parts = path, by, parts
+
+    def partitions(self):
+        return [_Share(k) for k in range(self.parts)]
+
+    def read(self, partition):
+        import pyarrow as pa
+
+        with os.scandir(self.path) as entries:
+            names = [e.name for e in entries if e.name.startswith(f"{self.by}=") and zlib.crc32(e.name.encode()) % self.parts == partition.number]
+        for name in names:
+            text = name.removeprefix(f"{self.by}=")
+            value = None if text == _NO_VALUE else unquote(text)
+            for file in sorted(os.listdir(f"{self.path}/{name}")):
+                if file.startswith((".", "_")):
+                    continue
+                with open(f"{self.path}/{name}/{file}", encoding="utf-8", newline="\n") as f:
+                    next(f, None)
+                    while lines := [line.removesuffix("\n") for line in itertools.islice(f, 8192)]:
+                        yield pa.RecordBatch.from_arrays([pa.array([value] * len(lines), pa.string()), pa.array(lines, pa.string())], ["folder", "line"])
+
+
+class LabelFolders(DataSource):
+    """format("label_folders"): (folder, line) of text files with a header, in folders named by the option `by` and a value; all executors see the folder."""
+
+    @classmethod
+    def name(cls):
+        return "label_folders"
+
+    def schema(self):
+        return StructType([StructField("folder", StringType()), StructField("line", StringType())])
+
+    def reader(self, schema):
+        return FolderReader(_local(self.options["path"]), self.options["by"], int(self.options["parts"]))
+
+    def writer(self, schema, overwrite):
+        return FolderWriter(_local(self.options["path"]), self.options["by"], self.options["header"])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
+    spark.dataSource.register(LabelFolders)

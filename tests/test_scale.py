@@ -1,12 +1,14 @@
 """What lets pixel queries grow: squares and bands decide nothing, and pixels are never broadcast, however well their files compress."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from silvaframe.operators import field, raster, shape, site
 from silvaframe.operators.suppress import suppress
+from silvaframe.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +112,28 @@ def test_rows_too_far_apart_are_not_compared(spark):
     near = lambda p, q: F.when(F.abs(p("x") - q("x")) < 50, True).otherwise(F.raise_error(F.lit("compared")).cast("boolean"))
     kept = suppress(frame, [F.col("x")], near, 12.0)
     assert sorted(r.x for r in kept.collect()) == [100 * k for k in range(6)]
+
+
+def test_folders_by_image_cost_no_processes_and_no_listing(spark, tmp_path, monkeypatch):
+    """Hadoop's local file system leaves a .crc file, made by two processes, with each file; Spark's reader lists all folders at the driver. Else both ways give the same folders and lines."""
+    images = ["a/b", "x=1", "", None, "IMG 7"] + [f"p{k}" for k in range(60)]
+    sources = ["manual", None, "", 'say "so", then', " \\ "]
+    frame = spark.createDataFrame([(k, 90 - n, n + 0.5, n + 1.5, 8, sources[n % 5]) for k in images for n in range(7)], "image_id string, id int, x double, y double, radius int, source string").repartition(3)
+    written = lambda d: sorted((f.parent.name, line) for f in Path(d).glob("*/*.csv") for line in f.read_text().splitlines() if line != "id,x,y,radius,source")
+    fast, plain = str(tmp_path / "fast"), str(tmp_path / "plain")
+    for _ in range(2):  # the second time replaces the first
+        io.write_review(frame, f"file://{fast}")
+    got = io.read_review(spark, f"file://{fast}")
+    assert not list(Path(fast).rglob("*.crc")) and not got.inputFiles() and [f.name for f in tmp_path.iterdir()] == ["fast"]
+    monkeypatch.setattr(io, "_seen_as_files", lambda *_: False)
+    io.write_review(frame, plain)
+    assert written(fast) == written(plain) and len(written(fast)) == 65 * 7
+    want = io.read_review(spark, plain)
+    text = lambda df: sorted(map(repr, df.collect()))
+    assert text(got) == text(want) == text(spark.read.schema(got.schema).option("header", True).csv(fast).select(*got.columns))
+
+
+def test_review_without_rows(spark, tmp_path):
+    frame = spark.createDataFrame([], "image_id long, id int, x double, y double, radius int, source string")
+    io.write_review(frame, f"file://{tmp_path}/r")
+    assert io.read_review(spark, f"file://{tmp_path}/r").count() == 0
