@@ -115,18 +115,21 @@ def apply_edits(labels: DataFrame, edits: DataFrame, width: int, height: int, ra
 
 def nearest(clicks: DataFrame, circles: DataFrame, cell: float, slack: float = 8.0) -> DataFrame:
     """(image_id, click, idx): for each click the nearest circle that it is in or near; the first of equals."""
-    from silvaframe.operators.spatial import grid_pairs
+    from silvaframe.operators.spatial import point_pairs
 
     dist = lambda p, q: distance(p("x"), p("y"), q("x"), q("y"))
-    pairs = grid_pairs(clicks, circles, ["image_id"], cell, lambda p, q: dist(p, q) <= F.greatest(q("radius") + slack, F.lit(slack)))
+    reach = lambda q: F.greatest(q("radius") + slack, F.lit(slack))
+    pairs = point_pairs(clicks, circles, ["image_id"], cell, lambda p, q: dist(p, q) <= reach(q), reach, (["click"], ["idx"]))
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    return pairs.groupBy(p("image_id").alias("image_id"), p("click").alias("click")).agg(F.min_by("q.idx", F.struct(dist(p, q), "q.idx")).alias("idx"))
+    return pairs.groupBy("image_id", p("click").alias("click")).agg(F.min_by("q.idx", F.struct(dist(p, q), "q.idx")).alias("idx"))
 
 
 def topmost(clicks: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
     """(image_id, click, idx): for each click the last drawn shape that it is in: its polygon, or its circle without one."""
-    from silvaframe.operators.spatial import grid_pairs
+    from silvaframe.operators.spatial import point_pairs
 
-    hit = lambda p, q: F.when(F.size(q("contour")) >= 3, in_polygon(q("contour"), p("x"), p("y"))).otherwise(distance(p("x"), p("y"), q("x"), q("y")) <= q("radius"))
-    pairs = grid_pairs(clicks, shapes, ["image_id"], cell, hit)
-    return pairs.groupBy(F.col("p.image_id").alias("image_id"), F.col("p.click").alias("click")).agg(F.max("q.idx").alias("idx"))
+    either = lambda q, polygon, circle: F.when(F.size(q("contour")) >= 3, polygon).otherwise(circle)
+    hit = lambda p, q: either(q, in_polygon(q("contour"), p("x"), p("y")), distance(p("x"), p("y"), q("x"), q("y")) <= q("radius"))
+    off = lambda q: F.transform(q("contour"), lambda c: F.greatest(F.abs(c["x"] - q("x")), F.abs(c["y"] - q("y"))))
+    pairs = point_pairs(clicks, shapes, ["image_id"], cell, hit, lambda q: either(q, F.array_max(off(q)), q("radius")), (["click"], ["idx"]))
+    return pairs.groupBy("image_id", F.col("p.click").alias("click")).agg(F.max("q.idx").alias("idx"))

@@ -56,6 +56,32 @@ def grid_pairs(
     return out.select("a.p", "b.q") if how in ("inner", "left") else out.select("p")
 
 
+def point_pairs(
+    points: DataFrame, shapes: DataFrame, on: list[str], cell: float, condition: Conflict, reach: Callable[[Callable[[str], Column]], Column], keep: tuple[list[str], list[str]] = ([], [])
+) -> DataFrame:
+    """Pairs (on, p: struct of a point, q: struct of a shape) that meet `condition`, which must not hold farther from a shape's place, in x or in y, than it reaches.
+
+    A shape moves once: it is filed in the cell of its place, on a grid whose cells are twice as wide as it reaches or more (2 x `cell`, doubled
+    as often as needed). Points, taken to be the fewer rows, are copied to the four cells around them on each grid that is in use, of which
+    the planner is told by a table of a row for each. So any `cell` gives the same pairs. p and q carry their places, what the condition reads, and `keep`.
+    """
+    read = (set(), set())
+    condition(*[lambda c, names=names: names.add(c) or F.col(c) for names in read])
+    carried = [[*dict.fromkeys(["x", "y", *some, *sorted(names)])] for some, names in zip(keep, read)]
+    side = 2.0 * cell * F.pow(F.lit(2.0), F.col("_grid"))
+    level = F.ceil(F.least(F.greatest(F.log2(F.col("_reach") / cell), F.lit(0.0)), F.lit(60.0))).cast("int")
+    q = shapes.withColumn("_reach", reach(F.col).cast("double") * (1 + 1e-9)).withColumn("_grid", level)
+    at = lambda c, d: F.floor((F.col(c) + d * side) / side)
+    b = q.select(*on, "_grid", at("x", 0.0).alias("_cx"), at("y", 0.0).alias("_cy"), F.struct(*carried[1], "_reach").alias("q")).alias("b")
+    a = points.join(F.broadcast(q.select("_grid").distinct())).withColumn("_cx", F.explode(F.sequence(at("x", -0.5), at("x", 0.5))))
+    a = a.withColumn("_cy", F.explode(F.sequence(at("y", -0.5), at("y", 0.5)))).select(*on, "_grid", "_cx", "_cy", F.struct(*carried[0]).alias("p")).alias("a")
+    near = lambda c: F.abs(F.col(f"a.p.{c}") - F.col(f"b.q.{c}")) <= F.col("b.q._reach")
+    match = near("x") & near("y") & condition(lambda c: F.col(f"a.p.{c}"), lambda c: F.col(f"b.q.{c}"))
+    for k in (*on, "_grid", "_cx", "_cy"):
+        match = (F.col(f"a.{k}") == F.col(f"b.{k}")) & match
+    return a.join(b, match).select(*[f"a.{k}" for k in on], "a.p", "b.q")
+
+
 def disc_reach(row: Callable[[str], Column]) -> Column:
     """Discs in conflict overlap, or their centres are no farther apart than 12 pixels."""
     return F.greatest(row("radius").cast("double"), F.lit(6.0))

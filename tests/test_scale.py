@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from silvaframe.operators import field, raster, shape, site
+from silvaframe.operators import field, labels, raster, shape, site
 from silvaframe.operators.suppress import suppress
 from silvaframe.sources import io
 
@@ -137,3 +137,21 @@ def test_review_without_rows(spark, tmp_path):
     frame = spark.createDataFrame([], "image_id long, id int, x double, y double, radius int, source string")
     io.write_review(frame, f"file://{tmp_path}/r")
     assert io.read_review(spark, f"file://{tmp_path}/r").count() == 0
+
+
+@pytest.mark.parametrize("cell", [0.7, 70.0])
+def test_shapes_of_any_reach_are_hit_without_copies(spark, cell):
+    """Shapes were copied to nine cells each, and hits farther than a cell away were lost: against brute force, with wide shapes, places below zero and polygons off their place."""
+    rng = random.Random(5)
+    clicks = [(k % 2, k, rng.randint(-300, 300), rng.randint(-300, 300)) for k in range(40)]
+    shapes = [(k % 2, k, rng.randint(-300, 300), rng.randint(-300, 300), rng.choice([0, 9, 70, 350, 900])) for k in range(60)]
+    square = lambda x, y, r: [(x + 200.0, y - r * 1.0), (x + 200.0 + r, y - r * 1.0), (x + 200.0 + r, y + 0.0), (x + 200.0, y + 0.0)]
+    c = spark.createDataFrame(clicks, "image_id long, click long, x int, y int")
+    frame = spark.createDataFrame([(*s, square(*s[2:]) if s[1] % 3 == 0 else [] if s[1] % 3 == 1 else None) for s in shapes], "image_id long, idx long, x int, y int, radius int, contour array<struct<x: double, y: double>>")
+    far = lambda p, s: ((p[2] - s[2]) ** 2 + (p[3] - s[3]) ** 2) ** 0.5
+    meets = lambda p, s: s[2] + 200 <= p[2] < s[2] + 200 + s[4] and s[3] - s[4] <= p[3] < s[3] if s[1] % 3 == 0 else far(p, s) <= s[4]
+    hit = {p[1]: max(s[1] for s in shapes if s[0] == p[0] and meets(p, s)) for p in clicks if any(s[0] == p[0] and meets(p, s) for s in shapes)}
+    close = {p[1]: min(found)[1] for p in clicks if (found := [(far(p, s), s[1]) for s in shapes if s[0] == p[0] and far(p, s) <= s[4] + 8])}
+    top, near = labels.topmost(c, frame, cell), labels.nearest(c, frame, cell)
+    assert {r.click: r.idx for r in top.collect()} == hit and {r.click: r.idx for r in near.collect()} == close
+    assert len(hit) > 30 and "[-1,0,1]" not in plan(top) + plan(near)
